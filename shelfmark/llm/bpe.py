@@ -147,12 +147,12 @@ class BpeCodec:
         return [ids[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
 
     def encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks that hold no white space."""
+        """Ids of chunks, which hold no ASCII white space."""
         plain = [c for c in chunks if c.isascii() and "<|" not in c]
         others = [c for c in chunks if not (c.isascii() and "<|" not in c)]
         words = {c: [w] if (w := c.lower()).isalpha() else self.words_of(w) for c in plain}
         easy = [c for c in others if not (self.special_split and self.special_split.search(c))]
-        normal = self.normalise(" ".join(easy)).split(" ") if easy else []
+        normal = self.normalise("\x00".join(easy)).split("\x00") if easy else []
         if len(normal) != len(easy):
             normal = [self.normalise(c) for c in easy]
         words |= {c: [w] if w.isalpha() else self.words_of(w) for c, w in zip(easy, normal, strict=True)}
@@ -169,8 +169,11 @@ class BpeCodec:
             self.words = {}
         return out
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        return self.cache.encoded(texts)
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers."""
+        ids, ends = self.cache.encoded(texts)
+        raw, ends = ids.tobytes(), (ends * 4).tolist()
+        return [raw[i:j] for i, j in zip(ends, ends[1:], strict=False)]
 
     def decode(self, ids: bytes) -> bytes:
         """The decoded text in UTF-8: the tokens with spaces between, special ones included."""
@@ -205,9 +208,9 @@ def _mapped(docs: DataFrame, path: str, columns: str, of_text) -> DataFrame:
 
         codec, arrow = codec_of(shared.value), to_arrow_schema(kinds)
         for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
+            ids, texts = batch.column("doc_id"), batch.column("text")
             for i, j in blocks(texts):
-                rows = [of_text(codec, x) for x in codec.encode(texts[i:j])]
+                rows = [of_text(codec, x) for x in codec.encode(texts.slice(i, j - i))]
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), *[pa.array(v, arrow.field(k + 1).type) for k, v in enumerate(zip(*rows, strict=True))]], schema=arrow)
 
     return frame.mapInArrow(run, kinds)

@@ -1,52 +1,61 @@
-"""Encoding texts by way of their distinct white-space-free chunks."""
+"""Encoding texts by way of their distinct chunks between ASCII white space."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-#: Unicode White_Space, which separates words for the tokenizer files used here. A fixed value.
-SPACES = re.compile("[\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: str.split() also splits at these.
-_NOT_SPACES = re.compile("[\\x1c-\\x1f]")
 
+def distinct_chunks(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(chunks, numbers, offsets): the distinct chunks, the chunk at each place of all texts, and where each text begins and ends.
 
-def chunks_of(text: str) -> list[str]:
-    if _NOT_SPACES.search(text):
-        return [c for c in SPACES.split(text) if c]
-    return text.split()
+    Chunks end at space and 09 to 0D; empty ones may be among them. Null
+    texts count as empty.
+    """
+    split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+    coded = split.flatten().dictionary_encode()
+    offsets = np.concatenate([[0], np.cumsum(np.asarray(split.value_lengths(), np.int64))])
+    return coded.dictionary.to_pylist(), np.asarray(coded.indices, np.int64), offsets
 
 
 class ChunkCache:
-    """Maps chunks to the bytes of their ids, and keeps the newest generation of chunks between batches.
+    """Ids of texts by chunk, with the chunks of earlier batches kept up to ``limit``.
 
-    ``encode`` gets distinct chunks that aren't known yet. Beyond ``limit``
-    entries only the chunks of the latest batch stay, so that memory is
-    bounded by the limit and one batch.
+    ``encode`` gets distinct chunks that aren't known yet, and returns their
+    ids as little-endian 32-bit integers. Memory is bounded by the limit and
+    one batch.
     """
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 400_000):
-        self.encode, self.limit, self.known = encode, limit, {}
+        self.encode, self.limit, self.known = encode, limit, {"": b""}
 
-    def encoded(self, texts: list[str | None]) -> list[bytes]:
-        split = [chunks_of(t) if t else [] for t in texts]
+    def encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of all texts, one behind the other."""
+        chunks, numbers, offsets = distinct_chunks(texts)
         known = self.known
-        new = list({c for chunks in split for c in chunks if c not in known})
+        new = [c for c in chunks if c not in known]
         known.update(zip(new, self.encode(new), strict=True))
-        out = [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+        ids = list(map(known.__getitem__, chunks))
         if len(known) > self.limit:
-            self.known = {c: known[c] for c in new[: self.limit]}
-        return out
-
-
-def blocks(texts: list[str | None], most_chars: int = 4_000_000):
-    """Ranges of texts of about most_chars together; one text at least."""
-    begin, chars = 0, 0
-    for i, t in enumerate(texts):
-        chars += len(t or "")
-        if chars >= most_chars:
-            yield begin, i + 1
-            begin, chars = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
+            self.known = {"": b""}
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        begins = np.cumsum(sizes) - sizes
+        length = sizes[numbers]
+        ends = np.concatenate([[0], np.cumsum(length)])
+        at = np.arange(ends[-1]) + np.repeat(begins[numbers] - ends[:-1], length)
+        return flat[at], ends[offsets]
+
+
+def blocks(texts: pa.Array, most_bytes: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about most_bytes together; one text at least."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64))
+    begin = 0
+    while begin < len(ends):
+        done = ends[begin - 1] if begin else 0
+        stop = max(begin + 1, int(np.searchsorted(ends, done + most_bytes, "right")))
+        yield begin, stop
+        begin = stop

@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm.bpe import tokenizer_text, word_bpe_path
+from shelfmark.llm.bpe import byte_characters, tokenizer_text, word_bpe_path
 from shelfmark.llm.chunks import ChunkCache, blocks
 from shelfmark.llm.common import dropped, new_path, table, written
 
@@ -119,42 +121,110 @@ class Huffman:
         return out.T.reshape(-1)[:n]
 
 
-_encoders: dict[str, ChunkCache] = {}
+#: A word of letters with punctuation behind it; the tokenizer cuts between the two.
+STEM = re.compile(r"[a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-\xff]+(?=([.,;:!?*$%&#]*)$)")
 
 
-def library_encoder(tokenizer_json: str) -> ChunkCache:
-    """Encodes chunks with the tokenizers library, on one thread; cached for this Python process."""
-    key = hashlib.md5(tokenizer_json.encode()).hexdigest()
-    if key not in _encoders:
+class LibraryEncoder:
+    """Encodes chunks with the tokenizers library, on one thread, each distinct lower-cased word once.
+
+    Letters and the punctuation behind them are different pre-tokens and the
+    tokenizer lower-cases, so a chunk's ids are its word's and its mark's; a
+    word is one pre-token, which goes to the library's model as its bytes.
+    Chunks of any other shape are given to the library as they are.
+    """
+
+    limit = 900_000
+
+    def __init__(self, tokenizer_json: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_str(tokenizer_json)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        encode = lambda chunks: [np.array(e.ids, "<u4").tobytes() for i in range(0, len(chunks), 50_000) for e in tokenizer.encode_batch_fast(chunks[i : i + 50_000], add_special_tokens=False)]
-        _encoders[key] = ChunkCache(encode)
+        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        spec = json.loads(tokenizer_json)
+        self.splits = '"Lowercase"' in json.dumps(spec["normalizer"]) and "\\p{L}" in json.dumps(spec["pre_tokenizer"])
+        self.shown = str.maketrans({chr(i): c for i, c in enumerate(byte_characters())})
+        self.known: dict[str, bytes] = {}
+        self.cache = ChunkCache(self.encode_chunks, 500_000)
+
+    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        parts, stems = [], set()
+        match, add = STEM.match, stems.add
+        for c in chunks:
+            m = match(c) if self.splits else None
+            if m:
+                w = m[0].lower()
+                add(w)
+                parts.append((w, m[1]))
+            else:
+                parts.append((c, ""))
+        known = self.known
+        new = list({w for p in parts for w in p if w not in known})
+        if "" in new:
+            new.remove("")
+        known[""] = b""
+        words = [w for w in new if w in stems]
+        model = self.tokenizer.model.tokenize
+        for w in words:
+            known[w] = array("I", [t.id for t in model(w if w.isascii() else w.encode().decode("latin-1").translate(self.shown))]).tobytes()
+        others = [w for w in new if w not in stems]
+        for i in range(0, len(others), 50_000):
+            part = others[i : i + 50_000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                known[w] = array("I", e.ids).tobytes()
+        out = [known[w] + known[mark] if mark else known[w] for w, mark in parts]
+        if len(known) > self.limit:
+            self.known = {}
+        return out
+
+    def encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return self.cache.encoded(texts)
+
+
+_encoders: dict[str, LibraryEncoder] = {}
+
+
+def library_encoder(tokenizer_json: str) -> LibraryEncoder:
+    """The encoder of this Python process, which keeps its caches between tasks."""
+    key = hashlib.md5(tokenizer_json.encode()).hexdigest()
+    if key not in _encoders:
+        _encoders[key] = LibraryEncoder(tokenizer_json)
     return _encoders[key]
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, n_tokens, ids) of docs(doc_id, text), end_id appended; ids are 16-bit if the vocabulary allows, else 32-bit. Null text is empty."""
+    """(doc_id, n_tokens, ids, counts) of docs(doc_id, text), end_id appended; ids are 16-bit if the vocabulary allows, else 32-bit.
+
+    Null text is empty. A last row of each task has null ids, and counts: how
+    often each id stands in the rows before, as 64-bit integers.
+    """
     text = tokenizer_text(path)
     shared = docs.sparkSession.sparkContext.broadcast(text)
-    width = id_width(text, end_id)
+    width, size = id_width(text, end_id), vocabulary_size(text, end_id)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "n_tokens", "ids", "counts"]
 
     def run(batches):
-        encoder = library_encoder(shared.value)
+        encoder, total = library_encoder(shared.value), np.zeros(size, np.int64)
         for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            for i, j in blocks(texts):
-                rows = [np.append(np.frombuffer(x, "<u4"), np.uint32(end_id)).astype(width) for x in encoder.encoded(texts[i:j])]
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array([len(r) for r in rows], pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "n_tokens", "ids"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids binary")
+            for i, j in blocks(batch.column("text")):
+                ids, ends = encoder.encoded(batch.column("text").slice(i, j - i))
+                n = j - i
+                # an end id behind each document
+                ids = np.insert(ids.astype(width), ends[1:], end_id)
+                ends = ends + np.arange(n + 1)
+                total += np.bincount(ids, minlength=size)
+                step = ids.itemsize
+                rows = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer((ends * step).astype(np.int64)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, n), pa.array(np.diff(ends)), rows.cast(pa.binary()), pa.nulls(n, pa.binary())], names)
+        doc_id = batch.column("doc_id").type if "batch" in locals() else pa.int64()
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, doc_id), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids binary, counts binary")
 
 
 def vocabulary_size(tokenizer_json: str, end_id: int = END_ID) -> int:
@@ -166,20 +236,18 @@ def id_width(tokenizer_json: str, end_id: int = END_ID) -> str:
     return "<u2" if vocabulary_size(tokenizer_json, end_id) <= 1 << 16 else "<u4"
 
 
-def id_counts(tokens: DataFrame, size: int, width: str) -> np.ndarray:
+def id_counts(tokens: DataFrame, size: int) -> np.ndarray:
     """How often each id occurs in all documents; at most ``size`` rows reach the driver."""
 
     def run(batches):
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for x in batch.column("ids"):
-                total += np.bincount(np.frombuffer(x.as_buffer(), width), minlength=size) if len(x.as_buffer()) > 2 * size else 0
-                if len(x.as_buffer()) <= 2 * size:
-                    np.add.at(total, np.frombuffer(x.as_buffer(), width), 1)
+            for x in batch.column("counts"):
+                total += np.frombuffer(x.as_buffer(), np.int64)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], ["id", "n"])
 
-    found = tokens.select("ids").mapInArrow(run, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    found = tokens.where("counts is not null").select("counts").mapInArrow(run, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(size, np.int64)
     counts[found["id"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     return counts
@@ -190,7 +258,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID)
     spark, text = docs.sparkSession, tokenizer_text(tokenizer)
     size, width = vocabulary_size(text, end_id), id_width(text, end_id)
     tokens = written(tokenized(docs, tokenizer, end_id), "tokens")
-    lengths = code_lengths(id_counts(tokens, size, width))
+    lengths = code_lengths(id_counts(tokens, size))
     spark.createDataFrame([(bytearray(lengths.tobytes()), width)], "lengths binary, width string").coalesce(1).write.parquet(f"{path}/code")
     shared = spark.sparkContext.broadcast(lengths.tobytes())
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -216,7 +284,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID)
         if rows:
             yield closed()
 
-    ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n_tokens", "ids").select("doc_id", "ids")
+    ordered = tokens.where("ids is not null").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n_tokens", "ids").select("doc_id", "ids")
     ordered.mapInArrow(run, schema).write.option("compression", "none").parquet(f"{path}/blocks")
     dropped(tokens)
     sums = spark.read.parquet(f"{path}/blocks").groupBy("part").agg(F.sum(F.aggregate("n_tokens", F.lit(0).cast("long"), lambda s, n: s + n)).alias("n")).orderBy("part").collect()

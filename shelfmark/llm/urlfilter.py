@@ -72,8 +72,9 @@ def symbols_of(url: Column) -> Column:
 
 def grams_of(symbols: Column) -> Column:
     """Number of (two before, before, symbol) at each place of the URL."""
-    at = lambda i: F.element_at(symbols, i)
-    return F.transform(F.sequence(F.lit(3), F.size(symbols)), lambda i: (at(i - 2) * SYMBOLS + at(i - 1)) * SYMBOLS + at(i))
+    number = lambda s, i: (F.element_at(s, i - 2) * SYMBOLS + F.element_at(s, i - 1)) * SYMBOLS + F.element_at(s, i)
+    # symbols is bound by a lambda, else each place would compute all of it anew
+    return F.element_at(F.transform(F.array(symbols), lambda s: F.transform(F.sequence(F.lit(3), F.size(s)), lambda i: number(s, i))), 1)
 
 
 def log_ratios(labelled: DataFrame, least_context: int = LEAST_CONTEXT) -> DataFrame:
@@ -86,7 +87,7 @@ def log_ratios(labelled: DataFrame, least_context: int = LEAST_CONTEXT) -> DataF
     """
     n = SYMBOLS
     tri = labelled.select("verdict", F.explode("grams").alias("g")).groupBy("verdict", "g").agg(F.count("*").cast("double").alias("k"))
-    tri = tri.select("verdict", "g", "k", (F.col("g") % n).alias("c"), (F.floor(F.col("g") / n) % n).alias("b"), F.floor(F.col("g") / (n * n)).alias("a"))
+    tri = written(tri, "trigrams").select("verdict", "g", "k", (F.col("g") % n).alias("c"), (F.floor(F.col("g") / n) % n).alias("b"), F.floor(F.col("g") / (n * n)).alias("a"))
     spread = lambda on: F.sum("k").alias(f"n_{on}"), lambda on: F.count("*").cast("double").alias(f"t_{on}")
     bi = tri.groupBy("verdict", "b", "c").agg(F.sum("k").alias("k_bc"))
     uni = bi.groupBy("verdict", "c").agg(F.sum("k_bc").alias("k_c"))
