@@ -13,6 +13,7 @@ import hashlib
 import json
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +21,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.chunks import ChunkCache, blocks
+from shelfmark.llm.chunks import encoded_blocks
 from shelfmark.llm.common import table
 
 #: Positions from which a rank is merged by array operations.
 MANY = 24
 
+#: Words whose ids are kept between batches.
+WORDS_KEPT = 500_000
+
 
 def byte_characters() -> list[str]:
     """The character that stands for each byte in byte-level vocabularies."""
@@ -67,7 +71,6 @@ class BpeCodec:
         self.words_of = regex.compile(pattern).findall
         self.special_split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.words: dict[str, bytes] = {}
-        self.cache = ChunkCache(self.encode_chunks)
 
     def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs of symbols, -1 where they don't merge."""
@@ -165,15 +168,15 @@ class BpeCodec:
         for t, i in self.special.items():
             known[t] = np.uint32(i).astype("<u4").tobytes()
         out = [known[ws[0]] if len(ws) == 1 else b"".join(map(known.__getitem__, ws)) for ws in map(words.__getitem__, chunks)]
-        if len(known) > self.cache.limit:
+        if len(known) > WORDS_KEPT:
             self.words = {}
         return out
 
-    def encode(self, texts: pa.Array) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        ids, ends = self.cache.encoded(texts)
-        raw, ends = ids.tobytes(), (ends * 4).tolist()
-        return [raw[i:j] for i, j in zip(ends, ends[1:], strict=False)]
+    def encode(self, texts: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
+        """(begin, end, ids of each text as little-endian 32-bit integers) of ranges of texts."""
+        for begin, end, ids, ends in encoded_blocks(texts, self.encode_chunks):
+            raw, ends = ids.tobytes(), (ends * 4).tolist()
+            yield begin, end, [raw[i:j] for i, j in zip(ends, ends[1:], strict=False)]
 
     def decode(self, ids: bytes) -> bytes:
         """The decoded text in UTF-8: the tokens with spaces between, special ones included."""
@@ -209,8 +212,8 @@ def _mapped(docs: DataFrame, path: str, columns: str, of_text) -> DataFrame:
         codec, arrow = codec_of(shared.value), to_arrow_schema(kinds)
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text")
-            for i, j in blocks(texts):
-                rows = [of_text(codec, x) for x in codec.encode(texts.slice(i, j - i))]
+            for i, j, encoded_texts in codec.encode(texts):
+                rows = [of_text(codec, x) for x in encoded_texts]
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), *[pa.array(v, arrow.field(k + 1).type) for k, v in enumerate(zip(*rows, strict=True))]], schema=arrow)
 
     return frame.mapInArrow(run, kinds)

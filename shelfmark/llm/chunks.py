@@ -9,6 +9,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
+#: Bytes of text whose distinct chunks are found together, and bytes of text whose ids are laid out together.
+WIDE_BYTES, BLOCK_BYTES = 32_000_000, 4_000_000
+
+
 def distinct_chunks(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(chunks, numbers, offsets): the distinct chunks, the chunk at each place of all texts, and where each text begins and ends.
 
@@ -18,39 +22,32 @@ def distinct_chunks(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]
     split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
     coded = split.flatten().dictionary_encode()
     offsets = np.concatenate([[0], np.cumsum(np.asarray(split.value_lengths(), np.int64))])
-    return coded.dictionary.to_pylist(), np.asarray(coded.indices, np.int64), offsets
+    return coded.dictionary.to_pylist(), np.asarray(coded.indices, np.int32), offsets
 
 
-class ChunkCache:
-    """Ids of texts by chunk, with the chunks of earlier batches kept up to ``limit``.
+def encoded_blocks(texts: pa.Array, encode: Callable[[list[str]], list[bytes]]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(begin, end, ids, offsets) of ranges of texts: the ids of their texts one behind the other, and where each text's begin and end.
 
-    ``encode`` gets distinct chunks that aren't known yet, and returns their
-    ids as little-endian 32-bit integers. Memory is bounded by the limit and
-    one batch.
+    ``encode`` gets the distinct chunks of WIDE_BYTES of text at a time, and
+    returns the ids of each as little-endian 32-bit integers.
     """
-
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 400_000):
-        self.encode, self.limit, self.known = encode, limit, {"": b""}
-
-    def encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, offsets) of all texts, one behind the other."""
-        chunks, numbers, offsets = distinct_chunks(texts)
-        known = self.known
-        new = [c for c in chunks if c not in known]
-        known.update(zip(new, self.encode(new), strict=True))
-        ids = list(map(known.__getitem__, chunks))
-        if len(known) > self.limit:
-            self.known = {"": b""}
+    for i, j in blocks(texts, WIDE_BYTES):
+        wide = texts.slice(i, j - i)
+        chunks, numbers, places = distinct_chunks(wide)
+        ids = encode(chunks)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), "<u4")
+        del ids, chunks
         begins = np.cumsum(sizes) - sizes
-        length = sizes[numbers]
-        ends = np.concatenate([[0], np.cumsum(length)])
-        at = np.arange(ends[-1]) + np.repeat(begins[numbers] - ends[:-1], length)
-        return flat[at], ends[offsets]
+        for k, m in blocks(wide, BLOCK_BYTES):
+            own = numbers[places[k] : places[m]]
+            length = sizes[own]
+            ends = np.concatenate([[0], np.cumsum(length)])
+            at = np.arange(ends[-1]) + np.repeat(begins[own] - ends[:-1], length)
+            yield i + k, i + m, flat[at], ends[places[k : m + 1] - places[k]]
 
 
-def blocks(texts: pa.Array, most_bytes: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def blocks(texts: pa.Array, most_bytes: int) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about most_bytes together; one text at least."""
     ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64))
     begin = 0

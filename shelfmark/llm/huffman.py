@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm.bpe import byte_characters, tokenizer_text, word_bpe_path
-from shelfmark.llm.chunks import ChunkCache, blocks
+from shelfmark.llm.chunks import encoded_blocks
 from shelfmark.llm.common import dropped, new_path, table, written
 
 MAGIC = b"HUF1"
@@ -134,7 +134,8 @@ class LibraryEncoder:
     Chunks of any other shape are given to the library as they are.
     """
 
-    limit = 900_000
+    #: Words kept between batches.
+    limit = 500_000
 
     def __init__(self, tokenizer_json: str):
         import os
@@ -149,7 +150,6 @@ class LibraryEncoder:
         self.splits = '"Lowercase"' in json.dumps(spec["normalizer"]) and "\\p{L}" in json.dumps(spec["pre_tokenizer"])
         self.shown = str.maketrans({chr(i): c for i, c in enumerate(byte_characters())})
         self.known: dict[str, bytes] = {}
-        self.cache = ChunkCache(self.encode_chunks, 500_000)
 
     def encode_chunks(self, chunks: list[str]) -> list[bytes]:
         parts, stems = [], set()
@@ -181,9 +181,6 @@ class LibraryEncoder:
             self.known = {}
         return out
 
-    def encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        return self.cache.encoded(texts)
-
 
 _encoders: dict[str, LibraryEncoder] = {}
 
@@ -211,8 +208,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     def run(batches):
         encoder, total = library_encoder(shared.value), np.zeros(size, np.int64)
         for batch in batches:
-            for i, j in blocks(batch.column("text")):
-                ids, ends = encoder.encoded(batch.column("text").slice(i, j - i))
+            for i, j, ids, ends in encoded_blocks(batch.column("text"), encoder.encode_chunks):
                 n = j - i
                 # an end id behind each document
                 ids = np.insert(ids.astype(width), ends[1:], end_id)
