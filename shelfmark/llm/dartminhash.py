@@ -8,14 +8,18 @@ keeps the dart of lowest rank. Two signatures agree in a coordinate with
 probability equal to the weighted Jaccard similarity. The bound is chosen so
 that a document gets a fixed number of darts however long it is.
 
+A shingle weighs 1, and little more if it repeats, so that signatures of
+documents with a line over and over don't depend on that line alone. Candidates
+are verified by the exact Jaccard similarity of their sets of shingles.
+
 Documents of equal words are one class before any joining. A band of equal
 coordinates puts representatives into a bucket; each bucket links its members
-to the least of them. Members that fail this comparison, and so may still be
-like others, meet the bucket's other components, where the similarities to the
-bucket's least member allow it: with d = 1 - similarity a metric, a pair is
-only within reach if these differ by no more than the threshold's distance. So
-linked copies aren't expanded into pairs, and no link between different
-components of a bucket is lost.
+to the least of them, and then, while it holds several classes, to further
+pivots, a few times. What then isn't of the least member's class meets the
+bucket's other classes, where the similarities to the least member allow it:
+with d = 1 - similarity a metric, a pair is only within reach if these differ
+by no more than the threshold's distance. So linked copies aren't expanded into
+pairs, and no link between different classes of a bucket is lost.
 """
 
 from __future__ import annotations
@@ -33,6 +37,9 @@ from shelfmark.llm.common import dropped, mix64, table, unit, written
 #: Words of a shingle, least similarity of a link, bands, and coordinates of a band.
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 30, 6
 
+#: Further pivots of a bucket that holds several classes.
+PIVOTS = 4
+
 #: Width of the cells in which distances to a bucket's least member are compared.
 CELL = 1 - SIMILARITY
 
@@ -66,7 +73,9 @@ def shingles_of(text: str | None) -> np.ndarray:
 
 
 def weighted(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(shingles, return_counts=True)
+    """Distinct shingles and their weights."""
+    distinct, times = np.unique(shingles, return_counts=True)
+    return distinct, 1 + np.log2(times) / 8
 
 
 class Darts:
@@ -168,17 +177,13 @@ def sketched(docs: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, shingles): each shingle with its number of occurrence hashed in, so that plain sets measure weighted similarity."""
+    """(doc_id, shingles): the distinct shingles of each document."""
 
     def run(batches):
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for at in range(0, len(texts), 200):
-                rows = []
-                for text in texts[at : at + 200]:
-                    s = np.sort(shingles_of(text))
-                    nth = np.arange(len(s)) - np.searchsorted(s, s)
-                    rows.append(np.where(nth > 0, mix64(s + nth.astype(np.uint64)), s).astype(np.int64))
+                rows = [np.unique(shingles_of(text)).astype(np.int64) for text in texts[at : at + 200]]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(rows)), pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "shingles"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, shingles array<bigint>")
@@ -222,7 +227,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     """(doc_id, class_id) of each row of docs(doc_id, text): the least doc_id that chains of links reach.
 
     Links join documents of equal words (case and white space aside) and those
-    whose weighted similarity is at least ``similarity``. Documents without
+    whose shingles' Jaccard similarity is at least ``similarity``. Documents without
     words, null ones among them, are classes of their own, as are rows with a
     null doc_id, whose class is null. Of rows that repeat a doc_id each stands
     in the result. The candidates of a pair at the threshold are missed with
@@ -232,40 +237,61 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     known = sketches.where("words is not null and doc_id is not null")
     equal = written(known.groupBy("words").agg(F.min("doc_id").alias("rep")), "equal")
     reps = known.join(equal, (known["words"] == equal["words"]) & (known["doc_id"] == equal["rep"]), "left_semi").dropDuplicates(["doc_id"])
-    entries = reps.select("doc_id", F.explode("keys").alias("key"))
+    entries = reps.select("doc_id", F.explode("keys").alias("key"), "keys")
     buckets = written(entries.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least"), "buckets")
-    members = written(entries.join(buckets, "key").where("doc_id <> least"), "members")
-    stars = members.select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
-    wanted = members.select("doc_id").unionAll(buckets.select(F.col("least").alias("doc_id"))).distinct()
+    members = written(entries.join(buckets, "key"), "members")
+    stars = members.where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
+    wanted = members.select("doc_id").distinct()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
     sets = written(shingle_sets(texts).dropDuplicates(["doc_id"]), "sets")
     starred = written(measured(stars, sets), "starred")
-    edges = starred.where(F.col("similarity") >= similarity).select("a", "b")
-    first = written(components(edges), "first")
-    more = written(_across(members, starred, first, sets, similarity), "more")
-    if not more.isEmpty():
-        first = written(components(edges.unionAll(more)), "second")
+    found = components(starred.where(F.col("similarity") >= similarity).select("a", "b"))
+    classes = written(wanted.join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id")), "classes")
+    for turn in range(PIVOTS):
+        placed = members.select("key", "doc_id").join(classes, "doc_id")
+        pivot = F.min_by(F.struct(F.col("doc_id").alias("b"), F.col("class_id").alias("class_b")), F.struct(F.xxhash64("doc_id", F.lit(turn)), "doc_id"))
+        mixed = placed.groupBy("key").agg(pivot.alias("p"), F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low < high").select("key", "p.*")
+        pairs = placed.join(mixed, "key").where("class_id <> class_b").select(F.col("doc_id").alias("a"), "b").distinct()
+        classes = _merged(classes, measured(pairs, sets).where(F.col("similarity") >= similarity).select("a", "b"))
+    classes = _merged(classes, _across(members, starred, classes, sets, similarity))
     # classes of the representatives, then of all rows
-    classes = equal.join(first.withColumnRenamed("doc_id", "rep"), "rep", "left").select("words", F.coalesce("class_id", "rep").alias("class_id"))
-    return sketches.join(classes, "words", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
+    final = equal.join(classes.withColumnRenamed("doc_id", "rep"), "rep", "left").select("words", F.coalesce("class_id", "rep").alias("class_id"))
+    return sketches.join(final, "words", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
+
+
+def _merged(classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """classes(doc_id, class_id) after further edges(a, b) between documents."""
+    of = lambda side: classes.select(F.col("doc_id").alias(side), F.col("class_id").alias(f"class_{side}"))
+    between = written(edges.join(of("a"), "a").join(of("b"), "b").where("class_a <> class_b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct(), "between")
+    if between.isEmpty():
+        return classes
+    moved = components(between).select(F.col("doc_id").alias("class_id"), F.col("class_id").alias("to"))
+    return written(classes.join(moved, "class_id", "left").select("doc_id", F.coalesce("to", "class_id").alias("class_id")), "classes")
 
 
 def _across(members: DataFrame, starred: DataFrame, classes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Further edges(a, b): members that aren't linked to the least of their bucket against the bucket's other components.
+    """Further edges(a, b): members of another class than the least of their bucket against the bucket's other classes.
 
     Distances to the least member lie in cells of the threshold's distance;
-    only members of the same or an adjacent cell can be linked.
+    only members of the same or an adjacent cell can be linked. A pair is taken
+    in the first bucket that it shares.
     """
-    far = members.join(starred.select(F.col("a").alias("doc_id"), F.col("b").alias("least"), (1 - F.col("similarity")).alias("d")), ["doc_id", "least"])
-    placed = far.join(classes, "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id")).withColumn("cell", F.floor(F.col("d") / CELL))
-    of_least = classes.select(F.col("doc_id").alias("least"), F.col("class_id").alias("least_class"))
-    placed = placed.join(of_least, "least", "left").withColumn("least_class", F.coalesce("least_class", "least"))
+    placed = members.join(classes, "doc_id")
+    live = placed.groupBy("key").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low < high").select("key")
+    placed = placed.join(live, "key", "left_semi").where("doc_id <> least")
+    placed = placed.join(starred.select(F.col("a").alias("doc_id"), F.col("b").alias("least"), (1 - F.col("similarity")).alias("d")), ["doc_id", "least"])
+    placed = placed.withColumn("cell", F.floor(F.col("d") / CELL)).join(classes.select(F.col("doc_id").alias("least"), F.col("class_id").alias("least_class")), "least")
     left = placed.where("class_id <> least_class").select(
-        "key", F.col("doc_id").alias("a"), F.col("class_id").alias("class_a"), F.col("d").alias("d_a"), F.explode(F.sequence(F.col("cell") - 1, F.col("cell") + 1)).alias("cell")
+        "key", F.col("doc_id").alias("a"), F.col("class_id").alias("class_a"), F.col("d").alias("d_a"), F.col("keys").alias("keys_a"), F.explode(F.sequence(F.col("cell") - 1, F.col("cell") + 1)).alias("cell")
+    )
+    right = placed.select(
+        F.col("key").alias("key_b"), F.col("cell").alias("cell_b"), F.col("doc_id").alias("b"), F.col("class_id").alias("class_b"), F.col("d").alias("d_b"), F.col("keys").alias("keys_b"), F.col("least_class").alias("main_b")
     )
-    right = placed.select("key", "cell", F.col("doc_id").alias("b"), F.col("class_id").alias("class_b"), F.col("d").alias("d_b"))
-    pairs = left.join(right, ["key", "cell"]).where((F.col("class_a") != F.col("class_b")) & (F.abs(F.col("d_a") - F.col("d_b")) <= 1 - similarity + 1e-9))
-    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    near = F.abs(F.col("d_a") - F.col("d_b")) <= 1 - similarity + 1e-9
+    once = (F.col("class_b") == F.col("main_b")) | (F.col("a") < F.col("b"))
+    first = F.element_at(F.array_intersect("keys_a", "keys_b"), 1) == F.col("key")
+    on = (F.col("key") == F.col("key_b")) & (F.col("cell") == F.col("cell_b")) & (F.col("class_a") != F.col("class_b")) & near & once & first
+    pairs = left.join(right, on).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     return measured(pairs, sets).where(F.col("similarity") >= similarity).select("a", "b")
 
 

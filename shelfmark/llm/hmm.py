@@ -14,54 +14,62 @@ many; the frequent ones, where the skew is, travel as a table of fixed size.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.llm.chunks import WIDE_BYTES, blocks, distinct_chunks
 from shelfmark.llm.common import fold_of, table, written
 
 #: Words that are symbols, classes of the others, hidden states, rounds of Baum-Welch, words of a training window.
-HEAD, TAIL, STATES, ROUNDS, WINDOW = 8192, 64, 8, 6, 256
+HEAD, TAIL, STATES, ROUNDS, WINDOW = 8192, 64, 8, 7, 256
 
 #: Documents whose crc32 has this remainder modulo HOLD_OUT_PARTS are scored only.
 HOLD_OUT_PARTS, HELD_OUT = 5, 1
 
-#: Words that a task counts before it hands them on, and words of a batch of the recursions.
-COUNTED, BATCH_WORDS = 500_000, 400_000
+#: Words of a batch of the recursions.
+BATCH_WORDS = 400_000
 
 #: Weight of the overall shares of symbols in each state's.
 PRIOR = 200.0
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """bytes.split() cuts at space and 09 to 0D, bytes.lower() lowers A to Z: just the definitions wanted."""
-    return (text or "").encode().lower().split()
-
-
 def tail_class(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % TAIL
 
 
+def coded_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(words, numbers, offsets): the distinct words, the word at each place of all texts, and where each text begins and ends.
+
+    ascii_lower() folds A to Z and ascii_split_whitespace() cuts at space and
+    09 to 0D: just the definitions wanted. Null texts are empty.
+    """
+    chunks, numbers, offsets = distinct_chunks(pc.ascii_lower(texts.cast(pa.large_string())))
+    words = [c.encode() for c in chunks]
+    if b"" in words:  # at white space on the edge of a text
+        empty = words.index(b"")
+        real = numbers != empty
+        offsets = np.concatenate([[0], np.cumsum(real)])[offsets]
+        numbers = numbers[real]
+        words[empty] = words[-1]
+        numbers = np.where(numbers == len(words) - 1, empty, numbers) if empty < len(words) - 1 else numbers
+        words.pop()
+    return words, numbers, offsets
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, c) over all rows of docs(text)."""
 
     def run(batches):
-        found: Counter[bytes] = Counter()
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "c"])
-
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                found.update(words_of(text))
-                if len(found) >= COUNTED:
-                    yield out()
-                    found.clear()
-        yield out()
+            texts = batch.column("text")
+            for i, j in blocks(texts, WIDE_BYTES):
+                words, numbers, _ = coded_words(texts.slice(i, j - i))
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(np.bincount(numbers, minlength=len(words)).astype(np.int64))], ["word", "c"])
 
     return docs.select("text").mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -105,7 +113,10 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame, documents: int) -> Vocabulary:
     """From written counts: HEAD words and TAIL rows reach the driver."""
-    top = counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()
+    # words by powers of two of their count: what the HEAD most frequent lie above, and few others
+    steps = counts.groupBy(F.floor(F.log2("c") * 8).alias("step")).agg(F.count("*").alias("n"), F.min("c").alias("least")).orderBy(F.desc("step")).collect()
+    least = next((r["least"] for r, n in zip(steps, np.cumsum([r["n"] for r in steps]), strict=True) if n >= HEAD), 0)
+    top = counts.where(F.col("c") >= least).orderBy(F.desc("c"), "word").limit(HEAD).collect()
     head = {bytes(r["word"]): i for i, r in enumerate(top)}
     head_counts = np.array([r["c"] for r in top], np.int64)
     classes = F.crc32(F.substring("word", -2, 2)) % TAIL
@@ -124,34 +135,26 @@ def symbols(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
     def run(batches):
         voc = shared.value
-        known, end = voc.head, np.array([voc.end], "<u2")
-        tails: dict[bytes, int] = {}
+        head = voc.head
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for at in range(0, len(texts), 500):
-                rows, tail, times = [], [], []
-                for text in texts[at : at + 500]:
-                    words = words_of(text)
-                    ids = list(map(known.get, words))
-                    rare: Counter[bytes] = Counter()
-                    if None in ids:
-                        for i, x in enumerate(ids):
-                            if x is None:
-                                w = words[i]
-                                rare[w] += 1
-                                if w not in tails:
-                                    tails[w] = HEAD + tail_class(w)
-                                ids[i] = tails[w]
-                        if len(tails) > COUNTED:
-                            tails.clear()
-                    rows.append(np.append(np.array(ids, "<u2"), end).tobytes())
-                    tail.append(list(rare))
-                    times.append(list(rare.values()))
-                part = batch.slice(at, len(rows))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("rid"), part.column("doc_id"), part.column("held_out"), pa.array(rows, pa.binary()), pa.array(tail, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32()))],
-                    ["rid", "doc_id", "held_out", "symbols", "tail", "times"],
-                )
+            texts = batch.column("text")
+            for i, j in blocks(texts, WIDE_BYTES):
+                words, numbers, offsets = coded_words(texts.slice(i, j - i))
+                symbol = np.array([x if (x := head.get(w)) is not None else HEAD + tail_class(w) for w in words], np.int64)
+                n = j - i
+                sequence = symbol[numbers] if len(words) else np.zeros(0, np.int64)
+                ends = offsets + np.arange(n + 1)
+                flat = np.insert(sequence.astype("<u2"), offsets[1:], voc.end)
+                rows = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends * 2), pa.py_buffer(flat)])
+                rare = np.flatnonzero(sequence >= HEAD)
+                doc = np.searchsorted(offsets, rare, "right") - 1
+                pairs, times = np.unique(doc * max(1, len(words)) + numbers[rare], return_counts=True)
+                doc, word = np.divmod(pairs, max(1, len(words)))
+                cuts = pa.array(np.searchsorted(doc, np.arange(n + 1)), pa.int32())
+                tail = pa.ListArray.from_arrays(cuts, pa.array(words, pa.binary()).take(pa.array(word)))
+                times = pa.ListArray.from_arrays(cuts, pa.array(times.astype(np.int32)))
+                part = batch.slice(i, n)
+                yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("doc_id"), part.column("held_out"), rows.cast(pa.binary()), tail, times], ["rid", "doc_id", "held_out", "symbols", "tail", "times"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(run, f"rid bigint, doc_id {kind}, held_out boolean, symbols binary, tail array<binary>, times array<int>")
