@@ -19,7 +19,7 @@ def distinct_chunks(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]
     Chunks end at space and 09 to 0D; empty ones may be among them. Null
     texts count as empty.
     """
-    split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+    split = pc.ascii_split_whitespace(pc.fill_null(pa.concat_arrays([texts]).cast(pa.large_string()), ""))
     coded = split.flatten().dictionary_encode()
     offsets = np.concatenate([[0], np.cumsum(np.asarray(split.value_lengths(), np.int64))])
     return coded.dictionary.to_pylist(), np.asarray(coded.indices, np.int32), offsets

@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     known = sketches.where("words is not null and doc_id is not null")
     equal = written(known.groupBy("words").agg(F.min("doc_id").alias("rep")), "equal")
     reps = known.join(equal, (known["words"] == equal["words"]) & (known["doc_id"] == equal["rep"]), "left_semi").dropDuplicates(["doc_id"])
-    entries = reps.select("doc_id", F.explode("keys").alias("key"), "keys")
+    entries = reps.select("doc_id", F.explode("keys").alias("key"))
     buckets = written(entries.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least"), "buckets")
     members = written(entries.join(buckets, "key"), "members")
     stars = members.where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
@@ -253,7 +253,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         mixed = placed.groupBy("key").agg(pivot.alias("p"), F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low < high").select("key", "p.*")
         pairs = placed.join(mixed, "key").where("class_id <> class_b").select(F.col("doc_id").alias("a"), "b").distinct()
         classes = _merged(classes, measured(pairs, sets).where(F.col("similarity") >= similarity).select("a", "b"))
-    classes = _merged(classes, _across(members, starred, classes, sets, similarity))
+    classes = _merged(classes, _across(members, starred, classes, sets, reps.select("doc_id", "keys"), similarity))
     # classes of the representatives, then of all rows
     final = equal.join(classes.withColumnRenamed("doc_id", "rep"), "rep", "left").select("words", F.coalesce("class_id", "rep").alias("class_id"))
     return sketches.join(final, "words", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
@@ -269,7 +269,7 @@ def _merged(classes: DataFrame, edges: DataFrame) -> DataFrame:
     return written(classes.join(moved, "class_id", "left").select("doc_id", F.coalesce("to", "class_id").alias("class_id")), "classes")
 
 
-def _across(members: DataFrame, starred: DataFrame, classes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _across(members: DataFrame, starred: DataFrame, classes: DataFrame, sets: DataFrame, keys: DataFrame, similarity: float) -> DataFrame:
     """Further edges(a, b): members of another class than the least of their bucket against the bucket's other classes.
 
     Distances to the least member lie in cells of the threshold's distance;
@@ -281,6 +281,7 @@ def _across(members: DataFrame, starred: DataFrame, classes: DataFrame, sets: Da
     placed = placed.join(live, "key", "left_semi").where("doc_id <> least")
     placed = placed.join(starred.select(F.col("a").alias("doc_id"), F.col("b").alias("least"), (1 - F.col("similarity")).alias("d")), ["doc_id", "least"])
     placed = placed.withColumn("cell", F.floor(F.col("d") / CELL)).join(classes.select(F.col("doc_id").alias("least"), F.col("class_id").alias("least_class")), "least")
+    placed = placed.join(keys, "doc_id")
     left = placed.where("class_id <> least_class").select(
         "key", F.col("doc_id").alias("a"), F.col("class_id").alias("class_a"), F.col("d").alias("d_a"), F.col("keys").alias("keys_a"), F.explode(F.sequence(F.col("cell") - 1, F.col("cell") + 1)).alias("cell")
     )

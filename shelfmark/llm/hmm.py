@@ -48,7 +48,8 @@ def coded_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     ascii_lower() folds A to Z and ascii_split_whitespace() cuts at space and
     09 to 0D: just the definitions wanted. Null texts are empty.
     """
-    chunks, numbers, offsets = distinct_chunks(pc.ascii_lower(texts.cast(pa.large_string())))
+    # a slice is copied first: ascii_lower() goes astray on one that a cast has widened
+    chunks, numbers, offsets = distinct_chunks(pc.ascii_lower(pa.concat_arrays([texts])))
     words = [c.encode() for c in chunks]
     if b"" in words:  # at white space on the edge of a text
         empty = words.index(b"")
