@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.chunks import WIDE_BYTES, blocks, distinct_chunks
+from shelfmark.llm.chunks import WIDE_BYTES, blocks, coded_words
 from shelfmark.llm.common import fold_of, table, written
 
 #: Words that are symbols, classes of the others, hidden states, rounds of Baum-Welch, words of a training window.
@@ -42,24 +42,14 @@ def tail_class(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % TAIL
 
 
-def coded_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """(words, numbers, offsets): the distinct words, the word at each place of all texts, and where each text begins and ends.
+def lowered_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """coded_words() of texts with A to Z folded.
 
     ascii_lower() folds A to Z and ascii_split_whitespace() cuts at space and
-    09 to 0D: just the definitions wanted. Null texts are empty.
+    09 to 0D: just the definitions wanted. Null texts are empty. A slice is
+    copied first: ascii_lower() goes astray on one that a cast has widened.
     """
-    # a slice is copied first: ascii_lower() goes astray on one that a cast has widened
-    chunks, numbers, offsets = distinct_chunks(pc.ascii_lower(pa.concat_arrays([texts])))
-    words = [c.encode() for c in chunks]
-    if b"" in words:  # at white space on the edge of a text
-        empty = words.index(b"")
-        real = numbers != empty
-        offsets = np.concatenate([[0], np.cumsum(real)])[offsets]
-        numbers = numbers[real]
-        words[empty] = words[-1]
-        numbers = np.where(numbers == len(words) - 1, empty, numbers) if empty < len(words) - 1 else numbers
-        words.pop()
-    return words, numbers, offsets
+    return coded_words(pc.ascii_lower(pa.concat_arrays([texts])))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -69,7 +59,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts = batch.column("text")
             for i, j in blocks(texts, WIDE_BYTES):
-                words, numbers, _ = coded_words(texts.slice(i, j - i))
+                words, numbers, _ = lowered_words(texts.slice(i, j - i))
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(np.bincount(numbers, minlength=len(words)).astype(np.int64))], ["word", "c"])
 
     return docs.select("text").mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
@@ -140,7 +130,7 @@ def symbols(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         for batch in batches:
             texts = batch.column("text")
             for i, j in blocks(texts, WIDE_BYTES):
-                words, numbers, offsets = coded_words(texts.slice(i, j - i))
+                words, numbers, offsets = lowered_words(texts.slice(i, j - i))
                 symbol = np.array([x if (x := head.get(w)) is not None else HEAD + tail_class(w) for w in words], np.int64)
                 n = j - i
                 sequence = symbol[numbers] if len(words) else np.zeros(0, np.int64)
