@@ -327,8 +327,9 @@ def op8_dart_minhash(spark, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without the rows whose class has a smaller doc_id; of rows that repeat a doc_id one stays."""
+    """docs with one row of each class: the first of its least doc_id. Rows with a null doc_id, which are of no class, stay."""
     classes = near_duplicates(docs)
     gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    return left
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    known = left.where("doc_id is not null").dropDuplicates(["doc_id"])
+    return known.unionAll(left.where("doc_id is null"))

@@ -136,7 +136,10 @@ def calibrated(scored: DataFrame, bins_per_unit: int = 200, widest: float = 5.0)
         "error",
         F.coalesce(F.sum("allow").over(below), F.lit(0.0)) / F.sum("allow").over(every) + 1 - F.coalesce(F.sum("block").over(below), F.lit(0.0)) / F.sum("block").over(every),
     )
-    best = F.min_by(F.col("bin").cast("double") / bins_per_unit, F.struct(F.col("error"), F.abs("bin"), "bin"))
+    # half way from the bin below, whose scores the cut leaves out
+    cut = (F.col("bin") + F.coalesce(F.lag("bin").over(Window.orderBy("bin")) + 1, F.col("bin"))).cast("double") / (2 * bins_per_unit)
+    bins = bins.withColumn("cut", cut)
+    best = F.min_by("cut", F.struct(F.col("error"), F.abs("cut"), "cut"))
     return bins.where("error is not null").agg(F.coalesce(best, F.lit(0.0)).alias("threshold"))
 
 
