@@ -27,8 +27,8 @@ from shelfmark.llm.common import table
 #: Positions from which a rank is merged by array operations.
 MANY = 24
 
-#: Words whose ids are kept between batches.
-WORDS_KEPT = 500_000
+#: Words whose ids are kept between the batches of a task.
+WORDS_KEPT = 300_000
 
 
 def byte_characters() -> list[str]:
@@ -187,7 +187,7 @@ _codecs: dict[str, BpeCodec] = {}
 
 
 def codec_of(tokenizer_json: str) -> BpeCodec:
-    """The codec of this Python process, which keeps its caches between tasks."""
+    """The codec of this Python process; its tables stay for the tasks to come."""
     key = hashlib.md5(tokenizer_json.encode()).hexdigest()
     if key not in _codecs:
         _codecs[key] = BpeCodec(tokenizer_json)
@@ -215,6 +215,7 @@ def _mapped(docs: DataFrame, path: str, columns: str, of_text) -> DataFrame:
             for i, j, encoded_texts in codec.encode(texts):
                 rows = [of_text(codec, x) for x in encoded_texts]
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), *[pa.array(v, arrow.field(k + 1).type) for k, v in enumerate(zip(*rows, strict=True))]], schema=arrow)
+        codec.words = {}  # other operators may run in this process next
 
     return frame.mapInArrow(run, kinds)
 

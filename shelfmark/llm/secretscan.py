@@ -94,7 +94,7 @@ def traits_of(word: str) -> int:
 class TraitCache(dict):
     """Traits by word, emptied when it holds ``limit`` words."""
 
-    limit = 400_000
+    limit = 200_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.limit:
@@ -322,6 +322,7 @@ def scanned(docs: DataFrame, field: Field) -> DataFrame:
             counts = [[sum(k == kind for k, _, _ in base) for base, _ in found] for kind in KINDS[:3]]
             shas = [hashlib.sha256(listed(base).encode()).hexdigest() for base, _ in found]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in counts], pa.array(shas, pa.string()), pa.array([listed(s) for _, s in found], pa.string())], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+        _traits.clear()  # other operators may run in this process next
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
@@ -361,5 +362,6 @@ def secrets_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
                 n = [len(b) if a != b else c for a, b, c in zip(texts, new, batch.column(size).to_pylist(), strict=True)]
                 columns[size] = pa.array(n, batch.schema.field(size).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+        _traits.clear()  # other operators may run in this process next
 
     return docs.mapInArrow(run, docs.schema)
