@@ -6,8 +6,10 @@ centroids that are almost as near. Centroids are found by beam search in a
 neighbour graph that every task holds in memory. A query reads the lists whose
 centroids are within a ratio of its nearest one; the ratio is calibrated on
 the sample, so that the lists hold TARGET of the nearest rows there.
-Lists longer than LIST_ROWS are dealt out to sublists, so no group is larger
-than that however the data lie; equal vectors are indexed once, with the
+Lists that lie close are scanned together in blocks of BLOCK_ROWS rows, where
+replicas are measured once and a query's lists give one short list of best
+rows; a longer list is dealt out to parts of that size, so no group is larger
+however the data lie. Equal vectors are indexed once, with the
 smallest of their ids, as many as a result can hold.
 """
 
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 from shelfmark.llm.common import table, written
 from shelfmark.llm.topk import finite
 
-#: Rows that the centroids are fitted on at most, about; centroids at most; rows of a sublist.
-SAMPLE_ROWS, MOST_CENTROIDS, LIST_ROWS = 20_000, 4096, 4096
+#: Rows that the centroids are fitted on at most, about; centroids at most; rows that are scanned together.
+SAMPLE_ROWS, MOST_CENTROIDS, BLOCK_ROWS = 20_000, 4096, 4096
 #: Lists a vector is entered in at most, and how much farther than the nearest their centroids may be.
 REPLICAS, REPLICA_RATIO = 4, 1.2
 #: Lists a query reads at least; share of nearest rows that the pruning ratio is calibrated to reach; queries for that.
@@ -33,6 +35,35 @@ LEAST_PROBES, TARGET, CALIBRATION_QUERIES = 8, 0.975, 400
 DEGREE = 24
 
 
+def along(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Places of rows along their longest direction."""
+    x = x - x.mean(axis=0)
+    axis = rng.normal(size=x.shape[1])
+    for _ in range(6):
+        axis = x.T @ (x @ axis)
+        axis /= np.linalg.norm(axis) or 1.0
+    return x @ axis
+
+
+def blocks_of(centroids: np.ndarray, sizes: dict[int, int]) -> tuple[np.ndarray, list[int]]:
+    """The block of each list, and how many parts each block is dealt out to.
+
+    Lists are halved along their longest direction until their rows fit into BLOCK_ROWS.
+    """
+    rng = np.random.default_rng(9)
+    rows = np.array([sizes.get(c, 0) for c in range(len(centroids))])
+    blocks, parts, waiting = np.zeros(len(centroids), np.int64), [], [np.arange(len(centroids))]
+    while waiting:
+        here = waiting.pop()
+        if len(here) == 1 or rows[here].sum() <= BLOCK_ROWS:
+            blocks[here] = len(parts)
+            parts.append(max(1, math.ceil(int(rows[here].sum()) / BLOCK_ROWS)))
+        else:
+            order = here[np.argsort(along(centroids[here].astype(np.float64), rng), kind="stable")]
+            waiting += [order[: len(order) // 2], order[len(order) // 2 :]]
+    return blocks, parts
+
+
 def balanced_centroids(sample: np.ndarray, count: int) -> np.ndarray:
     """Means of ``count`` even parts: the largest is halved at the median along its longest direction, again and again; then two rounds of k-means."""
     rng = np.random.default_rng(7)
@@ -40,12 +71,7 @@ def balanced_centroids(sample: np.ndarray, count: int) -> np.ndarray:
     while len(parts) < min(count, len(sample)):
         i = max(range(len(parts)), key=lambda p: len(parts[p]))
         part = parts.pop(i)
-        x = sample[part] - sample[part].mean(axis=0)
-        axis = rng.normal(size=x.shape[1])
-        for _ in range(6):
-            axis = x.T @ (x @ axis)
-            axis /= np.linalg.norm(axis) or 1.0
-        order = part[np.argsort(x @ axis, kind="stable")]
+        order = part[np.argsort(along(sample[part], rng), kind="stable")]
         parts += [order[: len(order) // 2], order[len(order) // 2 :]]
     centroids = np.stack([sample[p].mean(axis=0) for p in parts])
     for _ in range(2):
@@ -209,25 +235,36 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, sample_rows: int
     index = firsts.groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
     postings = written(_spread(index, shared, "lists_of"), "postings")
     sizes = {r["list"]: r["n"] for r in postings.groupBy("list").agg(F.count("*").alias("n")).collect()}  # a row a centroid
-    subs = F.element_at(F.array(*[F.lit(max(1, math.ceil(sizes.get(c, 0) / LIST_ROWS))) for c in range(len(graph.centroids))]), F.col("list") + 1)
-    postings = postings.withColumn("sub", F.pmod(F.xxhash64("v"), subs).cast("int"))
+    blocks, parts = blocks_of(graph.centroids, sizes)
+    block_of = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("list") + 1)
+    parts_of = F.element_at(F.array(*[F.lit(n) for n in parts]), F.col("block") + 1)
+    postings = postings.withColumn("block", block_of).withColumn("part", F.pmod(F.xxhash64("v"), parts_of).cast("int"))
     asked = every.where(is_query).dropDuplicates(["vec_id"]).withColumnRenamed("vec_id", "query_id")
-    asked = _spread(asked, shared, "probes_of").withColumn("sub", F.explode(F.sequence(F.lit(0), subs - 1)))
+    asked = _spread(asked, shared, "probes_of").withColumn("block", block_of).groupBy("query_id", "block").agg(F.first("v").alias("v"), F.collect_set("list").alias("lists"))
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), parts_of - 1)))
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
         found: list[tuple] = []
         if left.num_rows and right.num_rows:
             rows = np.asarray(left.column("v").combine_chunks().flatten(), np.float64).reshape(left.num_rows, -1)
-            ids = left.column("ids").to_pylist()
+            _, first, number = np.unique(np.ascontiguousarray(rows).view(np.dtype((np.void, rows.shape[1] * 8))).ravel(), return_index=True, return_inverse=True)
+            rows, number = rows[first], number.ravel()
+            ids = left.column("ids").take(pa.array(first)).to_pylist()
             low = np.array([i[0] for i in ids])
+            of_list = left.column("list").to_numpy()
+            order = np.argsort(of_list, kind="stable")
+            names, begins = np.unique(of_list[order], return_index=True)
+            members = dict(zip(names.tolist(), np.split(number[order], begins[1:]), strict=True))
             asked_v = np.asarray(right.column("v").combine_chunks().flatten(), np.float64).reshape(right.num_rows, -1)
-            for query_id, q in zip(right.column("query_id").to_pylist(), asked_v, strict=True):
-                d = np.sqrt(((rows - q) ** 2).sum(axis=1))
-                for i in np.lexsort((low, d))[: k + 1]:
-                    found.append((query_id, float(d[i]), ids[i]))
+            for query_id, q, lists in zip(right.column("query_id").to_pylist(), asked_v, right.column("lists").to_pylist(), strict=True):
+                held = [members[c] for c in lists if c in members]
+                if held:
+                    at = np.unique(np.concatenate(held))
+                    d = np.sqrt(((rows[at] - q) ** 2).sum(axis=1))
+                    found += [(query_id, float(d[i]), ids[at[i]]) for i in np.lexsort((low[at], d))[: k + 1]]
         return pa.table({"query_id": pa.array([f[0] for f in found], pa.int64()), "score": pa.array([f[1] for f in found], pa.float64()), "ids": pa.array([f[2] for f in found], pa.list_(pa.int64()))})
 
-    met = postings.groupBy("list", "sub").cogroup(asked.groupBy("list", "sub")).applyInArrow(scan, "query_id bigint, score double, ids array<bigint>")
+    met = postings.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInArrow(scan, "query_id bigint, score double, ids array<bigint>")
     found = met.withColumn("vec_id", F.explode("ids")).where(F.col("vec_id") != F.col("query_id"))
     once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
