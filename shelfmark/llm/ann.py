@@ -256,10 +256,18 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, sample_rows: int
             names, begins = np.unique(of_list[order], return_index=True)
             members = dict(zip(names.tolist(), np.split(number[order], begins[1:]), strict=True))
             asked_v = np.asarray(right.column("v").combine_chunks().flatten(), np.float64).reshape(right.num_rows, -1)
-            for query_id, q, lists in zip(right.column("query_id").to_pylist(), asked_v, right.column("lists").to_pylist(), strict=True):
-                held = [members[c] for c in lists if c in members]
-                if held:
+            norms = (rows**2).sum(axis=1)
+            for begin in range(0, len(asked_v), 256):
+                some, part = asked_v[begin : begin + 256], right.slice(begin, 256)
+                rough = norms - 2 * some @ rows.T  # squared distances less the query's norm; rounding stays far below the slack
+                slack = 1e-10 * ((some**2).sum(axis=1) + norms.max())
+                for query_id, q, lists, far, eps in zip(part.column("query_id").to_pylist(), some, part.column("lists").to_pylist(), rough, slack, strict=True):
+                    held = [members[c] for c in lists if c in members]
+                    if not held:
+                        continue
                     at = np.unique(np.concatenate(held))
+                    if len(at) > k + 1 and np.isfinite(far).all() and np.isfinite(eps):
+                        at = at[far[at] <= np.partition(far[at], k)[k] + eps]
                     d = np.sqrt(((rows[at] - q) ** 2).sum(axis=1))
                     found += [(query_id, float(d[i]), ids[at[i]]) for i in np.lexsort((low[at], d))[: k + 1]]
         return pa.table({"query_id": pa.array([f[0] for f in found], pa.int64()), "score": pa.array([f[1] for f in found], pa.float64()), "ids": pa.array([f[2] for f in found], pa.list_(pa.int64()))})
