@@ -359,3 +359,30 @@ def known_passages(spark, d):
     docs = t(spark, d, "documents").select("doc_id", "text", words(F.col("text")).alias("w"))
     runs = docs.where(F.size("w") >= 5).select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.array_join(F.slice("w", i, 5), " ")))).alias("probe"))
     return runs.join(b, "probe").where(F.contains("text", "passage")).select("item_id", "doc_id")
+
+
+@query("""SELECT p_partkey AS asset_id, CASE k WHEN 'adapter' THEN 'adapter' WHEN 'paper' THEN 'paper' WHEN 'checkpoint' THEN CASE p_partkey % 4 WHEN 0 THEN 'llm' WHEN 1 THEN 'segmentation' WHEN 2 THEN 'speech' ELSE 'checkpoint' END
+ELSE CASE p_partkey % 5 WHEN 0 THEN 'detection_dataset' WHEN 1 THEN 'segmentation_dataset' WHEN 2 THEN 'malware_dataset' WHEN 3 THEN 'tracking_dataset' ELSE 'other_dataset' END END AS category
+FROM (SELECT *, ['adapter', 'paper', 'checkpoint', 'dataset'][p_size % 4 + 1] AS k FROM part)""")
+def taxonomy_categories(spark, d):
+    from shelfmark.operators.taxonomy import classified
+
+    choose = lambda values, n: F.element_at(F.array(*[F.lit(v) for v in values]), (n % len(values) + 1).cast("int"))
+    profiles = t(spark, d, "part").select(
+        F.col("p_partkey").alias("asset_id"), F.col("p_name").alias("name"), choose(("adapter", "paper", "checkpoint", "dataset"), F.col("p_size")).alias("kind"),
+        choose(("llm", "segmentation", "speech_recognition", None), F.col("p_partkey")).alias("model_type"), choose(("coco", "ade20k", "malware", "mot", None), F.col("p_partkey")).alias("dataset_format"),
+    )
+    profiles = profiles.withColumn("dataset_format", F.when(F.col("kind") == "dataset", F.col("dataset_format")))
+    return classified(profiles).select("asset_id", "category")
+
+
+@query(f"""SELECT v.ord, v.id AS category, count(p.p_partkey) AS n_assets FROM (SELECT * FROM (VALUES (200, 'detection_dataset'), (210, 'segmentation_dataset'), (240, 'video_dataset')) x(ord, id)) v
+LEFT JOIN part p ON v.id = ['detection_dataset', 'segmentation_dataset', 'other_dataset'][CAST(p.p_partkey % 3 AS INTEGER) + 1] GROUP BY 1, 2""")
+def taxonomy_order(spark, d):
+    """Counts of chosen categories in the vocabulary's order; the vocabulary has 52 rows and is broadcast."""
+    from shelfmark.operators.taxonomy import resolve, vocabulary
+
+    named = F.element_at(F.array(F.lit("detection_dataset"), F.lit("segmentation_dataset"), F.lit("other_dataset")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    counts = t(spark, d, "part").groupBy(named.alias("id")).count()
+    chosen = [c for s in ("detection-datasets", "segmentation_dataset", "videos") for c in resolve(s)]
+    return F.broadcast(vocabulary(spark)).where(F.col("id").isin(chosen)).join(counts, "id", "left").select("ord", F.col("id").alias("category"), F.coalesce("count", F.lit(0)).alias("n_assets"))
