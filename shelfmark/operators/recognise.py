@@ -11,6 +11,8 @@ from shelfmark.functions.units import ancestors
 
 WEIGHTS = ("safetensors", "gguf", "pt", "pth", "ckpt", "bin", "onnx", "h5", "tflite")
 IMAGES = ("jpg", "jpeg", "png", "bmp", "webp", "tif", "tiff")
+#: Images of a folder that counts as a class. Fixed value.
+CLASS_IMAGES = 10
 TABLES = ("csv", "tsv", "parquet", "arrow", "jsonl")
 
 
@@ -23,7 +25,12 @@ def extension_of(path: Column) -> Column:
 
 
 def directory_profiles(files: DataFrame) -> DataFrame:
-    """(dir, names, dirs, n_files, bytes, by_extension) of each folder, from files(path, size_bytes): what lies directly in it, and sizes of the whole subtree."""
+    """(dir, names, dirs, n_files, bytes, by_extension, classes, classes_in_splits) of each folder, from files(path, size_bytes).
+
+    Names, folders and n_files are of what lies directly in it, bytes and
+    by_extension of the whole subtree; classes are folders of CLASS_IMAGES
+    images or more right below it, or below a folder of a split.
+    """
     rows = files.select("path", "size_bytes", name_of(F.col("path")).alias("name"), extension_of(F.col("path")).alias("ext"), ancestors(F.col("path")).alias("above"))
     direct = rows.groupBy(F.element_at("above", -1).alias("dir")).agg(F.array_sort(F.collect_set(F.lower("name"))).alias("names"), F.count("*").alias("n_files"))
     folders = rows.select(F.explode("above").alias("child")).distinct()
@@ -31,8 +38,13 @@ def directory_profiles(files: DataFrame) -> DataFrame:
     children = folders.where("dir <> ''").groupBy("dir").agg(F.array_sort(F.collect_set("sub")).alias("dirs"))
     counted = rows.select(F.explode("above").alias("dir"), "ext", "size_bytes").groupBy("dir", "ext").agg(F.count("*").alias("n"), F.sum("size_bytes").alias("b"))
     deep = counted.groupBy("dir").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("ext", "n")))).alias("by_extension"), F.sum("b").alias("bytes"))
+    full = rows.where(F.col("ext").isin(*IMAGES)).groupBy(F.element_at("above", -1).alias("dir")).count().where(f"count >= {CLASS_IMAGES}").select(F.split("dir", "/").alias("parts")).where("size(parts) > 1")
+    up = F.lower(F.element_at("parts", -2)).isin("train", "val", "valid", "test")
+    above = lambda n: F.array_join(F.slice("parts", 1, F.greatest(F.size("parts") - n, F.lit(0))), "/")
+    holders = full.select(F.when(up, above(2)).otherwise(above(1)).alias("dir"), F.element_at("parts", -1).alias("c"), F.when(up, F.lower(F.element_at("parts", -2))).alias("s"))
+    classes = holders.groupBy("dir").agg(F.count_distinct("c").alias("classes"), F.max(F.col("s").isNotNull()).alias("classes_in_splits"))
     empty = F.array().cast("array<string>")
-    return deep.join(direct, "dir", "left").join(children, "dir", "left").select("dir", F.coalesce("names", empty).alias("names"), F.coalesce("dirs", empty).alias("dirs"), F.coalesce("n_files", F.lit(0)).alias("n_files"), "bytes", "by_extension")
+    return deep.join(direct, "dir", "left").join(children, "dir", "left").join(classes, "dir", "left").select("dir", F.coalesce("names", empty).alias("names"), F.coalesce("dirs", empty).alias("dirs"), F.coalesce("n_files", F.lit(0)).alias("n_files"), "bytes", "by_extension", F.coalesce("classes", F.lit(0)).alias("classes"), F.coalesce("classes_in_splits", F.lit(False)).alias("classes_in_splits"))
 
 
 def has(names: Column, *wanted: str) -> Column:
@@ -53,6 +65,15 @@ def detectors() -> list[tuple[str, int, str, bool, Column]]:
     weights, images, tables = extension_count(WEIGHTS), extension_count(IMAGES), extension_count(TABLES)
     ends = lambda *suffixes: F.exists(names, lambda n: reduce(Column.__or__, [n.endswith(s) for s in suffixes]))
     split = F.size(F.array_intersect(dirs, F.array(*[F.lit(s) for s in ("train", "val", "valid", "test")]))) >= 2
+    own, every = F.lower(name_of(F.col("dir"))), F.aggregate(F.map_values("by_extension"), F.lit(0).cast("bigint"), lambda a, b: a + b)
+    videos, clips, records = extension_count(("mp4", "avi", "mov", "mkv", "webm")), extension_count(("wav", "flac", "mp3", "ogg", "m4a")), extension_count(("jsonl", "parquet"))
+    here = F.size(F.filter(names, lambda n: n.rlike(r"\.(" + "|".join(TABLES) + ")$")))
+    # fixed values: folders of labels, scripts that are entry points, folders and files of projects
+    assembled = split | has_any(dirs, "labels", "annotations", "masks", "gt", "ground_truth", "captions", "transcripts", "metadata")
+    scripts = has_any(names, "train.py", "training.py", "finetune.py", "fine_tune.py", "pretrain.py", "infer.py", "inference.py", "predict.py", "evaluate.py", "eval.py", "export.py", "benchmark.py", "distill.py", "quantize.py", "serve.py", "train.sh", "train.ipynb", "main.py")
+    folders = has_any(dirs, "configs", "config", "weights", "checkpoints", "notebooks", "experiments", "runs", "datasets", "dataset", "recipes", "scripts", "training", "evals")
+    needs = has_any(names, "requirements.txt", "pyproject.toml", "environment.yml", "environment.yaml", "pipfile", "setup.py", "poetry.lock", "uv.lock", "conda.yaml")
+    project = (needs | has(dirs, ".git")) & (scripts.cast("int") + folders.cast("int") + (weights > 0).cast("int") >= 2)
     return [
         ("ollama_store", 100, "model", False, has(dirs, "manifests", "blobs")),
         ("hf_cache", 90, "model", True, name_of(F.col("dir")).rlike(r"^(models|datasets)--")),
@@ -66,7 +87,10 @@ def detectors() -> list[tuple[str, int, str, bool, Column]]:
         ("ultralytics_run", 65, "experiment", True, has(names, "args.yaml")),
         ("lightning", 65, "experiment", True, name_of(F.col("dir")).rlike(r"^version_\d+$") & has_any(names, "hparams.yaml", "metrics.csv")),
         ("cvat", 62, "annotation_project", True, has_any(names, "task.json", "project.json") & has_any(names, "annotations.json", "annotations.xml")),
+        ("label_studio", 62, "annotation_project", True, has_any(names, "label_studio.sqlite3", "label_config.xml", "project_config.xml")),
+        ("roboflow", 62, "dataset", True, has_any(names, "readme.roboflow.txt", "readme.dataset.txt")),
         ("supervisely", 62, "annotation_project", True, has(names, "meta.json") & has(dirs, "ann", "img")),
+        ("bdd100k", 60, "dataset", True, has(dirs, "bdd100k") | ((images >= 20) & (own.contains("bdd100k") | (own.contains("bdd") & has(dirs, "images", "labels"))))),
         ("yolo_dataset", 60, "dataset", True, has_any(names, "data.yaml", "dataset.yaml") | has(dirs, "images", "labels")),
         ("pascal_voc", 60, "dataset", True, F.size(F.array_intersect(dirs, F.array(*[F.lit(s) for s in ("annotations", "imagesets", "jpegimages")]))) >= 2),
         ("cityscapes", 60, "dataset", True, has_any(dirs, "leftimg8bit")),
@@ -74,22 +98,46 @@ def detectors() -> list[tuple[str, int, str, bool, Column]]:
         ("nuscenes", 60, "dataset", True, has(dirs, "samples", "sweeps")),
         ("hf_dataset", 60, "dataset", True, ends(".parquet", ".arrow") & (has_any(names, "dataset_info.json", "dataset_infos.json", "state.json") | (F.size(F.filter(names, lambda n: n.endswith(".parquet") | n.endswith(".arrow"))) >= 2))),
         ("idx_ubyte", 60, "dataset", True, F.size(F.filter(names, lambda n: n.rlike(r"idx\d-ubyte"))) >= 2),
-        ("image_classification", 40, "dataset", True, (images >= 20) & (split | (F.size(dirs) >= 3))),
-        ("tabular_dataset", 40, "dataset", True, (tables >= 2) & (F.col("bytes") >= 512 * 1024) & (tables * 2 >= F.col("n_files"))),
+        ("ai_project", 55, "project", False, project),
+        ("image_classification", 40, "dataset", True, (images >= 20) & ((F.col("classes") >= 3) | ((F.col("classes") >= 2) & F.col("classes_in_splits")))),
+        ("media_collection", 40, "dataset", True, assembled & (((videos >= 10) & (videos >= 0.6 * every)) | ((clips >= 50) & (clips >= 0.6 * every)) | ((records >= 2) & (records >= 0.6 * every)) | ((images >= 200) & (images >= 0.6 * every)))),
+        ("tabular_dataset", 40, "dataset", True, (here >= 2) & (F.col("bytes") >= 512 * 1024) & (here * 2 >= F.col("n_files"))),
         ("tensorflow_savedmodel", 35, "model", True, has_any(names, "saved_model.pb", "saved_model.pbtxt")),
         ("openvino", 35, "model", True, ends(".xml") & ends(".bin")),
+        ("mlx", 35, "model", True, has(names, "mlx_config.json")),
+        ("paddle_inference", 35, "model", True, has_any(names, "inference.pdmodel", "model.pdmodel", "inference.json") & has_any(names, "inference.pdiparams", "model.pdiparams")),
         ("loose_weights", 20, "model", False, ends(*[f".{w}" for w in WEIGHTS])),
         ("archive", 20, "archive", False, ends(".zip", ".tar", ".tar.gz", ".tgz", ".7z", ".rar")),
     ]
 
 
-def detected(profiles: DataFrame) -> DataFrame:
-    """(path, detector, kind, claims) of folders that a rule takes, the best band only, and none below a claiming folder."""
+def mot_folders(profiles: DataFrame) -> DataFrame:
+    """(path, band, detector, kind, claims) of folders with a child that holds seqinfo.ini."""
+    parts = F.split("dir", "/")
+    above = profiles.where(F.array_contains("names", "seqinfo.ini") & (F.size(parts) > 1)).select(F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/").alias("path")).distinct()
+    return above.select("path", F.lit(60).alias("band"), F.lit("mot").alias("detector"), F.lit("dataset").alias("kind"), F.lit(True).alias("claims"))
+
+
+def coco_folders(facts: DataFrame) -> DataFrame:
+    """(path, band, detector, kind, claims) of the folders of annotation files whose header facts(path, key, value) count images; of those below ``annotations`` the folder above."""
+    folder = F.regexp_replace("path", r"(/annotations)?/[^/]*$", "")
+    return facts.where("key = 'num_images'").select(folder.alias("path")).distinct().select("path", F.lit(60).alias("band"), F.lit("coco").alias("detector"), F.lit("dataset").alias("kind"), F.lit(True).alias("claims"))
+
+
+def detected(profiles: DataFrame, *further: DataFrame) -> DataFrame:
+    """(path, detector, kind, claims) of folders that a rule takes, the best band only, and none below a claiming folder.
+
+    ``further`` hits (path, band, detector, kind, claims) compete by their bands; at equal ones a rule's hit stays.
+    """
     from shelfmark.operators.catalogue import surviving_claims
 
     hit = [F.when(rule, F.struct(F.lit(-band).alias("b"), F.lit(i).alias("seq"), F.lit(name).alias("detector"), F.lit(kind).alias("kind"), F.lit(claims).alias("claims"))) for i, (name, band, kind, claims, rule) in enumerate(detectors())]
     best = F.element_at(F.array_sort(F.array_compact(F.array(*hit))), 1)
     hits = profiles.select(F.col("dir").alias("path"), F.when(F.size(F.array_compact(F.array(*hit))) > 0, best).alias("hit")).where("hit is not null")
+    for i, more in enumerate(further):
+        hits = hits.unionByName(more.select("path", F.struct((-F.col("band")).alias("b"), F.lit(1000 + i).alias("seq"), "detector", "kind", "claims").alias("hit")))
+    if further:
+        hits = hits.groupBy("path").agg(F.min("hit").alias("hit"))
     return surviving_claims(hits.select("path", "hit.detector", "hit.kind", "hit.claims"))
 
 
