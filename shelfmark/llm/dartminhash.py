@@ -1,6 +1,6 @@
 """Near duplicates: DartMinHash signatures, banded joining, exact verification, connected components.
 
-A document is the weighted set of its five-word shingles. Darts fall on a
+A document is the set of its five-word shingles. Darts fall on a
 plane of weight and rank above each shingle, as a Poisson process that is a
 function of the shingle alone; those within the shingle's weight and below a
 rank bound are thrown into the coordinates of a signature, and each coordinate
@@ -8,9 +8,9 @@ keeps the dart of lowest rank. Two signatures agree in a coordinate with
 probability equal to the weighted Jaccard similarity. The bound is chosen so
 that a document gets a fixed number of darts however long it is.
 
-A shingle weighs 1, and little more if it repeats, so that signatures of
-documents with a line over and over don't depend on that line alone. Candidates
-are verified by the exact Jaccard similarity of their sets of shingles.
+A shingle weighs 1 however often it repeats, so candidates are found by the
+similarity that decides on them: the exact Jaccard similarity of the documents'
+sets of shingles.
 
 Documents of equal words are one class before any joining. A band of equal
 coordinates puts representatives into a bucket; each bucket links its members
@@ -79,12 +79,6 @@ def shingles_of(texts: pa.Array) -> list[tuple[np.ndarray, bytes | None]]:
     return out
 
 
-def weighted(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles and their weights."""
-    distinct, times = np.unique(shingles, return_counts=True)
-    return distinct, 1 + np.log2(times) / 8
-
-
 class Darts:
     """Signatures of k coordinates. All hashes depend on the shingle, the weight cell and the dart's number only.
 
@@ -182,14 +176,12 @@ def sketched(docs: DataFrame) -> DataFrame:
                 found = shingles_of(texts.slice(i, j - i))
                 at = 0
                 while at < len(found):
-                    element, weight, size, n = [], [], 0, 0
+                    element, size, n = [], 0, 0
                     while at + n < len(found) and (size < 150_000 or not n):
-                        e, w = weighted(found[at + n][0])
-                        element.append(e)
-                        weight.append(w)
-                        size += len(e)
+                        element.append(np.unique(found[at + n][0]))
+                        size += len(element[-1])
                         n += 1
-                    signatures = darts.signatures(np.concatenate(element), np.repeat(np.arange(n), [len(e) for e in element]), np.concatenate(weight), n)
+                    signatures = darts.signatures(np.concatenate(element), np.repeat(np.arange(n), [len(e) for e in element]), np.ones(size), n)
                     digest = [d for _, d in found[at : at + n]]
                     lists = [pa.array([x if d else None for x, d in zip(rows, digest, strict=True)], pa.list_(pa.int64())) for rows in (band_keys(signatures), packed(signatures))]
                     yield pa.RecordBatch.from_arrays([ids.slice(i + at, n), pa.array(digest, pa.binary()), *lists], ["doc_id", "words", "keys", "signature"])

@@ -199,6 +199,13 @@ def test_chains_of_copies_form_one_class(spark):
     assert {r["class_id"] for r in dartminhash.near_duplicates(df).collect()} == {0}
 
 
+def test_repeats_of_a_text_are_its_near_copies(spark):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 300)) for _ in range(40)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(100 + i, " ".join([t] * 64)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert dict(dartminhash.near_duplicates(df).collect()) == {i: i % 100 for i in [*range(40), *range(100, 140)]}
+
+
 def test_hmm(spark, docs, tiny):
     for table in (docs, spark.read.parquet(f"{tiny}/documents.parquet")):
         texts = [(r["doc_id"], [*(r["text"] or "").encode().lower().split(), None]) for r in table.collect()]
