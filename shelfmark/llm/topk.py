@@ -62,15 +62,24 @@ def products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def first_of_equal(ids: np.ndarray, rows: np.ndarray, keep: int) -> np.ndarray:
-    """Places of rows, by id, without those that follow ``keep`` equal vectors of smaller id: they can't be among the best."""
+def first_of_equal(ids: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
+    """Places of rows, by id, without those that can't be among the k best of any query for equal vectors before them.
+
+    Of an id the first k count. Of what is left the first 2k do: k at most are
+    a query's own.
+    """
     if not rows.shape[1]:
-        return np.arange(min(len(ids), keep))
-    _, group = np.unique(np.ascontiguousarray(rows).view(np.dtype((np.void, rows.itemsize * rows.shape[1]))).ravel(), return_inverse=True)
+        group = np.zeros(len(ids), np.int64)
+    else:
+        _, group = np.unique(np.ascontiguousarray(rows).view(np.dtype((np.void, rows.itemsize * rows.shape[1]))).ravel(), return_inverse=True)
+
+    def nth(new: np.ndarray) -> np.ndarray:
+        start = np.flatnonzero(new)
+        return np.arange(len(new)) - np.repeat(start, np.diff([*start, len(new)]))
+
     order = np.argsort(group, kind="stable")
-    start = np.flatnonzero(np.diff(group[order], prepend=-1))
-    nth = np.arange(len(order)) - np.repeat(start, np.diff([*start, len(order)]))
-    return np.sort(order[nth < keep])
+    order = order[nth((np.diff(group[order], prepend=-1) != 0) | (np.diff(ids[order], prepend=0) != 0)) < k] if len(order) else order
+    return np.sort(order[nth(np.diff(group[order], prepend=-1) != 0) < 2 * k])
 
 
 def best(query: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -91,15 +100,16 @@ class Shard:
         self.least = np.full(len(query_ids), np.iinfo(np.int64).min)
 
     def add(self, ids: np.ndarray, rows: np.ndarray) -> None:
-        kept = first_of_equal(ids, rows, self.k + 1)
+        kept = first_of_equal(ids, rows, self.k)
         ids, rows = ids[kept], rows[kept]
         found = []
         for q in range(0, len(self.query_ids), QUERY_TILE):
             own = self.query_ids[q : q + QUERY_TILE, None] == ids[None, :]
             s = products(self.queries[q : q + QUERY_TILE], rows)
             floor = self.least[q : q + QUERY_TILE]
-            if len(ids) > 2 * self.k:  # the own row may be one of the best k + 1
-                floor = np.maximum(floor, np.partition(s, -self.k - 1, axis=1)[:, -self.k - 1])
+            if len(ids) > 2 * self.k:
+                s[own] = np.iinfo(np.int64).min
+                floor = np.maximum(floor, np.partition(s, -self.k, axis=1)[:, -self.k])
             i, j = np.nonzero((s >= floor[:, None]) & ~own)
             found.append((i + q, s[i, j], ids[j]))
         self.query, self.score, self.ids = (np.concatenate([a, *b]) for a, b in zip((self.query, self.score, self.ids), zip(*found, strict=True), strict=True))
@@ -113,9 +123,6 @@ class Shard:
 def shard_lists(rows: DataFrame, queries: pa.Table, k: int) -> DataFrame:
     """(query_id, vec_id, score): the k best of each query in each task."""
     tiles = {m.shape[1]: (i, m) for i, m in matrices(queries, "vec_id", "v")}
-    for d, (i, m) in tiles.items():
-        first = np.flatnonzero(np.diff(i, prepend=i[:1] - 1))
-        tiles[d] = i[first], m[first]
     shared = rows.sparkSession.sparkContext.broadcast(tiles)
 
     def run(batches):
@@ -136,8 +143,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, query_bytes: int = Q
 
     Rows with the query's vec_id are its own and no candidates; other rows
     that repeat count each. A vec_id that is a query more than once is asked
-    once for each of its vector lengths, with the first such vector of its
-    batch. Vectors only meet vectors of their length. Ties go to the smaller
+    with each of its rows, and has the best k of all their pairs. Vectors only meet vectors of their length. Ties go to the smaller
     vec_id; products beyond 64 bits stay at the limit; an empty table gives no
     rows.
     """

@@ -121,6 +121,23 @@ def test_exact_top_k(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_exact_top_k_of_repeated_ids(spark):
+    import duckdb
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(300, 8))
+    x[100:140] = x[100]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(i, (x[i] * f).tolist()) for i in (0, 50, 200) for f in (1.01, 1.02, 1.03)] + [(100, x[100].tolist())] * 9 + [(7, x[7].tolist())] * 9
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    con = duckdb.connect()
+    con.register("embeddings", df.toArrow())
+    wanted = con.execute(topk.SQL).fetchall()
+    assert sorted(map(tuple, topk.top_k(df.coalesce(1), F.col("vec_id") % 50 == 0).collect())) == sorted(wanted)
+    # rows of one id each but for the queries' own: k others stay of equal vectors
+    ids = np.array([100] * 20 + list(range(101, 140)))
+    assert ids[topk.first_of_equal(ids, np.ones((len(ids), 3)), 5)].tolist() == [100] * 5 + list(range(101, 106))
+
+
 def test_nearest_neighbours(spark):
     x, df = vectors(spark, 2000)
     rows = ann.nearest(df, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect()
