@@ -46,7 +46,7 @@ def main(words: list[str] | None = None, spark: SparkSession | None = None) -> i
     elif args.command == "stats":
         library.statistics(spark, args.catalog).orderBy("dimension", F.desc("total_bytes"), "value").show(200, truncate=False)
     elif args.command == "duplicates":
-        library.duplicates(spark, args.catalog, args.least).orderBy(F.desc("wasted_bytes"), "quick_sig").show(50, truncate=False)
+        library.duplicates(spark, args.catalog, args.least).orderBy(F.desc("wasted_bytes"), "sha256").show(50, truncate=False)
     else:
         files = spark.read.parquet(f"{args.catalog}/files").where(F.col("error").isNull() & F.startswith("path", F.lit(args.under)))
         facts(files).orderBy("path", "seq").show(200, truncate=False)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfmark.operators.catalogue import owners, summary
 from shelfmark.operators.recognise import coco_folders, detected, directory_profiles, mot_folders, name_of
 from shelfmark.operators.taxonomy import classified, resolve
-from shelfmark.sources.filesystem import quick_signatures, walk
+from shelfmark.sources.filesystem import full_digests, quick_signatures, walk
 from shelfmark.sources.headers import facts
 
 #: Columns that reports may be sorted by; bytes where another is asked for.
@@ -50,10 +50,12 @@ def statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def duplicates(spark: SparkSession, folder: str, least: int = 1 << 20) -> DataFrame:
-    """(size_bytes, quick_sig, n_files, wasted_bytes, paths) of files that agree in size, head and tail; only sizes that occur twice are read."""
+    """(size_bytes, sha256, n_files, wasted_bytes, paths) of files of equal content: sizes that occur twice are signed, and signatures that occur twice hashed in full."""
     files = spark.read.parquet(f"{folder}/files").where(F.col("error").isNull() & ~F.col("is_symlink") & (F.col("size_bytes") >= least))
     files = files.dropDuplicates(["device", "inode"])
     shared = files.groupBy("size_bytes").count().where("count > 1").select("size_bytes")
     signed = quick_signatures(files.join(shared, "size_bytes", "left_semi")).where("quick_sig is not null")
-    groups = signed.groupBy("size_bytes", "quick_sig").agg(F.count("*").alias("n_files"), F.array_sort(F.collect_list("path")).alias("paths")).where("n_files > 1")
+    collide = signed.withColumn("n", F.count("*").over(Window.partitionBy("size_bytes", "quick_sig"))).where("n > 1")
+    hashed = full_digests(collide).where("sha256 is not null")
+    groups = hashed.groupBy("size_bytes", "sha256").agg(F.count("*").alias("n_files"), F.array_sort(F.collect_list("path")).alias("paths")).where("n_files > 1")
     return groups.withColumn("wasted_bytes", F.col("size_bytes") * (F.col("n_files") - 1))

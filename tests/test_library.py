@@ -36,6 +36,15 @@ def test_scan_report_and_export(spark, tmp_path, capsys):
     assert json.loads("".join(p.read_text() for p in (tmp_path / "js").glob("part-*"))) == {"name": "a|b\nc", "size_bytes": None}
 
 
+def test_duplicates_are_equal_in_full(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, middle in (("a", b"1"), ("b", b"2"), ("c", b"1")):
+        (tmp_path / "in" / name).write_bytes(b"x" * (5 << 20) + middle + b"y" * (5 << 20))
+    library.scan(spark, [str(tmp_path / "in")], str(tmp_path / "cat"))
+    found = library.duplicates(spark, str(tmp_path / "cat")).collect()
+    assert [[p.rsplit("/", 1)[1] for p in r["paths"]] for r in found] == [["a", "c"]] and found[0]["wasted_bytes"] == (10 << 20) + 1
+
+
 def test_further_detectors(spark):
     from shelfmark.operators import recognise
 
