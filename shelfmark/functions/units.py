@@ -18,10 +18,15 @@ def parse_size(text: Column) -> Column:
 
 
 def format_bytes(n: Column) -> Column:
-    """``512 B``, ``1.5 KiB`` and so on, up to TiB."""
-    out = F.concat(n.cast("long").cast("string"), F.lit(" B"))
+    """``512 B``, ``1.5 KiB`` and so on, up to TiB; a tie of the last digit goes to the even one."""
+    n = n.cast("long")
+    out = F.concat(n.cast("string"), F.lit(" B"))
     for i, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
-        out = F.when(n >= 1024**i, F.concat(F.format_string("%.1f", n.cast("double") / 1024**i), F.lit(" " + unit))).otherwise(out)
+        rest = n % 1024**i * 10
+        tenths, left = F.shiftright(n, 10 * i) * 10 + F.shiftright(rest, 10 * i), rest % 1024**i * 2
+        tenths = tenths + ((left > 1024**i) | ((left == 1024**i) & (tenths % 2 == 1))).cast("long")
+        text = tenths.cast("string")
+        out = F.when(n >= 1024**i, F.concat(text.substr(F.lit(1), F.length(text) - 1), F.lit("."), F.right(text, F.lit(1)), F.lit(" " + unit))).otherwise(out)
     return out
 
 

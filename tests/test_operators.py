@@ -21,6 +21,17 @@ def test_sizes_and_paths(spark):
     assert [r[0] for r in df.select(units.ancestors(df.p)).collect()] == [["a", "a/b"], []]
 
 
+def test_sizes_in_every_unit(spark):
+    units_of = ("KiB", "MiB", "GiB", "TiB")
+    sizes = [m * 1024**i // 4 + e for i in range(1, 5) for m in (4, 5, 7, 9, 11, 401, 4003, 4095) for e in (-1, 0, 1) if m * 1024**i // 4 + e >= 1024**i]
+    wanted = []
+    for n in sizes:
+        i = max(i for i in range(1, 5) if n >= 1024**i)
+        wanted.append(f"{n / 1024**i:.1f} {units_of[i - 1]}")
+    df = spark.createDataFrame([(n,) for n in sizes], "n long")
+    assert [r[0] for r in df.select(units.format_bytes(df.n)).collect()] == wanted
+
+
 def test_claims_match_a_parent_first_walk(spark):
     rng = random.Random(3)
     paths = sorted({"/".join(rng.choice("ab") for _ in range(rng.randint(1, 5))) for _ in range(60)})
