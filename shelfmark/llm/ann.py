@@ -231,7 +231,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, sample_rows: int
     shared = spark.sparkContext.broadcast(graph)
 
     order = Window.partitionBy("v").orderBy("vec_id")
-    firsts = every.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k + 1)
+    firsts = every.select("vec_id", "v").distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k + 1)
     index = firsts.groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
     postings = written(_spread(index, shared, "lists_of"), "postings")
     sizes = {r["list"]: r["n"] for r in postings.groupBy("list").agg(F.count("*").alias("n")).collect()}  # a row a centroid

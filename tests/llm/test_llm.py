@@ -155,6 +155,11 @@ def test_nearest_neighbours(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_nearest_of_repeated_rows(spark):
+    often = spark.createDataFrame([(1, [1.0, 2.0])] * 20 + [(i, [1.0, 2.0]) for i in (2, 3)] + [(0, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [r["vec_id"] for r in ann.nearest(often, F.col("vec_id") == 0).orderBy("rank").collect()] == [1, 2, 3]
+
+
 def test_secret_patterns():
     text = "password='hunter22' Token: ab, API-key = zzzzzzz api_key=AKIA" + "A" * 16 + " deadbeef" * 3 + " " + "ab12" * 6
     spans = secretscan.base_spans(text)
