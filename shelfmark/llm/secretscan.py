@@ -283,6 +283,15 @@ def trained(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> Field:
     return fitted(fill(0, 0), fill(1, OUTSIDE), mask, np.array([r[2] for r in rows]), np.array(times, np.float64))
 
 
+def covered(i: int, j: int, spans: list[tuple[str, int, int]]) -> bool:
+    """Whether spans, by start, leave nothing of i to j."""
+    for _, s, e in spans:
+        if s > i:
+            break
+        i = max(i, e)
+    return i >= j
+
+
 def all_spans(text: str | None, field: Field) -> tuple[list, list]:
     """(base spans, all spans) as (kind, start, end) in code points, end exclusive, by start and then kind."""
     if not text:
@@ -303,7 +312,7 @@ def all_spans(text: str | None, field: Field) -> tuple[list, list]:
             core = text[i:j]
             i += len(core) - len(core.lstrip(OUTER))
             j -= len(core) - len(core.rstrip(OUTER))
-            if j - i >= LEAST_FOUND and not any(i < e and s < j for _, s, e in base):
+            if j - i >= LEAST_FOUND and not covered(i, j, base):
                 more.append(("crf", i, j))
     return base, sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0])))
 

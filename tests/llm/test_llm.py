@@ -182,6 +182,19 @@ def test_secret_field(spark, docs):
     assert secretscan.masked("say password=abcdef123 now", field) == "say [secret] now"
 
 
+def test_secret_beyond_a_pattern():
+    class Whole:
+        def tags(self, bits, file_bits):
+            return {1: secretscan.BEGIN}
+
+    text = "say password=abcdef$ghi123 now"
+    base, spans = secretscan.all_spans(text, Whole())
+    assert [text[i:j] for _, i, j in base] == ["password=abcdef"] and ("crf", 4, 26) in spans
+    assert secretscan.masked(text, Whole()) == "say [secret] now"
+    base, spans = secretscan.all_spans("say password=abcdef123 now", Whole())
+    assert base == spans and len(base) == 1
+
+
 def test_darts_estimate_similarity():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 2**63, 200).astype(np.uint64)
