@@ -121,15 +121,17 @@ def fair_queue_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of docs as rows: a document stands once for each epoch that takes it.
 
     The documents are written once with a row number, so that sizes and texts
-    agree on it; clashing extra columns stay as they are.
+    agree on it; clashing extra columns stay as they are. Null and empty texts
+    take no words and go; each row that repeats is queued; an empty table gives
+    no rows.
     """
-    rid = "rid_" + uuid.uuid4().hex[:8]
+    rid, times_of = ("".join((name, uuid.uuid4().hex[:8])) for name in ("rid_", "times_"))
     held = written(docs.withColumn(rid, F.monotonically_increasing_id()), "held")
     sized = written(held.select(F.col(rid).alias("rid"), "doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
     targets = written(source_targets(sized), "targets")
     budget = sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    times = schedule(sized, targets).where(F.col("end_at") <= budget).groupBy("rid").agg(F.count("*").cast("int").alias("times"))
-    return held.join(times, held[rid] == times["rid"]).select(F.explode(F.array_repeat(F.struct(*[held[c] for c in docs.columns]), F.col("times"))).alias("doc")).select("doc.*")
+    times = schedule(sized, targets).where(F.col("end_at") <= budget).groupBy(F.col("rid").alias(rid)).agg(F.count("*").cast("int").alias(times_of))
+    return held.join(times, rid).select(F.explode(F.array_repeat(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.col(times_of))).alias("doc")).select("doc.*")
 
 
 SQL = r"""

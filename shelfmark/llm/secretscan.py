@@ -2,17 +2,23 @@
 
 The field tags each white-space-free word as begin, inside or outside of a
 secret, from the shapes of the word and its two neighbours and from features
-of the document, and is decoded by Viterbi. It is fitted on the words around
-pattern matches, and around other words that aren't plain, in a bounded sample
-of documents, with the pattern matches as labels. Its spans join those of the
-patterns where they don't overlap any.
+of the document, and is decoded by Viterbi. It is fitted on windows of a
+bounded sample of documents: the words around pattern matches, with these as
+labels, and around other words that aren't plain; and windows into which made-up
+words are put, secrets that no pattern knows (tokens with a vendor's prefix,
+bearer tokens, passwords in connection strings, private keys, lone random
+strings) and words that only look like them (numbers of parts, dates, versions,
+identifiers, addresses). So the field learns what secrets have in common beyond
+the patterns. Its spans join those of the patterns where these don't cover them.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -48,7 +54,12 @@ FORBIDDEN = -1e4
 #: Plain words in a row after which tags before and behind don't matter to each other.
 RUN = 8
 
-_KEYWORD = re.compile(r"password|passwd|pwd|secret|token|api[_-]?key|credential|auth|bearer", re.IGNORECASE)
+#: Letters and digits of made-up words, beginnings of tokens, and words before them. Fixed values.
+ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+PREFIXES = ("ghp_", "gho_", "ghs_", "sk-", "sk_live_", "rk_live_", "xoxb-", "xoxp-", "glpat-", "AIza", "npm_", "hf_", "dop_v1_", "SG.", "shpat_")
+LEADS = ("key", "using", "with", "is", "value", "credential:", "auth:", "header", "export", "")
+
+_KEYWORD = re.compile(r"password|passwd|pwd|secret|token|api[_-]?key|credential|auth|bearer|passphrase", re.IGNORECASE)
 _PREFIX = re.compile(r"gh[pousr]_|sk[-_]|xox[abp]-|eyJ|AIza|glpat-|-----BEGIN")
 
 #: Traits of a word that isn't plain, one bit each; they see the word, and its core without outer punctuation.
@@ -78,6 +89,12 @@ TRAITS = (
     lambda w, c: "@" in c,
     lambda w, c: len(c) >= 16 and len(set(c)) >= 0.4 * len(c),
     lambda w, c: len(c) >= 16 and c.isascii() and bool(re.search(r"[a-z][A-Z]", c)),
+    lambda w, c: bool(re.search(r"://[^/\s:@]+:[^/\s@]+@", w)),
+    lambda w, c: w.startswith("-----") or w.endswith("-----"),
+    lambda w, c: len(re.findall(r"[0-9][A-Za-z]|[A-Za-z][0-9]|[a-z][A-Z]", c)) >= 5,
+    lambda w, c: bool(re.fullmatch(r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", c)),
+    lambda w, c: bool(re.search(r"(pwd|pass|passphrase|credentials?|key)[\"']?[=:]", w, re.IGNORECASE)),
+    lambda w, c: c.count(".") >= 2 or c.count("-") >= 2 or c.count("/") >= 2,
 )
 FILE_TRAITS = 3
 OUTER = ".,;:!?()[]{}<>\"'`«»“”„"
@@ -244,8 +261,39 @@ def fitted(bits: np.ndarray, tags: np.ndarray, mask: np.ndarray, file_bits: np.n
     return Field(**w)
 
 
+def made(rng: random.Random, secret: bool) -> list[tuple[str, int]]:
+    """Made-up words with their tags: one secret that no base pattern need match, with the words that lead to it, or words that only look like one."""
+    some = lambda letters, low, high: "".join(rng.choices(letters, k=rng.randint(low, high)))
+    word, number = some(ALNUM[26:52], 3, 9), some(ALNUM[52:], 2, 6)
+    lead = [(w, OUTSIDE) for w in (rng.choice(LEADS),) if w]
+    mixed = lambda low, high: rng.choice(ALNUM[:26]) + some(ALNUM, low, high) + rng.choice(ALNUM[52:])
+    if secret:
+        kind = rng.randrange(6)
+        if kind == 0:
+            return [*lead, (rng.choice(PREFIXES) + some(ALNUM, 20, 40), BEGIN)]
+        if kind == 1:
+            token = "eyJ" + some(ALNUM, 14, 30) + "." + some(ALNUM, 20, 60) + "." + some(ALNUM + "-_", 20, 43)
+            return [("Authorization:", OUTSIDE), ("Bearer", OUTSIDE), (token, BEGIN)] if rng.random() < 0.5 else [*lead, (token, BEGIN)]
+        if kind == 2:
+            return [*lead, (mixed(20, 44) + rng.choice(("", "", "=", "==")), BEGIN)]
+        if kind == 3:
+            return [*lead, (f"{rng.choice(('postgres', 'mysql', 'mongodb', 'amqp', 'redis', 'https'))}://{word}:{some(ALNUM + '!$%', 8, 18)}@{some(ALNUM[26:52], 3, 8)}.{word}:{number}/{word}", BEGIN)]
+        if kind == 4:
+            value, name = some(ALNUM + "!#$%&*", 8, 20), rng.choice(("pwd", "pass", "passphrase", "credential", "access_key", "PGPASS"))
+            return [(f"{name}={value}", BEGIN)] if rng.random() < 0.5 else [(f"{name}:", OUTSIDE), (value + rng.choice(ALNUM[52:]), BEGIN)]
+        lines = [some(ALNUM + "+/", 48, 64) for _ in range(2)]
+        return [(w, INSIDE if i else BEGIN) for i, w in enumerate(("-----BEGIN", "PRIVATE", "KEY-----", *lines, "-----END", "PRIVATE", "KEY-----"))]
+    hexes = "0123456789abcdef"
+    shapes = (
+        number + "." + number, f"{rng.randint(1970, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}T10:{rng.randint(10, 59)}:00Z", "-".join(some(hexes, n, n) for n in (8, 4, 4, 4, 12)), f"v{rng.randint(0, 9)}.{number}.{rng.randint(0, 30)}",
+        f"https://{word}.org/{word}/{number}/{word}.html", f"{word}.{number}@{word}.com", f"/usr/lib/{word}/{word}-{number}.so", some(hexes, 7, 10), f"{word.upper()}-{number}-{some(ALNUM[:26], 2, 3)}", word + word.title() + word.title(), f"+{number}-{number}-{number}",
+        f"{word}={number}", f"{word}_{word}_{number}", f"{word}:", f"{word}/{word}/{word}.{word}", number + word, f"key={word}", f"{word.title()}{number}",
+    )
+    return [*lead, (rng.choice(shapes), OUTSIDE)]
+
+
 def windows_of(text: str) -> list[tuple[list[int], list[int], int]]:
-    """(bits, tags, file bits) around up to WINDOWS pattern matches and other marked words of a text."""
+    """(bits, tags, file bits) of windows of a text: around up to WINDOWS pattern matches and other marked words, and, if it has words, one with a made-up secret and one with words that only look like one."""
     spots = [m.span() for m in WORDS.finditer(text)]
     bits = np.array([_traits[text[i:j]] for i, j in spots], np.int64)
     tags = np.full(len(spots), OUTSIDE)
@@ -260,11 +308,24 @@ def windows_of(text: str) -> list[tuple[list[int], list[int], int]]:
     pick = lambda a, n: a[np.linspace(0, len(a) - 1, min(n, len(a))).astype(int)].tolist() if len(a) else []
     centres = pick(hits, WINDOWS // 2) + pick(others, WINDOWS // 2) or ([len(spots) // 2] if spots else [])
     cut = [(max(0, c - REACH), c + REACH + 1) for c in centres]
-    return [(bits[i:j].tolist(), tags[i:j].tolist(), file_bits) for i, j in cut]
+    found = [(bits[i:j].tolist(), tags[i:j].tolist(), file_bits) for i, j in cut]
+    rng = random.Random(zlib.crc32(text.encode("utf-8", "replace")))
+    for secret in (True, False) if spots else ():
+        at, put = rng.randint(0, len(spots)), made(rng, secret)
+        own, i, j = [_traits[w] for w, _ in put], max(0, at - REACH), at + REACH
+        after = tags[at:j].tolist()
+        if after and after[0] == INSIDE:  # what is put in ends a secret that it falls into
+            after = [OUTSIDE if all(t == INSIDE for t in after[: n + 1]) else t for n, t in enumerate(after)]
+        found.append(([*bits[i:at].tolist(), *own, *bits[at:j].tolist()], [*tags[i:at].tolist(), *(t for _, t in put), *after], file_bits | int(any(b & 1 for b in own))))
+    return found
 
 
 def trained(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> Field:
-    """A field fitted on a share of docs(doc_id, text), taken by hash of the id."""
+    """A field fitted on a share of docs(doc_id, text), about sample_documents of them, taken by hash of id and text.
+
+    Null texts and texts without words give no windows; repeated rows are drawn
+    together, and their equal windows count once in memory.
+    """
     share = max(1, math.ceil(docs.count() / sample_documents))
 
     def run(batches):
@@ -272,12 +333,12 @@ def trained(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> Field:
             rows = [w for t in batch.column("text").to_pylist() if t for w in windows_of(t)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.int32())], ["bits", "tags", "file_bits"])
 
-    sample = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(share)) == 0)
+    sample = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(share)) == 0)
     rows = list(map(tuple, ((tuple(r["bits"]), tuple(r["tags"]), r["file_bits"]) for r in sample.mapInArrow(run, "bits array<bigint>, tags array<int>, file_bits int").collect())))
     if not rows:
         rows = [((0,), (OUTSIDE,), 0)]
     rows, times = zip(*sorted(Counter(rows).items()), strict=True)
-    width = 2 * REACH + 1
+    width = max(len(r[0]) for r in rows)
     fill = lambda j, empty: np.array([[*r[j], *[empty] * (width - len(r[j]))] for r in rows], np.int64)
     mask = np.array([[1.0] * len(r[0]) + [0.0] * (width - len(r[0])) for r in rows])
     return fitted(fill(0, 0), fill(1, OUTSIDE), mask, np.array([r[2] for r in rows]), np.array(times, np.float64))
