@@ -209,8 +209,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, sample_rows: int
 
     Rows with the query's vec_id are its own. Vectors of another length than
     the commonest (of equally common ones the smallest) take no part. Ties go
-    to the smaller vec_id; repeated rows of one vec_id and vector count once;
-    an empty table gives no rows.
+    to the smaller vec_id; repeated rows of one vec_id and vector count once; a
+    query's vec_id with several vectors is asked with the least of them; null
+    ids and vectors that are null, zero or hold null or non-finite components
+    take no part; an empty table gives no rows.
     """
     spark = vectors.sparkSession
     result = "query_id bigint, rank int, vec_id bigint, score double"
@@ -239,7 +241,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, sample_rows: int
     block_of = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("list") + 1)
     parts_of = F.element_at(F.array(*[F.lit(n) for n in parts]), F.col("block") + 1)
     postings = postings.withColumn("block", block_of).withColumn("part", F.pmod(F.xxhash64("v"), parts_of).cast("int"))
-    asked = every.where(is_query).dropDuplicates(["vec_id"]).withColumnRenamed("vec_id", "query_id")
+    asked = every.where(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
     asked = _spread(asked, shared, "probes_of").withColumn("block", block_of).groupBy("query_id", "block").agg(F.first("v").alias("v"), F.collect_set("list").alias("lists"))
     asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), parts_of - 1)))
 

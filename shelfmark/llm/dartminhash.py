@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -191,16 +192,17 @@ def sketched(docs: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, shingles): the distinct shingles of each document."""
+    """(doc_id, words, shingles): a digest of each document's words and its distinct shingles."""
 
     def run(batches):
         for batch in batches:
             texts = batch.column("text")
             for i, j in blocks(texts, SHINGLE_BYTES // 4):
-                rows = [np.unique(s).astype(np.int64) for s, _ in shingles_of(texts.slice(i, j - i))]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+                found = shingles_of(texts.slice(i, j - i))
+                rows = [pa.array([d for _, d in found], pa.binary()), pa.array([np.unique(s).astype(np.int64) for s, _ in found], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), *rows], ["doc_id", "words", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, shingles array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, words binary, shingles array<bigint>")
 
 
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -244,21 +246,22 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     whose shingles' Jaccard similarity is at least ``similarity``. Documents without
     words, null ones among them, are classes of their own, as are rows with a
     null doc_id, whose class is null. Of rows that repeat a doc_id each stands
-    in the result. The candidates of a pair at the threshold are missed with
+    in the result; texts of one doc_id are one document, linked by any of them.
+    Extra columns are ignored; an empty table gives no rows. The candidates of a pair at the threshold are missed with
     probability (1 - 0.8 ** ROWS) ** BANDS, under 1.2e-4, and dropped before
     verification with one under 1e-4.
     """
     sketches = written(sketched(docs.withColumn("doc_id", F.col("doc_id").cast("bigint"))), "sketches")
     known = sketches.where("words is not null and doc_id is not null")
     equal = written(known.groupBy("words").agg(F.min("doc_id").alias("rep")), "equal")
-    reps = known.join(equal, (known["words"] == equal["words"]) & (known["doc_id"] == equal["rep"]), "left_semi").dropDuplicates(["doc_id"])
+    reps = known.join(equal, (known["words"] == equal["words"]) & (known["doc_id"] == equal["rep"]), "left_semi").dropDuplicates(["doc_id", "words"])
     entries = reps.select("doc_id", F.explode("keys").alias("key"))
     buckets = written(entries.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least"), "buckets")
     members = written(entries.join(buckets, "key"), "members")
     stars = members.where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
     wanted = members.select("doc_id").distinct()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-    sets = written(shingle_sets(texts).dropDuplicates(["doc_id"]), "sets")
+    sets = written(shingle_sets(texts).dropDuplicates(["doc_id", "words"]).drop("words"), "sets")
     starred = written(measured(stars, sets), "starred")
     found = components(starred.where(F.col("similarity") >= similarity).select("a", "b"))
     classes = written(wanted.join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id")), "classes")
@@ -319,9 +322,14 @@ def op8_dart_minhash(spark, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with one row of each class: the first of its least doc_id. Rows with a null doc_id, which are of no class, stay."""
-    classes = near_duplicates(docs)
-    gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    known = left.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return known.unionAll(left.where("doc_id is null"))
+    """docs with the first row of each class. Rows are told apart by number, not by doc_id.
+
+    So rows that repeat a doc_id (or have none) go only if their words are those
+    of another row, or nearly. Rows without words, null texts among them, are of
+    no class and stay; extra columns stay; an empty table gives no rows.
+    """
+    rid = "rid_" + uuid.uuid4().hex[:8]
+    held = written(docs.withColumn(rid, F.monotonically_increasing_id()), "held")
+    classes = near_duplicates(held.select(F.col(rid).alias("doc_id"), "text"))
+    gone = classes.where("doc_id <> class_id").select(F.col("doc_id").alias(rid))
+    return held.join(gone, rid, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -417,7 +417,11 @@ def op6_crf_secrets(spark, sf_dir: str) -> DataFrame:
 
 
 def secrets_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with the secrets in their texts masked and n_chars counted anew where a text changed."""
+    """docs with the secrets in their texts masked and n_chars counted anew where a text changed.
+
+    Null and empty texts stay; rows that repeat are masked alike; every row and
+    extra column stays; an empty table gives no rows.
+    """
     shared = spark.sparkContext.broadcast(trained(docs))
     where = docs.columns.index("text")
     size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None

@@ -1,8 +1,10 @@
 """Exact top-k by inner product: tiles of queries times tiles of rows, partial selection per tile, merged lists.
 
-The stated queries are taken in batches of bounded bytes; a batch is
-broadcast, and each task multiplies it with its rows tile by tile, keeping the
-k best of each query. Task lists meet in a two-step merge by query.
+Queries of QUERY_BYTES at most are broadcast, and each task multiplies them with
+its rows tile by tile, keeping the k best of each query. More queries than that
+never pass through the driver: they are dealt into tiles and the rows into
+shards, each tile meets each shard in one group, and a group is multiplied in
+the same way. The lists of tasks or groups meet in a two-step merge by query.
 """
 
 from __future__ import annotations
@@ -16,8 +18,8 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.common import table
 
-#: Bytes of query vectors broadcast at once, rows of a tile of candidates, and queries of a tile.
-QUERY_BYTES, ROW_TILE, QUERY_TILE = 16 << 20, 4096, 1024
+#: Bytes of query vectors that are broadcast or make a tile, of rows that make a shard, rows of a step of the product, and queries of a step.
+QUERY_BYTES, SHARD_BYTES, ROW_TILE, QUERY_TILE = 16 << 20, 64 << 20, 4096, 1024
 
 #: Components up to here multiply exactly as doubles; rows with larger ones take Python's integers.
 EXACT_COMPONENT = float(1 << 20)
@@ -120,47 +122,63 @@ class Shard:
         self.least = np.where(full, self.score[np.maximum(last, 0)] if len(self.score) else self.least, self.least)
 
 
-def shard_lists(rows: DataFrame, queries: pa.Table, k: int) -> DataFrame:
+def _lists(tiles: dict, batches, k: int) -> pa.Table:
+    """(query_id, vec_id, score): the k best of each query over the batches' rows of its length."""
+    shards = {d: Shard(i, m, k) for d, (i, m) in tiles.items()}
+    for batch in batches:
+        for ids, m in matrices(batch, "vec_id", "v"):
+            if m.shape[1] in shards:
+                for at in range(0, len(ids), ROW_TILE):
+                    shards[m.shape[1]].add(ids[at : at + ROW_TILE], m[at : at + ROW_TILE])
+    columns = [np.concatenate([np.zeros(0, np.int64), *(of(x) for x in shards.values())]) for of in (lambda x: x.query_ids[x.query], lambda x: x.ids, lambda x: x.score)]
+    return pa.table(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
+
+
+LISTS = "query_id bigint, vec_id bigint, score bigint"
+
+
+def broadcast_lists(rows: DataFrame, queries: pa.Table, k: int) -> DataFrame:
     """(query_id, vec_id, score): the k best of each query in each task."""
-    tiles = {m.shape[1]: (i, m) for i, m in matrices(queries, "vec_id", "v")}
-    shared = rows.sparkSession.sparkContext.broadcast(tiles)
+    shared = rows.sparkSession.sparkContext.broadcast({m.shape[1]: (i, m) for i, m in matrices(queries, "vec_id", "v")})
+    return rows.mapInArrow(lambda batches: _lists(shared.value, batches, k).to_batches(), LISTS)
 
-    def run(batches):
-        shards = {d: Shard(i, m, k) for d, (i, m) in shared.value.items()}
-        for batch in batches:
-            for ids, m in matrices(batch, "vec_id", "v"):
-                if m.shape[1] in shards:
-                    for at in range(0, len(ids), ROW_TILE):
-                        shards[m.shape[1]].add(ids[at : at + ROW_TILE], m[at : at + ROW_TILE])
-        for s in shards.values():
-            yield pa.RecordBatch.from_arrays([pa.array(s.query_ids[s.query]), pa.array(s.ids), pa.array(s.score)], ["query_id", "vec_id", "score"])
 
-    return rows.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+def tiled_lists(rows: DataFrame, queries: DataFrame, tiles: int, shards: int, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the k best of each query in each shard; every tile of queries meets every shard of rows in one group.
 
+    Rows are dealt by their place, so rows that repeat spread evenly.
+    """
+    place = lambda n, seed: F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)), F.lit(n)).cast("int")
+    others = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # under names of their own, as both sides come from one table
+    left = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).withColumn("tile", place(tiles, 1)).withColumn("shard", others(shards))
+    right = rows.withColumn("shard", place(shards, 2)).withColumn("tile", others(tiles))
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, query_bytes: int = QUERY_BYTES) -> DataFrame:
+    def run(asked: pa.Table, met: pa.Table) -> pa.Table:
+        both = asked.num_rows and met.num_rows  # a side without rows comes without columns
+        return _lists({m.shape[1]: (i, m) for i, m in matrices(asked, "query_id", "q")} if both else {}, [met] if both else [], k)
+
+    return left.groupBy("tile", "shard").cogroup(right.groupBy("tile", "shard")).applyInArrow(run, LISTS)
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, query_bytes: int = QUERY_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows with the highest inner product for each query row.
 
     Rows with the query's vec_id are its own and no candidates; other rows
     that repeat count each. A vec_id that is a query more than once is asked
-    with each of its rows, and has the best k of all their pairs. Vectors only meet vectors of their length. Ties go to the smaller
-    vec_id; products beyond 64 bits stay at the limit; an empty table gives no
-    rows.
+    with each of its rows, and has the best k of all their pairs. Vectors only
+    meet vectors of their length. Null ids and vectors that are null or hold
+    null or non-finite components take no part; extra columns are ignored. Ties
+    go to the smaller vec_id; products beyond 64 bits stay at the limit; an
+    empty table gives no rows.
     """
-    rows = quantised(vectors)
-    asked = quantised(vectors.where(is_query))
-    need = asked.agg(F.sum(F.size("v") * 8 + 8)).first()[0] or 0
-    batches = max(1, math.ceil(need / query_bytes))
-    parts = []
-    for b in range(batches):
-        queries = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(batches)) == b).toArrow()
-        if queries.num_rows:
-            parts.append(shard_lists(rows, queries, k))
-    if not parts:
-        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    lists = parts[0]
-    for p in parts[1:]:
-        lists = lists.unionAll(p)
+    rows, asked = quantised(vectors), quantised(vectors.where(is_query))
+    size = F.coalesce(F.sum(F.size("v") * 8 + 8), F.lit(0))
+    need = asked.agg(size).first()[0]
+    if need <= query_bytes:
+        lists = broadcast_lists(rows, asked.toArrow(), k)
+    else:
+        lists = tiled_lists(rows, asked, math.ceil(need / query_bytes), math.ceil(rows.agg(size).first()[0] / shard_bytes), k)
     order = [F.col("score").desc(), F.col("vec_id")]
     for keys in (["query_id", "branch"], ["query_id"]):
         if "branch" in keys:

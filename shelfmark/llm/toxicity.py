@@ -31,8 +31,8 @@ TRAINING_ROWS, CANDIDATES, ENTRIES, EXCEPTIONS = 20_000, 60_000, 8_000, 4_000
 #: Documents whose crc32 has this remainder modulo HOLD_OUT_PARTS are never learned from; at or above THRESHOLD a document is toxic.
 HOLD_OUT_PARTS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 
-#: Lengths of word beginnings in the lexicon.
-BEGINNINGS = (4, 5, 6)
+#: Lengths of word beginnings in the lexicon, and characters of the longest whole word in it.
+BEGINNINGS, LONGEST = (4, 5, 6), 62
 
 #: Letters of other scripts by the Latin letter they look like. Fixed values.
 LOOK_ALIKES = {
@@ -69,10 +69,11 @@ def folded(text: str | None) -> str:
 
 
 def candidates_of(text: str) -> set[str]:
-    """Whole words and word beginnings of a folded text, marked with the spaces that bound them."""
+    """Whole words and word beginnings of a folded text, marked with the spaces that bound them; of words over LONGEST characters the beginnings only."""
     out = set()
     for w in set(text.split()):
-        out.add(f" {w} "[:64])
+        if len(w) <= LONGEST:
+            out.add(f" {w} ")
         out.update(f" {w[:n]}" for n in BEGINNINGS if len(w) > n)
     return out
 
@@ -276,7 +277,11 @@ def op4_lexicon_toxicity(spark, sf_dir: str) -> DataFrame:
 
 
 def toxicity_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without the rows that score THRESHOLD or more; one pass, no join: the test is a predicate on each row's text."""
+    """docs without the rows that score THRESHOLD or more; one pass, no join: the test is a predicate on each row's text.
+
+    Null and empty texts have no hits and score as such do; rows that repeat
+    are judged alike; extra columns stay; an empty table gives no rows.
+    """
     shared = spark.sparkContext.broadcast(trained(docs, table(spark, sf_dir, "labels")))
     where = docs.columns.index("text")
 
