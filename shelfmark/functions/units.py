@@ -14,20 +14,56 @@ def parse_size(text: Column) -> Column:
     number = F.regexp_extract(F.lower(F.trim(text)), r"^(\d+(?:\.\d+)?)\s*([a-z]*)$", 1)
     suffix = F.regexp_extract(F.lower(F.trim(text)), r"^(\d+(?:\.\d+)?)\s*([a-z]*)$", 2)
     table = F.create_map(*[F.lit(x) for pair in SUFFIXES.items() for x in pair])
-    return F.floor(F.try_to_number(number, F.lit("999999999999.999999")).cast("double") * F.try_element_at(table, suffix))
+    return F.floor(number.try_cast("double") * F.try_element_at(table, suffix))
 
 
 def format_bytes(n: Column) -> Column:
-    """``512 B``, ``1.5 KiB`` and so on, up to TiB; a tie of the last digit goes to the even one."""
-    n = n.cast("long")
+    """``512 B``, ``1.5 KiB`` and so on, up to PiB; a tie of the last digit goes to the even one, and a negative size keeps its sign."""
+    signed, n = n.cast("long"), F.abs(n.cast("long"))
     out = F.concat(n.cast("string"), F.lit(" B"))
-    for i, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
+    for i, unit in enumerate(("KiB", "MiB", "GiB", "TiB", "PiB"), 1):
+        # the rest below a unit can be 50 bits long, and ten times it 54
         rest = n % 1024**i * 10
         tenths, left = F.shiftright(n, 10 * i) * 10 + F.shiftright(rest, 10 * i), rest % 1024**i * 2
         tenths = tenths + ((left > 1024**i) | ((left == 1024**i) & (tenths % 2 == 1))).cast("long")
         text = tenths.cast("string")
         out = F.when(n >= 1024**i, F.concat(text.substr(F.lit(1), F.length(text) - 1), F.lit("."), F.right(text, F.lit(1)), F.lit(" " + unit))).otherwise(out)
-    return out
+    return F.when(signed < 0, F.concat(F.lit("-"), out)).otherwise(out)
+
+
+def format_count(n: Column) -> Column:
+    """``494.0M``: thousands, millions and milliards with one digit."""
+    size, out = F.abs(n.cast("long")), F.abs(n.cast("long")).cast("string")
+    for unit, letter in ((10**3, "K"), (10**6, "M"), (10**9, "B")):
+        out = F.when(size >= unit, F.format_string(f"%.1f{letter}", size / unit)).otherwise(out)
+    return F.when(n < 0, F.concat(F.lit("-"), out)).otherwise(out)
+
+
+def format_duration(seconds: Column) -> Column:
+    """``0.4s``, ``12s``, ``1m 35s`` or ``1h 2m``."""
+    whole = F.floor(seconds)
+    pair = lambda unit, big, small: F.concat(F.floor(whole / unit).cast("string"), F.lit(big), F.floor(whole % unit / (unit // 60)).cast("string"), F.lit(small))
+    return F.when(seconds < 1, F.format_string("%.1fs", seconds.cast("double"))).when(seconds < 60, F.format_string("%.0fs", seconds.cast("double"))).when(whole < 3600, pair(60, "m ", "s")).otherwise(pair(3600, "h ", "m"))
+
+
+#: Seconds of the units that ages are told in. Fixed values.
+AGES = ((60, "minute"), (3600, "hour"), (86_400, "day"), (604_800, "week"), (2_592_000, "month"), (31_536_000, "year"))
+
+
+def format_age(moment: Column, now: Column) -> Column:
+    """``3 days ago``, in the largest unit that fits; ``just now`` below a minute, ``in the future`` beyond now."""
+    age = F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(moment.cast("timestamp"))
+    out = F.lit("just now")
+    for unit, name in AGES:
+        count = F.floor(age / unit)
+        out = F.when(age >= unit, F.concat(count.cast("string"), F.lit(f" {name}"), F.when(count == 1, "").otherwise("s"), F.lit(" ago"))).otherwise(out)
+    return F.when(age < 0, "in the future").otherwise(out)
+
+
+def shorten_path(path: Column, longest: int = 60) -> Column:
+    """A path of at most ``longest`` characters: where it is longer, a third of that from its beginning, three dots, and the rest from its end."""
+    head = (longest - 3) // 3
+    return F.when(F.length(path) > longest, F.concat(F.left(path, F.lit(head)), F.lit("..."), F.right(path, F.lit(longest - 3 - head)))).otherwise(path)
 
 
 def segments(path: Column) -> Column:

@@ -2,49 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def duplicate_members(files: DataFrame) -> DataFrame:
-    """files(file_id, size_bytes, content) of groups of equal content: size collisions first, digests of those only."""
-    shared = files.groupBy("size_bytes").agg(F.count("*").alias("n")).where("n > 1").select("size_bytes")
-    hashed = files.join(shared, "size_bytes", "left_semi").withColumn("group_hash", F.sha2("content", 256)).drop("content")
-    groups = hashed.groupBy("group_hash").agg(F.count("*").alias("member_count")).where("member_count > 1")
-    keeper = Window.partitionBy("group_hash").orderBy(F.desc("modified_at"), F.asc("file_id")) if "modified_at" in files.columns else Window.partitionBy("group_hash").orderBy("file_id")
-    return hashed.join(groups, "group_hash").withColumn("is_keeper", F.row_number().over(keeper) == 1)
+def hashed(files: DataFrame) -> DataFrame:
+    """files without content, with group_hash, its SHA-256."""
+    return files.withColumn("group_hash", F.sha2("content", 256)).drop("content")
 
 
 def duplicate_groups(files: DataFrame) -> DataFrame:
-    """(group_hash, member_count, unit_size_bytes, wasted_bytes, keeper)."""
-    return duplicate_members(files).groupBy("group_hash").agg(
-        F.count("*").alias("member_count"), F.max("size_bytes").alias("unit_size_bytes"),
-        (F.sum("size_bytes") - F.max("size_bytes")).alias("wasted_bytes"), F.min(F.when(F.col("is_keeper"), F.col("file_id"))).alias("keeper"),
-    )
+    """(group_hash, member_count, unit_size_bytes, wasted_bytes, keeper) of files(file_id, size_bytes, content[, modified_at]) of equal content.
+
+    One scan and one aggregate, combined before the shuffle; the keeper is the
+    newest, then the least id.
+    """
+    keeper = F.min_by("file_id", F.struct(-F.unix_micros("modified_at"), "file_id")) if "modified_at" in files.columns else F.min("file_id")
+    groups = hashed(files).groupBy("group_hash").agg(F.count("*").alias("member_count"), F.max("size_bytes").alias("unit_size_bytes"), (F.sum("size_bytes") - F.max("size_bytes")).alias("wasted_bytes"), keeper.alias("keeper"))
+    return groups.where("member_count > 1")
+
+
+def duplicate_members(files: DataFrame) -> DataFrame:
+    """files of groups of equal content, with group_hash, member_count and is_keeper; a group's rows meet its one row in a join, which Spark splits where a group is large."""
+    groups = duplicate_groups(files).select("group_hash", "member_count", "keeper")
+    return hashed(files).join(groups, "group_hash").withColumn("is_keeper", F.col("file_id") == F.col("keeper")).drop("keeper")
 
 
 def similar_sets(items: DataFrame, least: float) -> DataFrame:
-    """(left_id, right_id, similarity) of items(id, item) whose sets have a Jaccard similarity of least or more, below 1 too.
+    """(left_id, right_id, similarity) of items(id, item) whose sets differ and have a Jaccard similarity of least or more.
 
+    Equal sets are one, under their least id (``equal_sets`` gives the members).
     Exact, by prefix filtering: with items ordered by rarity two such sets
     share one among the first n - ceil(least * n) + 1 of each, so frequent
-    items hardly ever meet.
+    items hardly ever meet. Only ids, sizes and prefixes are joined; whole sets
+    are fetched for the pairs that meet.
     """
-    items = items.distinct()
-    rarity = items.groupBy("item").agg(F.count("*").alias("df"))
-    sets = items.join(rarity, "item").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("s"))
+    sets = equal_sets(items).groupBy("s").agg(F.min("id").alias("id"))
+    ranked = sets.select("id", F.explode("s").alias("item"))
+    rarity = ranked.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")
     n = F.size("s")
-    sets = sets.select("id", F.transform("s", lambda x: x["item"]).alias("s"), (n - F.ceil(least * n) + 1).cast("int").alias("k"))
-    keys = sets.select("id", "s", F.explode(F.slice("s", 1, F.col("k"))).alias("item"))
-    a, b = keys.select(F.col("id").alias("left_id"), F.col("s").alias("s_a"), "item"), keys.select(F.col("id").alias("right_id"), F.col("s").alias("s_b"), "item")
-    # sizes within the bound, and only in the first shared item of the prefixes
-    fits = (F.col("left_id") < F.col("right_id")) & (F.size("s_a") >= least * F.size("s_b")) & (F.size("s_b") >= least * F.size("s_a"))
-    pairs = a.join(b, "item").where(fits & (F.element_at(F.array_intersect("s_a", "s_b"), 1) == F.col("item")))
-    shared = F.size(F.array_intersect("s_a", "s_b"))
-    pairs = pairs.withColumn("similarity", shared / (F.size("s_a") + F.size("s_b") - shared))
+    sizes = sets.select("id", n.alias("n"), (n - F.ceil(least * n) + 1).cast("int").alias("k"))
+    # items of one set only come first in the order, and fill the prefix without meeting anything
+    shared = ranked.join(rarity, "item").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("o"))
+    free = shared.join(sizes, "id").withColumn("k", F.col("k") - (F.col("n") - F.size("o"))).where("k > 0")
+    keys = free.select("id", "n", F.explode(F.slice("o", 1, F.col("k"))).alias("key")).select("id", "n", F.col("key.item").alias("item"))
+    a, b = keys.select(F.col("id").alias("left_id"), F.col("n").alias("n_a"), "item"), keys.select(F.col("id").alias("right_id"), F.col("n").alias("n_b"), "item")
+    fits = (F.col("left_id") < F.col("right_id")) & (F.col("n_a") >= least * F.col("n_b")) & (F.col("n_b") >= least * F.col("n_a"))
+    pairs = a.join(b, "item").where(fits).select("left_id", "right_id").distinct()
+    pairs = pairs.join(sets.select(F.col("id").alias("left_id"), F.col("s").alias("s_a")), "left_id").join(sets.select(F.col("id").alias("right_id"), F.col("s").alias("s_b")), "right_id")
+    common = F.size(F.array_intersect("s_a", "s_b"))
+    pairs = pairs.withColumn("similarity", common / (F.size("s_a") + F.size("s_b") - common))
     return pairs.where(F.col("similarity") >= least).select("left_id", "right_id", F.round("similarity", 4).alias("similarity"))
 
 
+def equal_sets(items: DataFrame) -> DataFrame:
+    """(id, s): the set of each id, sorted."""
+    return items.groupBy("id").agg(F.array_sort(F.collect_set("item")).alias("s"))
+
+
 def installations(assets: DataFrame, signature: Column, size: str, source: str) -> DataFrame:
     """(signature, member_count, unit_bytes, reclaimable_bytes, sources) of assets that look alike."""
     return (

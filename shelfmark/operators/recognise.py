@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.units import ancestors
@@ -80,7 +80,7 @@ def detectors() -> list[tuple[str, int, str, bool, Column]]:
         ("diffusers", 80, "model", True, has(names, "model_index.json")),
         ("sentence_transformers", 80, "model", True, has(names, "modules.json") & (has(names, "config.json") | (weights > 0))),
         ("peft_adapter", 75, "adapter", True, has_any(names, "adapter_config.json", "adapter_model.safetensors", "adapter_model.bin")),
-        ("hf_repo", 70, "model", True, has(names, "config.json") & ends(".safetensors", ".bin", ".gguf")),
+        ("hf_repo", 70, "model", True, has(names, "config.json") & (F.exists(names, lambda n: n.rlike(r"\.safetensors$|\.onnx$|^pytorch_model.*\.bin$|^model.*\.bin$|^tf_model.*\.h5$|^flax_model.*\.msgpack$|^model\.pdparams$")) | has_any(names, "tokenizer_config.json", "preprocessor_config.json"))),
         ("tensorboard", 65, "experiment", True, F.exists(names, lambda n: n.contains("tfevents"))),
         ("wandb", 65, "experiment", True, has(names, "wandb-metadata.json")),
         ("mlflow", 65, "experiment", True, has(names, "meta.yaml") & (F.size(F.array_intersect(dirs, F.array(*[F.lit(s) for s in ("metrics", "params", "artifacts", "tags")]))) >= 2)),
@@ -91,7 +91,7 @@ def detectors() -> list[tuple[str, int, str, bool, Column]]:
         ("roboflow", 62, "dataset", True, has_any(names, "readme.roboflow.txt", "readme.dataset.txt")),
         ("supervisely", 62, "annotation_project", True, has(names, "meta.json") & has(dirs, "ann", "img")),
         ("bdd100k", 60, "dataset", True, has(dirs, "bdd100k") | ((images >= 20) & (own.contains("bdd100k") | (own.contains("bdd") & has(dirs, "images", "labels"))))),
-        ("yolo_dataset", 60, "dataset", True, has_any(names, "data.yaml", "dataset.yaml") | has(dirs, "images", "labels")),
+        ("yolo_dataset", 60, "dataset", True, (has_any(names, "data.yaml", "data.yml", "dataset.yaml") & (extension_count(("txt",)) > 0)) | has(dirs, "images", "labels")),
         ("pascal_voc", 60, "dataset", True, F.size(F.array_intersect(dirs, F.array(*[F.lit(s) for s in ("annotations", "imagesets", "jpegimages")]))) >= 2),
         ("cityscapes", 60, "dataset", True, has_any(dirs, "leftimg8bit")),
         ("kitti", 60, "dataset", True, F.size(F.array_intersect(dirs, F.array(*[F.lit(s) for s in ("velodyne", "image_2", "image_3", "label_2", "calib", "oxts")]))) >= 2),
@@ -141,50 +141,130 @@ def detected(profiles: DataFrame, *further: DataFrame) -> DataFrame:
     return surviving_claims(hits.select("path", "hit.detector", "hit.kind", "hit.claims"))
 
 
-def directory_score(names: Column, dirs: Column) -> Column:
-    """How promising a folder is for discovery: points for what lies in it, at least 0, three digits."""
-    count = lambda column, *w: F.size(F.array_intersect(column, F.array(*[F.lit(x) for x in w])))
-    n = F.size(F.filter(names, lambda x: x.rlike(r"\.(" + "|".join(WEIGHTS) + ")$")))
-    manifests = count(names, "config.json", "model_index.json", "tokenizer.json", "dataset_info.json", "data.yaml")
-    signals = count(dirs, "models", "datasets", "checkpoints", "weights", "annotations", "images", "labels")
-    points = (
-        F.when(n > 0, 1.0).otherwise(0.0) + F.when(manifests >= 2, 0.9).when(manifests == 1, 0.5).otherwise(0.0)
-        + F.least(F.lit(0.6), 0.3 * signals) + F.when(count(dirs, "train", "val", "test") >= 2, 0.6).otherwise(0.0)
-        + F.when(F.exists(names, lambda x: x.endswith(".ipynb")), 0.3).otherwise(0.0)
-    )
-    return F.round(F.greatest(F.lit(0.0), points), 3)
+#: Fixed values of directory scores: names and endings that speak for or against a folder, and the scores from which it is entered and reported.
+SCORED_WEIGHTS = (
+    ".safetensors", ".gguf", ".ggml", ".onnx", ".pt", ".pth", ".ckpt", ".bin", ".engine", ".plan", ".tflite", ".mlmodel", ".pdparams", ".pdmodel", ".h5", ".keras", ".npz", ".msgpack",
+)
+MANIFESTS = (
+    "config.json", "tokenizer.json", "tokenizer_config.json", "generation_config.json", "adapter_config.json", "model_index.json", "modules.json", "preprocessor_config.json", "special_tokens_map.json", "model.safetensors.index.json",
+    "data.yaml", "data.yml", "dataset.yaml", "dataset_info.json", "dataset_infos.json", "dataset_dict.json", "classes.txt", "labels.txt", "metadata.jsonl", "meta.yaml", "args.yaml", "hparams.yaml", "results.csv", "wandb-metadata.json",
+)
+SIGNAL_FOLDERS = (
+    "snapshots", "blobs", "refs", "checkpoints", "weights", "annotations", "labels", "images", "wandb", "mlruns", "runs", "lightning_logs", "tensorboard", "configs", "notebooks", "adapters", "loras", "embeddings", "tokenizer",
+)
+SPLIT_FOLDERS = ("train", "val", "valid", "validation", "test", "testing", "training", "eval", "dev")
+CODE_NAMES = ("requirements.txt", "pyproject.toml", "environment.yml", "environment.yaml", "train.py", "infer.py", "predict.py", "evaluate.py", "export.py", "finetune.py")
+DISTRACTORS = (".exe", ".msi", ".iso", ".vhd", ".vhdx", ".vmdk", ".dll", ".sys", ".cab", ".mp4", ".mkv", ".avi", ".srt", ".pdf", ".epub", ".docx", ".pptx", ".zip", ".rar")
+CONTAINERS = (
+    "models", "model", "datasets", "dataset", "data", "ai", "ml", "llm", "llms", "checkpoints", "weights", "huggingface", "gguf", "loras", "embeddings", "training", "experiments", "runs", "cache", ".cache", "hub", "comfyui",
+    "stable-diffusion", "projects", "project", "research", "work",
+)
+DESCEND, REPORT = 0.30, 0.80
+
+
+def directory_score(name: Column, names: Column, dirs: Column) -> Column:
+    """How promising a folder is for discovery, from its name and what lies directly in it (lower-cased): at least 0, three digits."""
+    listed = lambda values: F.array(*[F.lit(v) for v in values])
+    known = lambda column, values: F.size(F.array_intersect(column, listed(values)))
+    ending = lambda ends: F.size(F.filter(names, lambda n: reduce(Column.__or__, [n.endswith(e) for e in ends])))
+    cached = lambda c: c.startswith("models--") | c.startswith("datasets--")
+    own, manifests, code, odd = F.lower(name), known(names, MANIFESTS), known(names, CODE_NAMES), ending(DISTRACTORS)
+    terms = [
+        F.when(ending(SCORED_WEIGHTS) > 0, 1.0), F.when(manifests >= 2, 0.9).when(manifests == 1, 0.5), F.when(F.exists(names, lambda n: n.startswith("events.out.tfevents")), 1.0),
+        F.when(F.exists(names, lambda n: n.contains("-idx") & n.contains("ubyte")), 1.0), F.when(F.exists(dirs, cached), 1.0), F.when(has(dirs, "manifests", "blobs"), 1.0),
+        F.least(F.lit(0.6), 0.3 * known(dirs, SIGNAL_FOLDERS)), F.when(known(dirs, SPLIT_FOLDERS) >= 2, 0.6), F.when(ending((".ipynb",)) > 0, 0.3), F.when(code >= 2, 0.5).when(code == 1, 0.25),
+        F.when(own.isin(*CONTAINERS), 0.4), F.when(cached(own), 1.0), F.when((odd > 0) & (odd >= F.greatest(F.lit(3), F.floor(F.size(names) / 2))), -0.8),
+    ]
+    return F.round(F.greatest(F.lit(0.0), sum((F.coalesce(t, F.lit(0.0)) for t in terms), F.lit(0.0))), 3)
+
+
+def discovered(profiles: DataFrame, least: float = REPORT) -> DataFrame:
+    """(dir, score) of folders worth reporting, without those below another one: all folders of directory profiles are scored at once, so no budget cuts the search short."""
+    from shelfmark.operators.catalogue import surviving_claims
+
+    scored = profiles.select("dir", directory_score(name_of(F.col("dir")), F.col("names"), F.col("dirs")).alias("score")).where(F.col("score") >= least)
+    return surviving_claims(scored.select(F.col("dir").alias("path"), F.lit(True).alias("claims"), "score")).select(F.col("path").alias("dir"), "score")
+
+
+#: Markers up to which a list of them travels to each row; more of them meet the texts by equality.
+MANY_MARKERS = 10_000
 
 
 def marker_of(texts: DataFrame, markers: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, label) of the first of markers(seq, marker, label) that the text contains; markers are few and broadcast, and missing ones give null."""
-    rows = [(r["marker"], r["label"]) for r in markers.orderBy("seq").limit(500).collect()]
-    found = F.lit(None).cast("string")
-    for marker, label in reversed(rows):
-        found = F.when(F.contains(F.lower(F.col(text)), F.lit(marker)), F.lit(label)).otherwise(found)
-    return texts.select(key, found.alias("label"))
+    """(key, label) of the first of markers(seq, marker, label) that the lower-cased text contains; null where none does.
+
+    Up to MANY_MARKERS of them come as one array, in order. Beyond that the
+    text's substrings of the markers' lengths meet the markers in a join, so
+    any number of them works.
+    """
+    if markers.count() <= MANY_MARKERS:
+        listed = markers.agg(F.array_sort(F.collect_list(F.struct("seq", "marker", "label"))).alias("m"))
+        first = F.try_element_at(F.filter("_m", lambda m: F.contains(F.lower(F.col(text)), m["marker"])), F.lit(1))
+        return texts.withColumn("_m", listed.scalar()).select(key, first["label"].alias("label"))
+    low, texts = F.lower(F.col(text)), texts.withColumn("_n", markers.agg(F.collect_set(F.length("marker")).alias("n")).scalar())
+    pieces = F.flatten(F.transform("_n", lambda n: F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1))), lambda i: F.substring(low, i, n))).otherwise(F.array().cast("array<string>"))))
+    met = texts.select(key, F.explode(F.array_distinct(pieces)).alias("marker")).join(markers, "marker").groupBy(key).agg(F.min(F.struct("seq", "label")).alias("first"))
+    return texts.select(key).join(met, key, "left").select(key, F.col("first.label").alias("label"))
 
 
 def deepest_marker(paths: DataFrame, markers: DataFrame, key: str = "path") -> DataFrame:
     """(key, marker, product, position) of the deepest part of each path that names one of markers(marker, product, seq)."""
     parts = paths.select(key, F.posexplode(F.split(F.lower(F.col(key)), r"[/.\-_:]+")).alias("position", "marker"))
-    order = Window.partitionBy(key).orderBy(F.desc("position"), F.asc("seq"))
-    return parts.join(F.broadcast(markers.limit(10_000)), "marker").withColumn("nth", F.row_number().over(order)).where("nth = 1").select(key, "marker", "product", "position")
+    best = F.max_by(F.struct("marker", "product", "position"), F.struct(F.col("position"), -F.col("seq"))).alias("best")
+    return parts.join(markers, "marker").groupBy(key).agg(best).select(key, "best.marker", "best.product", "best.position")
+
+
+#: Fixed values of archive rules: extensions, names and parts of paths that show what a listing holds.
+PACKED = {
+    "weights": ("safetensors", "gguf", "ggml", "onnx", "pt", "pth", "ckpt", "bin", "pb", "h5", "tflite", "engine", "pdparams"), "images": ("jpg", "jpeg", "png", "bmp", "webp", "tif", "tiff", "gif"), "videos": ("mp4", "avi", "mov", "mkv", "webm"),
+    "clips": ("wav", "mp3", "flac", "ogg", "m4a"), "captures": ("pcap", "pcapng", "cap", "erf", "snoop"), "flows": ("netflow", "binetflow", "flow", "argus", "ipfix"), "tables": ("csv", "tsv", "parquet", "arrow", "feather", "jsonl"),
+    "shards": ("arrow", "parquet"), "events": ("evtx", "etl"), "sources": ("py", "ipynb", "js", "ts", "java", "cpp", "go", "rs"),
+}
+PACKED_NAMES = {
+    "adapter": ("adapter_config.json", "adapter_model.safetensors", "adapter_model.bin", "pytorch_lora_weights.safetensors"), "declared": ("config.json", "model_index.json", "modules.json", "config.pbtxt"),
+    "companions": ("tokenizer.json", "tokenizer_config.json", "preprocessor_config.json", "generation_config.json", "vocab.txt", "vocab.json", "special_tokens_map.json"), "yolo": ("data.yaml", "data.yml", "dataset.yaml"),
+    "hf": ("dataset_info.json", "dataset_infos.json", "dataset_dict.json", "state.json"), "suricata": ("eve.json", "fast.log", "suricata.yaml"), "run": ("wandb-metadata.json", "meta.yaml", "mlmodel", "results.csv", "hparams.yaml", "args.yaml"),
+    "hashes": ("sha256sums.txt", "md5sums.txt", "hashes.txt", "sha256.txt", "labels.csv"), "project": ("requirements.txt", "pyproject.toml", "setup.py", "package.json", "cargo.toml"),
+}
+PACKED_PARTS = {
+    "in_images": ("images/",), "in_labels": ("labels/",), "coco": ("annotations/instances_", "annotations/captions_", "annotations/person_keypoints_"), "sequences": ("seqinfo.ini",), "tracks": ("gt/gt.txt",), "detections": ("/det/det.txt", "det/det.txt"),
+    "zeek": ("conn.log", "dns.log", "http.log", "ssl.log", "notice.log"), "sysmon": ("sysmon", "security.evtx", "microsoft-windows-"), "tfevents": ("events.out.tfevents",), "wandb": ("wandb/",), "epochs": ("epoch", "checkpoint", "ckpt", "last.pt", "best.pt"),
+    "families": ("trojan", "ransomware", "backdoor", "botnet", "worm", "spyware", "virusshare", "malimg", "ember", "malmem"),
+    "assembled": ("train/", "val/", "valid/", "test/", "eval/", "training/", "validation/", "testing/", "labels/", "annotations/", "masks/", "ground_truth/", "gt/", "classes.txt", "labels.txt", "metadata.csv", "metadata.jsonl", "annotations.json"),
+}
+SAMPLE_FOLDERS = ("malware", "samples", "benign", "malicious", "goodware", "binaries", "apks")
 
 
 def archive_kind(members: DataFrame, key: str = "archive") -> DataFrame:
-    """(key, kind) of archives from members(archive, name, size): conditional counts, then the first rule that fits."""
-    from shelfmark.operators.catalogue import first_match
-
-    ext = extension_of(F.col("name"))
-    n = lambda *kinds: F.sum(ext.isin(*kinds).cast("int"))
-    folder = lambda *names: F.max(F.arrays_overlap(F.split(F.lower("name"), "/"), F.array(*[F.lit(x) for x in names])).cast("int"))
-    counted = members.groupBy(key).agg(
-        n(*WEIGHTS).alias("weights"), n(*IMAGES).alias("images"), n(*TABLES).alias("tables"), n("pcap", "pcapng").alias("captures"), n("evtx", "log").alias("logs"),
-        n("py", "ipynb", "js", "c", "cpp", "java", "go", "rs").alias("code"), folder("labels").alias("labels"), folder("annotations").alias("annotations"), F.count("*").alias("n"),
-        F.max(F.lower("name").endswith("adapter_config.json").cast("int")).alias("adapter"), F.max(F.lower("name").contains("tfevents").cast("int")).alias("events"),
-    )
+    """(key, kind, confidence, members_listed) of archives from all their members(archive, name, size[, error]): conditional counts in one aggregate, then the first rule that fits."""
+    name = F.lower(F.regexp_replace(F.translate("name", "\\", "/"), r"^\./", ""))
+    base, ext = name_of(name), extension_of(name)
+    folders = F.slice(F.split(name, "/"), 1, F.size(F.split(name, "/")) - 1)
+    total = lambda c: F.coalesce(F.sum(c.cast("bigint")), F.lit(0))
+    contains = lambda words: reduce(Column.__or__, [F.contains(name, F.lit(w)) for w in words])
+    counts = [total(ext.isin(*kinds)).alias(k) for k, kinds in PACKED.items()] + [total(base.isin(*names)).alias(f"has_{k}") for k, names in PACKED_NAMES.items()] + [total(contains(words)).alias(f"at_{k}") for k, words in PACKED_PARTS.items()]
+    counts += [total(has_any(folders, *SAMPLE_FOLDERS)).alias("samples"), total(base.rlike(r"^[0-9a-f]{32}([0-9a-f]{32})?(\.[a-z0-9]{1,8})?$")).alias("digests"), F.count("name").alias("members_listed")]
+    c = members.groupBy(key).agg(*counts)
+    n = F.col
+    score = lambda *holds: sum((h.cast("int") for h in holds), F.lit(0))
+    malware = score(n("samples") >= 1, n("digests") >= 5, n("has_hashes") > 0, n("at_families") >= 3)
+    run = score(n("at_tfevents") > 0, n("at_wandb") > 0, n("has_run") > 0, n("at_epochs") >= 2)
+    media, most = n("images") + n("videos") + n("clips"), F.greatest("images", "videos", "clips")
+    dominant = F.when(n("images") == most, "image").when(n("videos") == most, "video").otherwise("audio")
     rules = [
-        ("adapter", F.col("adapter") > 0), ("model", F.col("weights") > 0), ("yolo_dataset", (F.col("images") > 0) & (F.col("labels") > 0)), ("coco_dataset", (F.col("images") > 0) & (F.col("annotations") > 0)),
-        ("capture", F.col("captures") > 0), ("host_log", F.col("logs") * 2 >= F.col("n")), ("training_run", F.col("events") > 0), ("media", F.col("images") * 2 >= F.col("n")), ("code", F.col("code") * 2 >= F.col("n")), ("tabular", F.col("tables") > 0),
+        ((n("weights") > 0) & (n("has_adapter") > 0), F.lit("adapter_archive"), F.lit(0.95)),
+        ((n("weights") > 0) & ((n("has_declared") > 0) | (n("has_companions") > 0)), F.lit("model_archive"), F.when((n("has_declared") > 0) & (n("has_companions") > 0), 0.95).otherwise(0.85)),
+        ((n("at_in_images") > 0) & (n("at_in_labels") > 0) & ((n("has_yolo") > 0) | (n("images") > 0)), F.lit("yolo_dataset_archive"), F.when(n("has_yolo") > 0, 0.95).otherwise(0.8)),
+        (n("at_coco") > 0, F.lit("coco_dataset_archive"), F.lit(0.95)),
+        ((n("at_sequences") > 0) & ((n("at_tracks") > 0) | (n("at_detections") > 0)), F.lit("tracking_dataset_archive"), F.lit(0.95)),
+        ((n("has_hf") > 0) | (n("shards") >= 2), F.lit("hf_dataset_archive"), F.when(n("has_hf") > 0, 0.95).otherwise(0.75)),
+        ((n("captures") + n("flows") + n("at_zeek") > 0) | (n("has_suricata") > 0), F.lit("network_dataset_archive"), F.when((n("captures") + n("at_zeek") > 0) | (n("has_suricata") > 0), 0.9).otherwise(0.75)),
+        ((n("events") >= 2) | ((n("events") > 0) & (n("at_sysmon") > 0)), F.lit("host_log_dataset_archive"), F.lit(0.85)),
+        (malware >= 2, F.lit("malware_dataset_archive"), F.lit(0.85)), (run >= 2, F.lit("training_archive"), F.lit(0.85)),
+        ((media >= 25) & (n("at_assembled") > 0), F.concat(dominant, F.lit("_dataset_archive")), F.lit(0.75)), (media >= 25, F.lit("media_archive"), F.lit(0.6)),
+        ((n("sources") >= 5) & (n("has_project") > 0), F.lit("code_archive"), F.lit(0.7)), (n("tables") >= 3, F.lit("tabular_dataset_archive"), F.lit(0.65)),
     ]
-    return counted.select(key, first_match(rules, "unknown").alias("kind"))
+    found = F.struct(F.lit("archive").alias("kind"), F.when(n("members_listed") > 0, 0.4).otherwise(0.3).alias("confidence"))
+    for holds, kind, confidence in reversed(rules):
+        found = F.when(holds, F.struct(kind.alias("kind"), confidence.alias("confidence"))).otherwise(found)
+    return c.select(key, found.alias("v"), "members_listed").select(key, "v.kind", "v.confidence", "members_listed")

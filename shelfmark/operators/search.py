@@ -61,18 +61,65 @@ def postings(docs: DataFrame, text: str, key: str) -> DataFrame:
     return docs.select(key, words).groupBy("term", key).agg(F.count("*").alias("tf"))
 
 
-def match_all(index: DataFrame, key: str, prefixes: list[str]) -> DataFrame:
-    """(key) of the documents that hold, for each prefix, a term beginning with it; the filter runs before any shuffle of the postings."""
-    p = F.explode(F.array_compact(F.array(*[F.when(F.col("term").startswith(x), F.lit(x)) for x in prefixes]))).alias("prefix")
-    return index.select(key, p).groupBy(key).agg(F.countDistinct("prefix").alias("n")).where(F.col("n") == len(prefixes)).select(key)
-
-
-def bm25(index: DataFrame, key: str, terms: list[str]) -> DataFrame:
-    """(key, score) of documents with any of the terms."""
-    lengths = index.groupBy(key).agg(F.sum("tf").alias("len"))
-    totals = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean")).first()
-    hits = index.where(F.col("term").isin(terms))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.lit(totals["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(totals["mean"])))
-    return hits.join(F.broadcast(df), "term").join(lengths, key).groupBy(key).agg(F.round(F.sum(part), 6).alias("score"))
+#: Characters of words, as a class of a pattern.
+LETTERS = r"[\p{L}\p{N}]"
+
+
+def _quoted(word: str) -> str:
+    return "".join("\\" + c if not c.isalnum() and c.isascii() else c for c in word)
+
+
+def match_all(docs: DataFrame, text: str, key: str, prefixes: list[str]) -> DataFrame:
+    """(key) of the documents that hold, for each prefix of letters and digits, a word beginning with it: a filter on the row, no shuffle."""
+    low = F.lower(text)
+    return docs.where(reduce(Column.__and__, [low.rlike(f"(?<!{LETTERS}){_quoted(p.lower())}") for p in prefixes], F.lit(True))).select(key)
+
+
+def bm25(docs: DataFrame, text: str, key: str, terms: list[str]) -> DataFrame:
+    """(key, score) of documents with any of the terms.
+
+    Lengths and term counts come from the row itself; what they are held
+    against (number of documents with words, mean length, documents of each
+    term) is one aggregated row, read as a scalar. So no posting is shuffled.
+    """
+    low = F.lower(text)
+    counts = [F.regexp_count(low, F.lit(f"(?<!{LETTERS}){_quoted(t.lower())}(?!{LETTERS})")).alias(f"tf_{i}") for i, t in enumerate(terms)]
+    rows = docs.select(key, F.regexp_count(low, F.lit(f"{LETTERS}+")).alias("len"), *counts).where("len > 0")
+    totals = rows.agg(F.struct(F.count("*").alias("n"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(terms))]).alias("t")).scalar()
+    hits = rows.where(reduce(Column.__or__, [F.col(f"tf_{i}") > 0 for i in range(len(terms))])).withColumn("t", totals)
+    score = F.lit(0.0)
+    for i in range(len(terms)):
+        tf, df, n = F.col(f"tf_{i}"), F.col(f"t.df_{i}"), F.col("t.n")
+        score = score + F.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("t.mean")))
+    return hits.select(key, F.round(score, 6).alias("score"))
+
+
+#: Words of the runs by which passages are looked up.
+ANCHOR = 5
+
+
+def passages(docs: DataFrame, key: str, text: str, known: DataFrame, known_key: str, known_text: str) -> DataFrame:
+    """(known_key, key) of the documents that hold a known passage, as it is written.
+
+    Inside a passage's first and last word, which may go on in the document,
+    its words are whole words of it. A run of them, of ANCHOR words or as many as
+    there are, meets the runs of that length of the documents by equality; ids
+    and runs are all that is joined, and texts are fetched for the pairs that
+    meet. Passages of under three words have no such run: they come to each row
+    as one array, in pieces of its table by their hash if there are many.
+    """
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    known = known.select(F.col(known_key).alias("_k"), F.col(known_text).alias("_p")).where("_p is not null").withColumn("_w", words(F.col("_p")))
+    n = F.least(F.lit(ANCHOR), F.size("_w") - 2)
+    anchored = known.where("size(_w) > 2").select("_k", "_p", n.alias("_n"), F.array_join(F.slice("_w", F.lit(2), n), " ").alias("_run"))
+    lengths = anchored.agg(F.collect_set("_n").alias("n")).scalar()
+    runs = lambda w: F.flatten(F.transform("_l", lambda n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))))
+    spread = docs.select(F.col(key).alias("_d"), words(F.col(text)).alias("_dw")).withColumn("_l", lengths).select("_d", F.explode(F.array_distinct(runs(F.col("_dw")))).alias("_run"))
+    pairs = spread.join(anchored, "_run").select("_d", "_k", "_p").distinct()
+    long = docs.select(F.col(key).alias("_d"), F.col(text).alias("_t")).join(pairs, "_d").where(F.contains("_t", "_p")).select(F.col("_k").alias(known_key), F.col("_d").alias(key)).distinct()
+    few = known.where("size(_w) <= 2")
+    pieces = max(1, -(-few.count() // 10_000))
+    listed = few.groupBy(F.pmod(F.xxhash64("_k"), F.lit(pieces)).alias("_piece")).agg(F.collect_list(F.struct("_k", "_p")).alias("_l"))
+    short = docs.select(F.col(key).alias("_d"), F.col(text).alias("_t"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(pieces - 1).cast("long"))).alias("_piece")).join(F.broadcast(listed) if pieces == 1 else listed, "_piece")
+    short = short.select("_d", F.explode(F.filter("_l", lambda x: F.contains(F.col("_t"), x["_p"]))).alias("_x")).select(F.col("_x._k").alias(known_key), F.col("_d").alias(key))
+    return long.unionAll(short)

@@ -72,13 +72,6 @@ def duplicate_total_waste(spark, d):
     return D.duplicate_groups(files(spark, d)).agg(F.coalesce(F.sum("wasted_bytes"), F.lit(0)).alias("wasted_bytes"), F.count("*").alias("n_groups"))
 
 
-@query("""WITH lines AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS item FROM documents), l AS (SELECT * FROM lines WHERE length(item) >= 20),
-n AS (SELECT doc_id, count(*) AS n FROM l GROUP BY 1), p AS (SELECT a.doc_id AS left_id, b.doc_id AS right_id, count(*) AS k FROM l a JOIN l b ON a.item = b.item AND a.doc_id < b.doc_id GROUP BY 1, 2)
-SELECT left_id, right_id, round(k / (x.n + y.n - k), 4) AS similarity FROM p JOIN n x ON x.doc_id = left_id JOIN n y ON y.doc_id = right_id WHERE k / (x.n + y.n - k) >= 0.7""")
-def near_duplicate_sets(spark, d):
-    lines = t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.explode(F.split("text", "\n")).alias("item")).where(F.length("item") >= 20)
-    return D.similar_sets(lines, 0.7)
-
 
 SIGNATURE = "count(*) || ':' || string_agg(l_returnflag || l_linestatus, ',' ORDER BY l_linenumber, l_returnflag, l_linestatus)"
 
@@ -121,21 +114,12 @@ def list_page(spark, d):
     return C.page(assets(spark, d), "size_bytes", limit=25, offset=50).select("asset_id", "size_bytes")
 
 
-@query("SELECT p_brand, CAST(min(rank) AS INTEGER) AS rank FROM (SELECT p_brand, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part WHERE p_brand ILIKE 'brand#1%' ORDER BY rank LIMIT 40) GROUP BY 1")
-def suggest(spark, d):
-    top = t(spark, d, "part").where(F.col("p_brand").ilike("brand#1%")).orderBy(F.desc("p_retailprice"), "p_partkey").limit(40)
-    return C.top_per_group(top.withColumn("all", F.lit(1)), ["all"], [F.desc("p_retailprice"), F.col("p_partkey")], 40).groupBy("p_brand").agg(F.min("rank").alias("rank"))
-
 
 @query(f"SELECT coalesce(drive, 'unknown') AS key, round(sum(size_bytes), 2) AS total_bytes, count(*) AS n_assets FROM {ASSETS} GROUP BY 1")
 def storage_by_drive(spark, d):
     return C.storage_by(assets(spark, d), "drive")
 
 
-@query("SELECT DISTINCT p_type AS value FROM part WHERE p_type <> ''")
-def distinct_facets(spark, d):
-    return t(spark, d, "part").where("p_type <> ''").select(F.col("p_type").alias("value")).distinct()
-
 
 @query(f"""SELECT CASE WHEN grouping(drive) = 0 THEN 'drive' WHEN grouping(kind) = 0 THEN 'kind' ELSE 'all' END AS dimension,
 CASE WHEN grouping(drive) = 0 THEN coalesce(drive, 'unknown') WHEN grouping(kind) = 0 THEN coalesce(kind, 'unknown') ELSE '' END AS value, count(*) AS n_assets, round(sum(size_bytes), 2) AS total_bytes
@@ -153,13 +137,6 @@ def inventory_tree(spark, d):
     return C.tree(x, ["r_name", "n_name", "segment"], "c_acctbal")
 
 
-@query("""SELECT l_orderkey, l_linenumber, coalesce(p_name, 'unknown') AS display_name, s_name AS supplier, coalesce(nullif(p_size, 0), CAST(l_quantity AS INT)) AS n FROM lineitem
-LEFT JOIN (SELECT * FROM part WHERE p_size > 10) ON l_partkey = p_partkey LEFT JOIN supplier ON l_suppkey = s_suppkey""")
-def item_rows(spark, d):
-    part, supplier = t(spark, d, "part").where("p_size > 10"), t(spark, d, "supplier")
-    x = t(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"), "left").join(supplier, F.col("l_suppkey") == F.col("s_suppkey"), "left")
-    return x.select("l_orderkey", "l_linenumber", F.coalesce("p_name", F.lit("unknown")).alias("display_name"), F.col("s_name").alias("supplier"), F.coalesce(F.nullif("p_size", F.lit(0)), F.col("l_quantity").cast("int")).alias("n"))
-
 
 @query("""SELECT l_orderkey AS asset_id, l_returnflag AS key, l_extendedprice AS value FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag
 ORDER BY CASE l_linestatus WHEN 'F' THEN 100 ELSE 60 END DESC, l_discount DESC, l_linenumber * 10000000 + l_partkey) AS nth FROM lineitem) WHERE nth = 1""")
@@ -224,18 +201,6 @@ def base_model_links(spark, d):
     return D.base_links(p.where("p_partkey % 3 < 2").select(F.col("p_partkey").alias("child_id"), F.col("repo").alias("wanted")), p.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("base_id"), "repo", F.col("p_name").alias("name")))
 
 
-@query(r"""SELECT doc_id FROM documents WHERE len(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda w: starts_with(w, 'th'))) > 0 AND len(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda w: starts_with(w, 'an'))) > 0""")
-def fulltext_match(spark, d):
-    docs = t(spark, d, "documents")
-    return S.match_all(S.postings(docs, "text", "doc_id"), "doc_id", ["th", "an"])
-
-
-@query(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents), i AS (SELECT term, doc_id, count(*) AS tf FROM w GROUP BY 1, 2), l AS (SELECT doc_id, sum(tf) AS len FROM i GROUP BY 1),
-m AS (SELECT count(*) AS n, avg(len) AS mean FROM l), h AS (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM i WHERE term IN ('the', 'und', 'idiot'))
-SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM h JOIN l USING (doc_id), m GROUP BY 1""")
-def fulltext_rank(spark, d):
-    return S.bm25(S.postings(t(spark, d, "documents"), "text", "doc_id"), "doc_id", ["the", "und", "idiot"])
-
 
 @query(f"SELECT asset_id FROM {ASSETS} WHERE lower(drive) = 'f' AND lower(kind) IN ('1-urgent', '5-low') AND size_bytes >= 100000 AND size_bytes <= 300000 AND year(modified_at) = 1995 AND kind ILIKE '%low%'")
 def query_language(spark, d):
@@ -243,11 +208,6 @@ def query_language(spark, d):
     return assets(spark, d).where(q.condition({"drive": "drive", "kind": "kind"}, "size_bytes", "modified_at", ["kind"])).select("asset_id")
 
 
-@query("""SELECT doc_id, CASE WHEN n_chars >= 1024 THEN printf('%.1f', n_chars / 1024.0) || ' KiB' ELSE n_chars || ' B' END AS shown, CAST(n_chars * 1000 AS BIGINT) AS parsed FROM documents WHERE n_chars < 1048576 AND n_chars % 256 <> 0""")
-def sizes_shown(spark, d):
-    docs = t(spark, d, "documents").where("n_chars < 1048576 and n_chars % 256 <> 0")
-    return docs.select("doc_id", format_bytes(F.col("n_chars")).alias("shown"), parse_size(F.concat(F.col("n_chars").cast("string"), F.lit(" kB"))).cast("long").alias("parsed"))
-
 
 @query("SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS drive, len(list_filter(string_split(url, '/'), lambda s: s <> '')) AS depth FROM pages")
 def path_parts(spark, d):
@@ -274,10 +234,6 @@ def debounce_batches(spark, d):
     return W.sessions(t(spark, d, "events"), "user_id", 7200)
 
 
-@query()
-def debounce_capped(spark, d):
-    return W.capped_sessions(t(spark, d, "events"), "user_id", 7200, 21600)
-
 
 @query(f"""WITH c AS (SELECT path FROM {PATHS} WHERE page_id % 4 = 0), a AS (SELECT DISTINCT above AS root FROM {ABOVE} WHERE n = 2), r AS (SELECT DISTINCT above AS root FROM {ABOVE} WHERE n = 1),
 m AS (SELECT c.path, r.root AS in_root, a.root AS asset FROM c JOIN r ON starts_with(c.path, r.root || '/') LEFT JOIN a ON starts_with(c.path, a.root || '/')),
@@ -305,61 +261,6 @@ def marker_families(spark, d):
     return R.marker_of(t(spark, d, "part"), markers, "p_partkey", "p_type")
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type <> 'view'")
-def json_probe(spark, d):
-    return t(spark, d, "events").where("event_type <> 'view'").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
-
-
-@query("SELECT conv_id, count(*) AS n_turns, max(turn) AS last_turn, arg_min(role, turn) AS first_role, arg_max(role, turn) AS last_role, string_agg(DISTINCT role, ';' ORDER BY role) AS roles FROM conversations GROUP BY 1")
-def export_rows(spark, d):
-    return t(spark, d, "conversations").groupBy("conv_id").agg(
-        F.count("*").alias("n_turns"), F.max("turn").alias("last_turn"), F.min_by("role", "turn").alias("first_role"), F.max_by("role", "turn").alias("last_role"), F.array_join(F.array_sort(F.collect_set("role")), ";").alias("roles")
-    )
-
-
-@query(f"SELECT asset_id, drive FROM {ASSETS} WHERE owner NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 20)")
-def soft_delete(spark, d):
-    seen = t(spark, d, "customer").where("c_nationkey < 20").select(F.col("c_custkey").alias("owner"))
-    return assets(spark, d).join(seen, "owner", "left_anti").select("asset_id", "drive")
-
-
-@query("SELECT l_orderkey, l_linenumber, o_totalprice AS carried FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F') ON l_orderkey = o_orderkey AND o_totalprice > l_extendedprice")
-def hash_carry_over(spark, d):
-    old = t(spark, d, "orders").where("o_orderstatus = 'F'")
-    x = t(spark, d, "lineitem").join(old, (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("o_totalprice") > F.col("l_extendedprice")), "left")
-    return x.select("l_orderkey", "l_linenumber", F.col("o_totalprice").alias("carried"))
-
-
-@query("SELECT l_suppkey, sum(sz)::BIGINT AS physical FROM (SELECT l_suppkey, l_partkey, max(CAST(l_quantity AS BIGINT)) AS sz FROM lineitem WHERE l_returnflag <> 'A' GROUP BY 1, 2) GROUP BY 1")
-def physical_size(spark, d):
-    once = t(spark, d, "lineitem").where("l_returnflag <> 'A'").groupBy("l_suppkey", "l_partkey").agg(F.max(F.col("l_quantity").cast("long")).alias("sz"))
-    return once.groupBy("l_suppkey").agg(F.sum("sz").alias("physical"))
-
-
-@query("SELECT o_custkey, o_orderkey, CAST(rank AS INTEGER) AS rank FROM (SELECT *, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rank FROM orders) WHERE rank <= 8")
-def links_per_asset(spark, d):
-    from pyspark.sql import Window
-
-    links = t(spark, d, "orders").select("o_custkey", "o_orderkey").distinct()
-    return links.withColumn("rank", F.dense_rank().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))).where("rank <= 8")
-
-
-@query("SELECT doc_id, len(list_distinct(list_filter(['the', 'and', 'of', 'und', 'der', 'que', 'los'], lambda k: list_contains(string_split(lower(text), ' '), k)))) AS hits FROM documents WHERE len(list_distinct(list_filter(['the', 'and', 'of', 'und', 'der', 'que', 'los'], lambda k: list_contains(string_split(lower(text), ' '), k)))) >= 3")
-def column_sniff(spark, d):
-    known = F.array(*[F.lit(x) for x in ("the", "and", "of", "und", "der", "que", "los")])
-    docs = t(spark, d, "documents").select("doc_id", F.size(F.array_intersect(F.split(F.lower("text"), " "), known)).cast("long").alias("hits"))
-    return docs.where("hits >= 3")
-
-
-@query("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
-def known_passages(spark, d):
-    """Documents that hold a known passage: a window of five words of either side meets by equality, and containment is verified."""
-    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    b = t(spark, d, "benchmark").select("item_id", F.col("text").alias("passage")).withColumn("probe", F.array_join(F.slice(words("passage"), 2, 5), " "))
-    docs = t(spark, d, "documents").select("doc_id", "text", words(F.col("text")).alias("w"))
-    runs = docs.where(F.size("w") >= 5).select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.array_join(F.slice("w", i, 5), " ")))).alias("probe"))
-    return runs.join(b, "probe").where(F.contains("text", "passage")).select("item_id", "doc_id")
-
 
 @query("""SELECT p_partkey AS asset_id, CASE k WHEN 'adapter' THEN 'adapter' WHEN 'paper' THEN 'paper' WHEN 'checkpoint' THEN CASE p_partkey % 4 WHEN 0 THEN 'llm' WHEN 1 THEN 'segmentation' WHEN 2 THEN 'speech' ELSE 'checkpoint' END
 ELSE CASE p_partkey % 5 WHEN 0 THEN 'detection_dataset' WHEN 1 THEN 'segmentation_dataset' WHEN 2 THEN 'malware_dataset' WHEN 3 THEN 'tracking_dataset' ELSE 'other_dataset' END END AS category
@@ -386,3 +287,48 @@ def taxonomy_order(spark, d):
     counts = t(spark, d, "part").groupBy(named.alias("id")).count()
     chosen = [c for s in ("detection-datasets", "segmentation_dataset", "videos") for c in resolve(s)]
     return F.broadcast(vocabulary(spark)).where(F.col("id").isin(chosen)).join(counts, "id", "left").select("ord", F.col("id").alias("category"), F.coalesce("count", F.lit(0)).alias("n_assets"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents), sets AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM w WHERE len(w) >= 5),
+reps AS (SELECT min(doc_id) AS id, s FROM sets GROUP BY s), l AS (SELECT id, len(s) AS n, unnest(s) AS item FROM reps),
+p AS (SELECT a.id AS left_id, b.id AS right_id, a.n AS n_a, b.n AS n_b, count(*) AS k FROM l a JOIN l b ON a.item = b.item AND a.id < b.id GROUP BY ALL)
+SELECT left_id, right_id, round(k / (n_a + n_b - k), 4) AS similarity FROM p WHERE k / (n_a + n_b - k) >= 0.8""")
+def near_duplicate_sets(spark, d):
+    """Pairs of documents whose sets of five-word runs are alike; documents of fewer words have none."""
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    docs = t(spark, d, "documents").select(F.col("doc_id").alias("id"), words.alias("w")).where("size(w) >= 5")
+    return D.similar_sets(docs.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.array_join(F.slice("w", i, 5), " "))).alias("item")), 0.8)
+
+
+@query(r"""SELECT doc_id FROM documents WHERE len(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda w: starts_with(w, 'th'))) > 0 AND len(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda w: starts_with(w, 'an'))) > 0""")
+def fulltext_match(spark, d):
+    return S.match_all(t(spark, d, "documents"), "text", "doc_id", ["th", "an"])
+
+
+@query(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents), i AS (SELECT term, doc_id, count(*) AS tf FROM w GROUP BY 1, 2), l AS (SELECT doc_id, sum(tf) AS len FROM i GROUP BY 1),
+m AS (SELECT count(*) AS n, avg(len) AS mean FROM l), h AS (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM i WHERE term IN ('the', 'und', 'idiot'))
+SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM h JOIN l USING (doc_id), m GROUP BY 1""")
+def fulltext_rank(spark, d):
+    return S.bm25(t(spark, d, "documents"), "text", "doc_id", ["the", "und", "idiot"])
+
+
+@query("""SELECT doc_id, times, CASE WHEN n >= 1125899906842624 THEN printf('%.1f', n / 1125899906842624) || ' PiB' WHEN n >= 1099511627776 THEN printf('%.1f', n / 1099511627776) || ' TiB' WHEN n >= 1073741824 THEN printf('%.1f', n / 1073741824) || ' GiB'
+WHEN n >= 1048576 THEN printf('%.1f', n / 1048576) || ' MiB' WHEN n >= 1024 THEN printf('%.1f', n / 1024) || ' KiB' ELSE n || ' B' END AS shown, CAST(n_chars * 1000 AS BIGINT) AS parsed
+FROM (SELECT doc_id, n_chars, times, n_chars * times AS n FROM documents, (SELECT unnest([1, 512, 1048576, 1073741824, 549755813888]) AS times))""")
+def sizes_shown(spark, d):
+    """Sizes of documents, and of up to half a tebi of each, in every unit."""
+    docs = t(spark, d, "documents").select("doc_id", "n_chars", F.explode(F.array(*[F.lit(x).cast("long") for x in (1, 512, 1048576, 1073741824, 549755813888)])).alias("times"))
+    return docs.select("doc_id", "times", format_bytes(F.col("n_chars") * F.col("times")).alias("shown"), parse_size(F.concat(F.col("n_chars").cast("string"), F.lit(" kB"))).cast("long").alias("parsed"))
+
+
+@query("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
+def known_passages(spark, d):
+    return S.passages(t(spark, d, "documents"), "doc_id", "text", t(spark, d, "benchmark"), "item_id", "text")
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT user_id, n, us, us AS first, 0::BIGINT AS batch FROM e WHERE n = 1 UNION ALL
+SELECT e.user_id, e.n, e.us, CASE WHEN e.us - r.us >= 7200000000 OR e.us - r.first >= 21600000000 THEN e.us ELSE r.first END, r.batch + CASE WHEN e.us - r.us >= 7200000000 OR e.us - r.first >= 21600000000 THEN 1 ELSE 0 END FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+SELECT user_id, batch, min(us) AS first_us, max(us) AS last_us, count(*) AS n_events FROM r GROUP BY 1, 2""")
+def debounce_capped(spark, d):
+    return W.capped_sessions(t(spark, d, "events"), "user_id", 7200, 21600)

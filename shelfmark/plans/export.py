@@ -36,3 +36,24 @@ def export(report: DataFrame, kind: str, path: str, title: str = "Inventory") ->
         markdown_lines(report, title).select("value").write.mode("overwrite").text(path)
     else:
         raise ValueError(f"unknown format {kind!r}; known: csv, json, markdown")
+
+
+#: Columns of a CSV export, in order. Fixed values.
+CSV_COLUMNS = (
+    "name", "section", "category", "task", "domain", "family", "subcategory", "framework", "architecture", "format", "storage_format", "parameters", "parameters_exact", "quantization", "precision", "context_length", "dataset_type", "modalities",
+    "size_bytes", "size_human", "file_count", "images", "videos", "annotations", "classes", "splits", "health_score", "health_status", "health_findings", "drive", "root_folder", "path", "last_modified", "repo_id", "license", "tags",
+)
+
+
+def csv_rows(items: DataFrame) -> DataFrame:
+    """items as the text columns of a CSV export; lists are joined by semicolons, columns that items lack are null."""
+    kinds = {f.name: f.dataType.typeName() for f in items.schema}
+
+    def of(column: str) -> Column:
+        if column == "size_human" and column not in kinds and "size_bytes" in kinds:
+            return format_bytes(F.col("size_bytes"))
+        if column not in kinds:
+            return F.lit(None).cast("string")
+        return F.array_join(F.col(column).cast("array<string>"), ";") if kinds[column] == "array" else F.col(column).cast("string")
+
+    return items.select(*[of(c).alias(c) for c in CSV_COLUMNS])

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import fnmatch
+import itertools
 import json
+import lzma
 import os
 import struct
 import tarfile
 import zipfile
+import zlib
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +19,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "path string, name string, size_bytes long, mtime double, inode long, device long, nlink int, is_symlink boolean, error string"
 
-#: Limits of an archive listing. Fixed values.
-MOST_ENTRIES = 4000
+#: Members that are listed together.
+LISTED_ROWS = 10_000
 
 
 class Tree(InputPartition):
@@ -71,7 +74,11 @@ class FileEntryReader(DataSourceReader):
                 yield (folder, os.path.basename(folder), None, None, None, None, None, None, type(e).__name__)
                 continue
             for e in entries:
-                s = e.stat(follow_symlinks=False)
+                try:
+                    s = e.stat(follow_symlinks=False)
+                except OSError as x:  # gone since the folder was read
+                    yield (e.path, e.name, None, None, None, None, None, None, type(x).__name__)
+                    continue
                 if e.is_dir(follow_symlinks=False):
                     known = (s.st_dev, s.st_ino)
                     if part.deep and depth < self.depth and e.name.lower() not in self.excluded and known not in seen:
@@ -95,26 +102,29 @@ def sizes(files: DataFrame, key: str) -> DataFrame:
 
 
 def archive_members(files: DataFrame) -> DataFrame:
-    """(archive, name, size, error) of the members of zip and tar files(path), from their tables of contents, MOST_ENTRIES at most each."""
+    """(archive, name, size, error) of all members of zip and tar files(path), from their tables of contents; an archive that can't be read on gives a row with its error behind those listed so far."""
+
+    def members(path: str):
+        try:
+            if zipfile.is_zipfile(path):
+                with zipfile.ZipFile(path) as z:
+                    for i in z.infolist():
+                        if not i.is_dir():
+                            yield (path, i.filename.removeprefix("./"), i.file_size, None)
+            else:
+                with tarfile.open(path) as t:
+                    for m in t:
+                        if m.isfile():
+                            yield (path, m.name.removeprefix("./"), m.size, None)
+                        t.members = []  # else every header stays in memory
+        except (OSError, EOFError, NotImplementedError, RuntimeError, ValueError, tarfile.TarError, zipfile.BadZipFile, zlib.error, lzma.LZMAError) as e:
+            yield (path, None, None, type(e).__name__)
 
     def listed(batches):
         for batch in batches:
-            rows = []
-            for path in batch["path"]:
-                try:
-                    if zipfile.is_zipfile(path):
-                        with zipfile.ZipFile(path) as z:
-                            rows += [(path, i.filename.removeprefix("./"), i.file_size, None) for i in z.infolist()[:MOST_ENTRIES] if not i.is_dir()]
-                    else:
-                        with tarfile.open(path) as t:
-                            for n, m in enumerate(t):
-                                if n >= MOST_ENTRIES:
-                                    break
-                                if m.isfile():
-                                    rows.append((path, m.name.removeprefix("./"), m.size, None))
-                except (OSError, tarfile.TarError, zipfile.BadZipFile) as e:
-                    rows.append((path, None, None, type(e).__name__))
-            yield pd.DataFrame(rows, columns=["archive", "name", "size", "error"])
+            rows = itertools.chain.from_iterable(members(path) for path in batch["path"])
+            while some := list(itertools.islice(rows, LISTED_ROWS)):
+                yield pd.DataFrame(some, columns=["archive", "name", "size", "error"]).astype({"size": "Int64"})
 
     return files.select("path").mapInPandas(listed, "archive string, name string, size long, error string")
 

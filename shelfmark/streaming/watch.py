@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -38,22 +37,29 @@ def sessions(events: DataFrame, key: str, quiet_seconds: float) -> DataFrame:
 
 
 def capped_sessions(events: DataFrame, key: str, quiet_seconds: float, most_seconds: float) -> DataFrame:
-    """As sessions(), but a batch also ends at the first event most_seconds or more after its first one."""
-
-    def cut(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["us", "event_id"])
-        batch, first, last, out = -1, None, None, []
-        for us in rows["us"]:
-            if first is None or us - last >= quiet_seconds * 1e6 or us - first >= most_seconds * 1e6:
-                batch, first = batch + 1, us
-            last = us
-            out.append(batch)
-        found = rows.assign(batch=out).groupby("batch")["us"].agg(["min", "max", "count"]).reset_index()
-        return pd.DataFrame({key: rows[key].iloc[0], "batch": found["batch"], "first_us": found["min"], "last_us": found["max"], "n_events": found["count"]})
-
-    kind = events.schema[key].dataType.simpleString()
+    """(key, batch, first_us, last_us, n_events) as sessions(), but a batch also ends at the first event most_seconds or more after its first one.
+
+    The cap only matters inside a session, so sessions are cut one by one: a
+    fold over a session's sorted times, in the engine.
+    """
+    order = Window.partitionBy(key).orderBy("us", "event_id")
     timed = events.select(key, "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return timed.groupBy(key).applyInPandas(cut, f"{key} {kind}, batch long, first_us long, last_us long, n_events long")
+    begins = F.coalesce((F.col("us") - F.lag("us").over(order) >= int(quiet_seconds * 1e6)).cast("long"), F.lit(0))
+    timed = timed.withColumn("begins", begins).withColumn("session", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    times = timed.groupBy(key, "session").agg(F.array_sort(F.collect_list("us")).alias("times"))
+    piece = lambda first, last, n: F.struct(first.alias("first_us"), last.alias("last_us"), n.alias("n_events"))
+    one = F.lit(1).cast("long")
+
+    def step(state: Column, us: Column) -> Column:
+        new = us - state["open"]["first_us"] >= int(most_seconds * 1e6)
+        grown = piece(state["open"]["first_us"], us, state["open"]["n_events"] + 1)
+        return F.struct(F.when(new, F.concat(state["done"], F.array(state["open"]))).otherwise(state["done"]).alias("done"), F.when(new, piece(us, us, one)).otherwise(grown).alias("open"))
+
+    head = F.element_at("times", 1)
+    start = F.struct(F.array().cast("array<struct<first_us:bigint,last_us:bigint,n_events:bigint>>").alias("done"), piece(head, head, one).alias("open"))
+    batches = F.aggregate(F.slice("times", F.lit(2), F.size("times")), start, step, lambda s: F.concat(s["done"], F.array(s["open"])))
+    found = times.select(key, F.explode(batches).alias("b")).select(key, "b.*")
+    return found.withColumn("batch", F.row_number().over(Window.partitionBy(key).orderBy("first_us", "last_us")).cast("long") - 1).select(key, "batch", "first_us", "last_us", "n_events")
 
 
 def rescan_targets(changed: DataFrame, assets: DataFrame, roots: DataFrame) -> DataFrame:
