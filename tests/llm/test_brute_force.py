@@ -265,6 +265,32 @@ def test_near_duplicate_stage_tells_rows_apart(spark, tiny):
     assert classes == Counter([(1, 1), (1, 1), (9, 1), (3, 3), (3, 3), (4, 4), (5, 5)])
 
 
+def test_measured_pairs_grow_with_the_group(spark, monkeypatch):
+    rng = random.Random(12)
+    base = [f"b{i}" for i in range(120)]
+    measured, counts = dartminhash.measured, []
+
+    def counting(pairs, sets):
+        counts[-1] += pairs.count()
+        return measured(pairs, sets)
+
+    monkeypatch.setattr(dartminhash, "measured", counting)
+    for n in (150, 300, 600):
+        rows = []
+        for i in range(n):
+            words = list(base)
+            for at in rng.sample(range(120), 3):
+                words[at] = f"x{i}-{at}"
+            rows.append((i, " ".join(words)))
+        counts.append(0)
+        found = dict(dartminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+        sets = [set(" ".join(t.split()[k : k + 5]) for k in range(116)) for _, t in rows]
+        links = [(a, b) for a in range(n) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+        assert sum(found[a] == found[b] for a, b in links) >= 0.9 * len(links)
+        assert len(set(found.values())) >= n - len(links)
+    assert counts[1] <= 2.3 * counts[0] and counts[2] <= 2.3 * counts[1]
+
+
 def test_mix_properties(spark):
     rows = [(i, "w " * (1 + i * 7919 % 23), f"s{i % 4}") for i in range(4000)] + [(4000, "w " * 900, "s9"), (4001, None, "s9"), (4002, "", None), (4003, "w", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
