@@ -1,4 +1,4 @@
-"""Command line: ``python -m shelfmark scan ROOT... | list | stats | duplicates | facts``."""
+"""Command line: ``python -m shelfmark scan ROOT... | discover ROOT... | list | search QUERY | where TEXT | show PATH | health | stats | duplicates | status | facts``."""
 
 from __future__ import annotations
 
@@ -27,7 +27,13 @@ def parser() -> argparse.ArgumentParser:
     listed.add_argument("--format", choices=("table", "csv", "json", "markdown"), default="table")
     listed.add_argument("--out", help="folder of an export")
     commands.add_parser("stats", help="counts and bytes by category, kind and detector")
-    commands.add_parser("duplicates", help="files that agree in size, head and tail").add_argument("--least", type=int, default=1 << 20)
+    commands.add_parser("discover", help="promising folders that no catalogued root holds").add_argument("roots", nargs="+")
+    commands.add_parser("search", help="assets by words and key:value pairs").add_argument("query")
+    commands.add_parser("where", help="assets whose name or path holds a text").add_argument("text")
+    commands.add_parser("show", help="all that is known of an asset").add_argument("path")
+    commands.add_parser("health", help="assets with findings, the worst first")
+    commands.add_parser("status", help="roots, when they were scanned, and what the last scan changed")
+    commands.add_parser("duplicates", help="files of equal content").add_argument("--least", type=int, default=1 << 20)
     commands.add_parser("facts", help="facts from the headers of the catalogued files").add_argument("--under", default="", help="path prefix")
     return top
 
@@ -43,12 +49,24 @@ def main(words: list[str] | None = None, spark: SparkSession | None = None) -> i
             export(found, args.format, args.out or f"{args.catalog}/{args.format}")
         else:
             found.select("name", "category", "family", "size_bytes", "n_files", "path").show(args.limit, truncate=False)
+    elif args.command == "discover":
+        library.candidates(spark, args.roots, args.catalog).show(60, truncate=False)
+    elif args.command in ("search", "where"):
+        found = library.search(spark, args.catalog, args.query) if args.command == "search" else library.locate(spark, args.catalog, args.text)
+        found.select("name", "category", "family", "size_bytes", "n_files", "path").show(50, truncate=False)
+    elif args.command == "show":
+        library.table(spark, args.catalog, "assets").where(F.col("path") == args.path).show(1, truncate=False, vertical=True)
+    elif args.command == "health":
+        library.inventory(spark, args.catalog, sort="health").where("health_findings is not null").select("health_score", "health_status", "health_findings", "path").show(50, truncate=False)
+    elif args.command == "status":
+        library.table(spark, args.catalog, "roots").orderBy("root").show(100, truncate=False)
+        library.table(spark, args.catalog, "assets").groupBy("action").count().orderBy("action").show()
     elif args.command == "stats":
-        library.statistics(spark, args.catalog).orderBy("dimension", F.desc("total_bytes"), "value").show(200, truncate=False)
+        library.totals(spark, args.catalog).orderBy("dimension", F.desc("total_bytes"), "value").show(200, truncate=False)
     elif args.command == "duplicates":
         library.duplicates(spark, args.catalog, args.least).orderBy(F.desc("wasted_bytes"), "sha256").show(50, truncate=False)
     else:
-        files = spark.read.parquet(f"{args.catalog}/files").where(F.col("error").isNull() & F.startswith("path", F.lit(args.under)))
+        files = library.table(spark, args.catalog, "files").where(F.col("error").isNull() & F.startswith("path", F.lit(args.under)))
         facts(files).orderBy("path", "seq").show(200, truncate=False)
     return 0
 

@@ -1,38 +1,135 @@
-"""A catalogue kept as Parquet tables: scans write it, reports read it."""
+"""A catalogue kept as Parquet tables: scans write a new version of it, reports read the last whole one."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.operators.catalogue import owners, summary
-from shelfmark.operators.recognise import coco_folders, detected, directory_profiles, mot_folders, name_of
+from shelfmark.operators import dedup
+from shelfmark.operators.catalogue import carry_over, fingerprints, mark_missing, owners, summary
+from shelfmark.operators.health import file_summary, findings, health, statistics
+from shelfmark.operators.recognise import coco_folders, detected, directory_profiles, discovered, mot_folders, name_of
+from shelfmark.operators.search import Query, parse
 from shelfmark.operators.taxonomy import classified, resolve
 from shelfmark.sources.filesystem import full_digests, quick_signatures, walk
 from shelfmark.sources.headers import facts
 
 #: Columns that reports may be sorted by; bytes where another is asked for.
-SORTS = {"size": "size_bytes", "files": "n_files", "name": "name", "date": "modified_at", "category": "category", "kind": "kind"}
+SORTS = {"size": "size_bytes", "files": "n_files", "name": "name", "date": "modified_at", "category": "category", "kind": "kind", "health": "health_score"}
+
+#: Columns of assets that a search looks at, by the names of the query language.
+SEARCHED = {"kind": "kind", "category": "category", "family": "family", "detector": "detector", "health": "health_status", "status": "health_status"}
+
+DONE = "_DONE"
+
+
+def _versions(spark: SparkSession, folder: str):
+    """(Hadoop's file system, its path of the folder, numbers of whole versions)."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(f"{folder}/versions")
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    at = lambda *parts: jvm.org.apache.hadoop.fs.Path("/".join([root.toString(), *parts]))
+    return fs, at, sorted(int(n) for n in names if n.isdigit() and fs.exists(at(n, DONE)))
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table (files, assets, roots) of the last whole version; ValueError where there is none."""
+    _, at, whole = _versions(spark, folder)
+    if not whole:
+        raise ValueError(f"no catalogue in {folder}")
+    return spark.read.parquet(at(str(whole[-1]), name).toString())
+
+
+def _publish(spark: SparkSession, folder: str, tables) -> None:
+    """Writes a version, table by table in the order given, and marks it as whole at last.
+
+    ``tables`` yields (name, frame); a later one may read those before by the
+    path it is sent. A failure leaves the last version as it was. Of older
+    versions the one before stays, for readers that are at it.
+    """
+    fs, at, whole = _versions(spark, folder)
+    number = str((whole[-1] if whole else 0) + 1)
+    fs.delete(at(number), True)  # what a failed write left
+    made = next(tables)
+    while made:
+        name, frame = made
+        frame.write.parquet(at(number, name).toString())
+        try:
+            made = tables.send(at(number, name).toString())
+        except StopIteration:
+            made = None
+    fs.create(at(number, DONE)).close()
+    for old in whole[:-1]:
+        fs.delete(at(str(old)), True)
 
 
 def scan(spark: SparkSession, roots: list[str], folder: str, exclude: str = "") -> DataFrame:
-    """Walks the roots, writes the tables files and assets to the folder, and returns the assets.
+    """Walks the roots, writes a new version of the tables files, assets and roots, and returns the assets.
 
-    A file belongs to the innermost asset above it. Folders that can't be read
-    stay in files with their error.
+    A file belongs to the innermost asset above it; an asset's id follows from
+    its path, so it is the same in each scan. Digests of files whose size and
+    time of change are those of the last scan are kept. ``action`` tells what became
+    of an asset: inserted, updated or unchanged by its fingerprint, missing if it
+    was below a root and isn't there any more, kept if it is elsewhere. Folders
+    that can't be read stay in files with their error.
     """
-    walk(spark, ",".join(roots), exclude=exclude).write.mode("overwrite").parquet(f"{folder}/files")
-    files = spark.read.parquet(f"{folder}/files")
-    read = files.where("error is null")
-    profiles = directory_profiles(read.select("path", "size_bytes"))
-    hits = detected(profiles, mot_folders(profiles), coco_folders(facts(read)))
-    owned = owners(read.select("path"), hits.select(F.col("path").alias("root")))
-    sizes = read.join(owned, "path").groupBy(F.col("owner").alias("path")).agg(F.sum("size_bytes").alias("size_bytes"), F.count("*").alias("n_files"), F.timestamp_seconds(F.max("mtime")).alias("modified_at"))
-    described = hits.join(profiles.withColumnRenamed("dir", "path").withColumnRenamed("n_files", "file_count").drop("bytes"), "path").withColumn("name", name_of(F.col("path")))
-    categories = classified(described.withColumn("asset_id", F.xxhash64("path")))
-    assets = described.select(F.xxhash64("path").alias("asset_id"), "path", "name", "kind", "detector").join(sizes, "path", "left").join(categories, "asset_id")
-    assets.na.fill(0, ["size_bytes", "n_files"]).write.mode("overwrite").parquet(f"{folder}/assets")
-    return spark.read.parquet(f"{folder}/assets")
+    known = bool(_versions(spark, folder)[2])
+    old_files, old_assets = (table(spark, folder, "files"), table(spark, folder, "assets")) if known else (None, None)
+    here = spark.createDataFrame([(r.rstrip("/"),) for r in roots], "root string")
+
+    def tables():
+        none = F.lit(None).cast("string")
+        seen = walk(spark, ",".join(roots), exclude=exclude)
+        seen = carry_over(seen, old_files, ("path",)) if known else seen.withColumns({"quick_sig": none, "sha256": none})
+        place = yield "walked", seen
+        walked = spark.read.parquet(place)
+        read = walked.where("error is null")
+        profiles = directory_profiles(read.select("path", "size_bytes"))
+        hits = detected(profiles, mot_folders(profiles), coco_folders(facts(read)))
+        place = yield "hits", hits.withColumn("asset_id", F.xxhash64("path"))
+        hits = spark.read.parquet(place)
+        owned = owners(read.select("path"), hits.select(F.col("path").alias("root")))
+        files = walked.join(owned, "path", "left").withColumn("asset_id", F.when(F.col("owner").isNotNull(), F.xxhash64("owner")))
+        files = files.withColumn("relpath", F.substring("path", F.length("owner") + 2, F.length("path"))).drop("owner")
+        if known:
+            gone = old_files.join(walked.select("path"), "path", "left_anti").join(_below(old_files.select("path").distinct(), here), "path", "left_anti")
+            files = files.unionByName(gone, allowMissingColumns=True)
+        place = yield "files", files
+        mine = spark.read.parquet(place).join(hits.select("asset_id"), "asset_id", "left_semi").where("error is null")
+        sizes = mine.groupBy("asset_id").agg(F.sum("size_bytes").alias("size_bytes"), F.count("*").alias("n_files"), F.timestamp_seconds(F.max("mtime")).alias("modified_at"))
+        prints = fingerprints(mine, "asset_id", [F.col("relpath"), F.col("size_bytes"), F.floor("mtime")])
+        described = hits.join(profiles.withColumnRenamed("dir", "path").withColumnRenamed("n_files", "file_count").drop("bytes"), "path").withColumn("name", name_of(F.col("path")))
+        categories = classified(described)
+        judged = described.select("asset_id", "kind", "name").join(file_summary(mine.select("asset_id", "relpath", "size_bytes")), "asset_id", "left")
+        assets = described.select("asset_id", "path", "name", "kind", "detector").join(sizes, "asset_id", "left").join(prints, "asset_id", "left").join(categories, "asset_id")
+        marks = health(judged).select("asset_id", F.col("score").alias("health_score"), F.col("status").alias("health_status"))
+        codes = findings(judged).groupBy("asset_id").agg(F.array_sort(F.collect_list("code")).alias("health_findings"))
+        assets = assets.join(marks, "asset_id").join(codes, "asset_id", "left").join(statistics(judged), "asset_id").na.fill(0, ["size_bytes", "n_files"]).withColumn("is_missing", F.lit(False))
+        if known:
+            before = old_assets.select("asset_id", F.col("fingerprint").alias("_was"), F.lit(True).alias("_known"))
+            assets = assets.join(before, "asset_id", "left").withColumn("action", F.when(F.col("_known").isNull(), "inserted").when(F.col("fingerprint").eqNullSafe(F.col("_was")), "unchanged").otherwise("updated")).drop("_was", "_known")
+            rest = mark_missing(old_assets.join(hits.select("asset_id"), "asset_id", "left_anti"), hits.select("path"), here)
+            rest = rest.withColumn("action", F.when(F.col("is_missing"), "missing").otherwise("kept"))
+            assets = assets.unionByName(rest, allowMissingColumns=True)
+        else:
+            assets = assets.withColumn("action", F.lit("inserted"))
+        yield "assets", assets
+        scanned = here.withColumn("scanned_at", F.current_timestamp())
+        yield "roots", table(spark, folder, "roots").join(here, "root", "left_anti").unionByName(scanned) if known else scanned
+
+    _publish(spark, folder, tables())
+    return table(spark, folder, "assets")
+
+
+def _below(paths: DataFrame, roots: DataFrame) -> DataFrame:
+    """(path) of the paths below a root."""
+    return owners(paths, roots).select("path")
+
+
+def present(spark: SparkSession, folder: str) -> DataFrame:
+    """The assets that aren't missing."""
+    return table(spark, folder, "assets").where("not is_missing")
 
 
 def inventory(spark: SparkSession, folder: str, selector: str = "all", sort: str = "size", ascending: bool = False) -> DataFrame:
@@ -41,21 +138,73 @@ def inventory(spark: SparkSession, folder: str, selector: str = "all", sort: str
     if wanted is None:
         raise ValueError(f"no category, group, section or domain is called {selector!r}")
     by = F.col(SORTS.get(sort, "size_bytes"))
-    found = spark.read.parquet(f"{folder}/assets").where(F.col("category").isin(wanted))
-    return found.orderBy(by.asc() if ascending or sort == "name" else by.desc(), F.asc("asset_id"))
+    found = present(spark, folder).where(F.col("category").isin(wanted))
+    return found.orderBy(by.asc() if ascending or sort in ("name", "health") else by.desc(), F.asc("asset_id"))
+
+
+def search(spark: SparkSession, folder: str, query: str) -> DataFrame:
+    """Assets that a query of the small language asks for, largest first; an empty one asks for all."""
+    q: Query = parse(query, tuple(SEARCHED))
+    found = table(spark, folder, "assets") if q.missing else present(spark, folder)
+    return found.where(q.condition(SEARCHED, "size_bytes", "modified_at", ["name", "path"])).orderBy(F.desc("size_bytes"), F.asc("asset_id"))
+
+
+def locate(spark: SparkSession, folder: str, text: str) -> DataFrame:
+    """Assets whose name or path holds a text, case aside, largest first."""
+    hit: Column = F.contains(F.lower("name"), F.lit(text.lower())) | F.contains(F.lower("path"), F.lit(text.lower()))
+    return present(spark, folder).where(hit).orderBy(F.desc("size_bytes"), F.asc("asset_id"))
+
+
+def totals(spark: SparkSession, folder: str) -> DataFrame:
+    """(dimension, value, n_assets, total_bytes) for all assets and by category, kind, detector and health."""
+    return summary(present(spark, folder), ["category", "kind", "detector", "health_status"])
+
 
+def candidates(spark: SparkSession, roots: list[str], folder: str | None = None) -> DataFrame:
+    """(dir, score) of promising folders below roots that no catalogued root holds, best first."""
+    files = walk(spark, ",".join(roots)).where("error is null").select("path", "size_bytes")
+    found = discovered(directory_profiles(files))
+    if folder and _versions(spark, folder)[2]:
+        managed = table(spark, folder, "roots").select("root")
+        found = found.join(_below(found.select(F.col("dir").alias("path")), managed), F.col("dir") == F.col("path"), "left_anti").join(managed, F.col("dir") == F.col("root"), "left_anti")
+    return found.orderBy(F.desc("score"), "dir")
 
-def statistics(spark: SparkSession, folder: str) -> DataFrame:
-    return summary(spark.read.parquet(f"{folder}/assets"), ["category", "kind", "detector"])
+
+def hash_files(spark: SparkSession, folder: str, least: int = 1 << 20) -> DataFrame:
+    """The files, after a version in which those of colliding sizes are signed, and those of colliding signatures hashed in full.
+
+    What an earlier pass signed or hashed isn't read again.
+    """
+    kept = table(spark, folder, "files")
+
+    def tables():
+        real = kept.where(F.col("error").isNull() & ~F.col("is_symlink") & (F.col("size_bytes") >= least))
+        shared = real.groupBy("size_bytes").count().where("count > 1").select("size_bytes")
+        same = real.join(shared, "size_bytes", "left_semi")
+        signed = same.where("quick_sig is not null").unionByName(quick_signatures(same.where("quick_sig is null").drop("quick_sig")))
+        place = yield "signed", signed.where("quick_sig is not null")
+        signed = spark.read.parquet(place)
+        often = signed.groupBy("size_bytes", "quick_sig").count().where("count > 1").drop("count")
+        collide = signed.join(often, ["size_bytes", "quick_sig"], "left_semi")
+        hashed = collide.where("sha256 is not null").unionByName(full_digests(collide.where("sha256 is null").drop("sha256")))
+        place = yield "hashed", hashed.select("path", F.col("sha256").alias("_sha"))
+        found = signed.select("path", F.col("quick_sig").alias("_sig")).join(spark.read.parquet(place), "path", "left")
+        yield "files", kept.join(found, "path", "left").withColumns({"quick_sig": F.coalesce("_sig", "quick_sig"), "sha256": F.coalesce("_sha", "sha256")}).drop("_sig", "_sha")
+        yield "assets", table(spark, folder, "assets")
+        yield "roots", table(spark, folder, "roots")
+
+    _publish(spark, folder, tables())
+    return table(spark, folder, "files")
 
 
 def duplicates(spark: SparkSession, folder: str, least: int = 1 << 20) -> DataFrame:
-    """(size_bytes, sha256, n_files, wasted_bytes, paths) of files of equal content: sizes that occur twice are signed, and signatures that occur twice hashed in full."""
-    files = spark.read.parquet(f"{folder}/files").where(F.col("error").isNull() & ~F.col("is_symlink") & (F.col("size_bytes") >= least))
-    files = files.dropDuplicates(["device", "inode"])
-    shared = files.groupBy("size_bytes").count().where("count > 1").select("size_bytes")
-    signed = quick_signatures(files.join(shared, "size_bytes", "left_semi")).where("quick_sig is not null")
-    collide = signed.withColumn("n", F.count("*").over(Window.partitionBy("size_bytes", "quick_sig"))).where("n > 1")
-    hashed = full_digests(collide).where("sha256 is not null")
-    groups = hashed.groupBy("size_bytes", "sha256").agg(F.count("*").alias("n_files"), F.array_sort(F.collect_list("path")).alias("paths")).where("n_files > 1")
-    return groups.withColumn("wasted_bytes", F.col("size_bytes") * (F.col("n_files") - 1))
+    """(size_bytes, sha256, n_files, n_copies, wasted_bytes, shared_bytes, keeper, paths) of files of equal content; hard links of one file are one copy."""
+    hashed = hash_files(spark, folder, least).where(F.col("sha256").isNotNull() & (F.col("size_bytes") >= least))
+    return dedup.file_groups(hashed)
+
+
+def duplicate_assets(spark: SparkSession, folder: str, least: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+    """(groups of assets of equal content, pairs of alike ones), by the digests of their files of ``least`` bytes or more; an asset with one that wasn't hashed is in none."""
+    files = hash_files(spark, folder, least).where(F.col("asset_id").isNotNull() & F.col("error").isNull() & (F.col("size_bytes") >= least))
+    files = files.join(present(spark, folder).select("asset_id"), "asset_id", "left_semi")
+    return dedup.asset_groups(files), dedup.near_assets(files)

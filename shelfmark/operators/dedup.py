@@ -76,3 +76,45 @@ def base_links(children: DataFrame, bases: DataFrame) -> DataFrame:
     keyed = children.withColumn("key", F.lower("wanted")).withColumn("tail", F.element_at(F.split(F.lower("wanted"), "/"), -1))
     met = keyed.join(repos, "key", "left").join(names, "tail", "left").where("by_repo is not null or by_name is not null")
     return met.select("child_id", F.coalesce("by_repo", "by_name").alias("base_id"), F.when(F.col("by_repo").isNotNull(), F.lit(0.9)).otherwise(F.lit(0.6)).alias("confidence"))
+
+
+def file_groups(files: DataFrame) -> DataFrame:
+    """(size_bytes, sha256, n_files, n_copies, wasted_bytes, shared_bytes, keeper, paths) of files(path, size_bytes, sha256, device, inode, mtime) of equal digests.
+
+    Paths of one file are one copy; what copies beyond the first hold is
+    wasted, what further paths of a copy show is shared. The keeper is the
+    newest, then the one with the shortest path.
+    """
+    place = F.concat_ws(":", F.col("device").cast("string"), F.col("inode").cast("string"))
+    once = files.withColumn("place", place).groupBy("size_bytes", "sha256", "place").agg(F.count("*").alias("n"), F.max(F.struct("mtime", -F.length("path"), "path")).alias("best"), F.collect_list("path").alias("paths"))
+    groups = once.groupBy("size_bytes", "sha256").agg(F.sum("n").alias("n_files"), F.count("*").alias("n_copies"), F.max("best").alias("best"), F.array_sort(F.flatten(F.collect_list("paths"))).alias("paths")).where("n_copies > 1")
+    return groups.select(
+        "size_bytes", "sha256", "n_files", "n_copies", (F.col("size_bytes") * (F.col("n_copies") - 1)).alias("wasted_bytes"), (F.col("size_bytes") * (F.col("n_files") - F.col("n_copies"))).alias("shared_bytes"), F.col("best.path").alias("keeper"), "paths",
+    )
+
+
+def _hashed_assets(files: DataFrame) -> DataFrame:
+    """(asset_id, s, bytes, mtime) of the assets all of whose files(asset_id, sha256, size_bytes, mtime) have a digest."""
+    sets = files.groupBy("asset_id").agg(F.array_sort(F.collect_set("sha256")).alias("s"), F.sum("size_bytes").alias("bytes"), F.max("mtime").alias("mtime"), F.max(F.col("sha256").isNull()).alias("open"))
+    return sets.where("not open").drop("open")
+
+
+def asset_groups(files: DataFrame) -> DataFrame:
+    """(signature, member_count, unit_bytes, wasted_bytes, keeper) of assets with the same set of digests; the keeper is the newest, then the largest, then of the least id."""
+    signed = _hashed_assets(files).select("asset_id", "bytes", "mtime", F.sha2(F.concat_ws("\n", "s"), 256).alias("signature"))
+    groups = signed.groupBy("signature").agg(F.count("*").alias("member_count"), F.max("bytes").alias("unit_bytes"), F.sum("bytes").alias("total"), F.max(F.struct("mtime", "bytes", -F.col("asset_id"))).alias("best")).where("member_count > 1")
+    return groups.select("signature", "member_count", "unit_bytes", (F.col("total") - F.col("best.bytes")).alias("wasted_bytes"), (-F.col("best.col3")).alias("keeper"))
+
+
+def near_assets(files: DataFrame, least: float = 0.9) -> DataFrame:
+    """(left_id, right_id, similarity) of assets whose sets of digests differ and are alike; equal ones stand under their least id."""
+    return similar_sets(_hashed_assets(files).select(F.col("asset_id").alias("id"), F.explode("s").alias("item")), least)
+
+
+def total_waste(files: DataFrame) -> DataFrame:
+    """(wasted_bytes): that of asset groups, and of file groups none of whose files(asset_id, sha256, size_bytes, mtime) lies in an asset of a group."""
+    signed = _hashed_assets(files).select("asset_id", F.sha2(F.concat_ws("\n", "s"), 256).alias("signature"))
+    grouped = signed.join(asset_groups(files).select("signature"), "signature", "left_semi").select("asset_id").withColumn("_in", F.lit(True))
+    marked = files.where("sha256 is not null").join(grouped, "asset_id", "left")
+    alone = marked.groupBy("sha256").agg((F.sum("size_bytes") - F.max("size_bytes")).alias("wasted_bytes"), F.max(F.coalesce("_in", F.lit(False))).alias("seen")).where("not seen").select("wasted_bytes")
+    return asset_groups(files).select("wasted_bytes").unionAll(alone).agg(F.coalesce(F.sum("wasted_bytes"), F.lit(0)).alias("wasted_bytes"))

@@ -10,47 +10,87 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.functions.units import SUFFIXES
+
 #: k1 and b of BM25. Fixed values.
 K1, B = 1.2, 0.75
 
 
+#: Keys of the query language by the facet they stand for. Fixed values.
+ALIASES = {
+    "kind": "kind", "type": "model_type", "modeltype": "model_type", "model_type": "model_type", "dataset": "dataset_format", "datasetformat": "dataset_format", "dataset_format": "dataset_format", "format": "format", "fmt": "format",
+    "framework": "framework", "fw": "framework", "lib": "framework", "library": "framework", "drive": "drive", "disk": "drive", "tag": "tag", "author": "author", "org": "author", "license": "license", "lic": "license",
+    "quant": "quantization", "quantization": "quantization", "q": "quantization",
+}
+KINDS = ("model", "dataset", "adapter", "checkpoint", "paper", "unknown")
+SIZE_KEYS = {"size": "", "bytes": "", "min": ">", "minsize": ">", "min_size": ">", "larger": ">", "bigger": ">", "max": "<", "maxsize": "<", "max_size": "<", "smaller": "<"}
+SPELLED = ("kind", "model_type", "dataset_format", "format", "framework")
+
+
 @dataclass
 class Query:
+    """What a query asks for; unknown holds keys that were taken for text, missing whether missing assets are wanted too."""
+
     terms: list[str] = field(default_factory=list)
     facets: dict[str, list[str]] = field(default_factory=dict)
     not_tags: list[str] = field(default_factory=list)
     sizes: list[tuple[str, float]] = field(default_factory=list)
     year: int | None = None
+    status: str | None = None
+    missing: bool = False
+    unknown: list[str] = field(default_factory=list)
 
     def condition(self, columns: dict[str, str], size: str, modified: str, text: list[str]) -> Column:
-        parts = [F.lower(F.col(columns[k])).isin([v.lower() for v in vs]) for k, vs in self.facets.items()]
+        parts = [F.lower(F.col(columns[k])).isin([v.lower() for v in vs]) for k, vs in self.facets.items() if k in columns]
         for op, n in self.sizes:
             parts.append({">": F.col(size) >= n, "<": F.col(size) <= n, "=": F.col(size).between(n * 0.99, n * 1.01)}[op])
         if self.year:
             parts.append(F.year(modified) == self.year)
+        if self.status and "status" in columns:
+            parts.append(F.col(columns["status"]) == self.status)
         for t in self.terms:
             parts.append(reduce(Column.__or__, [F.col(c).ilike(f"%{t}%") for c in text]))
         return reduce(Column.__and__, parts, F.lit(True))
 
+    def described(self) -> dict:
+        """The parts that restrict anything."""
+        return {k: v for k, v in vars(self).items() if v}
 
-def parse(query: str, facets: tuple[str, ...]) -> Query:
-    """Bare words, ``key:value``, quotes, ``-tag:x``, ``size:>N``, ``min:``/``max:``, ``year:``; unknown keys are text."""
+
+def parse(query: str, facets: tuple[str, ...] = ()) -> Query:
+    """Bare words, ``key:value`` with the keys of ALIASES or ``facets``, quotes, ``-tag:x``, sizes like ``size:>1GB`` and ``min:``/``max:``, ``year:``, ``health:``, ``missing:``; unknown keys are text.
+
+    A kind of asset given as a type is a kind. Negation is for tags; other
+    negated keys are dropped. Never fails: quotes that don't close are letters.
+    """
     out = Query()
-    for word in shlex.split(query):
-        negated, key, value = re.fullmatch(r"(-?)(?:(\w+):)?(.*)", word, re.DOTALL).groups()
-        key = (key or "").lower()
-        if negated and key == "tag":
-            out.not_tags.append(value)
-        elif key in facets and value:
-            out.facets.setdefault(key, []).append(value)
-        elif key in ("size", "min", "max") and (m := re.fullmatch(r"([<>=]?)=?(\d+(?:\.\d+)?)([a-zA-Z]*)", value)):
-            from shelfmark.functions.units import SUFFIXES
-
-            op = {"min": ">", "max": "<"}.get(key, m[1] or "=")
-            out.sizes.append((op, float(m[2]) * SUFFIXES.get(m[3].lower(), 1)))
-        elif key == "year" and value.isdigit() and 1970 <= int(value) <= 2999:
-            out.year = int(value)
-        elif not negated:
+    try:
+        words = shlex.split(query)
+    except ValueError:
+        words = query.split()
+    for word in words:
+        negated, key, value = re.fullmatch(r"(-?)(?:([A-Za-z_]\w*):)?(.*)", word, re.DOTALL).groups()
+        key, given = (key or "").lower(), value.strip()
+        facet = key if key in facets else ALIASES.get(key)
+        if key and not given:
+            continue
+        if key in ("health", "status"):
+            out.status = given.lower()
+        elif key in ("missing", "include_missing"):
+            out.missing = given.lower() in ("1", "true", "yes", "on")
+        elif facet and negated:
+            out.not_tags += [given] * (facet == "tag")
+        elif facet:
+            if facet == "model_type" and given.lower() in KINDS:
+                facet = "kind"
+            spelled = given.lower().replace("-", "_") if facet in SPELLED and key not in facets else given
+            out.facets.setdefault(facet, []).append(spelled)
+        elif key in SIZE_KEYS and (m := re.fullmatch(r"(>=|<=|[<>=])?\s*(\d+(?:\.\d+)?)\s*([a-zA-Z]*)", given)) and m[3].lower() in SUFFIXES:
+            out.sizes.append((SIZE_KEYS[key] or (m[1] or ">")[0], float(m[2]) * SUFFIXES[m[3].lower()]))
+        elif key == "year" and given.isdigit() and 1970 <= int(given) <= 2999:
+            out.year = int(given)
+        elif not negated or not key:
+            out.unknown += [key] if key else []
             out.terms.append(word)
     return out
 

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.units import format_age, format_count, format_duration, parse_size, shorten_path
 from shelfmark.operators import catalogue as C
+from shelfmark.operators import dedup as D
 from shelfmark.operators import health as H
 from shelfmark.operators import recognise as R
+from shelfmark.operators.taxonomy import classified
 from shelfmark.plans.catalogue import query, t
 from shelfmark.plans.export import csv_rows
 from shelfmark.sources.filesystem import sizes
@@ -256,3 +258,37 @@ def distinct_facets(spark, d):
 def suggest(spark, d):
     return C.suggested(t(spark, d, "part"), "p_brand", "brand#1", F.desc("p_retailprice"), "p_partkey", 40)
 
+
+#: Orders as assets, line items as their files: the digest is that of flag and status.
+HASHED = """(SELECT l_orderkey AS asset_id, sha256(l_returnflag || l_linestatus || (l_partkey % 3)) AS sha256, CAST(l_quantity AS BIGINT) AS size_bytes, CAST(l_linenumber AS BIGINT) AS mtime FROM lineitem)"""
+SIGNED = f"s AS (SELECT asset_id, array_to_string(list_sort(list_distinct(list(sha256))), chr(10)) AS s, CAST(sum(size_bytes) AS BIGINT) AS bytes, max(mtime) AS mtime FROM {HASHED} GROUP BY 1)"
+
+
+def hashed_files(spark, d) -> DataFrame:
+    content = F.concat("l_returnflag", "l_linestatus", (F.col("l_partkey") % 3).cast("string"))
+    return t(spark, d, "lineitem").select(F.col("l_orderkey").alias("asset_id"), F.sha2(content, 256).alias("sha256"), F.col("l_quantity").cast("long").alias("size_bytes"), F.col("l_linenumber").cast("long").alias("mtime"))
+
+
+@query(f"""WITH {SIGNED} SELECT sha256(s) AS signature, count(*) AS member_count, max(bytes) AS unit_bytes, CAST(sum(bytes) - arg_max(bytes, (mtime, bytes, -asset_id)) AS BIGINT) AS wasted_bytes, arg_max(asset_id, (mtime, bytes, -asset_id)) AS keeper FROM s GROUP BY s HAVING count(*) > 1""")
+def duplicate_assets(spark, d):
+    return D.asset_groups(hashed_files(spark, d))
+
+
+@query(f"""WITH {SIGNED}, l AS (SELECT id, len(string_split(s, chr(10))) AS n, unnest(string_split(s, chr(10))) AS item FROM (SELECT min(asset_id) AS id, s FROM s GROUP BY s)),
+p AS (SELECT a.id AS left_id, b.id AS right_id, a.n AS n_a, b.n AS n_b, count(*) AS k FROM l a JOIN l b ON a.item = b.item AND a.id < b.id GROUP BY ALL) SELECT left_id, right_id, round(k / (n_a + n_b - k), 4) AS similarity FROM p WHERE k / (n_a + n_b - k) >= 0.7""")
+def near_duplicate_assets(spark, d):
+    return D.near_assets(hashed_files(spark, d), 0.7)
+
+
+@query(f"""WITH {SIGNED}, g AS (SELECT s FROM s GROUP BY s HAVING count(*) > 1), w AS (SELECT sum(bytes) - arg_max(bytes, (mtime, bytes, -asset_id)) AS w FROM s GROUP BY s HAVING count(*) > 1),
+f AS (SELECT sum(size_bytes) - max(size_bytes) AS w FROM {HASHED} GROUP BY sha256 HAVING NOT bool_or(asset_id IN (SELECT asset_id FROM s WHERE s IN (SELECT s FROM g)))) SELECT CAST(coalesce(sum(w), 0) AS BIGINT) AS wasted_bytes FROM (SELECT * FROM w UNION ALL SELECT * FROM f)""")
+def total_waste(spark, d):
+    return D.total_waste(hashed_files(spark, d))
+
+
+@query("""SELECT p_partkey AS asset_id, CASE kind WHEN 'adapter_archive' THEN 'model_archive' WHEN 'model_archive' THEN 'model_archive' WHEN 'media_archive' THEN 'media_archive' WHEN 'training_archive' THEN 'training_archive' WHEN 'code_archive' THEN 'code_archive' WHEN 'archive' THEN 'unknown_archive'
+WHEN 'network_dataset_archive' THEN 'security_archive' WHEN 'host_log_dataset_archive' THEN 'security_archive' WHEN 'malware_dataset_archive' THEN 'security_archive' ELSE 'dataset_archive' END AS category FROM part JOIN (VALUES """ + ", ".join(f"({i}, '{k}')" for i, (k, _, _) in enumerate(LISTINGS)) + f") v(i, kind) ON p_partkey % {len(LISTINGS)} = i")
+def archive_categories(spark, d):
+    """The kinds that listings show, as categories of the taxonomy."""
+    profiles = t(spark, d, "part").select(F.col("p_partkey").alias("asset_id"), F.lit("archive").alias("kind"), chosen([k for k, _, _ in LISTINGS], F.col("p_partkey")).alias("subkind"), F.lit("x").alias("name"))
+    return classified(profiles).select("asset_id", "category")

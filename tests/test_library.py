@@ -55,3 +55,31 @@ def test_further_detectors(spark):
     coco = recognise.coco_folders(spark.createDataFrame([("a/co/annotations/instances_val.json", "num_images", "3")], "path string, key string, value string"))
     found = {r["path"]: r["detector"] for r in recognise.detected(profiles, recognise.mot_folders(profiles), coco).collect()}
     assert found == {"a/proj": "ai_project", "a/ls": "label_studio", "a/mot": "mot", "a/pd": "paddle_inference", "a/mlx": "mlx", "a/bdd_x": "bdd100k", "a/vid": "media_collection", "a/co": "coco", "a/ic": "image_classification"}
+
+
+def test_later_scans_keep_what_did_not_change(spark, tmp_path):
+    out, root, other = str(tmp_path / "cat"), tmp_path / "in", tmp_path / "else"
+    for name in ("a", "b", "c"):
+        (root / name).mkdir(parents=True)
+        (root / name / "config.json").write_text('{"model_type": "bert"}')
+        (root / name / "model.safetensors").write_bytes(b"x" * 2000)
+    other.mkdir()
+    (other / "z.gguf").write_bytes(b"z" * 3000)
+    first = {r["name"]: r for r in library.scan(spark, [str(root), str(other)], out).collect()}
+    assert {r["action"] for r in first.values()} == {"inserted"} and first["a"]["health_score"] == 100
+    assert library.duplicates(spark, out, 1000).first()["n_copies"] == 3
+    groups, near = library.duplicate_assets(spark, out, 1000)
+    assert groups.first()["member_count"] == 3 and near.count() == 0
+    (root / "b" / "model.safetensors").write_bytes(b"y" * 2001)
+    (root / "c" / "model.safetensors").unlink()
+    (root / "c" / "config.json").unlink()
+    later = {r["name"]: r for r in library.scan(spark, [str(root)], out).collect()}
+    assert {n: r["action"] for n, r in later.items()} == {"a": "unchanged", "b": "updated", "c": "missing", "else": "kept"}
+    assert {n: r["asset_id"] for n, r in later.items()} == {n: r["asset_id"] for n, r in first.items()}
+    files = {r["path"].removeprefix(str(tmp_path)): r for r in library.table(spark, out, "files").collect()}
+    assert files["/in/a/model.safetensors"]["sha256"] and files["/in/b/model.safetensors"]["sha256"] is None and "/else/z.gguf" in files and "/in/c/config.json" not in files
+    assert [r["name"] for r in library.search(spark, out, "kind:model size:>1k missing:false").collect()] == ["else", "b", "a"]
+    assert library.search(spark, out, "missing:true c").count() >= 1 and library.locate(spark, out, "IN/B").first()["name"] == "b"
+    assert library.table(spark, out, "roots").count() == 2 and library.candidates(spark, [str(tmp_path)], out).where("dir like '%/in/%'").count() == 0
+    for words in (["status"], ["health"], ["search", "kind:model"], ["where", "b"], ["show", str(root / "b")], ["discover", str(root)]):
+        assert main(["--catalog", out, *words], spark) == 0
