@@ -56,6 +56,9 @@ PIVOTS = 4
 #: Width of the cells in which distances to a bucket's least member are compared.
 CELL = 1 - SIMILARITY
 
+#: Bits of the map of hashed ids that keeps most texts without candidates out of the shuffle: 8 MiB at most are broadcast.
+MAP_BITS = 1 << 26
+
 #: Bytes of text whose shingles are made together.
 SHINGLE_BYTES = 4_000_000
 
@@ -225,10 +228,28 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, words binary, shingles array<bigint>")
 
 
+def narrowed(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs(doc_id, ...) without most of the rows whose doc_id isn't in ids(doc_id), and with all whose is; nothing is shuffled but the hashes of ids.
+
+    A bitmap of MAP_BITS hashed ids is broadcast. Where ids are many more than
+    its bits it fills up and keeps every row, so an exact join has to follow.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS))
+    maps = ids.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    at = F.bitmap_bit_position(place).cast("int")
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("long")
+    return docs.join(F.broadcast(maps), F.bitmap_bucket_number(place) == F.col("bucket")).where(F.getbit(byte, at.bitwiseAND(F.lit(7))) == 1).select(*docs.columns)
+
+
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs(a, b) with their similarity; both sides' shingles meet in two joins, which Spark splits where one document has many pairs."""
+    """pairs(a, b) with their similarity; both sides' shingles meet in two joins, which Spark splits where one document has many pairs.
+
+    Pairs are written first: where they are few, Spark knows so and brings them
+    to the sets, and only sets of paired documents are shuffled.
+    """
+    pairs = written(pairs, "pairs")
     a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a"))
-    b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b"))
+    b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b")).join(pairs.select("b"), "b", "left_semi")
     met = pairs.join(a, "a").join(b, "b")
     shared = F.size(F.array_intersect("of_a", "of_b"))
     return met.select("a", "b", (shared / (F.size("of_a") + F.size("of_b") - shared)).alias("similarity"))
@@ -278,9 +299,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     entries = reps.select("doc_id", F.explode("keys").alias("key"))
     buckets = written(entries.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least"), "buckets")
     members = written(entries.join(buckets, "key"), "members")
+    dropped(buckets)
     stars = members.where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
-    wanted = members.select("doc_id").distinct()
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
+    wanted = written(members.select("doc_id").distinct(), "wanted")
+    texts = narrowed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), wanted).join(wanted, "doc_id", "left_semi")
     sets = written(shingle_sets(texts).dropDuplicates(["doc_id", "words"]).drop("words"), "sets")
     starred = written(measured(stars, sets), "starred")
     found = components(starred.where(F.col("similarity") >= similarity).select("a", "b"))
@@ -292,6 +314,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         pairs = placed.join(mixed, "key").where("class_id <> class_b").select(F.col("doc_id").alias("a"), "b").distinct()
         classes = _merged(classes, measured(pairs, sets).where(F.col("similarity") >= similarity).select("a", "b"))
     classes = _merged(classes, _across(members, starred, classes, sets, reps.select("doc_id", "keys"), similarity))
+    dropped(members, sets, starred)
     # classes of the representatives, then of all rows
     final = equal.join(classes.withColumnRenamed("doc_id", "rep"), "rep", "left").select("words", F.coalesce("class_id", "rep").alias("class_id"))
     return sketches.join(final, "words", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
@@ -332,7 +355,9 @@ def _across(members: DataFrame, starred: DataFrame, classes: DataFrame, sets: Da
     alike = agreeing(F.col("fine_a"), F.col("fine_b")) >= LEAST_FINE
     on = (F.col("key") == F.col("key_b")) & (F.col("cell") == F.col("cell_b")) & (F.col("class_a") != F.col("class_b")) & near & once & first & alike
     pairs = left.join(right, on).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    return measured(pairs, sets).where(F.col("similarity") >= similarity).select("a", "b")
+    edges = written(measured(pairs, sets).where(F.col("similarity") >= similarity).select("a", "b"), "edges")
+    dropped(placed, fine)
+    return edges
 
 
 def op8_dart_minhash(spark, sf_dir: str) -> DataFrame:

@@ -321,3 +321,13 @@ def test_stages_keep_what_they_promise(spark, tiny):
     assert mix.columns == docs.columns and set(ids(mix)) <= {1, 2, 5} and max(Counter(ids(mix)).values()) <= 6
     encoded = {r["doc_id"]: r["n_tokens"] for r in stages["bpe_encoding"](spark, docs, tiny).collect()}
     assert encoded[3] == encoded[4] == 0 and encoded[5] > 10_000
+
+
+def test_narrowed_keeps_every_wanted_row(spark, monkeypatch):
+    rows = spark.range(-20_000, 20_000).selectExpr("id as doc_id", "cast(id as string) as text").unionAll(spark.createDataFrame([(None, "x")], "doc_id bigint, text string"))
+    wanted = spark.range(-20_000, 20_000, 40).selectExpr("id as doc_id")
+    kept = {r.doc_id for r in dartminhash.narrowed(rows, wanted).collect()}
+    assert {r.doc_id for r in wanted.collect()} <= kept and len(kept) < 1_100
+    assert dartminhash.narrowed(rows, wanted.limit(0)).isEmpty()
+    monkeypatch.setattr(dartminhash, "MAP_BITS", 64)  # a full map keeps everything
+    assert {r.doc_id for r in dartminhash.narrowed(rows, wanted).collect()} >= set(range(-20_000, 20_000))
