@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfmark import library
 from shelfmark.plans.export import export
+from shelfmark.sources import stores
 from shelfmark.sources.headers import facts
 
 
@@ -67,7 +68,11 @@ def main(words: list[str] | None = None, spark: SparkSession | None = None) -> i
         library.duplicates(spark, args.catalog, args.least).orderBy(F.desc("wasted_bytes"), "sha256").show(50, truncate=False)
     else:
         files = library.table(spark, args.catalog, "files").where(F.col("error").isNull() & F.startswith("path", F.lit(args.under)))
-        facts(files).orderBy("path", "seq").show(200, truncate=False)
+        # folders of assets are the roots of their datasets
+        inside = files.join(library.present(spark, args.catalog).select("asset_id", F.col("path").alias("root")), "asset_id").select("root", "path")
+        found = facts(files).unionByName(stores.hub_caches(files.select("path", F.col("size_bytes").alias("size"), "mtime"))).unionByName(stores.ollama_models(files.select("path", F.col("size_bytes").alias("size"))))
+        found = found.unionByName(stores.yolo_datasets(inside)).unionByName(stores.voc_datasets(inside))
+        found.orderBy("path", "seq").show(200, truncate=False)
     return 0
 
 

@@ -10,6 +10,7 @@ from shelfmark.operators.catalogue import carry_over, fingerprints, mark_missing
 from shelfmark.operators.health import file_summary, findings, health, statistics
 from shelfmark.operators.recognise import coco_folders, detected, directory_profiles, discovered, mot_folders, name_of
 from shelfmark.operators.search import Query, parse
+from shelfmark.operators.security import security_hits, table_families
 from shelfmark.operators.taxonomy import classified, resolve
 from shelfmark.sources.filesystem import full_digests, quick_signatures, walk
 from shelfmark.sources.headers import facts
@@ -86,7 +87,10 @@ def scan(spark: SparkSession, roots: list[str], folder: str, exclude: str = "")
         walked = spark.read.parquet(place)
         read = walked.where("error is null")
         profiles = directory_profiles(read.select("path", "size_bytes"))
-        hits = detected(profiles, mot_folders(profiles), coco_folders(facts(read)))
+        listed = read.select("path", "size_bytes")
+        security = security_hits(listed, table_families(listed))
+        security = security.join(_below(security.select("path").distinct(), here.select(F.regexp_replace("root", "/[^/]*$", "").alias("root"))), "path", "left_semi")
+        hits = detected(profiles, mot_folders(profiles), coco_folders(facts(read)), security)
         place = yield "hits", hits.withColumn("asset_id", F.xxhash64("path"))
         hits = spark.read.parquet(place)
         owned = owners(read.select("path"), hits.select(F.col("path").alias("root")))

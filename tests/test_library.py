@@ -15,9 +15,13 @@ def test_scan_report_and_export(spark, tmp_path, capsys):
     (models / "model.safetensors").write_bytes(b"x" * 2000)
     for i in range(3):
         (data / f"{i}.csv").write_bytes(b"y" * 300_000)
+    (tmp_path / "in" / "caps").mkdir()
+    for i in range(3):
+        (tmp_path / "in" / "caps" / f"{i}.pcap").write_text(str(i))
     assert main(["--catalog", out, "scan", str(tmp_path / "in")], spark) == 0
     rows = {r["name"]: r for r in library.inventory(spark, out).collect()}
     assert rows["bert-base"]["category"] == "embedding" and rows["bert-base"]["n_files"] == 2 and rows["bert-base"]["size_bytes"] == 2022
+    assert rows["caps"]["detector"] == "cybersecurity_dataset" and len(rows) == 3
     assert rows["corpus"]["kind"] == "dataset" and rows["corpus"]["size_bytes"] == 900_000
     assert [r["name"] for r in library.inventory(spark, out, "models").collect()] == ["bert-base"]
     with pytest.raises(ValueError):
