@@ -88,8 +88,7 @@ def scan(spark: SparkSession, roots: list[str], folder: str, exclude: str = "")
         read = walked.where("error is null")
         profiles = directory_profiles(read.select("path", "size_bytes"))
         listed = read.select("path", "size_bytes")
-        security = security_hits(listed, table_families(listed))
-        security = security.join(_below(security.select("path").distinct(), here.select(F.regexp_replace("root", "/[^/]*$", "").alias("root"))), "path", "left_semi")
+        security = security_hits(listed, table_families(listed)).where(F.exists(F.array(*[F.lit(r.rstrip("/")) for r in roots]), lambda r: F.startswith("path", r) & F.substring(F.col("path"), F.length(r) + 1, F.lit(1)).isin("", "/")))
         hits = detected(profiles, mot_folders(profiles), coco_folders(facts(read)), security)
         place = yield "hits", hits.withColumn("asset_id", F.xxhash64("path"))
         hits = spark.read.parquet(place)
