@@ -10,6 +10,7 @@ from shelfmark.llm.huffman import op1_huffman_token_file
 from shelfmark.llm.mixing import SQL as MIXING_SQL
 from shelfmark.llm.mixing import op10_fair_queue_mix
 from shelfmark.llm.secretscan import op6_crf_secrets
+from shelfmark.llm.tokencounts import op12_overlap_token_counts
 from shelfmark.llm.topk import SQL as TOPK_SQL
 from shelfmark.llm.topk import op5_tiled_top_k
 from shelfmark.llm.toxicity import op4_lexicon_toxicity
@@ -28,6 +29,7 @@ QUERIES = {
         op8_dart_minhash,
         op9_hmm_likelihood,
         op10_fair_queue_mix,
+        op12_overlap_token_counts,
     )
 }
 
