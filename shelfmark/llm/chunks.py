@@ -40,7 +40,20 @@ def coded_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return words, numbers, offsets
 
 
-def encoded_blocks(texts: pa.Array, encode: Callable[[list[str]], list[bytes]]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def spaced_pieces(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """As distinct_chunks(), for pieces that together are the whole text: it is cut before each space between two ASCII characters that aren't white space."""
+    whole = pc.fill_null(pa.concat_arrays([texts]).cast(pa.large_string()), "")
+    _, offsets, data = whole.buffers()
+    ends = np.frombuffer(offsets, np.int64)[whole.offset : whole.offset + len(whole) + 1]
+    octets = np.frombuffer(data, np.uint8)[: ends[-1]] if data is not None else np.empty(0, np.uint8)
+    plain = (octets > 0x20) & (octets < 0x7F)
+    cuts = np.flatnonzero((octets[1:-1] == 0x20) & plain[:-2] & plain[2:]) + 1 if len(octets) > 2 else []
+    bounds = np.union1d(ends, np.asarray(cuts, np.int64)[np.asarray(cuts, np.int64) > ends[0]])
+    coded = pa.Array.from_buffers(pa.large_string(), len(bounds) - 1, [None, pa.py_buffer(bounds), data]).dictionary_encode()
+    return coded.dictionary.to_pylist(), np.asarray(coded.indices, np.int32), np.searchsorted(bounds, ends)
+
+
+def encoded_blocks(texts: pa.Array, encode: Callable[[list[str]], list[bytes]], split=distinct_chunks) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(begin, end, ids, offsets) of ranges of texts: the ids of their texts one behind the other, and where each text's begin and end.
 
     ``encode`` gets the distinct chunks of WIDE_BYTES of text at a time, and
@@ -48,7 +61,7 @@ def encoded_blocks(texts: pa.Array, encode: Callable[[list[str]], list[bytes]])
     """
     for i, j in blocks(texts, WIDE_BYTES):
         wide = texts.slice(i, j - i)
-        chunks, numbers, places = distinct_chunks(wide)
+        chunks, numbers, places = split(wide)
         ids = encode(chunks)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), "<u4")

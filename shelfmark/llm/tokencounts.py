@@ -30,14 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.bpe import tokenizer_text
-from shelfmark.llm.chunks import blocks
+from shelfmark.llm.chunks import encoded_blocks, spaced_pieces
 from shelfmark.llm.common import table, written
 
 #: Code points of a chunk, and by how many the next one is overlapped.
 CHUNK, OVERLAP = 16_384, 512
 
-#: Bytes of text that are encoded in one call.
-BATCH_BYTES = 4_000_000
+#: Pieces of texts that are encoded in one call.
+PIECES = 10_000
 
 #: Code points beyond a match that the pre-tokeniser may look at.
 LOOKED_AT = 3
@@ -51,8 +51,8 @@ def guard_of(tokenizer_json: str) -> int:
     before = spec.get("pre_tokenizer") or {}
     if spec.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
         raise ValueError("boundaries are proven for byte-level tokenizers without a normaliser and prefix space only")
-    if spec.get("truncation") or spec.get("padding") or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
-        raise ValueError("truncation, padding and added tokens that take in white space aren't supported")
+    if spec.get("truncation") or spec.get("padding") or any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in spec["added_tokens"]):
+        raise ValueError("truncation, padding and added tokens that hold or take in white space aren't supported")
     return max([0, *(len(t["content"]) for t in spec["added_tokens"])]) + LOOKED_AT
 
 
@@ -79,7 +79,11 @@ def boundaries(encoding) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cut(docs: DataFrame, shared, chunk: int, overlap: int, with_ids: bool) -> DataFrame:
-    """Texts of up to chunk + overlap code points encoded whole, longer ones as chunks with their text."""
+    """Texts of up to chunk + overlap code points with their tokens, longer ones as chunks with their text.
+
+    A space between two characters that aren't white space begins a pre-token
+    always, so short texts are encoded by the distinct pieces between such.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"rid bigint, doc_id {kind}, n_bytes bigint, part bigint, next bigint, begin bigint, own bigint, text string, n_tokens bigint, ids binary"
     kinds = docs.sparkSession.createDataFrame([], schema).schema
@@ -89,6 +93,9 @@ def _cut(docs: DataFrame, shared, chunk: int, overlap: int, with_ids: bool) -> D
 
         arrow, encoder = to_arrow_schema(kinds), encoder_of(shared.value)
 
+        def encode_pieces(pieces):
+            return [packed(e.ids) for i in range(0, len(pieces), PIECES) for e in encoder.encode_batch_fast(pieces[i : i + PIECES], add_special_tokens=False)]
+
         def rows(columns):
             return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
@@ -99,11 +106,10 @@ def _cut(docs: DataFrame, shared, chunk: int, overlap: int, with_ids: bool) -> D
             small = np.asarray(points) <= chunk + overlap
             short = pa.array(np.flatnonzero(small))
             whole = texts.take(short)
-            for i, j in blocks(whole, BATCH_BYTES):
-                found = encoder.encode_batch_fast(whole.slice(i, j - i).to_pylist(), add_special_tokens=False)
+            for i, j, tokens, ends in encoded_blocks(whole, encode_pieces, spaced_pieces):
                 at, n = short.slice(i, j - i), j - i
-                values = [packed(e.ids) for e in found] if with_ids else [None] * n
-                yield rows([rids.take(at), ids.take(at), octets.take(at), [0] * n, [None] * n, [0] * n, points.take(at).cast(pa.int64()), [None] * n, [len(e) for e in found], values])
+                values = [tokens[a:b].tobytes() for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)] if with_ids else [None] * n
+                yield rows([rids.take(at), ids.take(at), octets.take(at), [0] * n, [None] * n, [0] * n, points.take(at).cast(pa.int64()), [None] * n, np.diff(ends), values])
             for i in np.flatnonzero(~small).tolist():
                 text, size = texts[i].as_py(), points[i].as_py()
                 parts = -(-(size - overlap) // chunk)

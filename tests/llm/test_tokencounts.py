@@ -66,3 +66,15 @@ def test_empty_tables_and_other_tokenizers(spark):
         tokencounts.counted(none, bpe.word_bpe_path())
     with pytest.raises(ValueError, match="overlap"):
         tokencounts.counted(none, tokencounts.byte_bpe_path(), 10, 20)
+
+
+def test_pieces_make_the_whole_text(texts):
+    import pyarrow as pa
+
+    from shelfmark.llm.chunks import spaced_pieces
+
+    array = pa.array([*texts, " a b", "a b ", " ", "é a b é", "x  y z"])
+    for part in (array, array.slice(3, 20), array.slice(1, 1), pa.array([], pa.string())):
+        pieces, numbers, places = spaced_pieces(part)
+        assert ["".join(pieces[k] for k in numbers[a:b]) for a, b in zip(places, places[1:], strict=False)] == [t or "" for t in part.to_pylist()]
+    assert {" b", "x  y", " z"} <= set(spaced_pieces(array)[0])
