@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.operators import dedup
-from shelfmark.operators.catalogue import carry_over, fingerprints, mark_missing, owners, summary
+from shelfmark.operators.catalogue import carry_over, fingerprints, owners, summary
 from shelfmark.operators.health import file_summary, findings, health, statistics
 from shelfmark.operators.recognise import coco_folders, detected, directory_profiles, discovered, mot_folders, name_of
 from shelfmark.operators.search import Query, parse
@@ -14,6 +17,7 @@ from shelfmark.operators.security import security_hits, table_families
 from shelfmark.operators.taxonomy import classified, resolve
 from shelfmark.sources.filesystem import full_digests, quick_signatures, walk
 from shelfmark.sources.headers import facts
+from shelfmark.sources.versions import Draft, Store
 
 #: Columns that reports may be sorted by; bytes where another is asked for.
 SORTS = {"size": "size_bytes", "files": "n_files", "name": "name", "date": "modified_at", "category": "category", "kind": "kind", "health": "health_score"}
@@ -21,113 +25,125 @@ SORTS = {"size": "size_bytes", "files": "n_files", "name": "name", "date": "modi
 #: Columns of assets that a search looks at, by the names of the query language.
 SEARCHED = {"kind": "kind", "category": "category", "family": "family", "detector": "detector", "health": "health_status", "status": "health_status"}
 
-DONE = "_DONE"
+def under(paths: list[str], column: str = "path") -> Column:
+    """Whether a path is one of these or lies below it; Spark pushes it down to the files of a table."""
+    path = F.col(column)
+    return reduce(Column.__or__, [(path == p) | path.startswith("/" if p == "/" else f"{p}/") for p in paths], F.lit(False))
 
 
-def _versions(spark: SparkSession, folder: str):
-    """(Hadoop's file system, its path of the folder, numbers of whole versions)."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(f"{folder}/versions")
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
-    at = lambda *parts: jvm.org.apache.hadoop.fs.Path("/".join([root.toString(), *parts]))
-    return fs, at, sorted(int(n) for n in names if n.isdigit() and fs.exists(at(n, DONE)))
+def owner_key(rows: DataFrame) -> Column:
+    """What a row of files, facts or warnings is dealt into buckets by: its asset, else its folder."""
+    return F.coalesce("asset_id", F.xxhash64(F.regexp_replace("path", "/[^/]*$", ""))) if "asset_id" in rows.columns else F.xxhash64("path")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table (files, assets, roots) of the last whole version; ValueError where there is none."""
-    _, at, whole = _versions(spark, folder)
-    if not whole:
-        raise ValueError(f"no catalogue in {folder}")
-    return spark.read.parquet(at(str(whole[-1]), name).toString())
-
+    """A table (files, assets, facts, warnings, roots) of the last whole version; ValueError where there is none.
 
-def _publish(spark: SparkSession, folder: str, tables) -> None:
-    """Writes a version, table by table in the order given, and marks it as whole at last.
-
-    ``tables`` yields (name, frame); a later one may read those before by the
-    path it is sent. A failure leaves the last version as it was. Of older
-    versions the one before stays, for readers that are at it.
+    The action of an asset that the last scan didn't look at is ``kept``.
     """
-    fs, at, whole = _versions(spark, folder)
-    number = str((whole[-1] if whole else 0) + 1)
-    fs.delete(at(number), True)  # what a failed write left
-    made = next(tables)
-    while made:
-        name, frame = made
-        frame.write.parquet(at(number, name).toString())
-        try:
-            made = tables.send(at(number, name).toString())
-        except StopIteration:
-            made = None
-    fs.create(at(number, DONE)).close()
-    for old in whole[:-1]:
-        fs.delete(at(str(old)), True)
+    store = Store(spark, folder)
+    rows = store.table(name)
+    if name == "assets" and "version" in rows.columns:
+        rows = rows.withColumn("action", F.when(F.col("version") == store.manifest().applied.get("scan", 0), F.col("action")).otherwise("kept")).drop("version")
+    return rows
 
 
 def scan(spark: SparkSession, roots: list[str], folder: str, exclude: str = "") -> DataFrame:
-    """Walks the roots, writes a new version of the tables files, assets and roots, and returns the assets.
+    """Walks the roots, publishes what became of them, and returns the assets.
 
     A file belongs to the innermost asset above it; an asset's id follows from
     its path, so it is the same in each scan. Digests of files whose size and
-    time of change are those of the last scan are kept. ``action`` tells what became
-    of an asset: inserted, updated or unchanged by its fingerprint, missing if it
-    was below a root and isn't there any more, kept if it is elsewhere. Folders
-    that can't be read stay in files with their error.
+    time of change are those of the last scan are kept, and facts of their
+    headers aren't read again. ``action`` tells what became of an asset:
+    inserted, updated or unchanged by its fingerprint, missing if it was below
+    a root and isn't there any more, kept if it is elsewhere. Folders that
+    can't be read stay in files with their error, and among the warnings.
     """
-    known = bool(_versions(spark, folder)[2])
-    old_files, old_assets = (table(spark, folder, "files"), table(spark, folder, "assets")) if known else (None, None)
-    here = spark.createDataFrame([(r.rstrip("/"),) for r in roots], "root string")
-
-    def tables():
-        none = F.lit(None).cast("string")
-        seen = walk(spark, ",".join(roots), exclude=exclude)
-        seen = carry_over(seen, old_files, ("path",)) if known else seen.withColumns({"quick_sig": none, "sha256": none})
-        place = yield "walked", seen
-        walked = spark.read.parquet(place)
-        read = walked.where("error is null")
-        profiles = directory_profiles(read.select("path", "size_bytes"))
-        listed = read.select("path", "size_bytes")
-        security = security_hits(listed, table_families(listed)).where(F.exists(F.array(*[F.lit(r.rstrip("/")) for r in roots]), lambda r: F.startswith("path", r) & F.substring(F.col("path"), F.length(r) + 1, F.lit(1)).isin("", "/")))
-        hits = detected(profiles, mot_folders(profiles), coco_folders(facts(read)), security)
-        place = yield "hits", hits.withColumn("asset_id", F.xxhash64("path"))
-        hits = spark.read.parquet(place)
-        owned = owners(read.select("path"), hits.select(F.col("path").alias("root")))
-        files = walked.join(owned, "path", "left").withColumn("asset_id", F.when(F.col("owner").isNotNull(), F.xxhash64("owner")))
-        files = files.withColumn("relpath", F.substring("path", F.length("owner") + 2, F.length("path"))).drop("owner")
-        if known:
-            gone = old_files.join(walked.select("path"), "path", "left_anti").join(_below(old_files.select("path").distinct(), here), "path", "left_anti")
-            files = files.unionByName(gone, allowMissingColumns=True)
-        place = yield "files", files
-        mine = spark.read.parquet(place).join(hits.select("asset_id"), "asset_id", "left_semi").where("error is null")
-        sizes = mine.groupBy("asset_id").agg(F.sum("size_bytes").alias("size_bytes"), F.count("*").alias("n_files"), F.timestamp_seconds(F.max("mtime")).alias("modified_at"))
-        prints = fingerprints(mine, "asset_id", [F.col("relpath"), F.col("size_bytes"), F.floor("mtime")])
-        described = hits.join(profiles.withColumnRenamed("dir", "path").withColumnRenamed("n_files", "file_count").drop("bytes"), "path").withColumn("name", name_of(F.col("path")))
-        categories = classified(described)
-        judged = described.select("asset_id", "kind", "name").join(file_summary(mine.select("asset_id", "relpath", "size_bytes")), "asset_id", "left")
-        assets = described.select("asset_id", "path", "name", "kind", "detector").join(sizes, "asset_id", "left").join(prints, "asset_id", "left").join(categories, "asset_id")
-        marks = health(judged).select("asset_id", F.col("score").alias("health_score"), F.col("status").alias("health_status"))
-        codes = findings(judged).groupBy("asset_id").agg(F.array_sort(F.collect_list("code")).alias("health_findings"))
-        assets = assets.join(marks, "asset_id").join(codes, "asset_id", "left").join(statistics(judged), "asset_id").na.fill(0, ["size_bytes", "n_files"]).withColumn("is_missing", F.lit(False))
-        if known:
-            before = old_assets.select("asset_id", F.col("fingerprint").alias("_was"), F.lit(True).alias("_known"))
-            assets = assets.join(before, "asset_id", "left").withColumn("action", F.when(F.col("_known").isNull(), "inserted").when(F.col("fingerprint").eqNullSafe(F.col("_was")), "unchanged").otherwise("updated")).drop("_was", "_known")
-            rest = mark_missing(old_assets.join(hits.select("asset_id"), "asset_id", "left_anti"), hits.select("path"), here)
-            rest = rest.withColumn("action", F.when(F.col("is_missing"), "missing").otherwise("kept"))
-            assets = assets.unionByName(rest, allowMissingColumns=True)
-        else:
-            assets = assets.withColumn("action", F.lit("inserted"))
-        yield "assets", assets
-        scanned = here.withColumn("scanned_at", F.current_timestamp())
-        yield "roots", table(spark, folder, "roots").join(here, "root", "left_anti").unionByName(scanned) if known else scanned
-
-    _publish(spark, folder, tables())
+    rescan(spark, folder, roots, exclude, add_roots=True)
     return table(spark, folder, "assets")
 
 
-def _below(paths: DataFrame, roots: DataFrame) -> DataFrame:
-    """(path) of the paths below a root."""
-    return owners(paths, roots).select("path")
+def rescan(spark: SparkSession, folder: str, targets: list[str], exclude: str = "", stream: str | None = None, batch: int = 0, add_roots: bool = False) -> bool:
+    """Brings what lies at or below the targets up to date; True if that made a version.
+
+    Only buckets with rows of the targets, before or now, are rewritten, each
+    in one version of all tables. With ``stream``, a batch up to the last one
+    that went in changes nothing: the version names it.
+    """
+    store = Store(spark, folder)
+    draft, targets = store.draft(), [t.rstrip("/") or "/" for t in targets]
+    known = draft.before.number > 0
+    if not targets or stream is not None and draft.before.applied.get(stream, -1) >= batch:
+        return False
+    here = lambda column="path": under(targets, column)
+    old = {name: store.table(name).where(here()) for name in ("files", "facts", "warnings", "assets")} if known else {}
+    seen = walk(spark, ",".join(targets), exclude=exclude).where(~(F.col("path").isin(targets) & F.col("error").eqNullSafe(F.lit("FileNotFoundError"))))
+    none = F.lit(None).cast("string")
+    seen = carry_over(seen, old["files"], ("path",)) if known and old["files"].columns else seen.withColumns({"quick_sig": none, "sha256": none})
+    walked = draft.scratch("walked", seen)
+    found = _recognised(draft, walked, here, old)
+    number = F.lit(draft.number)
+    assets = found["assets"].withColumn("version", number)
+    if known:
+        before = old["assets"].select("asset_id", F.col("fingerprint").alias("_was"), F.lit(True).alias("_known"))
+        assets = assets.join(before, "asset_id", "left").withColumn("action", F.when(F.col("_known").isNull(), "inserted").when(F.col("fingerprint").eqNullSafe(F.col("_was")), "unchanged").otherwise("updated")).drop("_was", "_known")
+        gone = old["assets"].join(found["assets"].select("asset_id"), "asset_id", "left_anti").withColumns({"is_missing": F.lit(True), "action": F.lit("missing"), "version": number})
+        assets = assets.unionByName(gone, allowMissingColumns=True)
+    else:
+        assets = assets.withColumn("action", F.lit("inserted"))
+    fresh = {"files": found["files"], "facts": found["facts"], "warnings": found["warnings"], "assets": assets}
+    tables = {}
+    for name, rows in fresh.items():
+        rows = draft.scratch(f"new_{name}", rows)
+        key = F.col("asset_id") if name == "assets" else owner_key(rows)
+        touched = rows.select(draft.bucket(key).alias("b"))
+        if known and old[name].columns:
+            touched = touched.union(old[name].select(draft.bucket(key).alias("b")))
+        buckets = {r["b"] for r in touched.distinct().collect()}  # as many as there are buckets, at most
+        if known and old[name].columns:
+            rows = rows.unionByName(store.table(name, buckets).where(~here()), allowMissingColumns=True)
+        tables[name] = (rows, key, buckets)
+    applied = {"scan": draft.number} | ({stream: batch} if stream is not None else {})
+    if add_roots:
+        scanned = spark.createDataFrame([(r,) for r in targets], "root string").withColumns({"enabled": F.lit(True), "scanned_at": F.current_timestamp()})
+        tables["roots"] = (store.table("roots").where(~F.col("root").isin(targets)).unionByName(scanned) if known else scanned, F.lit(0), None)
+    draft.publish(tables, applied)
+    return True
+
+
+def _recognised(draft: Draft, walked: DataFrame, here: Callable[..., Column], old: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables files, facts, warnings and assets of walked files; nothing above ``here`` is an asset."""
+    read = walked.where("error is null")
+    listed = read.select("path", "size_bytes")
+    profiles = draft.scratch("profiles", directory_profiles(listed).where(here("dir")))
+    # a file that is as it was isn't opened again
+    asked = read.select("path", "size_bytes", "mtime")
+    if old and old["facts"].columns:
+        same = old["files"].select("path", "size_bytes", "mtime")
+        news = facts(asked.join(same, ["path", "size_bytes", "mtime"], "left_anti")).unionByName(old["facts"].drop("asset_id").join(asked.join(same, ["path", "size_bytes", "mtime"]).select("path"), "path", "left_semi"))
+    else:
+        news = facts(asked)
+    news = draft.scratch("facts", news)
+    security = security_hits(listed, table_families(listed))
+    hits = detected(profiles, mot_folders(profiles), coco_folders(news), security).where(here())
+    hits = draft.scratch("hits", hits.withColumn("asset_id", F.xxhash64("path")))
+    owned = owners(walked.select("path"), hits.select(F.col("path").alias("root")))
+    files = walked.join(owned, "path", "left").withColumn("asset_id", F.when(F.col("owner").isNotNull(), F.xxhash64("owner")))
+    files = draft.scratch("files", files.withColumn("relpath", F.substring("path", F.length("owner") + 2, F.length("path"))).drop("owner"))
+    mine = files.where("error is null and asset_id is not null")
+    sizes = mine.groupBy("asset_id").agg(F.sum("size_bytes").alias("size_bytes"), F.count("*").alias("n_files"), F.timestamp_seconds(F.max("mtime")).alias("modified_at"))
+    prints = fingerprints(mine, "asset_id", [F.col("relpath"), F.col("size_bytes"), F.floor("mtime")])
+    described = hits.join(profiles.withColumnRenamed("dir", "path").withColumnRenamed("n_files", "file_count").drop("bytes"), "path").withColumn("name", name_of(F.col("path")))
+    described = draft.scratch("described", described)
+    summary_of = draft.scratch("summaries", described.select("asset_id", "kind", "name").join(file_summary(mine.select("asset_id", "relpath", "size_bytes")), "asset_id", "left"))
+    marks = health(summary_of).select("asset_id", F.col("score").alias("health_score"), F.col("status").alias("health_status"))
+    codes = findings(summary_of).groupBy("asset_id").agg(F.array_sort(F.collect_list("code")).alias("health_findings"))
+    assets = described.select("asset_id", "path", "name", "kind", "detector").join(sizes, "asset_id", "left").join(prints, "asset_id", "left").join(classified(described), "asset_id")
+    assets = assets.join(marks, "asset_id").join(codes, "asset_id", "left").join(statistics(summary_of), "asset_id").na.fill(0, ["size_bytes", "n_files"]).withColumn("is_missing", F.lit(False))
+    known_facts = news.join(files.select("path", "asset_id"), "path")
+    unread = files.where("error is not null").select("path", "asset_id", F.lit("unreadable").alias("code"), F.col("error").alias("message"))
+    wrong = known_facts.where("key = 'error'").select("path", "asset_id", F.lit("header").alias("code"), F.col("value").alias("message"))
+    return {"files": files, "facts": known_facts, "warnings": unread.unionByName(wrong), "assets": assets}
 
 
 def present(spark: SparkSession, folder: str) -> DataFrame:
@@ -167,37 +183,45 @@ def candidates(spark: SparkSession, roots: list[str], folder: str | None = None)
     """(dir, score) of promising folders below roots that no catalogued root holds, best first."""
     files = walk(spark, ",".join(roots)).where("error is null").select("path", "size_bytes")
     found = discovered(directory_profiles(files))
-    if folder and _versions(spark, folder)[2]:
+    if folder and Store(spark, folder).manifest():
         managed = table(spark, folder, "roots").select("root")
-        found = found.join(_below(found.select(F.col("dir").alias("path")), managed), F.col("dir") == F.col("path"), "left_anti").join(managed, F.col("dir") == F.col("root"), "left_anti")
+        inside = owners(found.select(F.col("dir").alias("path")), managed).select(F.col("path").alias("dir")).union(managed)
+        found = found.join(inside, "dir", "left_anti")
     return found.orderBy(F.desc("score"), "dir")
 
 
-def hash_files(spark: SparkSession, folder: str, least: int = 1 << 20) -> DataFrame:
-    """The files, after a version in which those of colliding sizes are signed, and those of colliding signatures hashed in full.
+def hash_files(spark: SparkSession, folder: str, least: int = 1 << 20, asked: Column | None = None) -> DataFrame:
+    """The files, after those (``asked``, or all of ``least`` bytes or more) of colliding sizes are signed and those of colliding signatures hashed in full.
 
-    What an earlier pass signed or hashed isn't read again.
+    What an earlier pass signed or hashed isn't read again, and only buckets
+    with new digests are rewritten.
     """
-    kept = table(spark, folder, "files")
-
-    def tables():
-        real = kept.where(F.col("error").isNull() & ~F.col("is_symlink") & (F.col("size_bytes") >= least))
-        shared = real.groupBy("size_bytes").count().where("count > 1").select("size_bytes")
-        same = real.join(shared, "size_bytes", "left_semi")
-        signed = same.where("quick_sig is not null").unionByName(quick_signatures(same.where("quick_sig is null").drop("quick_sig")))
-        place = yield "signed", signed.where("quick_sig is not null")
-        signed = spark.read.parquet(place)
-        often = signed.groupBy("size_bytes", "quick_sig").count().where("count > 1").drop("count")
-        collide = signed.join(often, ["size_bytes", "quick_sig"], "left_semi")
-        hashed = collide.where("sha256 is not null").unionByName(full_digests(collide.where("sha256 is null").drop("sha256")))
-        place = yield "hashed", hashed.select("path", F.col("sha256").alias("_sha"))
-        found = signed.select("path", F.col("quick_sig").alias("_sig")).join(spark.read.parquet(place), "path", "left")
-        yield "files", kept.join(found, "path", "left").withColumns({"quick_sig": F.coalesce("_sig", "quick_sig"), "sha256": F.coalesce("_sha", "sha256")}).drop("_sig", "_sha")
-        yield "assets", table(spark, folder, "assets")
-        yield "roots", table(spark, folder, "roots")
-
-    _publish(spark, folder, tables())
-    return table(spark, folder, "files")
+    store = Store(spark, folder)
+    draft, kept = store.draft(), store.table("files")
+    real = kept.where(F.col("error").isNull() & ~F.col("is_symlink")).where(F.col("size_bytes") >= least if asked is None else asked)
+    shared = real.groupBy("size_bytes").count().where("count > 1").select("size_bytes")
+    same = real.join(shared, "size_bytes", "left_semi")
+    signed = same.where("quick_sig is not null").unionByName(quick_signatures(same.where("quick_sig is null").drop("quick_sig")))
+    signed = draft.scratch("signed", signed.where("quick_sig is not null"))
+    often = signed.groupBy("size_bytes", "quick_sig").count().where("count > 1").drop("count")
+    collide = signed.join(often, ["size_bytes", "quick_sig"], "left_semi")
+    hashed = collide.where("sha256 is not null").unionByName(full_digests(collide.where("sha256 is null").drop("sha256")))
+    _store_digests(draft, signed.select("path", "quick_sig"), hashed.select("path", "sha256"))
+    return store.table("files")
+
+
+def _store_digests(draft: Draft, signed: DataFrame, hashed: DataFrame) -> None:
+    """Publishes signed(path, quick_sig) and hashed(path, sha256) in the buckets of files to which they add."""
+    store = draft.store
+    hashed = draft.scratch("hashed", hashed.select("path", "sha256").where("sha256 is not null"))
+    found = draft.scratch("found", signed.withColumnRenamed("quick_sig", "_sig").join(hashed.withColumnRenamed("sha256", "_sha"), "path", "full"))
+    files = store.table("files")
+    news = files.join(found, "path").where("quick_sig is null and _sig is not null or sha256 is null and _sha is not null")
+    buckets = {r["b"] for r in news.select(draft.bucket(owner_key(files)).alias("b")).distinct().collect()}
+    if buckets:
+        rows = store.table("files", buckets).join(found, "path", "left")
+        rows = rows.withColumns({"quick_sig": F.coalesce("_sig", "quick_sig"), "sha256": F.coalesce("_sha", "sha256")}).drop("_sig", "_sha").select(files.columns)
+        draft.publish({"files": (rows, owner_key(rows), buckets)})
 
 
 def duplicates(spark: SparkSession, folder: str, least: int = 1 << 20) -> DataFrame:
@@ -206,8 +230,30 @@ def duplicates(spark: SparkSession, folder: str, least: int = 1 << 20) -> DataFr
     return dedup.file_groups(hashed)
 
 
-def duplicate_assets(spark: SparkSession, folder: str, least: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
-    """(groups of assets of equal content, pairs of alike ones), by the digests of their files of ``least`` bytes or more; an asset with one that wasn't hashed is in none."""
-    files = hash_files(spark, folder, least).where(F.col("asset_id").isNotNull() & F.col("error").isNull() & (F.col("size_bytes") >= least))
-    files = files.join(present(spark, folder).select("asset_id"), "asset_id", "left_semi")
+def duplicate_assets(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(groups of assets of equal content, pairs of alike ones).
+
+    Payload files are signed and hashed where their sizes and signatures
+    collide, and also the rest of the payload of any asset that shares a
+    digest: alike assets are told by what they don't share too. Assets of
+    equal payload are then compared by their small defining files, which are
+    hashed for these only.
+    """
+    live = present(spark, folder).select("asset_id")
+
+    def own():
+        return Store(spark, folder).table("files").where("asset_id is not null and error is null and not is_symlink").join(live, "asset_id", "left_semi").withColumn("is_payload", dedup.is_payload(F.col("relpath")))
+
+    hash_files(spark, folder, asked=F.col("asset_id").isNotNull() & dedup.is_payload(F.col("relpath")))
+    draft = Store(spark, folder).draft()
+    payload = own().where("is_payload")
+    shared = payload.where("sha256 is not null").groupBy("sha256").agg(F.min("asset_id").alias("a"), F.max("asset_id").alias("b")).where("a < b").select("sha256")
+    sharing = payload.join(shared, "sha256", "left_semi").select("asset_id").distinct()
+    open_ones = payload.where("sha256 is null").join(sharing, "asset_id", "left_semi")
+    _store_digests(draft, open_ones.select("path", F.lit(None).cast("string").alias("quick_sig")), full_digests(open_ones.drop("sha256")))
+    draft = Store(spark, folder).draft()
+    colliding = dedup.equal_payloads(own()).select("asset_id")
+    small = own().where(~F.col("is_payload") & dedup.is_defining(F.col("relpath"), F.col("size_bytes")) & F.col("sha256").isNull()).join(colliding, "asset_id", "left_semi")
+    _store_digests(draft, small.select("path", F.lit(None).cast("string").alias("quick_sig")), full_digests(small.drop("sha256")))
+    files = own()
     return dedup.asset_groups(files), dedup.near_assets(files)

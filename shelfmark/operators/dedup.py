@@ -93,27 +93,76 @@ def file_groups(files: DataFrame) -> DataFrame:
     )
 
 
-def _hashed_assets(files: DataFrame) -> DataFrame:
-    """(asset_id, s, bytes, mtime) of the assets all of whose files(asset_id, sha256, size_bytes, mtime) have a digest."""
-    sets = files.groupBy("asset_id").agg(F.array_sort(F.collect_set("sha256")).alias("s"), F.sum("size_bytes").alias("bytes"), F.max("mtime").alias("mtime"), F.max(F.col("sha256").isNull()).alias("open"))
-    return sets.where("not open").drop("open")
+#: Endings of files that hold weights or data, names and endings of documentation, and bytes up to which any other file defines its asset. Fixed values.
+PAYLOAD = (
+    ".safetensors", ".gguf", ".ggml", ".bin", ".pt", ".pth", ".ckpt", ".onnx", ".engine", ".plan", ".pb", ".h5", ".keras", ".tflite", ".mlmodel", ".mlpackage", ".npz", ".npy", ".msgpack", ".params", ".pdparams", ".xml",
+    ".model",
+)
+DOCUMENTATION = (
+    ".gitattributes", ".gitignore", ".gitmodules", "license", "licence", "notice", "notice.txt", "license.txt", "licence.txt", "authors", "contributing", "code_of_conduct", "citation.cff", "changelog",
+)
+DOCUMENTATION_ENDINGS = (".md", ".rst", ".html", ".pdf", ".log")
+DEFINING_BYTES = 4 << 20
+
+
+def _ends(name: Column, endings: tuple[str, ...]) -> Column:
+    return F.exists(F.array(*[F.lit(e) for e in endings]), lambda e: F.endswith(name, e))
+
+
+def is_payload(relpath: Column) -> Column:
+    return _ends(F.lower(relpath), PAYLOAD)
+
+
+def is_defining(relpath: Column, size: Column) -> Column:
+    """Whether a file that is no payload tells its asset from others of equal payload: a small one that isn't documentation."""
+    name = F.lower(F.substring_index(relpath, "/", -1))
+    stem = F.regexp_replace(name, r"\.[^.]*$", "")
+    documents = name.isin(*DOCUMENTATION) | stem.isin(*DOCUMENTATION) | _ends(name, DOCUMENTATION_ENDINGS)
+    return ~documents & (size <= DEFINING_BYTES)
+
+
+def _digest_of(items: Column) -> Column:
+    return F.sha2(F.concat_ws("\n", F.array_sort(F.collect_set(items))), 256)
+
+
+def equal_payloads(files: DataFrame) -> DataFrame:
+    """(asset_id, payload) of the assets, among files(asset_id, is_payload, sha256, ...), whose digests of payload files are those of another; files without digest don't count."""
+    signed = files.where("is_payload and sha256 is not null").groupBy("asset_id").agg(_digest_of(F.col("sha256")).alias("payload"))
+    return signed.join(signed.groupBy("payload").count().where("count > 1").select("payload"), "payload")
+
+
+def signed_assets(files: DataFrame) -> DataFrame:
+    """(asset_id, item) of files(asset_id, relpath, size_bytes, is_payload, sha256): each digest of a payload file once; those of defining files, with their place, for assets of equal payload only.
+
+    Payload files without digest count as their size and place, which no other asset's digest equals.
+    """
+    payload = files.where("is_payload").select("asset_id", F.coalesce("sha256", F.concat_ws(":", F.lit("unread"), "asset_id", "relpath")).alias("item"))
+    defining = files.where(~F.col("is_payload") & is_defining(F.col("relpath"), F.col("size_bytes")) & F.col("sha256").isNotNull())
+    defining = defining.join(equal_payloads(files).select("asset_id"), "asset_id", "left_semi").select("asset_id", F.concat_ws(":", "relpath", "sha256").alias("item"))
+    return payload.unionByName(defining).distinct()
 
 
 def asset_groups(files: DataFrame) -> DataFrame:
-    """(signature, member_count, unit_bytes, wasted_bytes, keeper) of assets with the same set of digests; the keeper is the newest, then the largest, then of the least id."""
-    signed = _hashed_assets(files).select("asset_id", "bytes", "mtime", F.sha2(F.concat_ws("\n", "s"), 256).alias("signature"))
-    groups = signed.groupBy("signature").agg(F.count("*").alias("member_count"), F.max("bytes").alias("unit_bytes"), F.sum("bytes").alias("total"), F.max(F.struct("mtime", "bytes", -F.col("asset_id"))).alias("best")).where("member_count > 1")
+    """(signature, member_count, unit_bytes, wasted_bytes, keeper) of assets of equal content, among files(asset_id, relpath, size_bytes, mtime, is_payload, sha256).
+
+    Equal are the sets of payload digests and those of defining files with
+    their places; documentation doesn't count, an asset without payload is in
+    no group. The keeper is the newest, then the largest, then of the least id.
+    """
+    signed = signed_assets(files).groupBy("asset_id").agg(_digest_of(F.col("item")).alias("signature"))
+    sizes = files.groupBy("asset_id").agg(F.sum("size_bytes").alias("bytes"), F.max("mtime").alias("mtime"))
+    groups = signed.join(sizes, "asset_id").groupBy("signature").agg(F.count("*").alias("member_count"), F.max("bytes").alias("unit_bytes"), F.sum("bytes").alias("total"), F.max(F.struct("mtime", "bytes", -F.col("asset_id"))).alias("best")).where("member_count > 1")
     return groups.select("signature", "member_count", "unit_bytes", (F.col("total") - F.col("best.bytes")).alias("wasted_bytes"), (-F.col("best.col3")).alias("keeper"))
 
 
 def near_assets(files: DataFrame, least: float = 0.9) -> DataFrame:
-    """(left_id, right_id, similarity) of assets whose sets of digests differ and are alike; equal ones stand under their least id."""
-    return similar_sets(_hashed_assets(files).select(F.col("asset_id").alias("id"), F.explode("s").alias("item")), least)
+    """(left_id, right_id, similarity) of assets whose signatures differ and are alike; equal ones stand under their least id."""
+    return similar_sets(signed_assets(files).withColumnRenamed("asset_id", "id"), least)
 
 
 def total_waste(files: DataFrame) -> DataFrame:
-    """(wasted_bytes): that of asset groups, and of file groups none of whose files(asset_id, sha256, size_bytes, mtime) lies in an asset of a group."""
-    signed = _hashed_assets(files).select("asset_id", F.sha2(F.concat_ws("\n", "s"), 256).alias("signature"))
+    """(wasted_bytes) of files as in asset_groups(): that of asset groups, and of file groups none of whose files lies in an asset of a group."""
+    signed = signed_assets(files).groupBy("asset_id").agg(_digest_of(F.col("item")).alias("signature"))
     grouped = signed.join(asset_groups(files).select("signature"), "signature", "left_semi").select("asset_id").withColumn("_in", F.lit(True))
     marked = files.where("sha256 is not null").join(grouped, "asset_id", "left")
     alone = marked.groupBy("sha256").agg((F.sum("size_bytes") - F.max("size_bytes")).alias("wasted_bytes"), F.max(F.coalesce("_in", F.lit(False))).alias("seen")).where("not seen").select("wasted_bytes")

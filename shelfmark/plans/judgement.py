@@ -266,7 +266,7 @@ SIGNED = f"s AS (SELECT asset_id, array_to_string(list_sort(list_distinct(list(s
 
 def hashed_files(spark, d) -> DataFrame:
     content = F.concat("l_returnflag", "l_linestatus", (F.col("l_partkey") % 3).cast("string"))
-    return t(spark, d, "lineitem").select(F.col("l_orderkey").alias("asset_id"), F.sha2(content, 256).alias("sha256"), F.col("l_quantity").cast("long").alias("size_bytes"), F.col("l_linenumber").cast("long").alias("mtime"))
+    return t(spark, d, "lineitem").select(F.col("l_orderkey").alias("asset_id"), F.sha2(content, 256).alias("sha256"), F.col("l_quantity").cast("long").alias("size_bytes"), F.col("l_linenumber").cast("long").alias("mtime"), F.lit(True).alias("is_payload"), F.col("l_linenumber").cast("string").alias("relpath"))
 
 
 @query(f"""WITH {SIGNED} SELECT sha256(s) AS signature, count(*) AS member_count, max(bytes) AS unit_bytes, CAST(sum(bytes) - arg_max(bytes, (mtime, bytes, -asset_id)) AS BIGINT) AS wasted_bytes, arg_max(asset_id, (mtime, bytes, -asset_id)) AS keeper FROM s GROUP BY s HAVING count(*) > 1""")
@@ -286,6 +286,37 @@ def total_waste(spark, d):
     return D.total_waste(hashed_files(spark, d))
 
 
+#: The first two line items of an order as payload, the others as files that define it or document it.
+DEFINED = r"""f AS (SELECT l_orderkey AS asset_id, l_linenumber, CAST(l_quantity AS BIGINT) AS size_bytes, CAST(l_linenumber AS BIGINT) AS mtime, l_linenumber <= 2 AS is_payload,
+CASE WHEN l_linenumber <= 2 THEN 'w' || l_linenumber || '.bin' WHEN l_partkey % 3 = 0 THEN 'NOTES.md' ELSE 'config' || l_linenumber || '.json' END AS relpath,
+sha256(CASE WHEN l_linenumber <= 2 THEN l_returnflag || l_linestatus || (l_partkey % 40) ELSE l_returnflag END) AS sha256 FROM lineitem),
+p AS (SELECT asset_id, string_agg(DISTINCT sha256, chr(10) ORDER BY sha256) AS payload FROM f WHERE is_payload GROUP BY 1),
+c AS (SELECT asset_id FROM p WHERE payload IN (SELECT payload FROM p GROUP BY 1 HAVING count(*) > 1)),
+i AS (SELECT DISTINCT asset_id, sha256 AS item FROM f WHERE is_payload UNION SELECT asset_id, relpath || ':' || sha256 FROM f WHERE NOT is_payload AND relpath <> 'NOTES.md' AND asset_id IN (SELECT asset_id FROM c)),
+s AS (SELECT asset_id, string_agg(item, chr(10) ORDER BY item) AS s, count(*) AS n FROM i GROUP BY 1)"""
+
+
+def defined_files(spark, d) -> DataFrame:
+    payload, part = F.col("l_linenumber") <= 2, F.col("l_partkey")
+    number = F.col("l_linenumber").cast("string")
+    relpath = F.when(payload, F.concat(F.lit("w"), number, F.lit(".bin"))).when(part % 3 == 0, "NOTES.md").otherwise(F.concat(F.lit("config"), number, F.lit(".json")))
+    content = F.when(payload, F.concat("l_returnflag", "l_linestatus", (part % 40).cast("string"))).otherwise(F.col("l_returnflag"))
+    files = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("asset_id"), F.sha2(content, 256).alias("sha256"), F.col("l_quantity").cast("long").alias("size_bytes"), F.col("l_linenumber").cast("long").alias("mtime"), relpath.alias("relpath"))
+    return files.withColumn("is_payload", D.is_payload(F.col("relpath")))
+
+
+@query(f"""WITH {DEFINED}, b AS (SELECT asset_id, CAST(sum(size_bytes) AS BIGINT) AS bytes, max(mtime) AS mtime FROM f GROUP BY 1)
+SELECT sha256(s) AS signature, count(*) AS member_count, max(bytes) AS unit_bytes, CAST(sum(bytes) - arg_max(bytes, (mtime, bytes, -asset_id)) AS BIGINT) AS wasted_bytes, arg_max(asset_id, (mtime, bytes, -asset_id)) AS keeper FROM s JOIN b USING (asset_id) GROUP BY s HAVING count(*) > 1""")
+def duplicate_assets_by_definition(spark, d):
+    return D.asset_groups(defined_files(spark, d))
+
+
+@query(f"""WITH {DEFINED}, l AS (SELECT min(asset_id) AS id, any_value(n) AS n, s FROM s GROUP BY s), k AS (SELECT l.id, l.n, i.item FROM l JOIN i ON i.asset_id = l.id),
+m AS (SELECT a.id AS left_id, b.id AS right_id, a.n AS n_a, b.n AS n_b, count(*) AS k FROM k a JOIN k b ON a.item = b.item AND a.id < b.id GROUP BY ALL) SELECT left_id, right_id, round(k / (n_a + n_b - k), 4) AS similarity FROM m WHERE k / (n_a + n_b - k) >= 0.8""")
+def near_assets_by_definition(spark, d):
+    return D.near_assets(defined_files(spark, d), 0.8)
+
+
 @query("""SELECT p_partkey AS asset_id, CASE kind WHEN 'adapter_archive' THEN 'model_archive' WHEN 'model_archive' THEN 'model_archive' WHEN 'media_archive' THEN 'media_archive' WHEN 'training_archive' THEN 'training_archive' WHEN 'code_archive' THEN 'code_archive' WHEN 'archive' THEN 'unknown_archive'
 WHEN 'network_dataset_archive' THEN 'security_archive' WHEN 'host_log_dataset_archive' THEN 'security_archive' WHEN 'malware_dataset_archive' THEN 'security_archive' ELSE 'dataset_archive' END AS category FROM part JOIN (VALUES """ + ", ".join(f"({i}, '{k}')" for i, (k, _, _) in enumerate(LISTINGS)) + f") v(i, kind) ON p_partkey % {len(LISTINGS)} = i")
 def archive_categories(spark, d):

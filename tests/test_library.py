@@ -72,7 +72,7 @@ def test_later_scans_keep_what_did_not_change(spark, tmp_path):
     first = {r["name"]: r for r in library.scan(spark, [str(root), str(other)], out).collect()}
     assert {r["action"] for r in first.values()} == {"inserted"} and first["a"]["health_score"] == 100
     assert library.duplicates(spark, out, 1000).first()["n_copies"] == 3
-    groups, near = library.duplicate_assets(spark, out, 1000)
+    groups, near = library.duplicate_assets(spark, out)
     assert groups.first()["member_count"] == 3 and near.count() == 0
     (root / "b" / "model.safetensors").write_bytes(b"y" * 2001)
     (root / "c" / "model.safetensors").unlink()
@@ -87,3 +87,64 @@ def test_later_scans_keep_what_did_not_change(spark, tmp_path):
     assert library.table(spark, out, "roots").count() == 2 and library.candidates(spark, [str(tmp_path)], out).where("dir like '%/in/%'").count() == 0
     for words in (["status"], ["health"], ["search", "kind:model"], ["where", "b"], ["show", str(root / "b")], ["discover", str(root)]):
         assert main(["--catalog", out, *words], spark) == 0
+
+
+def test_equal_weights_and_other_definitions(spark, tmp_path):
+    root, out = tmp_path / "in", str(tmp_path / "cat")
+
+    def model(name, config, shards=30, notes="", odd=""):
+        (root / name).mkdir(parents=True)
+        (root / name / "config.json").write_text(config)
+        (root / name / "README.md").write_text(notes)
+        for i in range(shards):
+            (root / name / f"model-{i}.safetensors").write_bytes(f"{odd}{i}".encode() * 1000)
+
+    model("a", '{"model_type": "bert"}', notes="one")
+    model("b", '{"model_type": "bert"}', notes="another")  # the same but for documentation
+    model("c", '{"model_type": "bert", "rope": 2}')  # the same weights under another definition
+    model("d", '{"model_type": "bert"}', shards=31)  # a copy with one more file, which nothing else has
+    model("e", '{"model_type": "bert"}', odd="x")
+    library.scan(spark, [str(root)], out)
+    names = {r["asset_id"]: r["name"] for r in library.present(spark, out).collect()}
+    groups, near = library.duplicate_assets(spark, out)
+    assert [(r["member_count"], names[r["keeper"]] in "ab") for r in groups.collect()] == [(2, True)]
+    pairs = {frozenset((names[r["left_id"]], names[r["right_id"]])) for r in near.collect()}
+    assert frozenset("cd") in pairs and len(pairs) == 3  # one of a and b stands for both
+    assert not any("e" in p for p in pairs)
+    files = {r["path"].removeprefix(str(root)): r for r in library.table(spark, out, "files").collect()}
+    assert files["/d/model-30.safetensors"]["sha256"] and files["/a/config.json"]["sha256"] and files["/e/config.json"]["sha256"] is None
+
+
+def places(out):
+    """Which folder holds each bucket of each table."""
+    versions = sorted(int(p.name) for p in (out / "versions").iterdir() if (p / "manifest.json").exists())
+    return json.loads((out / "versions" / str(versions[-1]) / "manifest.json").read_text())
+
+
+def test_one_changed_asset_rewrites_its_bucket_only(spark, tmp_path):
+    root, out = tmp_path / "in", tmp_path / "cat"
+    for i in range(12):
+        (root / f"m{i}").mkdir(parents=True)
+        (root / f"m{i}" / "config.json").write_text('{"model_type": "bert"}')
+        (root / f"m{i}" / "model.safetensors").write_bytes(b"x" * (1000 + i))
+    library.scan(spark, [str(root)], str(out))
+    before = places(out)
+    (root / "m3" / "model.safetensors").write_bytes(b"y" * 5000)
+    assert library.rescan(spark, str(out), [str(root / "m3")], stream="watch", batch=7)
+    after = places(out)
+    moved = {t: {b for b in after["tables"][t] if after["tables"][t][b] != before["tables"][t].get(b)} for t in ("files", "facts", "assets")}
+    assert [len(x) for x in moved.values()] == [1, 1, 1] and after["tables"]["roots"] == before["tables"]["roots"] and after["applied"]["watch"] == 7
+    rows = {r["name"]: r for r in library.table(spark, str(out), "assets").collect()}
+    assert len(rows) == 12 and rows["m3"]["action"] == "updated" and rows["m3"]["size_bytes"] == 5022 and {rows[f"m{i}"]["action"] for i in range(12) if i != 3} == {"kept"}
+    assert library.table(spark, str(out), "files").count() == 24
+    # the same batch again, and an older one, change nothing
+    assert not library.rescan(spark, str(out), [str(root / "m3")], stream="watch", batch=7) and not library.rescan(spark, str(out), [str(root)], stream="watch", batch=3)
+    assert places(out) == after
+    # a folder that is gone, and a failed write that left a draft
+    for f in (root / "m5").iterdir():
+        f.unlink()
+    (root / "m5").rmdir()
+    (out / "versions" / str(after["number"] + 1) / "files").mkdir(parents=True)
+    assert library.rescan(spark, str(out), [str(root / "m5")], stream="watch", batch=8)
+    rows = {r["name"]: r for r in library.table(spark, str(out), "assets").collect()}
+    assert rows["m5"]["is_missing"] and rows["m5"]["action"] == "missing" and library.table(spark, str(out), "files").count() == 22
