@@ -1,8 +1,9 @@
-"""Command line: ``python -m shelfmark scan ROOT... | discover ROOT... | list | search QUERY | where TEXT | show PATH | health | stats | duplicates | status | facts``."""
+"""Command line: ``python -m shelfmark scan [ROOT...] | watch | roots | discover ROOT... | list | search QUERY | where TEXT | show PATH | health | stats | duplicates | status | facts``."""
 
 from __future__ import annotations
 
 import argparse
+import json
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from shelfmark import library
 from shelfmark.plans.export import export
 from shelfmark.sources import stores
 from shelfmark.sources.headers import facts
+from shelfmark.streaming.service import MOST_SECONDS, QUIET_SECONDS, Watch
 
 
 def parser() -> argparse.ArgumentParser:
@@ -18,8 +20,18 @@ def parser() -> argparse.ArgumentParser:
     top.add_argument("--catalog", default="catalog", help="folder of the catalogue's tables")
     commands = top.add_subparsers(dest="command", required=True)
     scan = commands.add_parser("scan", help="walk folders and write the catalogue")
-    scan.add_argument("roots", nargs="+")
+    scan.add_argument("roots", nargs="*", help="the enabled roots of the catalogue, if none is given")
     scan.add_argument("--exclude", default="", help="folder names, comma-separated")
+    watch = commands.add_parser("watch", help="keep the catalogue in step with its folders")
+    watch.add_argument("--exclude", default="", help="folder names, comma-separated")
+    watch.add_argument("--quiet", type=float, default=QUIET_SECONDS, help="seconds without a change after which a batch is taken in")
+    watch.add_argument("--most", type=float, default=MOST_SECONDS, help="seconds after which a batch is taken in anyway")
+    watch.add_argument("--once", action="store_true", help="catch up with what changed since the last time, and end")
+    watch.add_argument("--stop", action="store_true", help="ask a running watcher to stop")
+    watch.add_argument("--status", action="store_true", help="what a watcher does and has done")
+    roots = commands.add_parser("roots", help="managed folders")
+    roots.add_argument("action", nargs="?", choices=("list", "add", "remove", "enable", "disable"), default="list")
+    roots.add_argument("path", nargs="?")
     listed = commands.add_parser("list", help="assets of a category, group, section or domain")
     listed.add_argument("selector", nargs="?", default="all")
     listed.add_argument("--sort", choices=sorted(library.SORTS), default="size")
@@ -43,7 +55,19 @@ def main(words: list[str] | None = None, spark: SparkSession | None = None) -> i
     args = parser().parse_args(words)
     spark = spark or SparkSession.builder.appName("shelfmark").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     if args.command == "scan":
-        print(f"{library.scan(spark, args.roots, args.catalog, args.exclude).count()} assets")
+        print(f"{library.scan(spark, args.roots or Watch(spark, args.catalog).roots(), args.catalog, args.exclude).count()} assets")
+    elif args.command == "watch":
+        watch = Watch(spark, args.catalog, args.quiet, args.most, args.exclude)
+        if args.stop:
+            print("asked to stop" if watch.request_stop() else "no watcher runs")
+        elif args.once:
+            print("caught up" if watch.catch_up() else "a watcher runs, or the last time is too recent")
+        else:
+            print(json.dumps(watch.status() if args.status else watch.run(ready=lambda roots: print("watching", *roots)), indent=2))
+    elif args.command == "roots":
+        if args.action != "list":
+            library.set_root(spark, args.catalog, args.path, {"add": True, "enable": True, "disable": False, "remove": None}[args.action])
+        library.table(spark, args.catalog, "roots").orderBy("root").show(1000, truncate=False)
     elif args.command == "list":
         found = library.inventory(spark, args.catalog, args.selector, args.sort, args.ascending)
         if args.format != "table":

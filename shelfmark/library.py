@@ -72,7 +72,7 @@ def rescan(spark: SparkSession, folder: str, targets: list[str], exclude: str =
     """
     store = Store(spark, folder)
     draft, targets = store.draft(), [t.rstrip("/") or "/" for t in targets]
-    known = draft.before.number > 0
+    known = "files" in draft.before.schemas
     if not targets or stream is not None and draft.before.applied.get(stream, -1) >= batch:
         return False
     here = lambda column="path": under(targets, column)
@@ -106,7 +106,7 @@ def rescan(spark: SparkSession, folder: str, targets: list[str], exclude: str =
     applied = {"scan": draft.number} | ({stream: batch} if stream is not None else {})
     if add_roots:
         scanned = spark.createDataFrame([(r,) for r in targets], "root string").withColumns({"enabled": F.lit(True), "scanned_at": F.current_timestamp()})
-        tables["roots"] = (store.table("roots").where(~F.col("root").isin(targets)).unionByName(scanned) if known else scanned, F.lit(0), None)
+        tables["roots"] = (store.table("roots").where(~F.col("root").isin(targets)).unionByName(scanned) if "roots" in draft.before.schemas else scanned, F.lit(0), None)
     draft.publish(tables, applied)
     return True
 
@@ -146,6 +146,20 @@ def _recognised(draft: Draft, walked: DataFrame, here: Callable[..., Column], ol
     return {"files": files, "facts": known_facts, "warnings": unread.unionByName(wrong), "assets": assets}
 
 
+def set_root(spark: SparkSession, folder: str, root: str, enabled: bool | None) -> None:
+    """Adds a root or sets whether it is scanned and watched; None removes it, what was found below stays in the catalogue."""
+    if not root:
+        raise ValueError("which root?")
+    store, root = Store(spark, folder), root.rstrip("/") or "/"
+    columns = "root string, enabled boolean, scanned_at timestamp"
+    old = store.table("roots") if store.manifest() else spark.createDataFrame([], columns)
+    rows = old.where(F.col("root") != root)
+    if enabled is not None:
+        mine = old.where(F.col("root") == root).withColumn("enabled", F.lit(enabled))
+        rows = rows.unionByName(mine if not mine.isEmpty() else spark.createDataFrame([(root, enabled, None)], columns))
+    store.draft().publish({"roots": (rows, F.lit(0), None)})
+
+
 def present(spark: SparkSession, folder: str) -> DataFrame:
     """The assets that aren't missing."""
     return table(spark, folder, "assets").where("not is_missing")

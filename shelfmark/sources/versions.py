@@ -10,6 +10,7 @@ that went in, so a batch that comes again is told.
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,12 +56,32 @@ class Store:
         numbers = self.numbers()
         if not numbers:
             return None
-        stream = self._fs.open(self._path(self.at(number or numbers[-1], MANIFEST)))
+        return Manifest(**json.loads(self.text(self.at(number or numbers[-1], MANIFEST))))
+
+    def exists(self, place: str) -> bool:
+        return self._fs.exists(self._path(place))
+
+    def delete(self, place: str) -> None:
+        self._fs.delete(self._path(place), True)
+
+    def text(self, place: str) -> str | None:
+        """A small file's text; None where there is none."""
+        if not self.exists(place):
+            return None
+        stream = self._fs.open(self._path(place))
         try:
-            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
-        return Manifest(**json.loads(text))
+
+    def put(self, place: str, text: str) -> None:
+        """Writes a small file; readers see the old one or all of the new one."""
+        new = self._path(f"{place}.{uuid.uuid4().hex}.new")
+        out = self._fs.create(new)
+        out.write(text.encode())
+        out.close()
+        self._fs.delete(self._path(place), False)
+        self._fs.rename(new, self._path(place))
 
     def table(self, name: str, buckets: set[int] | None = None) -> DataFrame:
         """A table of the last whole version, or some buckets of it; ValueError where there is no catalogue."""
@@ -119,10 +140,6 @@ class Draft:
                 raise ValueError(f"rows of {name} lie in buckets that aren't replaced")
             made.tables[name], made.schemas[name] = old | new, rows.schema.json()
         store._fs.delete(store._path(store.at(self.number, "_scratch")), True)
-        new = store._path(store.at(self.number, MANIFEST + ".new"))
-        out = store._fs.create(new)
-        out.write(json.dumps(made.__dict__).encode())
-        out.close()
-        store._fs.rename(new, store._path(store.at(self.number, MANIFEST)))
+        store.put(store.at(self.number, MANIFEST), json.dumps(made.__dict__))
         store.forget([store.manifest(n) for n in store.numbers()[-3:]] if len(store.numbers()) > 2 else [])
         return made

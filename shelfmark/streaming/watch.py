@@ -10,21 +10,30 @@ from pyspark.sql.streaming import StreamingQuery
 
 from shelfmark.operators.catalogue import owners
 
-#: Endings of temporary files. Fixed values.
-NOISE = (".tmp", ".part", ".crdownload", ".swp", "~")
+#: Endings of temporary files and journals. Fixed values.
+NOISE = (".tmp", ".part", ".crdownload", ".swp", ".swx", "~", ".db-journal", ".db-wal", ".db-shm")
 
 #: Targets beyond which all roots are scanned instead.
 MOST_TARGETS = 24
 
 
-def quiet_events(events: DataFrame, excluded: tuple[str, ...] = (".git", "node_modules", "__pycache__")) -> DataFrame:
+#: Folders whose events are left out. Fixed values.
+EXCLUDED = (".git", "node_modules", "__pycache__")
+
+
+def is_quiet(path: Column, excluded: tuple[str, ...] = EXCLUDED) -> Column:
+    """Whether a path is neither noise nor below an excluded folder; folders are told by whole names, case aside."""
+    noise = F.lit(False)
+    for ending in NOISE:
+        noise = noise | F.lower(path).endswith(ending)
+    return ~noise & ~F.arrays_overlap(F.transform(F.split(path, "/"), F.lower), F.array(*[F.lit(x) for x in excluded]))
+
+
+def quiet_events(events: DataFrame, excluded: tuple[str, ...] = EXCLUDED) -> DataFrame:
     """events(path, ts[, dest]) without noise or excluded folders; a move counts for both of its ends."""
     if "dest" in events.columns:
         events = events.withColumn("path", F.explode(F.array_compact(F.array("path", "dest")))).drop("dest")
-    noise = F.lit(False)
-    for ending in NOISE:
-        noise = noise | F.col("path").endswith(ending)
-    return events.where(~noise & ~F.arrays_overlap(F.transform(F.split("path", "/"), F.lower), F.array(*[F.lit(x) for x in excluded])))
+    return events.where(is_quiet(F.col("path"), excluded))
 
 
 def sessions(events: DataFrame, key: str, quiet_seconds: float) -> DataFrame:

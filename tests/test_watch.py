@@ -94,3 +94,68 @@ def test_files_made_moved_and_deleted_come_out_once(spark, tmp_path):
 def test_first_listing_as_created(spark, tmp_path):
     write(f"{tmp_path}/a/m/one.bin")
     assert listed(spark, [f"{tmp_path}/a"], tmp_path, initial="all") == [("", "tick"), ("a/m/one.bin", "created")]
+
+
+def test_a_catalogue_follows_its_folders(spark, tmp_path, monkeypatch):
+    from shelfmark import library
+    from shelfmark.streaming.service import Watch
+
+    root, out = f"{tmp_path}/in", f"{tmp_path}/cat"
+    for i in range(3):
+        write(f"{root}/m{i}/config.json", '{"model_type": "bert"}')
+        write(f"{root}/m{i}/model.safetensors", "x" * (100 + i))
+    library.scan(spark, [root], out)
+    assets = lambda: {r["name"]: (r["action"], r["is_missing"]) for r in library.table(spark, out, "assets").collect()}
+    watch_ = Watch(spark, out, 1, 5)
+    watch_.drain()  # the first listing
+    assert watch_.status()["batches"] == 0 and watch_.roots() == [root]
+    write(f"{root}/m1/model.safetensors", "y" * 500)
+    write(f"{root}/m1/.git/index", "noise")
+    watch_.drain()
+    assert assets() == {"m0": ("kept", False), "m1": ("updated", False), "m2": ("kept", False)}
+    assert [watch_.status()[k] for k in ("batches", "paths", "updated", "errors")] == [1, 1, 1, 0]
+    number = library.Store(spark, out).manifest().number
+    watch_.drain()  # nothing changed, nothing is written
+    assert library.Store(spark, out).manifest().number == number
+    # a batch that fails is kept, and the next one goes in
+    write(f"{root}/m9/config.json", '{"model_type": "bert"}')
+    write(f"{root}/m9/model.safetensors")
+    with monkeypatch.context() as m:
+        m.setattr(library, "rescan", lambda *a, **k: 1 / 0)
+        watch_.drain()
+    assert watch_.status()["errors"] == 1 and "m9" not in assets()
+    failed = os.listdir(f"{out}/_watch/failed")
+    assert len(failed) == 1 and "ZeroDivisionError" in open(f"{out}/_watch/failed/{failed[0]}/reason").read()
+    shutil.rmtree(f"{root}/m2")
+    write(f"{root}/m8/config.json", '{"model_type": "bert"}')
+    write(f"{root}/m8/model.safetensors")
+    assert watch_.catch_up() and not watch_.catch_up()
+    assert assets()["m2"] == ("missing", True) and assets()["m8"][0] == "inserted" and assets()["m9"][0] == "inserted"  # the root was scanned
+
+
+def test_running_until_asked_to_stop(spark, tmp_path):
+    import threading
+    import time
+
+    from shelfmark import library
+    from shelfmark.streaming.service import Watch
+
+    root, out = f"{tmp_path}/in", f"{tmp_path}/cat"
+    write(f"{root}/m0/config.json", '{"model_type": "bert"}')
+    write(f"{root}/m0/model.safetensors", "x" * 100)
+    library.scan(spark, [root], out)
+    watch_ = Watch(spark, out, 0.5, 5)
+    told = {}
+    thread = threading.Thread(target=lambda: told.update(watch_.run(0.5)))
+    thread.start()
+    try:
+        deadline = time.time() + 90
+        while not os.path.exists(f"{out}/_watch/checkpoint/commits/0") and time.time() < deadline:  # the first listing
+            time.sleep(0.5)
+        write(f"{root}/m0/model.safetensors", "x" * 300)  # just before the stop: still taken in
+        assert watch_.status()["running"] and watch_.request_stop()
+    finally:
+        watch_.request_stop()
+        thread.join(180)
+    assert not thread.is_alive() and not told["running"] and told["batches"] >= 1 and told["errors"] == 0
+    assert library.table(spark, out, "assets").first()["size_bytes"] == 322
