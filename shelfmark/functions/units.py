@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -89,3 +93,23 @@ def ancestors(path: Column, itself: bool = False) -> Column:
 def alias_key(name: Column) -> Column:
     """Case, blanks and underscores don't matter in names of categories."""
     return F.lower(F.translate(F.trim(name), "_ ", "--"))
+
+
+def strings(values) -> Column:
+    """An array of literal strings, as one expression: many literals one by one take longer to plan than to evaluate."""
+    quoted = ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
+    return F.expr(f"array({quoted})") if quoted else F.array().cast("array<string>")
+
+
+def built_once(make: Callable) -> Callable:
+    """``make`` for hashable arguments, its expressions kept for the session's JVM: rules don't depend on data, and building many takes seconds."""
+    kept: dict[tuple, object] = {}
+
+    @wraps(make)
+    def build(*args):
+        key = (id(SparkContext._gateway), *args)
+        if key not in kept:
+            kept[key] = make(*args)
+        return kept[key]
+
+    return build

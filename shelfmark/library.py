@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.operators import dedup
-from shelfmark.operators.catalogue import carry_over, fingerprints, owners, summary
+from shelfmark.operators.catalogue import carry_over, fingerprints, owners, summary, surviving_claims
 from shelfmark.operators.health import file_summary, findings, health, statistics
-from shelfmark.operators.recognise import coco_folders, detected, directory_profiles, discovered, mot_folders, name_of
+from shelfmark.operators.recognise import candidate_hits, coco_folders, directory_profiles, discovered, mot_folders, name_of
 from shelfmark.operators.search import Query, parse
 from shelfmark.operators.security import security_hits, table_families
 from shelfmark.operators.taxonomy import classified, resolve
@@ -125,8 +125,8 @@ def _recognised(draft: Draft, walked: DataFrame, here: Callable[..., Column], ol
         news = facts(asked)
     news = draft.scratch("facts", news)
     security = security_hits(listed, table_families(listed))
-    hits = detected(profiles, mot_folders(profiles), coco_folders(news), security).where(here())
-    hits = draft.scratch("hits", hits.withColumn("asset_id", F.xxhash64("path")))
+    found = draft.scratch("candidates", candidate_hits(profiles, mot_folders(profiles), coco_folders(news), security).where(here()))
+    hits = draft.scratch("hits", surviving_claims(found).withColumn("asset_id", F.xxhash64("path")))
     owned = owners(walked.select("path"), hits.select(F.col("path").alias("root")))
     files = walked.join(owned, "path", "left").withColumn("asset_id", F.when(F.col("owner").isNotNull(), F.xxhash64("owner")))
     files = draft.scratch("files", files.withColumn("relpath", F.substring("path", F.length("owner") + 2, F.length("path"))).drop("owner"))

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.functions.units import built_once, strings
 from shelfmark.operators.catalogue import PENALTIES
 from shelfmark.operators.recognise import extension_count, extension_of, has_any, name_of
 from shelfmark.operators.taxonomy import family
@@ -107,7 +108,7 @@ PROFILE = {
 
 
 def _strings(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    return strings(values)
 
 
 def file_summary(files: DataFrame, key: str = "asset_id") -> DataFrame:
@@ -202,6 +203,7 @@ class HealthRule:
     message: Column | str
 
 
+@built_once
 def rules() -> list[HealthRule]:
     """The standard rules over ``prepared`` profiles. Callers may add their own."""
     data, model, loaded, kind = is_dataset(), is_model(), F.col("files_loaded"), F.col("kind")
@@ -274,6 +276,7 @@ def _positive(c: Column) -> Column:
     return F.when(c > 0, c.cast("string"))
 
 
+@built_once
 def providers() -> list[tuple[str, dict[str, Column]]]:
     """(provider, its statistics as text columns; null: none) over ``prepared`` profiles; later ones override equal keys."""
     data, model, loaded = is_dataset(), is_model() & F.col("has_model"), F.col("files_loaded")

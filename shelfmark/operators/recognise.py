@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.functions.units import ancestors
+from shelfmark.functions.units import ancestors, built_once, strings
 
 WEIGHTS = ("safetensors", "gguf", "pt", "pth", "ckpt", "bin", "onnx", "h5", "tflite")
 IMAGES = ("jpg", "jpeg", "png", "bmp", "webp", "tif", "tiff")
@@ -52,19 +52,20 @@ def has(names: Column, *wanted: str) -> Column:
 
 
 def has_any(names: Column, *wanted: str) -> Column:
-    return F.arrays_overlap(names, F.array(*[F.lit(w) for w in wanted]))
+    return F.arrays_overlap(names, strings(wanted))
 
 
 def extension_count(kinds: tuple[str, ...]) -> Column:
-    return sum((F.coalesce(F.try_element_at(F.col("by_extension"), F.lit(k)), F.lit(0)) for k in kinds), F.lit(0))
+    return F.aggregate(strings(kinds), F.lit(0).cast("bigint"), lambda n, k: n + F.coalesce(F.try_element_at("by_extension", k), F.lit(0)))
 
 
+@built_once
 def detectors() -> list[tuple[str, int, str, bool, Column]]:
     """(name, band, kind, claims, rule): the higher band wins a folder; claiming ones own their subtree."""
     names, dirs = F.col("names"), F.col("dirs")
     weights, images, tables = extension_count(WEIGHTS), extension_count(IMAGES), extension_count(TABLES)
     ends = lambda *suffixes: F.exists(names, lambda n: reduce(Column.__or__, [n.endswith(s) for s in suffixes]))
-    split = F.size(F.array_intersect(dirs, F.array(*[F.lit(s) for s in ("train", "val", "valid", "test")]))) >= 2
+    split = F.size(F.array_intersect(dirs, strings(("train", "val", "valid", "test")))) >= 2
     own, every = F.lower(name_of(F.col("dir"))), F.aggregate(F.map_values("by_extension"), F.lit(0).cast("bigint"), lambda a, b: a + b)
     videos, clips, records = extension_count(("mp4", "avi", "mov", "mkv", "webm")), extension_count(("wav", "flac", "mp3", "ogg", "m4a")), extension_count(("jsonl", "parquet"))
     here = F.size(F.filter(names, lambda n: n.rlike(r"\.(" + "|".join(TABLES) + ")$")))
@@ -83,7 +84,7 @@ def detectors() -> list[tuple[str, int, str, bool, Column]]:
         ("hf_repo", 70, "model", True, has(names, "config.json") & (F.exists(names, lambda n: n.rlike(r"\.safetensors$|\.onnx$|^pytorch_model.*\.bin$|^model.*\.bin$|^tf_model.*\.h5$|^flax_model.*\.msgpack$|^model\.pdparams$")) | has_any(names, "tokenizer_config.json", "preprocessor_config.json"))),
         ("tensorboard", 65, "experiment", True, F.exists(names, lambda n: n.contains("tfevents"))),
         ("wandb", 65, "experiment", True, has(names, "wandb-metadata.json")),
-        ("mlflow", 65, "experiment", True, has(names, "meta.yaml") & (F.size(F.array_intersect(dirs, F.array(*[F.lit(s) for s in ("metrics", "params", "artifacts", "tags")]))) >= 2)),
+        ("mlflow", 65, "experiment", True, has(names, "meta.yaml") & (F.size(F.array_intersect(dirs, strings(("metrics", "params", "artifacts", "tags")))) >= 2)),
         ("ultralytics_run", 65, "experiment", True, has(names, "args.yaml")),
         ("lightning", 65, "experiment", True, name_of(F.col("dir")).rlike(r"^version_\d+$") & has_any(names, "hparams.yaml", "metrics.csv")),
         ("cvat", 62, "annotation_project", True, has_any(names, "task.json", "project.json") & has_any(names, "annotations.json", "annotations.xml")),
@@ -92,9 +93,9 @@ def detectors() -> list[tuple[str, int, str, bool, Column]]:
         ("supervisely", 62, "annotation_project", True, has(names, "meta.json") & has(dirs, "ann", "img")),
         ("bdd100k", 60, "dataset", True, has(dirs, "bdd100k") | ((images >= 20) & (own.contains("bdd100k") | (own.contains("bdd") & has(dirs, "images", "labels"))))),
         ("yolo_dataset", 60, "dataset", True, (has_any(names, "data.yaml", "data.yml", "dataset.yaml") & (extension_count(("txt",)) > 0)) | has(dirs, "images", "labels")),
-        ("pascal_voc", 60, "dataset", True, F.size(F.array_intersect(dirs, F.array(*[F.lit(s) for s in ("annotations", "imagesets", "jpegimages")]))) >= 2),
+        ("pascal_voc", 60, "dataset", True, F.size(F.array_intersect(dirs, strings(("annotations", "imagesets", "jpegimages")))) >= 2),
         ("cityscapes", 60, "dataset", True, has_any(dirs, "leftimg8bit")),
-        ("kitti", 60, "dataset", True, F.size(F.array_intersect(dirs, F.array(*[F.lit(s) for s in ("velodyne", "image_2", "image_3", "label_2", "calib", "oxts")]))) >= 2),
+        ("kitti", 60, "dataset", True, F.size(F.array_intersect(dirs, strings(("velodyne", "image_2", "image_3", "label_2", "calib", "oxts")))) >= 2),
         ("nuscenes", 60, "dataset", True, has(dirs, "samples", "sweeps")),
         ("hf_dataset", 60, "dataset", True, ends(".parquet", ".arrow") & (has_any(names, "dataset_info.json", "dataset_infos.json", "state.json") | (F.size(F.filter(names, lambda n: n.endswith(".parquet") | n.endswith(".arrow"))) >= 2))),
         ("idx_ubyte", 60, "dataset", True, F.size(F.filter(names, lambda n: n.rlike(r"idx\d-ubyte"))) >= 2),
@@ -125,20 +126,24 @@ def coco_folders(facts: DataFrame) -> DataFrame:
 
 
 def detected(profiles: DataFrame, *further: DataFrame) -> DataFrame:
-    """(path, detector, kind, claims) of folders that a rule takes, the best band only, and none below a claiming folder.
+    """candidate_hits() without those below a claiming folder."""
+    from shelfmark.operators.catalogue import surviving_claims
+
+    return surviving_claims(candidate_hits(profiles, *further))
+
+
+def candidate_hits(profiles: DataFrame, *further: DataFrame) -> DataFrame:
+    """(path, detector, kind, claims) of folders that a rule takes, the best band only.
 
     ``further`` hits (path, band, detector, kind, claims) compete by their bands; at equal ones a rule's hit stays.
     """
-    from shelfmark.operators.catalogue import surviving_claims
-
     hit = [F.when(rule, F.struct(F.lit(-band).alias("b"), F.lit(i).alias("seq"), F.lit(name).alias("detector"), F.lit(kind).alias("kind"), F.lit(claims).alias("claims"))) for i, (name, band, kind, claims, rule) in enumerate(detectors())]
-    best = F.element_at(F.array_sort(F.array_compact(F.array(*hit))), 1)
-    hits = profiles.select(F.col("dir").alias("path"), F.when(F.size(F.array_compact(F.array(*hit))) > 0, best).alias("hit")).where("hit is not null")
+    hits = profiles.select(F.col("dir").alias("path"), F.array_min(F.array(*hit)).alias("hit")).where("hit is not null")
     for i, more in enumerate(further):
         hits = hits.unionByName(more.select("path", F.struct((-F.col("band")).alias("b"), F.lit(1000 + i).alias("seq"), "detector", "kind", "claims").alias("hit")))
     if further:
         hits = hits.groupBy("path").agg(F.min("hit").alias("hit"))
-    return surviving_claims(hits.select("path", "hit.detector", "hit.kind", "hit.claims"))
+    return hits.select("path", "hit.detector", "hit.kind", "hit.claims")
 
 
 #: Fixed values of directory scores: names and endings that speak for or against a folder, and the scores from which it is entered and reported.
@@ -164,7 +169,7 @@ DESCEND, REPORT = 0.30, 0.80
 
 def directory_score(name: Column, names: Column, dirs: Column) -> Column:
     """How promising a folder is for discovery, from its name and what lies directly in it (lower-cased): at least 0, three digits."""
-    listed = lambda values: F.array(*[F.lit(v) for v in values])
+    listed = strings
     known = lambda column, values: F.size(F.array_intersect(column, listed(values)))
     ending = lambda ends: F.size(F.filter(names, lambda n: reduce(Column.__or__, [n.endswith(e) for e in ends])))
     cached = lambda c: c.startswith("models--") | c.startswith("datasets--")

@@ -6,12 +6,14 @@ rule gives a nullable struct, and the first of them by priority is kept.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.functions.units import built_once
 from shelfmark.operators.recognise import IMAGES, TABLES, extension_count, has_any
 
 #: Section, order, id, label, domain, further selectors.
@@ -246,17 +248,19 @@ def resolve(selector: str) -> list[str] | None:
 
 
 def any_of(text: Column, words: tuple[str, ...]) -> Column:
-    return reduce(Column.__or__, [F.contains(text, F.lit(w)) for w in words])
+    return text.rlike(pattern_of(words))
 
 
+def pattern_of(words: tuple[str, ...]) -> str:
+    """A regular expression for any of the words; signs stand in classes, so that no backslash is needed."""
+    return "|".join(re.sub(r"([^\w\s-])", r"[\1]", w) for w in words)
+
+
+@built_once
 def family(kind: str) -> Column:
     """The family that the name shows, or else the haystack; null if neither does."""
-    found = None
-    for scope in (F.lower("name"), F.col("haystack")):
-        for label, marks in FAMILIES[kind]:
-            holds = any_of(scope, marks)
-            found = F.when(holds, F.lit(label)) if found is None else found.when(holds, F.lit(label))
-    return found
+    cases = [f"WHEN {scope} RLIKE '{pattern_of(marks)}' THEN '{label}'" for scope in ("lower(name)", "haystack") for label, marks in FAMILIES[kind]]
+    return F.expr(f"CASE {' '.join(cases)} END")
 
 
 @dataclass
@@ -281,6 +285,7 @@ def pick(*pairs: tuple[Column, str], otherwise: str | None) -> Column:
     return out
 
 
+@built_once
 def rules() -> list[Rule]:
     """The standard rules; callers may add their own before passing them to ``classified``."""
     model = F.col("kind").isin("model", "checkpoint")
