@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.operators import dedup
+from shelfmark.operators import dedup, textindex
 from shelfmark.operators.catalogue import carry_over, fingerprints, owners, summary, surviving_claims
 from shelfmark.operators.health import file_summary, findings, health, statistics
 from shelfmark.operators.recognise import candidate_hits, coco_folders, directory_profiles, discovered, mot_folders, name_of
@@ -24,6 +25,9 @@ SORTS = {"size": "size_bytes", "files": "n_files", "name": "name", "date": "modi
 
 #: Columns of assets that a search looks at, by the names of the query language.
 SEARCHED = {"kind": "kind", "category": "category", "family": "family", "detector": "detector", "health": "health_status", "status": "health_status"}
+#: Facts that a full-text search looks at.
+TOLD = ("name", "repo_id", "author", "architecture", "model_type", "description", "license", "task", "pipeline_tag", "library", "library_name", "base_model", "tags", "language", "datasets", "dataset_format", "class_names")
+
 
 def under(paths: list[str], column: str = "path") -> Column:
     """Whether a path is one of these or lies below it; Spark pushes it down to the files of a table."""
@@ -175,11 +179,49 @@ def inventory(spark: SparkSession, folder: str, selector: str = "all", sort: str
     return found.orderBy(by.asc() if ascending or sort in ("name", "health") else by.desc(), F.asc("asset_id"))
 
 
-def search(spark: SparkSession, folder: str, query: str) -> DataFrame:
-    """Assets that a query of the small language asks for, largest first; an empty one asks for all."""
+def reindex(spark: SparkSession, folder: str) -> str:
+    """The path of the full-text index of the last scan, which is built if there is none yet; those of earlier scans go.
+
+    An asset's text is its name, path, kind, category, family, detector, and
+    what headers, sidecars and cards say of it.
+    """
+    store = Store(spark, folder)
+    held = store.manifest()
+    if held is None:
+        raise ValueError(f"no catalogue in {folder}")
+    top = f"{folder.rstrip('/')}/_index"
+    place = f"{top}/{held.applied.get('scan', 0)}"
+    if not store.exists(f"{place}/_DONE"):
+        store.delete(top)
+        told = store.table("facts").where(F.col("key").isin(*TOLD)).groupBy("asset_id").agg(F.concat_ws(" ", F.array_sort(F.collect_set(F.substring("value", 1, 2000)))).alias("told"))
+        texts = store.table("assets").join(told, "asset_id", "left").select("asset_id", F.concat_ws(" ", "name", "path", "kind", "category", "family", "detector", "told").alias("text"))
+        textindex.build(texts, "text", "asset_id", place)
+        store.put(f"{place}/_DONE", "")
+    return place
+
+
+def search(spark: SparkSession, folder: str, query: str, limit: int | None = None, offset: int = 0, sort: str = "relevance") -> DataFrame:
+    """Assets that a query of the small language asks for, in order; with ``limit``, that page of them.
+
+    Words rank the assets that hold a word beginning with each of them, by
+    BM25 over the stored index (column score); facets restrict what is ranked.
+    Other orders are those of SORTS; without words relevance is size. An empty
+    query asks for all.
+    """
     q: Query = parse(query, tuple(SEARCHED))
     found = table(spark, folder, "assets") if q.missing else present(spark, folder)
-    return found.where(q.condition(SEARCHED, "size_bytes", "modified_at", ["name", "path"])).orderBy(F.desc("size_bytes"), F.asc("asset_id"))
+    words = [w for t in q.terms for w in re.findall(r"[^\W_]+", t.lower())]
+    q.terms = [t for t in q.terms if not re.search(r"[^\W_]", t)]  # signs alone aren't in the index
+    found = found.where(q.condition(SEARCHED, "size_bytes", "modified_at", ["name", "path"]))
+    by, up = (F.col(SORTS.get(sort, "size_bytes")), sort in ("name", "health"))
+    order = [by.asc() if up else by.desc(), F.asc("asset_id")]
+    if words:
+        wanted = offset + limit if limit is not None and sort == "relevance" else (1 << 31) - 1
+        best = textindex.ranked(spark, reindex(spark, folder), words, wanted, prefixes=True, every=True, allowed=found.select("asset_id")).rows
+        found = found.join(best.withColumnRenamed("key", "asset_id"), "asset_id")
+        order = [F.desc("score"), F.asc("asset_id")] if sort == "relevance" else order
+    found = found.orderBy(*order)
+    return found.offset(offset).limit(limit) if limit is not None else found
 
 
 def locate(spark: SparkSession, folder: str, text: str) -> DataFrame:

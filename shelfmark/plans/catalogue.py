@@ -16,6 +16,8 @@ from shelfmark.operators import catalogue as C
 from shelfmark.operators import dedup as D
 from shelfmark.operators import recognise as R
 from shelfmark.operators import search as S
+from shelfmark.operators import textindex
+from shelfmark.sources.places import new_place
 from shelfmark.streaming import watch as W
 
 QUERIES: dict = {}
@@ -312,6 +314,16 @@ def fulltext_rank(spark, d):
     return S.bm25(t(spark, d, "documents"), "text", "doc_id", ["the", "und", "idiot"])
 
 
+@query(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents), i AS (SELECT term, doc_id, count(*) AS tf FROM w GROUP BY 1, 2), l AS (SELECT doc_id, sum(tf) AS len FROM i GROUP BY 1),
+m AS (SELECT count(*) AS n, avg(len) AS mean FROM l), h AS (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM i WHERE term IN ('und', 'der', 'idiot'))
+SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM h JOIN l USING (doc_id), m GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 25""")
+def fulltext_top(spark, d):
+    """The 25 best documents from a stored index, which is made here first."""
+    place = new_place(spark, "index")
+    textindex.build(t(spark, d, "documents"), "text", "doc_id", place)
+    return textindex.ranked(spark, place, ["und", "der", "idiot"], 25).rows.withColumnRenamed("key", "doc_id")
+
+
 @query("""SELECT doc_id, times, CASE WHEN n >= 1125899906842624 THEN printf('%.1f', n / 1125899906842624) || ' PiB' WHEN n >= 1099511627776 THEN printf('%.1f', n / 1099511627776) || ' TiB' WHEN n >= 1073741824 THEN printf('%.1f', n / 1073741824) || ' GiB'
 WHEN n >= 1048576 THEN printf('%.1f', n / 1048576) || ' MiB' WHEN n >= 1024 THEN printf('%.1f', n / 1024) || ' KiB' ELSE n || ' B' END AS shown, CAST(n_chars * 1000 AS BIGINT) AS parsed
 FROM (SELECT doc_id, n_chars, times, n_chars * times AS n FROM documents, (SELECT unnest([1, 512, 1048576, 1073741824, 549755813888]) AS times))""")
