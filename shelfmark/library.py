@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from shelfmark.operators import dedup, textindex
 from shelfmark.operators.catalogue import carry_over, fingerprints, owners, summary, surviving_claims
 from shelfmark.operators.health import file_summary, findings, health, statistics
+from shelfmark.operators.identity import identified
 from shelfmark.operators.recognise import candidate_hits, coco_folders, directory_profiles, discovered, mot_folders, name_of
 from shelfmark.operators.search import Query, parse
 from shelfmark.operators.security import security_hits, table_families
@@ -144,6 +145,8 @@ def _recognised(draft: Draft, walked: DataFrame, here: Callable[..., Column], ol
     codes = findings(summary_of).groupBy("asset_id").agg(F.array_sort(F.collect_list("code")).alias("health_findings"))
     assets = described.select("asset_id", "path", "name", "kind", "detector").join(sizes, "asset_id", "left").join(prints, "asset_id", "left").join(classified(described), "asset_id")
     assets = assets.join(marks, "asset_id").join(codes, "asset_id", "left").join(statistics(summary_of), "asset_id").na.fill(0, ["size_bytes", "n_files"]).withColumn("is_missing", F.lit(False))
+    whose = identified(described.select("asset_id", "path", "name")).drop("task", "component")
+    assets = assets.join(draft.scratch("identities", whose), "asset_id", "left")
     known_facts = news.join(files.select("path", "asset_id"), "path")
     unread = files.where("error is not null").select("path", "asset_id", F.lit("unreadable").alias("code"), F.col("error").alias("message"))
     wrong = known_facts.where("key = 'error'").select("path", "asset_id", F.lit("header").alias("code"), F.col("value").alias("message"))

@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from shelfmark.plans import judgement  # noqa: F401  registers its queries
+from shelfmark.plans import judgement, streams  # noqa: F401  register their queries
 from shelfmark.plans.catalogue import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
