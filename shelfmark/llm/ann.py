@@ -16,6 +16,7 @@ smallest of their ids, as many as a result can hold.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -207,25 +208,33 @@ def _spread(rows: DataFrame, shared, pairs: str) -> DataFrame:
 def nearest(vectors: DataFrame, is_query: Column, k: int = 10, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for each query row, by Euclidean distance.
 
-    Rows with the query's vec_id are its own. Vectors of another length than
-    the commonest (of equally common ones the smallest) take no part. Ties go
-    to the smaller vec_id; repeated rows of one vec_id and vector count once; a
-    query's vec_id with several vectors is asked with the least of them; null
-    ids and vectors that are null, zero or hold null or non-finite components
-    take no part; an empty table gives no rows.
+    Rows with the query's vec_id are its own. Vectors of each length are
+    searched among their own, with an index for each. Ties go to the smaller
+    vec_id; repeated rows of one vec_id and vector count once; a query's vec_id
+    with several vectors of a length is asked with the least of them; null ids
+    and vectors that are null, zero or hold null or non-finite components take
+    no part; an empty table gives no rows.
     """
-    spark = vectors.sparkSession
-    result = "query_id bigint, rank int, vec_id bigint, score double"
     every = usable(vectors)
-    lengths = every.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if lengths is None:
-        return spark.createDataFrame([], result)
-    every = every.where(F.size("v") == lengths["d"])
-    n = lengths["count"]
+    lengths = every.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.count_if(is_query).alias("asked")).where("asked > 0").orderBy("d").collect()  # a row a length
+    parts = [_nearest_of(every.where(F.size("v") == r["d"]), is_query, k, sample_rows, r["d"], r["n"]) for r in lengths]
+    if not parts:
+        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    found = reduce(DataFrame.unionByName, parts)
+    if len(parts) == 1:
+        return found
+    # one vec_id with vectors of several lengths has a list of each
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    return found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _nearest_of(every: DataFrame, is_query: Column, k: int, sample_rows: int, length: int, n: int) -> DataFrame:
+    """nearest() of the n usable vectors of one length."""
+    spark = every.sparkSession
     sample = every.where(F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(max(1, math.ceil(n / sample_rows)))) == 0).select("v").distinct().toArrow()
-    drawn = np.asarray(sample.column("v").combine_chunks().flatten(), np.float64).reshape(-1, lengths["d"])
+    drawn = np.asarray(sample.column("v").combine_chunks().flatten(), np.float64).reshape(-1, length)
     if not len(drawn):
-        drawn = np.zeros((1, lengths["d"]))
+        drawn = np.zeros((1, length))
     drawn = drawn[np.lexsort(drawn.T[::-1])]
     count = max(1, min(MOST_CENTROIDS, int(2 * math.sqrt(n)), len(drawn) // 4))
     graph = CentroidGraph(balanced_centroids(drawn, count))

@@ -331,3 +331,24 @@ def test_narrowed_keeps_every_wanted_row(spark, monkeypatch):
     assert dartminhash.narrowed(rows, wanted.limit(0)).isEmpty()
     monkeypatch.setattr(dartminhash, "MAP_BITS", 64)  # a full map keeps everything
     assert {r.doc_id for r in dartminhash.narrowed(rows, wanted).collect()} >= set(range(-20_000, 20_000))
+
+
+def test_nearest_of_several_lengths(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=4 if i % 3 else 7).tolist()) for i in range(240)]
+    rows += [(0, rng.normal(size=4).tolist()), (500, [1.0]), (600, [2.0]), (100, [0.5])]  # an id with two lengths, and a short length
+    found = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, 5).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    hits = total = 0
+    for q in {i for i, _ in rows if i % 100 == 0}:
+        best = defaultdict(lambda: math.inf)
+        for own in (v for i, v in rows if i == q):
+            for i, v in rows:
+                if i != q and len(v) == len(own):
+                    best[i] = min(best[i], float(np.sqrt(((np.array(v) - np.array(own)) ** 2).sum())))
+        wanted = sorted((d, i) for i, d in best.items())[:5]
+        mine = sorted(found.get(q, []))
+        assert [r for r, _, _ in mine] == list(range(1, len(mine) + 1)) and len(mine) == len(wanted)
+        hits, total = hits + len({i for _, i, _ in mine} & {i for _, i in wanted}), total + len(wanted)
+    assert hits >= 0.9 * total
