@@ -19,7 +19,6 @@ import math
 import random
 import re
 import zlib
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -324,7 +323,7 @@ def trained(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> Field:
     """A field fitted on a share of docs(doc_id, text), about sample_documents of them, taken by hash of id and text.
 
     Null texts and texts without words give no windows; repeated rows are drawn
-    together, and their equal windows count once in memory.
+    together, and equal windows come to the driver once, with their number.
     """
     share = max(1, math.ceil(docs.count() / sample_documents))
 
@@ -334,10 +333,9 @@ def trained(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> Field:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.int32())], ["bits", "tags", "file_bits"])
 
     sample = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(share)) == 0)
-    rows = list(map(tuple, ((tuple(r["bits"]), tuple(r["tags"]), r["file_bits"]) for r in sample.mapInArrow(run, "bits array<bigint>, tags array<int>, file_bits int").collect())))
-    if not rows:
-        rows = [((0,), (OUTSIDE,), 0)]
-    rows, times = zip(*sorted(Counter(rows).items()), strict=True)
+    counted = sample.mapInArrow(run, "bits array<bigint>, tags array<int>, file_bits int").groupBy("bits", "tags", "file_bits").count()
+    rows = [((tuple(r["bits"]), tuple(r["tags"]), r["file_bits"]), r["count"]) for r in counted.collect()]
+    rows, times = zip(*sorted(rows or [(((0,), (OUTSIDE,), 0), 1)]), strict=True)
     width = max(len(r[0]) for r in rows)
     fill = lambda j, empty: np.array([[*r[j], *[empty] * (width - len(r[j]))] for r in rows], np.int64)
     mask = np.array([[1.0] * len(r[0]) + [0.0] * (width - len(r[0])) for r in rows])
