@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.operators import dedup, textindex
+from shelfmark.operators.boundary import guarded
 from shelfmark.operators.catalogue import carry_over, fingerprints, owners, summary, surviving_claims
 from shelfmark.operators.health import file_summary, findings, health, statistics
 from shelfmark.operators.identity import identified
@@ -120,7 +121,7 @@ def _recognised(draft: Draft, walked: DataFrame, here: Callable[..., Column], ol
     """The tables files, facts, warnings and assets of walked files; nothing above ``here`` is an asset."""
     read = walked.where("error is null")
     listed = read.select("path", "size_bytes")
-    profiles = draft.scratch("profiles", directory_profiles(listed).where(here("dir")))
+    profiles = draft.scratch("profiles", guarded(directory_profiles(listed)).where(here("dir")))
     # a file that is as it was isn't opened again
     asked = read.select("path", "size_bytes", "mtime")
     if old and old["facts"].columns:
@@ -138,7 +139,7 @@ def _recognised(draft: Draft, walked: DataFrame, here: Callable[..., Column], ol
     mine = files.where("error is null and asset_id is not null")
     sizes = mine.groupBy("asset_id").agg(F.sum("size_bytes").alias("size_bytes"), F.count("*").alias("n_files"), F.timestamp_seconds(F.max("mtime")).alias("modified_at"))
     prints = fingerprints(mine, "asset_id", [F.col("relpath"), F.col("size_bytes"), F.floor("mtime")])
-    described = hits.join(profiles.withColumnRenamed("dir", "path").withColumnRenamed("n_files", "file_count").drop("bytes"), "path").withColumn("name", name_of(F.col("path")))
+    described = hits.join(profiles.withColumnRenamed("dir", "path").withColumnRenamed("n_files", "file_count").drop("bytes", "refused", "branching"), "path").withColumn("name", name_of(F.col("path")))
     described = draft.scratch("described", described)
     summary_of = draft.scratch("summaries", described.select("asset_id", "kind", "name").join(file_summary(mine.select("asset_id", "relpath", "size_bytes")), "asset_id", "left"))
     marks = health(summary_of).select("asset_id", F.col("score").alias("health_score"), F.col("status").alias("health_status"))

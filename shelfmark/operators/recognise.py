@@ -136,8 +136,13 @@ def candidate_hits(profiles: DataFrame, *further: DataFrame) -> DataFrame:
     """(path, detector, kind, claims) of folders that a rule takes, the best band only.
 
     ``further`` hits (path, band, detector, kind, claims) compete by their bands; at equal ones a rule's hit stays.
+    Where the profiles say so (may_claim, see ``boundary.guarded``), detectors
+    that go by a pile of files leave a folder alone.
     """
-    hit = [F.when(rule, F.struct(F.lit(-band).alias("b"), F.lit(i).alias("seq"), F.lit(name).alias("detector"), F.lit(kind).alias("kind"), F.lit(claims).alias("claims"))) for i, (name, band, kind, claims, rule) in enumerate(detectors())]
+    from shelfmark.operators.boundary import GENERIC
+
+    allowed = F.col("may_claim") if "may_claim" in profiles.columns else F.lit(True)
+    hit = [F.when(rule & allowed if name in GENERIC else rule, F.struct(F.lit(-band).alias("b"), F.lit(i).alias("seq"), F.lit(name).alias("detector"), F.lit(kind).alias("kind"), F.lit(claims).alias("claims"))) for i, (name, band, kind, claims, rule) in enumerate(detectors())]
     hits = profiles.select(F.col("dir").alias("path"), F.array_min(F.array(*hit)).alias("hit")).where("hit is not null")
     for i, more in enumerate(further):
         hits = hits.unionByName(more.select("path", F.struct((-F.col("band")).alias("b"), F.lit(1000 + i).alias("seq"), "detector", "kind", "claims").alias("hit")))

@@ -1,11 +1,13 @@
-"""Registered queries of streams and of identity, each with its SQL."""
+"""Registered queries of streams, of identity and of the boundaries of assets, each with its SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shelfmark.operators import boundary
 from shelfmark.operators import identity as I
-from shelfmark.plans.catalogue import PATHS, paths, query, t
+from shelfmark.operators.recognise import directory_profiles
+from shelfmark.plans.catalogue import ABOVE, PATHS, paths, query, t
 from shelfmark.sources.places import new_place
 from shelfmark.streaming import debounce
 
@@ -60,3 +62,17 @@ def identity_of_paths(spark, d):
     """Vendor, product, source, and the component that the table knows, of page paths."""
     found = I.identified(paths(spark, d).withColumn("name", F.lit("0")), "page_id", vendors=HOSTS, components=TOPICS)
     return found.select("page_id", "vendor", "product", F.when(F.col("task").isNotNull(), F.col("component")).alias("component"), "task", "source")
+
+
+@query(rf"""WITH a AS (SELECT DISTINCT above AS dir FROM {ABOVE}), p AS (SELECT dir, regexp_replace(dir, '/?[^/]*$', '') AS parent, lower(string_split(dir, '/')[-1]) AS own FROM a),
+k AS (SELECT parent AS dir, list(own) AS dirs FROM p WHERE parent <> '' GROUP BY 1), n AS (SELECT array_to_string(string_split(path, '/')[1:len(string_split(path, '/')) - 1], '/') AS dir, list(lower(string_split(path, '/')[-1])) AS names FROM {PATHS} GROUP BY 1),
+b AS (SELECT p.parent AS dir, count(*) AS branching FROM p JOIN k ON k.dir = p.dir GROUP BY 1),
+f AS (SELECT p.dir, p.own, coalesce(k.dirs, []) AS dirs, coalesce(n.names, []) AS names, coalesce(b.branching, 0) AS branching FROM p LEFT JOIN k USING (dir) LEFT JOIN n USING (dir) LEFT JOIN b USING (dir)),
+r AS (SELECT dir, branching, CASE WHEN len(list_filter(string_split(lower(dir), '/'), lambda x: x = 'de' OR contains(x, 'spam') OR contains(x, 'blog.th'))) > 0 THEN 'application state'
+WHEN len(list_filter(names, lambda x: x IN ('index.html', '404.html', '25') OR ends_with(x, '7.html'))) > 0 THEN NULL WHEN own IN ('en', 'es') THEN 'container' WHEN branching >= 2 THEN 'structured children' END AS refused FROM f)
+SELECT dir, branching, refused, refused IS NULL AS may_claim FROM r""")
+def boundary_guard(spark, d):
+    """Which folders of page paths generic detectors may claim, under rules made for them; files that end in 7.html stand for data."""
+    files = paths(spark, d).select(F.regexp_replace("path", r"7\.html$", "7.html.npz").alias("path"), F.lit(1).cast("long").alias("size_bytes"))
+    rows = boundary.guarded(directory_profiles(files), ("en", "es"), ("de",), ("spam", "blog.th"), ("index.html", "404.html", "25"))
+    return rows.select("dir", "branching", "refused", "may_claim")
