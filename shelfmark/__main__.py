@@ -1,4 +1,4 @@
-"""Command line: ``python -m shelfmark scan [ROOT...] | watch | roots | discover ROOT... | list | search QUERY | where TEXT | show PATH | health | stats | duplicates | status | facts``."""
+"""Command line: ``python -m shelfmark scan [ROOT...] | watch | roots | discover ROOT... | list | search QUERY | where TEXT | show PATH | health | stats | duplicates | installations | warnings | status | facts``."""
 
 from __future__ import annotations
 
@@ -22,6 +22,7 @@ def parser() -> argparse.ArgumentParser:
     scan = commands.add_parser("scan", help="walk folders and write the catalogue")
     scan.add_argument("roots", nargs="*", help="the enabled roots of the catalogue, if none is given")
     scan.add_argument("--exclude", default="", help="folder names, comma-separated")
+    scan.add_argument("--plugins", help="folder of Python files with further rules")
     watch = commands.add_parser("watch", help="keep the catalogue in step with its folders")
     watch.add_argument("--exclude", default="", help="folder names, comma-separated")
     watch.add_argument("--quiet", type=float, default=QUIET_SECONDS, help="seconds without a change after which a batch is taken in")
@@ -47,6 +48,10 @@ def parser() -> argparse.ArgumentParser:
     commands.add_parser("health", help="assets with findings, the worst first")
     commands.add_parser("status", help="roots, when they were scanned, and what the last scan changed")
     commands.add_parser("duplicates", help="files of equal content").add_argument("--least", type=int, default=1 << 20)
+    installed = commands.add_parser("installations", help="assets that are installed several times")
+    installed.add_argument("--least", type=int, default=library.installations.LEAST_BYTES)
+    installed.add_argument("--across", action="store_true", help="only those of different applications")
+    commands.add_parser("warnings", help="what couldn't be read, and rules that don't work")
     commands.add_parser("facts", help="facts from the headers of the catalogued files").add_argument("--under", default="", help="path prefix")
     return top
 
@@ -55,7 +60,7 @@ def main(words: list[str] | None = None, spark: SparkSession | None = None) -> i
     args = parser().parse_args(words)
     spark = spark or SparkSession.builder.appName("shelfmark").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     if args.command == "scan":
-        print(f"{library.scan(spark, args.roots or Watch(spark, args.catalog).roots(), args.catalog, args.exclude).count()} assets")
+        print(f"{library.scan(spark, args.roots or Watch(spark, args.catalog).roots(), args.catalog, args.exclude, args.plugins).count()} assets")
     elif args.command == "watch":
         watch = Watch(spark, args.catalog, args.quiet, args.most, args.exclude)
         if args.stop:
@@ -88,6 +93,10 @@ def main(words: list[str] | None = None, spark: SparkSession | None = None) -> i
         library.table(spark, args.catalog, "assets").groupBy("action").count().orderBy("action").show()
     elif args.command == "stats":
         library.totals(spark, args.catalog).orderBy("dimension", F.desc("total_bytes"), "value").show(200, truncate=False)
+    elif args.command == "installations":
+        library.duplicate_installations(spark, args.catalog, args.least, args.across).show(1000, truncate=False)
+    elif args.command == "warnings":
+        library.table(spark, args.catalog, "warnings").orderBy("path", "code").show(1000, truncate=False)
     elif args.command == "duplicates":
         library.duplicates(spark, args.catalog, args.least).orderBy(F.desc("wasted_bytes"), "sha256").show(50, truncate=False)
     else:

@@ -9,15 +9,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.operators import dedup, textindex
+from shelfmark.operators import dedup, installations, textindex
 from shelfmark.operators.boundary import guarded
 from shelfmark.operators.catalogue import carry_over, fingerprints, owners, summary, surviving_claims
-from shelfmark.operators.health import file_summary, findings, health, statistics
+from shelfmark.operators.health import file_summary, findings, health, prepared, statistics
 from shelfmark.operators.identity import identified
 from shelfmark.operators.recognise import candidate_hits, coco_folders, directory_profiles, discovered, mot_folders, name_of
 from shelfmark.operators.search import Query, parse
 from shelfmark.operators.security import security_hits, table_families
 from shelfmark.operators.taxonomy import classified, resolve
+from shelfmark.plugins import Plugins, checked, hits_of, load
 from shelfmark.sources.filesystem import full_digests, quick_signatures, walk
 from shelfmark.sources.headers import facts
 from shelfmark.sources.versions import Draft, Store
@@ -54,7 +55,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return rows
 
 
-def scan(spark: SparkSession, roots: list[str], folder: str, exclude: str = "") -> DataFrame:
+def scan(spark: SparkSession, roots: list[str], folder: str, exclude: str = "", plugins: str | None = None) -> DataFrame:
     """Walks the roots, publishes what became of them, and returns the assets.
 
     A file belongs to the innermost asset above it; an asset's id follows from
@@ -63,13 +64,14 @@ def scan(spark: SparkSession, roots: list[str], folder: str, exclude: str = "")
     headers aren't read again. ``action`` tells what became of an asset:
     inserted, updated or unchanged by its fingerprint, missing if it was below
     a root and isn't there any more, kept if it is elsewhere. Folders that
-    can't be read stay in files with their error, and among the warnings.
+    can't be read stay in files with their error, and among the warnings, as
+    do rules of the folder ``plugins`` that don't work.
     """
-    rescan(spark, folder, roots, exclude, add_roots=True)
+    rescan(spark, folder, roots, exclude, add_roots=True, plugins=plugins)
     return table(spark, folder, "assets")
 
 
-def rescan(spark: SparkSession, folder: str, targets: list[str], exclude: str = "", stream: str | None = None, batch: int = 0, add_roots: bool = False) -> bool:
+def rescan(spark: SparkSession, folder: str, targets: list[str], exclude: str = "", stream: str | None = None, batch: int = 0, add_roots: bool = False, plugins: str | None = None) -> bool:
     """Brings what lies at or below the targets up to date; True if that made a version.
 
     Only buckets with rows of the targets, before or now, are rewritten, each
@@ -87,7 +89,7 @@ def rescan(spark: SparkSession, folder: str, targets: list[str], exclude: str =
     none = F.lit(None).cast("string")
     seen = carry_over(seen, old["files"], ("path",)) if known and old["files"].columns else seen.withColumns({"quick_sig": none, "sha256": none})
     walked = draft.scratch("walked", seen)
-    found = _recognised(draft, walked, here, old)
+    found = _recognised(draft, walked, here, old, load(plugins))
     number = F.lit(draft.number)
     assets = found["assets"].withColumn("version", number)
     if known:
@@ -117,7 +119,7 @@ def rescan(spark: SparkSession, folder: str, targets: list[str], exclude: str =
     return True
 
 
-def _recognised(draft: Draft, walked: DataFrame, here: Callable[..., Column], old: dict[str, DataFrame]) -> dict[str, DataFrame]:
+def _recognised(draft: Draft, walked: DataFrame, here: Callable[..., Column], old: dict[str, DataFrame], own: Plugins) -> dict[str, DataFrame]:
     """The tables files, facts, warnings and assets of walked files; nothing above ``here`` is an asset."""
     read = walked.where("error is null")
     listed = read.select("path", "size_bytes")
@@ -131,7 +133,8 @@ def _recognised(draft: Draft, walked: DataFrame, here: Callable[..., Column], ol
         news = facts(asked)
     news = draft.scratch("facts", news)
     security = security_hits(listed, table_families(listed))
-    found = draft.scratch("candidates", candidate_hits(profiles, mot_folders(profiles), coco_folders(news), security).where(here()))
+    own = checked(own, profiles=profiles)
+    found = draft.scratch("candidates", candidate_hits(profiles, mot_folders(profiles), coco_folders(news), security, *hits_of(own.detectors, profiles)).where(here()))
     hits = draft.scratch("hits", surviving_claims(found).withColumn("asset_id", F.xxhash64("path")))
     owned = owners(walked.select("path"), hits.select(F.col("path").alias("root")))
     files = walked.join(owned, "path", "left").withColumn("asset_id", F.when(F.col("owner").isNotNull(), F.xxhash64("owner")))
@@ -142,16 +145,20 @@ def _recognised(draft: Draft, walked: DataFrame, here: Callable[..., Column], ol
     described = hits.join(profiles.withColumnRenamed("dir", "path").withColumnRenamed("n_files", "file_count").drop("bytes", "refused", "branching"), "path").withColumn("name", name_of(F.col("path")))
     described = draft.scratch("described", described)
     summary_of = draft.scratch("summaries", described.select("asset_id", "kind", "name").join(file_summary(mine.select("asset_id", "relpath", "size_bytes")), "asset_id", "left"))
-    marks = health(summary_of).select("asset_id", F.col("score").alias("health_score"), F.col("status").alias("health_status"))
-    codes = findings(summary_of).groupBy("asset_id").agg(F.array_sort(F.collect_list("code")).alias("health_findings"))
+    own = checked(own, summaries=prepared(summary_of)) if own.rules or own.statistics else own
+    marks = health(summary_of, own=own.rules).select("asset_id", F.col("score").alias("health_score"), F.col("status").alias("health_status"))
+    codes = findings(summary_of, own=own.rules).groupBy("asset_id").agg(F.array_sort(F.collect_list("code")).alias("health_findings"))
     assets = described.select("asset_id", "path", "name", "kind", "detector").join(sizes, "asset_id", "left").join(prints, "asset_id", "left").join(classified(described), "asset_id")
-    assets = assets.join(marks, "asset_id").join(codes, "asset_id", "left").join(statistics(summary_of), "asset_id").na.fill(0, ["size_bytes", "n_files"]).withColumn("is_missing", F.lit(False))
+    assets = assets.join(marks, "asset_id").join(codes, "asset_id", "left").join(statistics(summary_of, own=own.statistics), "asset_id").na.fill(0, ["size_bytes", "n_files"]).withColumn("is_missing", F.lit(False))
     whose = identified(described.select("asset_id", "path", "name")).drop("task", "component")
     assets = assets.join(draft.scratch("identities", whose), "asset_id", "left")
     known_facts = news.join(files.select("path", "asset_id"), "path")
     unread = files.where("error is not null").select("path", "asset_id", F.lit("unreadable").alias("code"), F.col("error").alias("message"))
     wrong = known_facts.where("key = 'error'").select("path", "asset_id", F.lit("header").alias("code"), F.col("value").alias("message"))
-    return {"files": files, "facts": known_facts, "warnings": unread.unionByName(wrong), "assets": assets}
+    warnings = unread.unionByName(wrong)
+    if own.problems:
+        warnings = warnings.unionByName(draft.store.spark.createDataFrame([(where, None, "plugin", why) for where, why in own.problems], warnings.schema))
+    return {"files": files, "facts": known_facts, "warnings": warnings, "assets": assets}
 
 
 def set_root(spark: SparkSession, folder: str, root: str, enabled: bool | None) -> None:
@@ -317,3 +324,10 @@ def duplicate_assets(spark: SparkSession, folder: str) -> tuple[DataFrame, DataF
     _store_digests(draft, small.select("path", F.lit(None).cast("string").alias("quick_sig")), full_digests(small.drop("sha256")))
     files = own()
     return dedup.asset_groups(files), dedup.near_assets(files)
+
+
+def duplicate_installations(spark: SparkSession, folder: str, least_bytes: int = installations.LEAST_BYTES, across_applications: bool = False) -> DataFrame:
+    """Assets that are installed several times, by digests where all their files have them, else by what they look like; see operators.installations."""
+    assets = table(spark, folder, "assets").withColumn("application", F.coalesce("product", "source"))
+    files = table(spark, folder, "files").where("asset_id is not null and error is null and not is_symlink")
+    return installations.duplicate_installations(assets, files, least_bytes, across_applications).orderBy(F.desc("reclaimable_bytes"), F.desc("install_count"), "keeper")

@@ -1,4 +1,4 @@
-"""Registered queries of streams, of identity and of the boundaries of assets, each with its SQL."""
+"""Registered queries of streams, of identity, of the boundaries of assets and of installations, each with its SQL."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators import boundary
 from shelfmark.operators import identity as I
+from shelfmark.operators import installations
 from shelfmark.operators.recognise import directory_profiles
 from shelfmark.plans.catalogue import ABOVE, PATHS, paths, query, t
 from shelfmark.sources.places import new_place
@@ -76,3 +77,15 @@ def boundary_guard(spark, d):
     files = paths(spark, d).select(F.regexp_replace("path", r"7\.html$", "7.html.npz").alias("path"), F.lit(1).cast("long").alias("size_bytes"))
     rows = boundary.guarded(directory_profiles(files), ("en", "es"), ("de",), ("spam", "blog.th"), ("index.html", "404.html", "25"))
     return rows.select("dir", "branching", "refused", "may_claim")
+
+
+@query("""WITH f AS (SELECT l_orderkey AS asset_id, lower(l_returnflag || l_linestatus) AS file, CAST(floor(l_quantity) AS BIGINT) % 4 AS bytes, row_number() OVER (PARTITION BY l_orderkey ORDER BY lower(l_returnflag || l_linestatus), CAST(floor(l_quantity) AS BIGINT) % 4) AS nth, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
+s AS (SELECT asset_id, any_value(n) AS n, string_agg(file || ':' || bytes, '|' ORDER BY file, bytes) AS shape FROM f WHERE nth <= 64 GROUP BY 1), a AS (SELECT o_orderkey AS asset_id, CAST(floor(o_totalprice) AS BIGINT) % 3 + 300000 AS size_bytes, o_orderstatus AS application, o_orderpriority AS name FROM orders WHERE o_totalprice >= 1000)
+SELECT sha256(size_bytes || '|' || n || '|' || shape) AS signature, false AS verified, count(*) AS install_count, max(size_bytes) AS unit_bytes, max(size_bytes) * (count(*) - 1) AS reclaimable_bytes, array_to_string(list_sort(list_distinct(list(application))), ';') AS sources, arg_min(name, (-length(name), name)) AS name, min(asset_id) AS keeper
+FROM a JOIN s USING (asset_id) GROUP BY size_bytes, n, shape HAVING count(*) > 1 AND count(DISTINCT application) > 1""")
+def installations_by_shape(spark, d):
+    """Orders as assets, line items as their files: those that look alike and belong to different applications."""
+    number = F.col("o_totalprice").cast("bigint")
+    assets = t(spark, d, "orders").where("o_totalprice >= 1000").select(F.col("o_orderkey").alias("asset_id"), (number % 3 + 300000).alias("size_bytes"), F.col("o_orderstatus").alias("application"), F.col("o_orderpriority").alias("name"), F.lit(False).alias("is_missing"))
+    files = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("asset_id"), F.concat(F.lit("d/"), "l_returnflag", "l_linestatus").alias("relpath"), (F.col("l_quantity").cast("bigint") % 4).alias("size_bytes"), F.lit(None).cast("string").alias("sha256"))
+    return installations.duplicate_installations(assets, files, across_applications=True).withColumn("sources", F.array_join("sources", ";"))
