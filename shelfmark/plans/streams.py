@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from shelfmark.operators import boundary
 from shelfmark.operators import identity as I
 from shelfmark.operators import installations
+from shelfmark.operators.collapse import collapsed_tree
 from shelfmark.operators.recognise import directory_profiles
 from shelfmark.plans.catalogue import ABOVE, PATHS, paths, query, t
 from shelfmark.sources.places import new_place
@@ -89,3 +90,17 @@ def installations_by_shape(spark, d):
     assets = t(spark, d, "orders").where("o_totalprice >= 1000").select(F.col("o_orderkey").alias("asset_id"), (number % 3 + 300000).alias("size_bytes"), F.col("o_orderstatus").alias("application"), F.col("o_orderpriority").alias("name"), F.lit(False).alias("is_missing"))
     files = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("asset_id"), F.concat(F.lit("d/"), "l_returnflag", "l_linestatus").alias("relpath"), (F.col("l_quantity").cast("bigint") % 4).alias("size_bytes"), F.lit(None).cast("string").alias("sha256"))
     return installations.duplicate_installations(assets, files, across_applications=True).withColumn("sources", F.array_join("sources", ";"))
+
+
+@query("""WITH RECURSIVE x AS (SELECT p_partkey AS id, [p_brand, CASE WHEN p_size % 5 <> 0 THEN 's' || p_size END, p_type, nullif(CAST(p_partkey % 7 AS VARCHAR), '0')] AS said, CAST(floor(p_retailprice) AS BIGINT) AS size FROM part),
+c AS (SELECT id, size, list_filter(list_transform([1, 2, 3, 4], lambda i: {'at': i, 'label': said[i]}), lambda y: y.label IS NOT NULL) AS chain FROM x),
+e AS (SELECT id, size, chain, chain[1:0] AS node, 0 AS n FROM c UNION ALL SELECT id, size, chain, chain[1:n + 1], n + 1 FROM e WHERE n < len(chain)),
+g AS (SELECT node, any_value(n) AS n, count(*) AS n_assets, CAST(sum(size) AS BIGINT) AS total_bytes FROM e GROUP BY node), k AS (SELECT * FROM g WHERE n = 0 OR node[n].at <= 2 OR n_assets > 1),
+own AS (SELECT e.id, any_value(e.size) AS size, max(k.n) AS n, count(*) AS depth FROM e JOIN k ON e.node = k.node GROUP BY e.id),
+u AS (SELECT k.node, max(a.n) AS above, count(*) AS depth FROM k JOIN k a ON a.n < k.n AND a.node = k.node[1:a.n] GROUP BY k.node)
+SELECT array_to_string(list_transform(k.node, lambda y: y.label), '/') AS path, CASE WHEN k.n > 0 THEN array_to_string(list_transform(k.node[1:u.above], lambda y: y.label), '/') END AS parent, coalesce(u.depth, 0) AS depth,
+CASE WHEN k.n = 0 THEN 'root' ELSE ['p_brand', 'measure', 'p_type', 'rest'][k.node[k.n].at] END AS level, CASE WHEN k.n > 0 THEN k.node[k.n].label END AS label, n_assets, total_bytes FROM k LEFT JOIN u ON u.node = k.node
+UNION ALL SELECT concat_ws('/', nullif(array_to_string(list_transform(c.chain[1:own.n], lambda y: y.label), '/'), ''), own.id), array_to_string(list_transform(c.chain[1:own.n], lambda y: y.label), '/'), own.depth, 'asset', CAST(own.id AS VARCHAR), 1, own.size FROM own JOIN c ON c.id = own.id""")
+def inventory_tree_collapsed(spark, d):
+    parts = t(spark, d, "part").select(F.col("p_partkey").alias("asset_id"), "p_brand", F.when(F.col("p_size") % 5 != 0, F.concat(F.lit("s"), F.col("p_size").cast("string"))).alias("measure"), "p_type", F.nullif((F.col("p_partkey") % 7).cast("string"), F.lit("0")).alias("rest"), F.floor("p_retailprice").cast("bigint").alias("size_bytes"))
+    return collapsed_tree(parts, ["p_brand", "measure", "p_type", "rest"]).drop("asset_id")
