@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.sources.places import kept
+
 
 def hashed(files: DataFrame) -> DataFrame:
     """files without content, with group_hash, its SHA-256."""
@@ -37,15 +39,16 @@ def similar_sets(items: DataFrame, least: float) -> DataFrame:
     items hardly ever meet. Only ids, sizes and prefixes are joined; whole sets
     are fetched for the pairs that meet.
     """
-    sets = equal_sets(items).groupBy("s").agg(F.min("id").alias("id"))
+    # written once: four parts of the plan read the sets, two the order of the items
+    sets = kept(equal_sets(items).groupBy("s").agg(F.min("id").alias("id")), "sets")
     ranked = sets.select("id", F.explode("s").alias("item"))
     rarity = ranked.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")
     n = F.size("s")
     sizes = sets.select("id", n.alias("n"), (n - F.ceil(least * n) + 1).cast("int").alias("k"))
-    # items of one set only come first in the order, and fill the prefix without meeting anything
+    # items of one set only come first in the order, and fill the prefix without meeting anything; the rest is as long as its set, at most
     shared = ranked.join(rarity, "item").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("o"))
     free = shared.join(sizes, "id").withColumn("k", F.col("k") - (F.col("n") - F.size("o"))).where("k > 0")
-    keys = free.select("id", "n", F.explode(F.slice("o", 1, F.col("k"))).alias("key")).select("id", "n", F.col("key.item").alias("item"))
+    keys = kept(free.select("id", "n", F.explode(F.slice("o", 1, F.col("k"))).alias("key")).select("id", "n", F.col("key.item").alias("item")), "keys")
     a, b = keys.select(F.col("id").alias("left_id"), F.col("n").alias("n_a"), "item"), keys.select(F.col("id").alias("right_id"), F.col("n").alias("n_b"), "item")
     fits = (F.col("left_id") < F.col("right_id")) & (F.col("n_a") >= least * F.col("n_b")) & (F.col("n_b") >= least * F.col("n_a"))
     pairs = a.join(b, "item").where(fits).select("left_id", "right_id").distinct()
@@ -55,6 +58,13 @@ def similar_sets(items: DataFrame, least: float) -> DataFrame:
     return pairs.where(F.col("similarity") >= least).select("left_id", "right_id", F.round("similarity", 4).alias("similarity"))
 
 
+def set_members(items: DataFrame) -> DataFrame:
+    """(id, rep): which id stands for each id's set in similar_sets()."""
+    sets = equal_sets(items).select("id", F.sha2(F.to_json("s"), 256).alias("digest"))
+    reps = sets.groupBy("digest").agg(F.min("id").alias("rep"))
+    return sets.join(reps, "digest").select("id", "rep")
+
+
 def equal_sets(items: DataFrame) -> DataFrame:
     """(id, s): the set of each id, sorted."""
     return items.groupBy("id").agg(F.array_sort(F.collect_set("item")).alias("s"))
