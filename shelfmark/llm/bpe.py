@@ -256,5 +256,10 @@ def op3_pair_index_bpe(spark, sf_dir: str) -> DataFrame:
 
 
 def bpe_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage of the pipeline: doc_id, the ids of the whole text, and their number."""
+    """The last stage of the pipeline: doc_id, the ids of the whole text, and their number.
+
+    Null and empty texts have no ids, texts of any length are encoded whole,
+    rows that repeat stand each, further columns are left out, and an empty
+    table gives no rows.
+    """
     return encoded(docs, word_bpe_path()).withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))

@@ -265,7 +265,9 @@ def scored(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of docs(doc_id, text).
 
     A null text is empty and has only its end. Rows that repeat count and
-    stand each. Without training documents all counts are 0.
+    stand each; texts of any length are scored whole; equally frequent words
+    enter the vocabulary's head by their bytes; further columns are left out.
+    Without training documents all counts are 0; an empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", (fold_of("doc_id", HOLD_OUT_PARTS) == HELD_OUT).alias("held_out"), "text")

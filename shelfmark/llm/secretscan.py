@@ -381,7 +381,13 @@ def listed(spans: list[tuple[str, int, int]]) -> str:
 
 
 def scanned(docs: DataFrame, field: Field) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of each row of docs(doc_id, text); a null text is empty and has no spans."""
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of each row of docs(doc_id, text).
+
+    A null text is empty and has no spans; texts of any length are read whole;
+    spans that begin together stand in the order of KINDS; rows that repeat
+    stand each; further columns, whatever their names, are left out; an empty
+    table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches):

@@ -256,7 +256,13 @@ def _ready(lexicon: Lexicon) -> Lexicon:
 
 
 def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """docs(doc_id, text) to (doc_id, held_out, score, predicted); null texts count as empty, each row that repeats is scored."""
+    """docs(doc_id, text) to (doc_id, held_out, score, predicted).
+
+    Null texts count as empty, which has no hits; texts of any length are
+    scored whole, each row that repeats is scored, a null doc_id counts as
+    empty text for held_out; further columns are left out; an empty table gives
+    no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches):
