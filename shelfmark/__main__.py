@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark import library
-from shelfmark.plans.export import export
+from shelfmark.plans.export import csv_rows, export
 from shelfmark.sources import stores
 from shelfmark.sources.headers import facts
 from shelfmark.streaming.service import MOST_SECONDS, QUIET_SECONDS, Watch
@@ -76,7 +76,10 @@ def main(words: list[str] | None = None, spark: SparkSession | None = None) -> i
     elif args.command == "list":
         found = library.inventory(spark, args.catalog, args.selector, args.sort, args.ascending)
         if args.format != "table":
-            export(found, args.format, args.out or f"{args.catalog}/{args.format}")
+            rows = csv_rows(library.items(found)) if args.format == "csv" else found
+            export(rows, args.format, args.out or f"{args.catalog}/{args.format}")
+            if args.format != "csv":  # what the rows come to, beside them
+                export(library.totals(spark, args.catalog).orderBy("dimension", F.desc("total_bytes"), "value"), args.format, f"{args.out or f'{args.catalog}/{args.format}'}-summary", "Summary")
         else:
             found.select("name", "category", "family", "size_bytes", "n_files", "path").show(args.limit, truncate=False)
     elif args.command == "discover":

@@ -9,15 +9,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.functions.units import drive
 from shelfmark.operators import dedup, installations, textindex
 from shelfmark.operators.boundary import guarded
-from shelfmark.operators.catalogue import carry_over, fingerprints, owners, summary, surviving_claims
+from shelfmark.operators.catalogue import best_facts, carry_over, fingerprints, owners, summary, surviving_claims
 from shelfmark.operators.health import file_summary, findings, health, prepared, statistics
 from shelfmark.operators.identity import identified
 from shelfmark.operators.recognise import candidate_hits, coco_folders, directory_profiles, discovered, mot_folders, name_of
 from shelfmark.operators.search import Query, parse
 from shelfmark.operators.security import security_hits, table_families
-from shelfmark.operators.taxonomy import classified, resolve
+from shelfmark.operators.taxonomy import classified, resolve, vocabulary
 from shelfmark.plugins import Plugins, checked, hits_of, load
 from shelfmark.sources.filesystem import full_digests, quick_signatures, walk
 from shelfmark.sources.headers import facts
@@ -27,10 +28,18 @@ from shelfmark.sources.versions import Draft, Store
 SORTS = {"size": "size_bytes", "files": "n_files", "name": "name", "date": "modified_at", "category": "category", "kind": "kind", "health": "health_score"}
 
 #: Columns of assets that a search looks at, by the names of the query language.
-SEARCHED = {"kind": "kind", "category": "category", "family": "family", "detector": "detector", "health": "health_status", "status": "health_status"}
+SEARCHED = {
+    "model_type": "model_type", "framework": "framework", "author": "author", "license": "license", "quantization": "quantization", "source": "source", "vendor": "vendor", "product": "product", "kind": "kind", "category": "category", "family": "family", "detector": "detector", "health": "health_status", "status": "health_status",
+}
 #: Facts that a full-text search looks at.
 TOLD = ("name", "repo_id", "author", "architecture", "model_type", "description", "license", "task", "pipeline_tag", "library", "library_name", "base_model", "tags", "language", "datasets", "dataset_format", "class_names")
 
+#: Facts that stand beside an asset's own columns, as text.
+DETAILS = (
+    "architecture", "architecture_type", "model_type", "framework", "base_model", "param_count", "quantization", "context_length", "repo_id", "author", "license", "pipeline_tag", "library", "tags", "description", "num_images", "num_annotations",
+    "class_names",
+)
+
 
 def under(paths: list[str], column: str = "path") -> Column:
     """Whether a path is one of these or lies below it; Spark pushes it down to the files of a table."""
@@ -119,6 +128,12 @@ def rescan(spark: SparkSession, folder: str, targets: list[str], exclude: str =
     return True
 
 
+def details_of(known: DataFrame) -> DataFrame:
+    """(asset_id, DETAILS...): of each detail the value of the best fact of known(asset_id, key, value, source_rank, confidence, seq)."""
+    best = best_facts(known.where(F.col("asset_id").isNotNull() & F.col("key").isin(*DETAILS)))
+    return best.groupBy("asset_id").agg(*[F.max(F.when(F.col("key") == k, F.col("value"))).alias(k) for k in DETAILS])
+
+
 def _recognised(draft: Draft, walked: DataFrame, here: Callable[..., Column], old: dict[str, DataFrame], own: Plugins) -> dict[str, DataFrame]:
     """The tables files, facts, warnings and assets of walked files; nothing above ``here`` is an asset."""
     read = walked.where("error is null")
@@ -139,20 +154,23 @@ def _recognised(draft: Draft, walked: DataFrame, here: Callable[..., Column], ol
     owned = owners(walked.select("path"), hits.select(F.col("path").alias("root")))
     files = walked.join(owned, "path", "left").withColumn("asset_id", F.when(F.col("owner").isNotNull(), F.xxhash64("owner")))
     files = draft.scratch("files", files.withColumn("relpath", F.substring("path", F.length("owner") + 2, F.length("path"))).drop("owner"))
+    known_facts = draft.scratch("known_facts", news.join(files.select("path", "asset_id"), "path"))
+    told = draft.scratch("details", details_of(known_facts))
     mine = files.where("error is null and asset_id is not null")
     sizes = mine.groupBy("asset_id").agg(F.sum("size_bytes").alias("size_bytes"), F.count("*").alias("n_files"), F.timestamp_seconds(F.max("mtime")).alias("modified_at"))
     prints = fingerprints(mine, "asset_id", [F.col("relpath"), F.col("size_bytes"), F.floor("mtime")])
     described = hits.join(profiles.withColumnRenamed("dir", "path").withColumnRenamed("n_files", "file_count").drop("bytes", "refused", "branching"), "path").withColumn("name", name_of(F.col("path")))
-    described = draft.scratch("described", described)
-    summary_of = draft.scratch("summaries", described.select("asset_id", "kind", "name").join(file_summary(mine.select("asset_id", "relpath", "size_bytes")), "asset_id", "left"))
+    words = F.concat_ws(" ", "repo_id", "base_model", "tags", "class_names", "pipeline_tag")
+    described = draft.scratch("described", described.join(told.withColumn("haystack", words), "asset_id", "left"))
+    numbers = [F.col(c).try_cast("bigint").alias(c) for c in ("num_images", "num_annotations", "param_count")]
+    summary_of = draft.scratch("summaries", described.select("asset_id", "kind", "name", "base_model", "framework", "architecture", *numbers).join(file_summary(mine.select("asset_id", "relpath", "size_bytes")), "asset_id", "left"))
     own = checked(own, summaries=prepared(summary_of)) if own.rules or own.statistics else own
     marks = health(summary_of, own=own.rules).select("asset_id", F.col("score").alias("health_score"), F.col("status").alias("health_status"))
     codes = findings(summary_of, own=own.rules).groupBy("asset_id").agg(F.array_sort(F.collect_list("code")).alias("health_findings"))
     assets = described.select("asset_id", "path", "name", "kind", "detector").join(sizes, "asset_id", "left").join(prints, "asset_id", "left").join(classified(described), "asset_id")
     assets = assets.join(marks, "asset_id").join(codes, "asset_id", "left").join(statistics(summary_of, own=own.statistics), "asset_id").na.fill(0, ["size_bytes", "n_files"]).withColumn("is_missing", F.lit(False))
     whose = identified(described.select("asset_id", "path", "name")).drop("task", "component")
-    assets = assets.join(draft.scratch("identities", whose), "asset_id", "left")
-    known_facts = news.join(files.select("path", "asset_id"), "path")
+    assets = assets.join(draft.scratch("identities", whose), "asset_id", "left").join(told, "asset_id", "left")
     unread = files.where("error is not null").select("path", "asset_id", F.lit("unreadable").alias("code"), F.col("error").alias("message"))
     wrong = known_facts.where("key = 'error'").select("path", "asset_id", F.lit("header").alias("code"), F.col("value").alias("message"))
     warnings = unread.unionByName(wrong)
@@ -211,6 +229,18 @@ def reindex(spark: SparkSession, folder: str) -> str:
     return place
 
 
+def items(assets: DataFrame) -> DataFrame:
+    """Assets of a catalogue as items of reports: what they are, hold and weigh, under the names of an export's columns."""
+    words = vocabulary(assets.sparkSession).select(F.col("id").alias("category"), "section", "domain", F.col("label").alias("category_label"))
+    held = lambda *names: F.coalesce(*[F.try_element_at("statistics", F.lit(n)).try_cast("bigint") for n in names])
+    # the vocabulary is a fixed table
+    return assets.join(F.broadcast(words), "category", "left").withColumns({
+        "name": F.coalesce("display_name", "name"), "subcategory": F.col("kind"), "format": F.col("detector"), "parameters": F.col("param_count"), "file_count": F.col("n_files"), "last_modified": F.col("modified_at"), "drive": drive(F.col("path")),
+        "images": F.coalesce(F.col("num_images").try_cast("bigint"), held("images")), "videos": held("videos"), "annotations": F.coalesce(F.col("num_annotations").try_cast("bigint"), held("annotations", "label_files")),
+        "root_folder": F.regexp_replace("path", "/[^/]*$", ""), "task": F.coalesce("task", "pipeline_tag"),
+    })
+
+
 def search(spark: SparkSession, folder: str, query: str, limit: int | None = None, offset: int = 0, sort: str = "relevance") -> DataFrame:
     """Assets that a query of the small language asks for, in order; with ``limit``, that page of them.
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators import boundary
 from shelfmark.operators import identity as I
-from shelfmark.operators import installations
+from shelfmark.operators import installations, pages
 from shelfmark.operators.collapse import collapsed_tree
 from shelfmark.operators.recognise import directory_profiles
 from shelfmark.plans.catalogue import ABOVE, PATHS, paths, query, t
@@ -104,3 +104,12 @@ UNION ALL SELECT concat_ws('/', nullif(array_to_string(list_transform(c.chain[1:
 def inventory_tree_collapsed(spark, d):
     parts = t(spark, d, "part").select(F.col("p_partkey").alias("asset_id"), "p_brand", F.when(F.col("p_size") % 5 != 0, F.concat(F.lit("s"), F.col("p_size").cast("string"))).alias("measure"), "p_type", F.nullif((F.col("p_partkey") % 7).cast("string"), F.lit("0")).alias("rest"), F.floor("p_retailprice").cast("bigint").alias("size_bytes"))
     return collapsed_tree(parts, ["p_brand", "measure", "p_type", "rest"]).drop("asset_id")
+
+
+@query("SELECT doc_id, n_chars, source FROM documents ORDER BY n_chars DESC NULLS LAST, doc_id LIMIT 40 OFFSET 120")
+def listing_page(spark, d):
+    """The fourth page of documents by size, from a listing that is written in ranges first."""
+    place = new_place(spark, "listing")
+    docs = t(spark, d, "documents").select("doc_id", "n_chars", "source")
+    pages.write_listing(docs, place, "n_chars", "doc_id", range_rows=100)
+    return spark.createDataFrame(pages.page_at(spark, place, 120, 40, "n_chars", "doc_id").rows, docs.schema)

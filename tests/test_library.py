@@ -148,3 +148,26 @@ def test_one_changed_asset_rewrites_its_bucket_only(spark, tmp_path):
     assert library.rescan(spark, str(out), [str(root / "m5")], stream="watch", batch=8)
     rows = {r["name"]: r for r in library.table(spark, str(out), "assets").collect()}
     assert rows["m5"]["is_missing"] and rows["m5"]["action"] == "missing" and library.table(spark, str(out), "files").count() == 22
+
+
+def test_details_of_headers_and_the_full_export(spark, tmp_path):
+    root, out = tmp_path / "in", str(tmp_path / "cat")
+    (root / "my-lora").mkdir(parents=True)
+    (root / "my-lora" / "adapter_config.json").write_text('{"base_model_name_or_path": "org/base", "peft_type": "LORA", "r": 8}')
+    (root / "my-lora" / "adapter_model.safetensors").write_bytes(b"x" * 100)
+    (root / "my-lora" / "README.md").write_text("---\nlicense: apache-2.0\ntags:\n- chat\n---\nA description of this adapter that is long enough to be taken for one.\n")
+    library.scan(spark, [str(root)], out)
+    row = library.table(spark, out, "assets").first()
+    assert (row["base_model"], row["license"], row["tags"]) == ("org/base", "apache-2.0", "chat") and "adapter.no_base_model" not in (row["health_findings"] or [])
+    assert library.search(spark, out, "license:apache-2.0 lora").count() == 1 and library.search(spark, out, "license:mit").count() == 0
+    assert main(["--catalog", out, "list", "--format", "csv", "--out", str(tmp_path / "csv")], spark) == 0
+    head, line = [x for p in sorted((tmp_path / "csv").glob("part-*")) for x in p.read_text().splitlines()]
+    assert len(head.split(",")) == 36 and "apache-2.0" in line and "my-lora" in line
+    assert main(["--catalog", out, "list", "--format", "json", "--out", str(tmp_path / "js")], spark) == 0
+    assert any("all" in p.read_text() for p in (tmp_path / "js-summary").glob("part-*"))
+    assert main(["--catalog", out, "roots", "disable", str(root)], spark) == 0
+    with pytest.raises(RuntimeError):
+        main(["--catalog", out, "scan"], spark)
+    assert main(["--catalog", out, "roots", "remove", str(root)], spark) == 0 and library.table(spark, out, "roots").count() == 0
+    for words in (["warnings"], ["installations"], ["watch", "--status"]):
+        assert main(["--catalog", out, *words], spark) == 0
