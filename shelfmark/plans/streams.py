@@ -8,7 +8,7 @@ from shelfmark.operators import boundary
 from shelfmark.operators import identity as I
 from shelfmark.operators import installations, pages
 from shelfmark.operators.collapse import collapsed_tree
-from shelfmark.operators.recognise import directory_profiles
+from shelfmark.operators.recognise import archive_kind, detected, directory_profiles
 from shelfmark.plans.catalogue import ABOVE, PATHS, paths, query, t
 from shelfmark.sources.places import new_place
 from shelfmark.streaming import debounce
@@ -113,3 +113,43 @@ def listing_page(spark, d):
     docs = t(spark, d, "documents").select("doc_id", "n_chars", "source")
     pages.write_listing(docs, place, "n_chars", "doc_id", range_rows=100)
     return spark.createDataFrame(pages.page_at(spark, place, 120, 40, "n_chars", "doc_id").rows, docs.schema)
+
+
+#: What a line item stands for in an archive and in a folder, by a number that its keys make.
+MEMBERS = (
+    "w/model.bin", "config.json", "tokenizer.json", "images/1.jpg", "images/2.jpg", "labels/1.txt", "a.csv", "b.csv", "c.tsv", "cap.pcap", "x.evtx", "y.evtx", "src/a.py", "setup.py", "readme.md", "notes.txt",
+)
+FILES = (
+    "config.json", "model.safetensors", "adapter_config.json", "data.yaml", "notes.txt", "events.out.tfevents.1", "hparams.yaml", "task.json", "annotations.xml", "model_index.json", "saved_model.pb", "readme.md", "a.wav", "b.wav", "weights.onnx", "x.zip",
+)
+NUMBER = "(l_orderkey * 7 + l_linenumber * 3 + l_partkey * 5) % 16"
+
+
+def _listed(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+@query(f"""WITH m AS (SELECT l_orderkey AS archive, {_listed(MEMBERS)}[{NUMBER} + 1] AS name FROM lineitem), e AS (SELECT archive, name, regexp_extract(name, '[.]([a-z]+)$', 1) AS ext FROM m),
+c AS (SELECT archive, count(*) AS n, count_if(ext = 'bin') AS weights, count_if(name = 'config.json') AS declared, count_if(name = 'tokenizer.json') AS companions, count_if(ext = 'jpg') AS images, count_if(starts_with(name, 'labels/')) AS labels,
+count_if(ext = 'pcap') AS captures, count_if(ext = 'evtx') AS events, count_if(ext = 'py') AS sources, count_if(name = 'setup.py') AS project, count_if(ext IN ('csv', 'tsv')) AS tables FROM e GROUP BY 1),
+k AS (SELECT archive, n, CASE WHEN weights > 0 AND declared + companions > 0 THEN 'model_archive' WHEN images > 0 AND labels > 0 THEN 'yolo_dataset_archive' WHEN captures > 0 THEN 'network_dataset_archive' WHEN events >= 2 THEN 'host_log_dataset_archive'
+WHEN sources >= 5 AND project > 0 THEN 'code_archive' WHEN tables >= 3 THEN 'tabular_dataset_archive' ELSE 'archive' END AS kind, declared, companions FROM c)
+SELECT archive, kind, CASE kind WHEN 'model_archive' THEN CASE WHEN declared > 0 AND companions > 0 THEN 0.95 ELSE 0.85 END WHEN 'yolo_dataset_archive' THEN 0.8 WHEN 'network_dataset_archive' THEN 0.9 WHEN 'host_log_dataset_archive' THEN 0.85
+WHEN 'code_archive' THEN 0.7 WHEN 'tabular_dataset_archive' THEN 0.65 ELSE 0.4 END::DOUBLE AS confidence, n AS members_listed FROM k""")
+def archive_kinds_by_content(spark, d):
+    """Orders as archives whose members follow from their line items: what the counts of members make of each."""
+    members = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("archive"), F.element_at(F.array(*[F.lit(m) for m in MEMBERS]), F.expr(f"CAST({NUMBER} AS INT) + 1")).alias("name"), F.lit(1).cast("long").alias("size"))
+    return archive_kind(members).withColumn("confidence", F.col("confidence").cast("double"))
+
+
+@query(f"""WITH f AS (SELECT CASE WHEN l_orderkey % 3 = 0 THEN 'r/runs/version_' ELSE 'r/set/o' END || l_orderkey AS path, {_listed(FILES)}[{NUMBER} + 1] AS name FROM lineitem),
+n AS (SELECT path, list_distinct(list(name)) AS names FROM f GROUP BY 1), h AS (SELECT path, names, CASE WHEN list_contains(names, 'model_index.json') THEN 'diffusers' WHEN list_contains(names, 'adapter_config.json') THEN 'peft_adapter'
+WHEN list_contains(names, 'config.json') AND (list_contains(names, 'model.safetensors') OR list_contains(names, 'weights.onnx')) THEN 'hf_repo' WHEN list_contains(names, 'events.out.tfevents.1') THEN 'tensorboard'
+WHEN starts_with(path, 'r/runs/') AND list_contains(names, 'hparams.yaml') THEN 'lightning' WHEN list_contains(names, 'task.json') AND list_contains(names, 'annotations.xml') THEN 'cvat' WHEN list_contains(names, 'data.yaml') AND list_contains(names, 'notes.txt') THEN 'yolo_dataset'
+WHEN list_contains(names, 'saved_model.pb') THEN 'tensorflow_savedmodel' WHEN list_contains(names, 'model.safetensors') OR list_contains(names, 'weights.onnx') THEN 'loose_weights' WHEN list_contains(names, 'x.zip') THEN 'archive' END AS detector FROM n)
+SELECT path, detector FROM h WHERE detector IS NOT NULL""")
+def folder_detectors_by_content(spark, d):
+    """Orders as folders whose files follow from their line items: the detector that their names call for."""
+    folder = F.concat(F.when(F.col("l_orderkey") % 3 == 0, "r/runs/version_").otherwise("r/set/o"), F.col("l_orderkey").cast("string"))
+    files = t(spark, d, "lineitem").select(F.concat(folder, F.lit("/"), F.element_at(F.array(*[F.lit(m) for m in FILES]), F.expr(f"CAST({NUMBER} AS INT) + 1"))).alias("path"), F.lit(10).cast("long").alias("size_bytes")).distinct()
+    return detected(directory_profiles(files)).where("path like 'r/%/%'").select("path", "detector")
