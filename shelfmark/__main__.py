@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from shelfmark import library
 from shelfmark.plans.export import csv_rows, export
 from shelfmark.sources import stores
 from shelfmark.sources.headers import facts
+from shelfmark.sources.locations import known_locations
 from shelfmark.streaming.service import MOST_SECONDS, QUIET_SECONDS, Watch
 
 
@@ -41,7 +43,9 @@ def parser() -> argparse.ArgumentParser:
     listed.add_argument("--format", choices=("table", "csv", "json", "markdown"), default="table")
     listed.add_argument("--out", help="folder of an export")
     commands.add_parser("stats", help="counts and bytes by category, kind and detector")
-    commands.add_parser("discover", help="promising folders that no catalogued root holds").add_argument("roots", nargs="+")
+    discover = commands.add_parser("discover", help="promising folders that no catalogued root holds; without roots, known places of tools")
+    discover.add_argument("roots", nargs="*")
+    discover.add_argument("--homes", nargs="*", default=[os.path.expanduser("~")], help="homes in which known places are looked for")
     commands.add_parser("search", help="assets by words and key:value pairs").add_argument("query")
     commands.add_parser("where", help="assets whose name or path holds a text").add_argument("text")
     commands.add_parser("show", help="all that is known of an asset").add_argument("path")
@@ -83,7 +87,10 @@ def main(words: list[str] | None = None, spark: SparkSession | None = None) -> i
         else:
             found.select("name", "category", "family", "size_bytes", "n_files", "path").show(args.limit, truncate=False)
     elif args.command == "discover":
-        library.candidates(spark, args.roots, args.catalog).show(60, truncate=False)
+        if args.roots:
+            library.candidates(spark, args.roots, args.catalog).show(1000, truncate=False)
+        else:
+            known_locations(spark, args.homes, dict(os.environ)).orderBy("group", "path").show(1000, truncate=False)
     elif args.command in ("search", "where"):
         found = library.search(spark, args.catalog, args.query) if args.command == "search" else library.locate(spark, args.catalog, args.text)
         found.select("name", "category", "family", "size_bytes", "n_files", "path").show(50, truncate=False)
