@@ -6,7 +6,7 @@ import argparse
 import json
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark import library
@@ -17,9 +17,18 @@ from shelfmark.sources.locations import known_locations
 from shelfmark.streaming.service import MOST_SECONDS, QUIET_SECONDS, Watch
 
 
+def shown(rows: DataFrame, limit: int) -> None:
+    """Prints the first rows, and of how many they are where there are more."""
+    rows.show(limit, truncate=False)
+    total = rows.count()
+    if total > limit:
+        print(f"{limit} of {total} rows; --limit shows more")
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="shelfmark", description=__doc__)
     top.add_argument("--catalog", default="catalog", help="folder of the catalogue's tables")
+    top.add_argument("--limit", type=int, default=50, help="rows shown; exports hold all")
     commands = top.add_subparsers(dest="command", required=True)
     scan = commands.add_parser("scan", help="walk folders and write the catalogue")
     scan.add_argument("roots", nargs="*", help="the enabled roots of the catalogue, if none is given")
@@ -39,7 +48,7 @@ def parser() -> argparse.ArgumentParser:
     listed.add_argument("selector", nargs="?", default="all")
     listed.add_argument("--sort", choices=sorted(library.SORTS), default="size")
     listed.add_argument("--ascending", action="store_true")
-    listed.add_argument("--limit", type=int, default=50, help="rows shown; exports hold all")
+    listed.add_argument("--limit", type=int, default=argparse.SUPPRESS, help="rows shown; exports hold all")
     listed.add_argument("--format", choices=("table", "csv", "json", "markdown"), default="table")
     listed.add_argument("--out", help="folder of an export")
     commands.add_parser("stats", help="counts and bytes by category, kind and detector")
@@ -76,7 +85,7 @@ def main(words: list[str] | None = None, spark: SparkSession | None = None) -> i
     elif args.command == "roots":
         if args.action != "list":
             library.set_root(spark, args.catalog, args.path, {"add": True, "enable": True, "disable": False, "remove": None}[args.action])
-        library.table(spark, args.catalog, "roots").orderBy("root").show(1000, truncate=False)
+        shown(library.table(spark, args.catalog, "roots").orderBy("root"), args.limit)
     elif args.command == "list":
         found = library.inventory(spark, args.catalog, args.selector, args.sort, args.ascending)
         if args.format != "table":
@@ -85,37 +94,40 @@ def main(words: list[str] | None = None, spark: SparkSession | None = None) -> i
             if args.format != "csv":  # what the rows come to, beside them
                 export(library.totals(spark, args.catalog).orderBy("dimension", F.desc("total_bytes"), "value"), args.format, f"{args.out or f'{args.catalog}/{args.format}'}-summary", "Summary")
         else:
-            found.select("name", "category", "family", "size_bytes", "n_files", "path").show(args.limit, truncate=False)
+            shown(found.select("name", "category", "family", "size_bytes", "n_files", "path"), args.limit)
     elif args.command == "discover":
         if args.roots:
-            library.candidates(spark, args.roots, args.catalog).show(1000, truncate=False)
+            shown(library.candidates(spark, args.roots, args.catalog), args.limit)
         else:
-            known_locations(spark, args.homes, dict(os.environ)).orderBy("group", "path").show(1000, truncate=False)
+            shown(known_locations(spark, args.homes, dict(os.environ)).orderBy("group", "path"), args.limit)
     elif args.command in ("search", "where"):
         found = library.search(spark, args.catalog, args.query) if args.command == "search" else library.locate(spark, args.catalog, args.text)
-        found.select("name", "category", "family", "size_bytes", "n_files", "path").show(50, truncate=False)
+        shown(found.select("name", "category", "family", "size_bytes", "n_files", "path"), args.limit)
     elif args.command == "show":
-        library.table(spark, args.catalog, "assets").where(F.col("path") == args.path).show(1, truncate=False, vertical=True)
+        asset = library.table(spark, args.catalog, "assets").where(F.col("path") == args.path)
+        asset.show(1, truncate=False, vertical=True)
+        for name, columns in (("facts", ("path", "key", "value", "confidence")), ("warnings", ("path", "code", "message"))):
+            shown(library.table(spark, args.catalog, name).join(asset.select("asset_id"), "asset_id", "left_semi").select(*columns).orderBy(*columns[:2]), args.limit)
     elif args.command == "health":
-        library.inventory(spark, args.catalog, sort="health").where("health_findings is not null").select("health_score", "health_status", "health_findings", "path").show(50, truncate=False)
+        shown(library.inventory(spark, args.catalog, sort="health").where("health_findings is not null").select("health_score", "health_status", "health_findings", "path"), args.limit)
     elif args.command == "status":
-        library.table(spark, args.catalog, "roots").orderBy("root").show(100, truncate=False)
+        shown(library.table(spark, args.catalog, "roots").orderBy("root"), args.limit)
         library.table(spark, args.catalog, "assets").groupBy("action").count().orderBy("action").show()
     elif args.command == "stats":
-        library.totals(spark, args.catalog).orderBy("dimension", F.desc("total_bytes"), "value").show(200, truncate=False)
+        shown(library.totals(spark, args.catalog).orderBy("dimension", F.desc("total_bytes"), "value"), args.limit)
     elif args.command == "installations":
-        library.duplicate_installations(spark, args.catalog, args.least, args.across).show(1000, truncate=False)
+        shown(library.duplicate_installations(spark, args.catalog, args.least, args.across), args.limit)
     elif args.command == "warnings":
-        library.table(spark, args.catalog, "warnings").orderBy("path", "code").show(1000, truncate=False)
+        shown(library.table(spark, args.catalog, "warnings").orderBy("path", "code"), args.limit)
     elif args.command == "duplicates":
-        library.duplicates(spark, args.catalog, args.least).orderBy(F.desc("wasted_bytes"), "sha256").show(50, truncate=False)
+        shown(library.duplicates(spark, args.catalog, args.least).orderBy(F.desc("wasted_bytes"), "sha256"), args.limit)
     else:
         files = library.table(spark, args.catalog, "files").where(F.col("error").isNull() & F.startswith("path", F.lit(args.under)))
         # folders of assets are the roots of their datasets
         inside = files.join(library.present(spark, args.catalog).select("asset_id", F.col("path").alias("root")), "asset_id").select("root", "path")
         found = facts(files).unionByName(stores.hub_caches(files.select("path", F.col("size_bytes").alias("size"), "mtime"))).unionByName(stores.ollama_models(files.select("path", F.col("size_bytes").alias("size"))))
         found = found.unionByName(stores.yolo_datasets(inside)).unionByName(stores.voc_datasets(inside))
-        found.orderBy("path", "seq").show(200, truncate=False)
+        shown(found.orderBy("path", "seq"), args.limit)
     return 0
 
 

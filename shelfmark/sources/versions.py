@@ -43,13 +43,13 @@ class Store:
     def at(self, *parts: object) -> str:
         return "/".join([self.folder, *map(str, parts)])
 
-    def _names(self, place: str) -> list[str]:
+    def names(self, place: str) -> list[str]:
         path = self._path(place)
         return [s.getPath().getName() for s in self._fs.listStatus(path)] if self._fs.exists(path) else []
 
     def numbers(self) -> list[int]:
         """Numbers of whole versions, ascending."""
-        return sorted(int(n) for n in self._names(self.folder) if n.isdigit() and self._fs.exists(self._path(self.at(n, MANIFEST))))
+        return sorted(int(n) for n in self.names(self.folder) if n.isdigit() and self._fs.exists(self._path(self.at(n, MANIFEST))))
 
     def manifest(self, number: int | None = None) -> Manifest | None:
         """The last whole version's, or that of a number; None where there is none."""
@@ -134,7 +134,7 @@ class Draft:
             place = store.at(self.number, name)
             # a large bucket is dealt over several tasks and files
             rows.withColumn("bucket", self.bucket(key)).repartition("bucket", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, kind in rows.dtypes if not kind.startswith("map")]), F.lit(4))).write.partitionBy("bucket").parquet(place)
-            new = {n.removeprefix("bucket="): f"{place}/{n}" for n in store._names(place) if n.startswith("bucket=")}
+            new = {n.removeprefix("bucket="): f"{place}/{n}" for n in store.names(place) if n.startswith("bucket=")}
             old = {} if replaced is None else {b: p for b, p in made.tables.get(name, {}).items() if int(b) not in replaced}
             if not set(new).isdisjoint(old):
                 raise ValueError(f"rows of {name} lie in buckets that aren't replaced")

@@ -113,8 +113,13 @@ class Watch:
         flag = f"{self.own}/listings/{FLUSH}"
         self.store.put(flag, "")
         try:
-            query = self._written().trigger(availableNow=True).start()
-            query.awaitTermination()
+            flushed = False
+            while not flushed:  # a run that finds a batch unfinished does that one again, as it was planned, and no other
+                query = self._written().trigger(availableNow=True).start()
+                query.awaitTermination()
+                plans = [n for n in self.store.names(f"{self.own}/listings") if n.startswith("plan-") and n.endswith(".json")]
+                newest = max(plans, key=lambda n: int(n[5:-5]), default=None)
+                flushed = newest is None or json.loads(self.store.text(f"{self.own}/listings/{newest}"))["flush"]
         finally:
             self.store.delete(flag)
 
