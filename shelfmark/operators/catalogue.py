@@ -200,10 +200,14 @@ def carry_over(new: DataFrame, old: DataFrame, keys: tuple[str, ...] = ("asset_i
 
 
 def links_of(links: DataFrame, labels: dict[str, tuple[str, str]], most: int = 8) -> DataFrame:
-    """(asset, label, other, rank): the first ``most`` distinct links of each asset, seen from both ends; labels: (forward, backward) of each relation."""
+    """(asset, label, other, rank): the first ``most`` distinct links of each asset, seen from both ends; labels: (forward, backward) of each relation.
+
+    Repeated links share a rank, so what lies beyond the first ones is left out before the shuffle, and repeats go when few are left.
+    """
     name = lambda i: F.element_at(F.create_map(*[F.lit(x) for r, pair in labels.items() for x in (r, pair[i])]), F.col("relation"))
-    ends = links.select(F.col("source").alias("asset"), name(0).alias("label"), F.col("target").alias("other")).unionAll(links.select("target", name(1), "source")).distinct()
-    return top_per_group(ends, ["asset"], [F.asc("label"), F.asc("other")], most)
+    ends = links.select(F.col("source").alias("asset"), name(0).alias("label"), F.col("target").alias("other")).unionAll(links.select("target", name(1), "source"))
+    order = Window.partitionBy("asset").orderBy("label", "other")
+    return ends.withColumn("rank", F.dense_rank().over(order)).where(F.col("rank") <= most).distinct()
 
 
 def known_columns(text: Column, known: tuple[str, ...], looked_at: int = 8192) -> Column:
