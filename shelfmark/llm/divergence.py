@@ -38,7 +38,7 @@ MOST_TERMS = 50
 AUTOMATON_BYTES = 4_000_000
 
 #: Bytes of text whose words are coded together, and that an automaton runs over at a time.
-WIDE_BYTES, SEARCHED_BYTES = 32_000_000, 8_000_000
+WIDE_BYTES, SEARCHED_BYTES = 8_000_000, 4_000_000
 
 #: Counts that a task holds before it hands them on.
 COUNTS_HELD = 4_000_000
