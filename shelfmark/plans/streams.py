@@ -20,7 +20,7 @@ SELECT e.key, e.n, e.us, CASE WHEN e.us - r.us >= 1800000000 OR e.us - r.first >
 u AS (SELECT key, n AS m, us, (SELECT user_id FROM (SELECT event_type, user_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events) x WHERE x.event_type = r.key AND x.k = r.n) AS user_id, batch FROM r)
 SELECT key, batch, min(us) AS first_us, max(us) AS last_us, count(*) AS n_events, count(DISTINCT user_id) AS n_paths FROM u GROUP BY 1, 2""")
 def debounce_stream(spark, d):
-    """The event table replayed as a stream, in three files and a last one that flushes: pending sets and timers, over one restart."""
+    """The event table replayed as a stream, in three parts and a last one that flushes: pending sets and timers, over restarts."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", debounce.PROVIDER)
     place = new_place(spark, "replayed")
     events = t(spark, d, "events").select(F.col("event_type").alias("key"), F.col("user_id").cast("string").alias("path"), F.col("ts").cast("timestamp").alias("ts"), F.lit("modified").alias("kind"))
@@ -28,15 +28,14 @@ def debounce_stream(spark, d):
     third = (last - first) / 3
 
     def run():
-        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{place}/in")  # what has come since the last run, as one micro-batch
         rows = debounce.debounced(stream, 1800, 7200, "1 hour")
         rows.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/check").trigger(availableNow=True).start().awaitTermination()
 
     for i in range(3):
         part = events.where((F.col("ts") >= first + i * third) & ((F.col("ts") < first + (i + 1) * third) | F.lit(i == 2)))
-        part.coalesce(1).write.mode("append").parquet(f"{place}/in")
-        if i == 1:
-            run()
+        part.write.mode("append").parquet(f"{place}/in")
+        run()
     events.select("key").distinct().select("key", F.lit("").alias("path"), F.lit(last).alias("ts"), F.lit("flush").alias("kind")).coalesce(1).write.mode("append").parquet(f"{place}/in")
     run()
     return debounce.batches_of(spark.read.parquet(f"{place}/out"))

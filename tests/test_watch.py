@@ -57,6 +57,19 @@ def test_bursts_repeats_and_caps(spark, tmp_path):
     assert found == {("burst", 0): (300, 300), ("same", 0): (50, 1), ("steady", 0): (30, 30), ("steady", 1): (30, 30), ("", 0): (1, 1)}
 
 
+def test_state_holds_blocks_of_events(spark, tmp_path):
+    at = lambda s: f"timestamp_seconds({s})"
+    spark.range(5000).selectExpr("'k' AS key", "concat('f', id % 40) AS path", f"{at('10000 + id * 0.5')} AS ts", "'modified' AS kind").coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(EVENTS).parquet(f"{tmp_path}/in")
+    query = debounce.debounced(stream, 60, 600, "1 hour").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+    assert query.awaitTermination(120) and query.exception() is None
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) < 100  # one a slot of time, not one an event
+    spark.createDataFrame([("k", "", None, "flush")], EVENTS).withColumn("ts", F.expr(at(12600))).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    rows = replayed(spark, tmp_path, 60, 600)
+    assert sorted((r["batch"], r["n_events"], r["n_paths"]) for r in debounce.batches_of(rows).collect()) == [(0, 1200, 40), (1, 1200, 40), (2, 1200, 40), (3, 1200, 40), (4, 200, 40)]
+    assert rows.agg(F.sum("n")).first()[0] == 5000 and rows.agg(F.max("events_seen")).first()[0] == 5000
+
+
 def listed(spark, roots, tmp_path, **options):
     """The changes since the last call."""
     query = changes(spark, roots, f"{tmp_path}/state", **options).writeStream.format("parquet").option("path", f"{tmp_path}/seen").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
