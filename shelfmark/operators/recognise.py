@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.functions.units import ancestors, built_once, strings
+from shelfmark.functions.units import built_once, strings
+from shelfmark.sources.places import kept
 
 WEIGHTS = ("safetensors", "gguf", "pt", "pth", "ckpt", "bin", "onnx", "h5", "tflite")
 IMAGES = ("jpg", "jpeg", "png", "bmp", "webp", "tif", "tiff")
@@ -24,27 +25,49 @@ def extension_of(path: Column) -> Column:
     return F.lower(F.regexp_extract(name_of(path), r"\.([^./]+)$", 1))
 
 
-def directory_profiles(files: DataFrame) -> DataFrame:
+#: Folders that detectors ask for by name, in lower case.
+ASKED_FOLDERS = (
+    "manifests", "blobs", "train", "val", "valid", "test", "labels", "annotations", "masks", "gt", "ground_truth", "captions", "transcripts", "metadata", "configs", "config", "weights", "checkpoints", "notebooks", "experiments", "runs",
+    "datasets", "dataset", "recipes", "scripts", "training", "evals", ".git", "metrics", "params", "artifacts", "tags", "ann", "img", "bdd100k", "images", "imagesets", "jpegimages", "leftimg8bit", "velodyne", "image_2", "image_3", "label_2",
+    "calib", "oxts", "samples", "sweeps",
+)
+
+
+def directory_profiles(files: DataFrame, folders: tuple[str, ...] | None = None) -> DataFrame:
     """(dir, names, dirs, n_files, bytes, by_extension, classes, classes_in_splits) of each folder, from files(path, size_bytes).
 
     Names, folders and n_files are of what lies directly in it, bytes and
     by_extension of the whole subtree; classes are folders of CLASS_IMAGES
-    images or more right below it, or below a folder of a split.
+    images or more right below it, or below a folder of a split. With
+    ``folders`` dirs keeps only these, so that a folder of millions of folders
+    needs no row that holds all their names.
+
+    Files are dealt once, to their own folders; what they add to the folders
+    above is summed up before it is shuffled.
     """
-    rows = files.select("path", "size_bytes", name_of(F.col("path")).alias("name"), extension_of(F.col("path")).alias("ext"), ancestors(F.col("path")).alias("above"))
-    direct = rows.groupBy(F.element_at("above", -1).alias("dir")).agg(F.array_sort(F.collect_set(F.lower("name"))).alias("names"), F.count("*").alias("n_files"))
-    folders = rows.select(F.explode("above").alias("child")).distinct()
-    folders = folders.select(F.array_join(F.slice(F.split("child", "/"), 1, F.size(F.split("child", "/")) - 1), "/").alias("dir"), F.lower(name_of(F.col("child"))).alias("sub"))
-    children = folders.where("dir <> ''").groupBy("dir").agg(F.array_sort(F.collect_set("sub")).alias("dirs"))
-    counted = rows.select(F.explode("above").alias("dir"), "ext", "size_bytes").groupBy("dir", "ext").agg(F.count("*").alias("n"), F.sum("size_bytes").alias("b"))
-    deep = counted.groupBy("dir").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("ext", "n")))).alias("by_extension"), F.sum("b").alias("bytes"))
-    full = rows.where(F.col("ext").isin(*IMAGES)).groupBy(F.element_at("above", -1).alias("dir")).count().where(f"count >= {CLASS_IMAGES}").select(F.split("dir", "/").alias("parts")).where("size(parts) > 1")
+    rows = files.where(F.contains("path", F.lit("/"))).select("path", F.lower(F.substring_index("path", "/", -1)).alias("name"), "size_bytes")
+    folder = F.expr("left(path, length(path) - length(substring_index(path, '/', -1)) - 1)")
+    rows = rows.select(folder.alias("dir"), "name", F.when(F.contains("name", F.lit(".")), F.substring_index("name", ".", -1)).otherwise("").alias("ext"), "size_bytes")
+    sums = lambda frame: frame.groupBy("dir", "ext").agg(F.count("*").alias("n"), F.sum("size_bytes").alias("b"))
+    merged = lambda frame, *more: frame.groupBy("dir").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("ext", "n")))).alias("by_extension"), F.sum("b").alias("bytes"), *more)
+    own = rows.repartition("dir").groupBy("dir", "ext").agg(F.count("*").alias("n"), F.sum("size_bytes").alias("b"), F.collect_set("name").alias("names"))
+    own = merged(own, F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("names"), F.sum("n").alias("n_files"))
+    nested = rows.withColumn("parts", F.split("dir", "/")).where("size(parts) > 1").withColumn("i", F.explode(F.sequence(F.lit(1), F.greatest(F.size("parts") - 1, F.lit(1)))))
+    nested = nested.select(F.expr("substring_index(dir, '/', i)").alias("dir"), F.lower(F.element_at("parts", F.col("i") + 1)).alias("sub"), "ext", "size_bytes")
+    above = merged(sums(nested)).select(F.col("dir").alias("above"), F.col("by_extension").alias("further"), F.col("bytes").alias("further_bytes"))
+    held = nested.where("dir <> ''").select("dir", "sub")
+    held = held.where(F.col("sub").isin(*folders)) if folders is not None else held
+    children = held.distinct().groupBy("dir").agg(F.array_sort(F.collect_set("sub")).alias("dirs"))
+    full = rows.where(F.col("ext").isin(*IMAGES)).groupBy("dir").count().where(f"count >= {CLASS_IMAGES}").select(F.split("dir", "/").alias("parts")).where("size(parts) > 1")
     up = F.lower(F.element_at("parts", -2)).isin("train", "val", "valid", "test")
-    above = lambda n: F.array_join(F.slice("parts", 1, F.greatest(F.size("parts") - n, F.lit(0))), "/")
-    holders = full.select(F.when(up, above(2)).otherwise(above(1)).alias("dir"), F.element_at("parts", -1).alias("c"), F.when(up, F.lower(F.element_at("parts", -2))).alias("s"))
+    over = lambda n: F.array_join(F.slice("parts", 1, F.greatest(F.size("parts") - n, F.lit(0))), "/")
+    holders = full.select(F.when(up, over(2)).otherwise(over(1)).alias("dir"), F.element_at("parts", -1).alias("c"), F.when(up, F.lower(F.element_at("parts", -2))).alias("s"))
     classes = holders.groupBy("dir").agg(F.count_distinct("c").alias("classes"), F.max(F.col("s").isNotNull()).alias("classes_in_splits"))
-    empty = F.array().cast("array<string>")
-    return deep.join(direct, "dir", "left").join(children, "dir", "left").join(classes, "dir", "left").select("dir", F.coalesce("names", empty).alias("names"), F.coalesce("dirs", empty).alias("dirs"), F.coalesce("n_files", F.lit(0)).alias("n_files"), "bytes", "by_extension", F.coalesce("classes", F.lit(0)).alias("classes"), F.coalesce("classes_in_splits", F.lit(False)).alias("classes_in_splits"))
+    empty, none = F.array().cast("array<string>"), F.lit(0).cast("bigint")
+    both = F.map_zip_with("by_extension", "further", lambda _, x, y: F.coalesce(x, none) + F.coalesce(y, none))
+    size = F.when(F.col("bytes").isNull() | F.col("further_bytes").isNull(), F.coalesce("bytes", "further_bytes")).otherwise(F.col("bytes") + F.col("further_bytes"))
+    deep = own.join(above, F.col("dir") == F.col("above"), "full").select(F.coalesce("dir", "above").alias("dir"), "names", "n_files", size.alias("bytes"), F.coalesce(both, "by_extension", "further").alias("by_extension"))
+    return deep.join(children, "dir", "left").join(classes, "dir", "left").select("dir", F.coalesce("names", empty).alias("names"), F.coalesce("dirs", empty).alias("dirs"), F.coalesce("n_files", F.lit(0)).alias("n_files"), "bytes", "by_extension", F.coalesce("classes", F.lit(0)).alias("classes"), F.coalesce("classes_in_splits", F.lit(False)).alias("classes_in_splits"))
 
 
 def has(names: Column, *wanted: str) -> Column:
@@ -129,7 +152,8 @@ def detected(profiles: DataFrame, *further: DataFrame) -> DataFrame:
     """candidate_hits() without those below a claiming folder."""
     from shelfmark.operators.catalogue import surviving_claims
 
-    return surviving_claims(candidate_hits(profiles, *further))
+    # written once: the hits are read three times, and rules cost more than all else
+    return surviving_claims(kept(candidate_hits(profiles, *further), "hits"))
 
 
 def candidate_hits(profiles: DataFrame, *further: DataFrame) -> DataFrame:
@@ -142,8 +166,9 @@ def candidate_hits(profiles: DataFrame, *further: DataFrame) -> DataFrame:
     from shelfmark.operators.boundary import GENERIC
 
     allowed = F.col("may_claim") if "may_claim" in profiles.columns else F.lit(True)
-    hit = [F.when(rule & allowed if name in GENERIC else rule, F.struct(F.lit(-band).alias("b"), F.lit(i).alias("seq"), F.lit(name).alias("detector"), F.lit(kind).alias("kind"), F.lit(claims).alias("claims"))) for i, (name, band, kind, claims, rule) in enumerate(detectors())]
-    hits = profiles.select(F.col("dir").alias("path"), F.array_min(F.array(*hit)).alias("hit")).where("hit is not null")
+    hit = [F.when(rule & allowed if name in GENERIC else rule, F.struct(F.lit(-band).alias("b"), F.lit(i).alias("seq"), F.lit(name).alias("detector"), F.lit(kind).alias("kind"), F.lit(claims).alias("claims"))) for i, (name, band, kind, claims, rule) in sorted(enumerate(detectors()), key=lambda d: -d[1][1])]
+    # the first that holds; out of a generator, so that no filter on it works the rules out a second time
+    hits = profiles.select(F.col("dir").alias("path"), F.explode(F.array(F.coalesce(*hit))).alias("hit")).where("hit is not null")
     for i, more in enumerate(further):
         hits = hits.unionByName(more.select("path", F.struct((-F.col("band")).alias("b"), F.lit(1000 + i).alias("seq"), "detector", "kind", "claims").alias("hit")))
     if further:

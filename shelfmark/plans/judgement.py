@@ -134,7 +134,7 @@ def folder_detectors(spark, d):
     folder = F.concat(F.lit("root/"), F.when(F.col("layout") == 1, "models--org--m").otherwise("d"), F.lit("-"), F.col("p_partkey").cast("string"))
     parts = t(spark, d, "part").select("p_partkey", (F.col("p_partkey") % len(LAYOUTS)).cast("int").alias("layout")).withColumn("dir", folder)
     files = parts.join(F.broadcast(layouts), "layout").select(F.concat_ws("/", "dir", "file").alias("path"), F.lit(300_000).cast("long").alias("size_bytes"))
-    profiles = R.directory_profiles(files)
+    profiles = R.directory_profiles(files, R.ASKED_FOLDERS)
     facts = files.where(F.col("path").endswith("/annotations/instances_val.json")).select("path", F.lit("num_images").alias("key"), F.lit("3").alias("value"))
     return R.detected(profiles, R.mot_folders(profiles), R.coco_folders(facts)).join(parts, F.col("path") == F.col("dir")).select("p_partkey", "detector")
 

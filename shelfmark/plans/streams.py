@@ -8,7 +8,7 @@ from shelfmark.operators import boundary
 from shelfmark.operators import identity as I
 from shelfmark.operators import installations, pages
 from shelfmark.operators.collapse import collapsed_tree
-from shelfmark.operators.recognise import archive_kind, detected, directory_profiles
+from shelfmark.operators.recognise import ASKED_FOLDERS, archive_kind, detected, directory_profiles
 from shelfmark.plans.catalogue import ABOVE, PATHS, paths, query, t
 from shelfmark.sources.places import new_place
 from shelfmark.streaming import debounce
@@ -150,5 +150,6 @@ SELECT path, detector FROM h WHERE detector IS NOT NULL""")
 def folder_detectors_by_content(spark, d):
     """Orders as folders whose files follow from their line items: the detector that their names call for."""
     folder = F.concat(F.when(F.col("l_orderkey") % 3 == 0, "r/runs/version_").otherwise("r/set/o"), F.col("l_orderkey").cast("string"))
-    files = t(spark, d, "lineitem").select(F.concat(folder, F.lit("/"), F.element_at(F.array(*[F.lit(m) for m in FILES]), F.expr(f"CAST({NUMBER} AS INT) + 1"))).alias("path"), F.lit(10).cast("long").alias("size_bytes")).distinct()
-    return detected(directory_profiles(files)).where("path like 'r/%/%'").select("path", "detector")
+    rows = t(spark, d, "lineitem").select("l_orderkey", F.expr(f"CAST({NUMBER} AS INT) + 1").alias("number")).distinct()
+    files = rows.select(F.concat(folder, F.lit("/"), F.element_at(F.array(*[F.lit(m) for m in FILES]), F.col("number"))).alias("path"), F.lit(10).cast("long").alias("size_bytes"))
+    return detected(directory_profiles(files, ASKED_FOLDERS)).where("path like 'r/%/%'").select("path", "detector")

@@ -3,7 +3,7 @@
 import pytest
 
 from shelfmark.operators.boundary import guarded
-from shelfmark.operators.recognise import candidate_hits, directory_profiles
+from shelfmark.operators.recognise import ASKED_FOLDERS, candidate_hits, directory_profiles
 from shelfmark.operators.catalogue import surviving_claims
 
 
@@ -46,3 +46,14 @@ def test_a_pile_in_its_own_folder_is_a_dataset(found):
     hits, _ = found(files)
     assert hits["NLP-Project/data/civil/base"] == "tabular_dataset" and hits["traffic"] == "media_collection" and hits["hymenoptera_data"] == "image_classification"
     assert not {"work/figs", "Screenshots", "Android Course"} & set(hits)
+
+
+def test_a_folder_of_many_folders_keeps_the_asked_ones(spark):
+    files = [(f"r/set/o{i}/{n}", 5) for i in range(300) for n in ("Config.json", "model.safetensors")] + [("r/set/Labels/a.txt", 1), ("r/set/x.JPG", 2), ("r/runs/version_1/hparams.yaml", 3), ("top.txt", 4)]
+    frame = spark.createDataFrame(files, "path string, size_bytes long")
+    rows = {r["dir"]: r for r in directory_profiles(frame, ASKED_FOLDERS).collect()}
+    assert rows["r/set"]["dirs"] == ["labels"] and rows["r"]["dirs"] == ["runs"] and rows["r/set"]["names"] == ["x.jpg"]
+    assert (rows["r/set"]["n_files"], rows["r/set"]["bytes"], rows["r/set"]["by_extension"]) == (1, 3003, {"jpg": 1, "json": 300, "safetensors": 300, "txt": 1})
+    assert (rows["r"]["n_files"], rows["r"]["names"], rows["r"]["bytes"], rows["r/set/o7"]["names"]) == (0, [], 3006, ["config.json", "model.safetensors"])
+    hits = lambda profiles: sorted(tuple(r) for r in candidate_hits(profiles).collect())
+    assert hits(directory_profiles(frame, ASKED_FOLDERS)) == hits(directory_profiles(frame)) and len(directory_profiles(frame).where("dir = 'r/set'").first()["dirs"]) == 301
