@@ -6,7 +6,7 @@ from collections.abc import Callable
 from functools import wraps
 
 from pyspark import SparkContext
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Multipliers of size suffixes: decimal for k/kb, binary for ki/kib. Fixed values.
@@ -113,3 +113,13 @@ def built_once(make: Callable) -> Callable:
         return kept[key]
 
     return build
+
+
+#: Rows that are dealt to one task, about, where it holds a table of all its keys.
+TASK_ROWS = 1 << 18
+
+
+def dealt(frame: DataFrame, key: str, by: DataFrame | None = None) -> DataFrame:
+    """``frame`` by its key over tasks whose number grows with the rows (of ``by``, which is cheaper to count), so that what one task holds doesn't."""
+    least = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return frame.repartition(max(least, -(-(frame if by is None else by).count() // TASK_ROWS)), key)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.functions.units import built_once, strings
+from shelfmark.functions.units import built_once, dealt, strings
 from shelfmark.sources.places import kept
 
 WEIGHTS = ("safetensors", "gguf", "pt", "pth", "ckpt", "bin", "onnx", "h5", "tflite")
@@ -279,7 +279,8 @@ def archive_kind(members: DataFrame, key: str = "archive") -> DataFrame:
     contains = lambda words: reduce(Column.__or__, [F.contains(name, F.lit(w)) for w in words])
     counts = [total(ext.isin(*kinds)).alias(k) for k, kinds in PACKED.items()] + [total(base.isin(*names)).alias(f"has_{k}") for k, names in PACKED_NAMES.items()] + [total(contains(words)).alias(f"at_{k}") for k, words in PACKED_PARTS.items()]
     counts += [total(has_any(folders, *SAMPLE_FOLDERS)).alias("samples"), total(base.rlike(r"^[0-9a-f]{32}([0-9a-f]{32})?(\.[a-z0-9]{1,8})?$")).alias("digests"), F.count("name").alias("members_listed")]
-    c = members.groupBy(key).agg(*counts)
+    # dealt before they are counted: a member is a narrow row, and an archive's counts are a wide one
+    c = dealt(members, key).groupBy(key).agg(*counts)
     n = F.col
     score = lambda *holds: sum((h.cast("int") for h in holds), F.lit(0))
     malware = score(n("samples") >= 1, n("digests") >= 5, n("has_hashes") > 0, n("at_families") >= 3)
