@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmark.functions.units import dealt
+
 #: Bytes of an asset that is reported, at least, and files that stand for its layout, at most. Fixed values.
 LEAST_BYTES, LISTED_FILES = 256 * 1024, 64
 
@@ -19,7 +21,7 @@ def layouts(assets: DataFrame, files: DataFrame) -> DataFrame:
     that holds them all, and the digests of such are combined sum by sum.
     """
     name = F.lower(F.substring_index(F.translate("relpath", "\\", "/"), "/", -1))
-    rows = files.select("asset_id", name.alias("file"), F.coalesce("size_bytes", F.lit(0)).alias("bytes"), "sha256")
+    rows = dealt(files, "asset_id").select("asset_id", name.alias("file"), F.coalesce("size_bytes", F.lit(0)).alias("bytes"), "sha256")
     # order doesn't matter to a sum, and a row hash of a digest is as good as the digest
     pieces = [F.sum(F.conv(F.substring("sha256", 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)")).alias(f"s{i}") for i in range(5)]
     whole = rows.groupBy("asset_id").agg(F.count("*").alias("n"), F.count("sha256").alias("n_digests"), *pieces)
@@ -43,7 +45,7 @@ def duplicate_installations(assets: DataFrame, files: DataFrame, least_bytes: in
     """
     live = assets.where(~F.coalesce("is_missing", F.lit(False)) & (F.col("size_bytes") >= least_bytes))
     unit = F.coalesce("physical_bytes", "size_bytes") if "physical_bytes" in assets.columns else F.col("size_bytes")
-    signed = live.join(layouts(live, files.join(live.select("asset_id"), "asset_id", "left_semi")), "asset_id")
+    signed = live.join(layouts(live, files), "asset_id")
     groups = signed.groupBy("signature", "verified").agg(
         F.count("*").alias("install_count"), F.max(unit).alias("unit_bytes"), F.array_sort(F.collect_set("application")).alias("sources"), F.min(F.struct(-F.length("name"), "name")).alias("first"), F.min("asset_id").alias("keeper"),
     ).where("install_count > 1")

@@ -57,3 +57,19 @@ def test_installations(spark):
     many = [(f"f{i:03}", i, None) for i in range(300)]
     assert len(found([("a", 8 * mib, False, many), ("b", 8 * mib, False, many[::-1])])) == 1
     assert found([]) == []
+
+
+def test_tasks_grow_with_the_rows(spark, monkeypatch):
+    from pyspark.sql import functions as G
+
+    from shelfmark.functions import units
+    from shelfmark.operators.installations import layouts
+    from shelfmark.operators.recognise import archive_kind
+
+    monkeypatch.setattr(units, "TASK_ROWS", 10)
+    members = spark.range(170).select((G.col("id") % 40).alias("archive"), G.lit("a.csv").alias("name"), G.lit(1).alias("size"))
+    kinds = archive_kind(members)
+    assert kinds.rdd.getNumPartitions() == 17 and kinds.groupBy().agg(G.sum("members_listed")).first()[0] == 170
+    files = spark.range(170).selectExpr("id % 40 AS asset_id", "concat('d/', id) AS relpath", "id AS size_bytes", "CAST(NULL AS STRING) AS sha256")
+    signed = layouts(spark.range(40).selectExpr("id AS asset_id", "1L AS size_bytes"), files)
+    assert "hashpartitioning(asset_id" in signed._jdf.queryExecution().executedPlan().toString() and ", 17)" in signed._jdf.queryExecution().executedPlan().toString() and signed.count() == 40
