@@ -1,9 +1,10 @@
 """A stored full-text index: postings in blocks of documents, with the most that a block can add to a score.
 
-Documents are ordered by length and cut into blocks, so that those of a block
-are alike in what a word in them is worth. A row of the postings is a term in
-a block: the block's documents that hold it, and the greatest of their
-impacts, which is BM25 without the weight of the term. A query reads these
+Documents are put into classes by length and those of a class dealt into
+blocks, so that those of a block are alike in what a word in them is worth. A
+row of the postings is a term in a block: the block's documents that hold it,
+and the greatest of their impacts, which is BM25 without the weight of the
+term. Each file of the postings holds whole blocks, by term. A query reads these
 heads first; blocks whose heads can't sum up to the k-th best score of the
 most promising ones aren't read.
 """
@@ -21,6 +22,9 @@ from shelfmark.operators.search import B, K1
 #: Documents of a block, and blocks that are read to find what the others must reach.
 BLOCK_DOCS, FIRST_BLOCKS = 512, 4
 
+#: Words of a block and of a task that makes postings, about; classes of length for each doubling.
+BLOCK_WORDS, TASK_WORDS, CLASSES = 1 << 17, 1 << 21, 16
+
 #: Digits of scores.
 DIGITS = 6
 
@@ -44,22 +48,30 @@ def words_of(text: str) -> Column:
 
 
 def build(docs: DataFrame, text: str, key: str, path: str, block_docs: int = BLOCK_DOCS) -> None:
-    """Writes the index of docs(key, text) under path; keys are unique. Null and empty texts have no words and aren't in it."""
+    """Writes the index of docs(key, text) under path; keys are unique. Null and empty texts have no words and aren't in it.
+
+    Words are shuffled once, as the text of their document, to the task of its
+    block; a term's count is made in the document's row and its postings in that task.
+    """
     spark = docs.sparkSession
-    sized = docs.select(F.col(key).alias("key"), words_of(text).alias("words")).withColumn("len", F.size("words")).where("len > 0")
-    # a range of lengths is dealt to a task and cut there, so that no task orders all documents
-    dealt = sized.repartitionByRange("len", "key").withColumn("range", F.spark_partition_id())
-    dealt.write.parquet(f"{path}/dealt")
-    dealt = spark.read.parquet(f"{path}/dealt")
-    nth = F.row_number().over(Window.partitionBy("range").orderBy("len", "key"))
-    numbered = dealt.select("key", "len", (F.col("range").cast("bigint") * (1 << 31) + F.floor((nth - 1) / block_docs)).alias("block"))
-    numbered.write.parquet(f"{path}/documents")
-    numbered = spark.read.parquet(f"{path}/documents")
-    numbered.agg(F.count("*").alias("n"), F.avg("len").alias("mean")).coalesce(1).write.parquet(f"{path}/totals")
-    mean = spark.read.parquet(f"{path}/totals").select("mean").scalar()
-    counts = dealt.select("key", F.explode("words").alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf")).join(numbered, "key")
-    rows = counts.withColumn("impact", impact(F.col("tf"), F.col("len"), mean)).groupBy("term", "block").agg(F.max("impact").alias("most"), F.collect_list(F.struct("key", "tf", "len")).alias("held"))  # block_docs at most
-    rows.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
+    sized = docs.select(F.col(key).alias("key"), words_of(text).alias("words")).select("key", F.size("words").alias("len"), F.array_join("words", " ").alias("words"))
+    sized.write.parquet(f"{path}/documents")
+    # restricted as it is read: before that, the restriction would look for all words a second time
+    stored = spark.read.parquet(f"{path}/documents").where("len > 0").withColumn("class", F.floor(F.log2("len") * CLASSES))
+    stored.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), F.sum("len").alias("words")).coalesce(1).write.parquet(f"{path}/totals")
+    totals = spark.read.parquet(f"{path}/totals").first()
+    # a row for each class, of which there are 31 * CLASSES at most
+    classes = stored.groupBy("class").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("len") / BLOCK_WORDS)).alias("blocks"))
+    block = F.col("class") * (1 << 31) + F.pmod(F.xxhash64("key"), F.col("blocks"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(totals["words"] or 0) // TASK_WORDS))
+    dealt = stored.join(F.broadcast(classes), "class").select("key", "len", block.alias("block"), "words").repartition(tasks, "block")
+    # in order, equal words lie side by side, so that the places where another one begins tell the counts
+    ordered = dealt.select("key", "len", "block", F.sort_array(F.split("words", " ")).alias("w"))
+    begins = F.filter(F.sequence(F.lit(0), F.col("len") - 1), lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1)))
+    counted = F.transform("begins", lambda b, i: F.struct(F.get("w", b).alias("term"), (F.coalesce(F.get("begins", i + 1), F.col("len")) - b).alias("tf")))
+    counts = ordered.withColumn("begins", begins).select("key", "len", "block", F.inline(counted))
+    rows = counts.groupBy("block", "term").agg(F.max(impact(F.col("tf"), F.col("len"), F.lit(totals["mean"]))).alias("most"), F.collect_list(F.struct("key", "tf", "len")).alias("held"))
+    rows.sortWithinPartitions("term", "block").write.option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
 
 
 def ranked(spark: SparkSession, path: str, terms: list[str], k: int, prefixes: bool = False, every: bool = False, allowed: DataFrame | None = None) -> Ranked:
@@ -88,7 +100,7 @@ def ranked(spark: SparkSession, path: str, terms: list[str], k: int, prefixes: b
     bounds = bounds.where(F.col("n_terms") == len(asked)) if every else bounds
 
     def scored(blocks: DataFrame) -> DataFrame:
-        held = postings.join(F.broadcast(blocks), "block", "left_semi").select("q", F.explode("held").alias("h")).select("q", "h.*")
+        held = postings.join(F.broadcast(blocks), "block", "left_semi").select("q", F.inline("held")).where("key is not null")
         held = held.join(allowed.select(F.col(allowed.columns[0]).alias("key")), "key", "left_semi") if allowed is not None else held
         per = held.groupBy("key", "q").agg(F.sum("tf").alias("tf"), F.first("len").alias("len"))
         out = per.groupBy("key").agg(F.round(F.sum(weight * impact(F.col("tf"), F.col("len"), F.lit(totals["mean"]))), DIGITS).alias("score"), F.count("*").alias("n"))

@@ -37,6 +37,31 @@ def test_fewer_blocks_are_read(spark, place):
     assert found.blocks > 20 and found.blocks_read < found.blocks / 2
 
 
+def test_words_are_shuffled_once(spark, tmp_path):
+    """What a build moves follows the text, and a block's postings are made where its documents are."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{rng.randint(0, 3000)}" for _ in range(rng.randint(1, 400)))) for i in range(1500)]
+    texts, core = spark.createDataFrame(rows, "id long, text string").repartition(4).localCheckpoint(), spark.sparkContext._jsc.sc()
+
+    def moved():
+        core.listenerBus().waitUntilEmpty()
+        return core.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = moved()
+    textindex.build(texts, "text", "id", str(tmp_path / "ix"), 50)
+    assert moved() - before < 1.2 * sum(len(t) for _, t in rows)
+    postings = spark.read.parquet(str(tmp_path / "ix" / "postings")).withColumn("file", F.input_file_name())
+    assert postings.groupBy("block").agg(F.count_distinct("file").alias("n")).where("n > 1").count() == 0 and postings.select("block").distinct().count() >= 30
+    assert postings.select(F.sum(F.aggregate("held.tf", F.lit(0).cast("long"), lambda a, n: a + n))).first()[0] == sum(len(t.split()) for _, t in rows)
+
+
+def test_a_text_without_key_counts_but_is_not_found(spark, tmp_path):
+    texts = spark.createDataFrame([(1, "alpha beta"), (None, "alpha alpha"), (2, "gamma beta beta")], "id long, text string")
+    textindex.build(texts, "text", "id", str(tmp_path / "ix"))
+    wanted = search.bm25(texts, "text", "id", ["alpha"]).where("id is not null").collect()
+    assert [tuple(r) for r in textindex.ranked(spark, str(tmp_path / "ix"), ["alpha"], 5).rows.collect()] == [tuple(r) for r in wanted]
+
+
 def test_prefixes_all_terms_and_restricted_keys(spark, docs, place):
     both = {r["id"] for r in search.match_all(docs, "text", "id", ["alph", "gam"]).collect()}
     found = textindex.ranked(spark, place, ["alph", "gam"], 10_000, prefixes=True, every=True).rows.collect()
