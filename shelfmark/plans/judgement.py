@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.functions.units import format_age, format_count, format_duration, parse_size, shorten_path
+from shelfmark.functions.units import dealt, format_age, format_count, format_duration, parse_size, shorten_path
 from shelfmark.operators import catalogue as C
 from shelfmark.operators import dedup as D
 from shelfmark.operators import health as H
@@ -18,6 +18,7 @@ from shelfmark.operators.taxonomy import classified
 from shelfmark.plans.catalogue import query, t
 from shelfmark.plans.export import csv_rows
 from shelfmark.sources.filesystem import sizes
+from shelfmark.sources.places import kept
 
 #: The files that assets are dealt.
 NAMES = (
@@ -132,9 +133,10 @@ def folder_detectors(spark, d):
     """Each part is a folder of one layout; what takes it."""
     layouts = spark.createDataFrame([(i, p) for i, (_, files) in enumerate(LAYOUTS) for p in (files or ("refs/main",))], "layout int, file string")
     folder = F.concat(F.lit("root/"), F.when(F.col("layout") == 1, "models--org--m").otherwise("d"), F.lit("-"), F.col("p_partkey").cast("string"))
-    parts = t(spark, d, "part").select("p_partkey", (F.col("p_partkey") % len(LAYOUTS)).cast("int").alias("layout")).withColumn("dir", folder)
+    # dealt before they become files: a part is a few bytes of a file that one task reads
+    parts = dealt(t(spark, d, "part").select("p_partkey"), "p_partkey").select("p_partkey", (F.col("p_partkey") % len(LAYOUTS)).cast("int").alias("layout")).withColumn("dir", folder)
     files = parts.join(F.broadcast(layouts), "layout").select(F.concat_ws("/", "dir", "file").alias("path"), F.lit(300_000).cast("long").alias("size_bytes"))
-    profiles = R.directory_profiles(files, R.ASKED_FOLDERS)
+    profiles = kept(R.directory_profiles(files, R.ASKED_FOLDERS), "profiles")  # written once: rules and mot_folders read them
     facts = files.where(F.col("path").endswith("/annotations/instances_val.json")).select("path", F.lit("num_images").alias("key"), F.lit("3").alias("value"))
     return R.detected(profiles, R.mot_folders(profiles), R.coco_folders(facts)).join(parts, F.col("path") == F.col("dir")).select("p_partkey", "detector")
 

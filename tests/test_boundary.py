@@ -57,3 +57,27 @@ def test_a_folder_of_many_folders_keeps_the_asked_ones(spark):
     assert (rows["r"]["n_files"], rows["r"]["names"], rows["r"]["bytes"], rows["r/set/o7"]["names"]) == (0, [], 3006, ["config.json", "model.safetensors"])
     hits = lambda profiles: sorted(tuple(r) for r in candidate_hits(profiles).collect())
     assert hits(directory_profiles(frame, ASKED_FOLDERS)) == hits(directory_profiles(frame)) and len(directory_profiles(frame).where("dir = 'r/set'").first()["dirs"]) == 301
+
+
+def test_folder_detectors_makes_its_profiles_once_in_many_tasks(spark, tiny, monkeypatch):
+    from shelfmark.operators import recognise
+    from shelfmark.plans.judgement import folder_detectors
+
+    made, tasks, plain = spark.sparkContext.accumulator(0), [], recognise.directory_profiles
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    def profiles(files, folders):
+        tasks.append(files.rdd.getNumPartitions())
+        frame = plain(files, folders)
+        return frame.mapInArrow(counted, frame.schema)
+
+    wanted = {tuple(r) for r in folder_detectors(spark, tiny).collect()}
+    monkeypatch.setattr(recognise, "directory_profiles", profiles)
+    assert {tuple(r) for r in folder_detectors(spark, tiny).collect()} == wanted and len(wanted) > 150
+    monkeypatch.undo()
+    parts = spark.read.parquet(f"{tiny}/part.parquet").count()
+    assert parts < made.value < 3 * parts and tasks[0] >= int(spark.conf.get("spark.sql.shuffle.partitions"))
